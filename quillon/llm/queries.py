@@ -44,5 +44,19 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_byte_bpe)}
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.decontaminate import contaminated
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "tokens", "item_tokens", "coverage", "reparameterised")
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_byte_bpe, op4_decontaminate, op6_jaccard_join)}
 ORACLES = {"op2_exact_dedup": OP2_SQL}
