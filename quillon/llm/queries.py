@@ -58,5 +58,50 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_exact_dedup, op3_byte_bpe, op4_decontaminate, op6_jaccard_join)}
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality_cnn import held_out, score_quality, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = train(docs, _table(spark, sf_dir, "labels"))
+    return score_quality(docs, network).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.warc import archive_pages
+
+    out = archive_pages(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.html_extract import extract_text, train
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_text(pages, train(pages)).drop("html")
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.license_scan import license_scan
+
+    return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_exact_dedup, op3_byte_bpe, op4_decontaminate, op5_quality_cnn,
+        op6_jaccard_join, op7_warc, op8_html_extract, op10_license_scan,
+    )
+}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL}
