@@ -88,7 +88,8 @@ def template_table(spark, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, containment: float = CONTAINMENT, bands: int = BANDS) -> DataFrame:
     """Licenses that documents contain: one row (id, license, containment, places) for each pair.
 
-    containment is that of the best matched template; places counts the windows that hold one. Null,
+    containment is that of the best matched template; places counts the windows that hold one. In one
+    window a template gives way to a better one that explains all its shingles found there. Null,
     empty and short texts contain none. Rows repeated with one id count together; a null id is an id of
     its own. The order of ties doesn't matter, as only maxima and counts come out.
     """
@@ -110,7 +111,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = template_table(spark, templates)
     keys = table.select("license", "template", "class", "shingles", F.posexplode(_bands(F.col("shingles"), bands)).alias("band", "low"))
     met = banded.join(F.broadcast(keys), ["class", "band", "low"])  # a few thousand rows, whatever the input
-    share = F.size(F.array_intersect("window", "shingles")) / F.size("shingles")
-    held = met.select("_id", "license", "template", "window", share.alias("containment")).filter(F.col("containment") >= containment)
-    places = held.groupBy("_id", "license", "template", F.xxhash64("window").alias("w")).agg(F.max("containment").alias("containment"))
-    return places.groupBy(F.col("_id").alias(id_col), "license").agg(F.max("containment").alias("containment"), F.countDistinct("w").alias("places"))
+    matched = F.array_sort(F.array_intersect("window", "shingles"))
+    held = met.select("_id", "license", "template", "window", matched.alias("matched"), F.size("shingles").alias("n")).filter(F.size("matched") >= F.col("n") * containment)
+    held = held.groupBy("_id", F.xxhash64("window").alias("w")).agg(F.collect_set(F.struct("license", "template", "matched", (F.size("matched") / F.col("n")).alias("containment"))).alias("all"))  # a window holds some templates at most
+    # Templates that differ in a word or two meet in one window: what a better one explains in full goes.
+    better = lambda t: F.exists("all", lambda o: (o["containment"] > t["containment"]) & (F.size(F.array_except(t["matched"], o["matched"])) == 0))
+    places = held.select("_id", "w", F.explode(F.filter("all", lambda t: ~better(t))).alias("t"))
+    return places.groupBy(F.col("_id").alias(id_col), F.col("t.license").alias("license")).agg(F.max("t.containment").alias("containment"), F.countDistinct("w").alias("places"))
