@@ -91,6 +91,13 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(pages, train(pages)).drop("html")
 
 
+def op9_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.ngram_lm import score_texts
+
+    out = score_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.license_scan import license_scan
 
@@ -101,7 +108,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_exact_dedup, op3_byte_bpe, op4_decontaminate, op5_quality_cnn,
-        op6_jaccard_join, op7_warc, op8_html_extract, op10_license_scan,
+        op6_jaccard_join, op7_warc, op8_html_extract, op9_ngram_lm, op10_license_scan,
     )
 }
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL}
