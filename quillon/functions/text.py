@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Words that queries and documents are not told apart by.
 STOP_WORDS = (
-    "the is in of to and a an for on with it as at by from or be are was were this that not but have has had do does did will would can could"
-).split()[:35]
+    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did not no it its this that as"
+).split()
 
 CJK = r"\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}"
 FULLWIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -53,38 +53,44 @@ def cjk_terms(run: Column, limit: int = 64) -> Column:
     return F.slice(F.concat(single, pairs), 1, limit)
 
 
-# Tags whose end breaks a line, and the character references that are decoded.
-BLOCK_TAGS = "p div li h1 h2 h3 h4 h5 h6 tr br".split()
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&"))
+# Tags whose end breaks a line, and the character references that are decoded, & last.
+BLOCK_TAGS = "p div li h1 h2 h3 h4 h5 h6 br tr blockquote".split()
+REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
+
+
+def _lines(text: Column) -> Column:
+    """Lines with blanks and tabs as one blank and no white space at their ends."""
+    return F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
 
 
 def html_to_text(html: Column) -> Column:
     """Plain text of a page: scripts and styles off, line breaks after blocks, tags off, no blank lines."""
     out = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
     out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", "")
-    out = F.regexp_replace(out, rf"(?i)</({'|'.join(BLOCK_TAGS)})>", "\n")
+    out = F.regexp_replace(out, rf"(?i)</({'|'.join(BLOCK_TAGS)})[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
     for name, sign in REFERENCES:
         out = F.replace(out, F.lit(name), F.lit(sign))
-    lines = F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r\f\x0B]", " "))), lambda x: x != "")
-    return F.array_join(lines, "\n")
+    return F.array_join(F.filter(_lines(out), lambda x: x != ""), "\n")
 
 
 def html_title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+# What goes from Markdown, in this order, and what stays of it.
+MARKDOWN = (
+    ("(?dm)^```[^`]*$", ""), (r"(?dm)^\|[-| :]+\|$", ""), (r"(?dm)(?:^\||\|$|(?<=[^|\n])\|(?=.*\|$))", " "), (r"(?dm)^#{1,6}\s+", ""),
+    (r"(?dm)^[-*_]{3,}\s*$", ""), (r"(?dm)^>\s?", ""), (r"(?dm)^\s*[-*+]\s+", ""), (r"(?dm)^\s*\d+\.\s+", ""), (r"!?\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"\[\[([^\]]+)\]\]", "$1"), ("`+([^`]*)`+", "$1"), (r"\*{1,3}(.+?)\*{1,3}", "$1"), ("_{1,3}(.+?)_{1,3}", "$1"),
+)
+
+
 def strip_markdown(text: Column) -> Column:
-    """Plain text of Markdown: fences, headings, lists, quotes, rules, tables, emphasis, code and links undone."""
-    steps = (
-        (r"(?s)```.*?```", ""), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^\s*[-*+]\s+", ""), (r"(?m)^\s*\d+\.\s+", ""), (r"(?m)^>\s?", ""),
-        (r"(?m)^[-*_]{3,}\s*$", ""), (r"(?m)^\|?[\s:|-]+\|[\s:|-]*$", ""), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"),
-        (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]+)`", "$1"), (r"\|", " "),
-    )
-    for pattern, to in steps:
+    """Plain text of Markdown; blank lines stay, two of them at most."""
+    for pattern, to in MARKDOWN:
         text = F.regexp_replace(text, pattern, to)
-    lines = F.array_join(F.transform(F.split(text, "\n"), F.trim), "\n")
-    return F.trim(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+    return trimmed(F.regexp_replace(F.array_join(_lines(text), "\n"), r"\n{3,}", "\n\n"))
 
 
 def markdown_links(text: Column) -> Column:
@@ -123,7 +129,7 @@ def frontmatter(text: Column) -> Column:
 
 def aliases(value: Column) -> Column:
     """Items of a list written as [a, b]."""
-    return F.filter(F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def notion_title(text: Column) -> Column:

@@ -45,37 +45,50 @@ def paragraph_pieces(text: str, size: int = 800) -> list[dict]:
     return out
 
 
-def markdown_pieces(text: str, size: int = 1000, overlap: int = 100) -> list[dict]:
-    """Lines are gathered to ``size`` bytes; a heading ends a piece that is over half full; pieces overlap."""
+def markdown_pieces(text: str, size: int = 1000, overlap: int = 100, tail: bool = True) -> list[dict]:
+    """Pieces of lines, by bytes: one ends when it has ``size``, or at a heading when it is over half full.
+
+    A piece carries the section that was current when it ended, and the next one begins with its last
+    ``overlap`` bytes, cut at a character. tail: a rest that is nothing but such an overlap is a piece too.
+    """
     out: list[dict] = []
-    buffer = section = ""
-    start = at = 0
+    held, size_held, fresh = [], 0, False
+    section, carried = "", ""
+    at = start = 0
 
-    def flush() -> None:
-        nonlocal buffer, start
-        content = buffer.strip()
+    def end_piece() -> None:
+        nonlocal held, size_held, carried, start, fresh
+        content = "".join(held).strip()
         if content:
             out.append({"position": len(out), "char_start": start, "char_end": at, "section": section, "content": content})
-        tail = content.encode()[-overlap:].decode(errors="ignore") if overlap else ""
-        start = max(0, at - len(tail.encode()))
-        buffer = tail + "\n" if tail else ""
+            raw = content.encode()
+            carried = raw[-overlap:].decode(errors="ignore") if overlap and len(raw) > overlap else content
+            held, size_held, start, fresh = [], 0, at, False
+
+    def begin_with_overlap() -> None:
+        nonlocal size_held, start
+        if carried:
+            n = len(carried.encode()) + 1
+            held.append(carried + "\n")
+            size_held += n
+            start -= n
 
-    fresh = 0
     for line in text.split("\n"):
-        heading = line.startswith(("# ", "## ", "### "))
-        if heading:
-            if len(buffer.encode()) > size / 2:
-                flush()
-                fresh = 0
-            section = line.lstrip("# ").strip()
-        buffer += line + "\n"
-        at += len(line.encode()) + 1
-        fresh += 1
-        if len(buffer.encode()) >= size:
-            flush()
-            fresh = 0
-    if fresh and buffer.strip():
-        flush()
+        n = len(line.encode()) + 1
+        at += n
+        if line.startswith(("# ", "## ", "### ")):
+            if size_held > size // 2:
+                end_piece()
+                begin_with_overlap()
+            section = line.lstrip("# ")
+        held.append(line + "\n")
+        size_held += n
+        fresh = fresh or bool(line.strip())
+        if size_held >= size:
+            end_piece()
+            begin_with_overlap()
+    if tail or fresh:
+        end_piece()
     return out
 
 

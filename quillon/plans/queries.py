@@ -162,18 +162,29 @@ def word_counts(spark, folder):
     return rows.select("id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.size("c").cast("long").alias("n_content"))
 
 
-_HTML_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '</(p|div|li|h1|h2|h3|h4|h5|h6|tr|br)>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
+_HTML_SQL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '</(p|div|li|h1|h2|h3|h4|h5|h6|br|tr|blockquote)[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g')"
 for _name, _sign in T.REFERENCES:
     _HTML_SQL = f"replace({_HTML_SQL}, '{_name}', '{_sign.replace(chr(39), chr(39) * 2)}')"
 
 
 @query(f"""SELECT page_id AS id, url AS origin, md5(t) AS text_md5, length(t) AS n_chars, trim(regexp_extract(coalesce(html, ''), '<title[^>]*>(.*?)</title>', 1, 'is')) AS title
-FROM (SELECT page_id, url, html, list_aggregate(list_filter(list_transform(string_split({_HTML_SQL}, chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\r\\f\\x0B]', ' ', 'g'))), lambda x: x <> ''), 'string_agg', chr(10)) AS t FROM pages)""")
+FROM (SELECT page_id, url, html, list_aggregate(list_filter(list_transform(string_split({_HTML_SQL}, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> ''), 'string_agg', chr(10)) AS t FROM pages)""")
 def page_text(spark, folder):
     """Plain text and title of every page."""
     return page_sources(spark, folder).select("id", "origin", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n_chars"), "title")
 
 
+@query(
+    r"""WITH l AS (SELECT doc_id AS id, '# Title ' || doc_id || chr(10) || chr(10) || '- **bold** item' || chr(10) || '1. `code` of [link](a.md)' || chr(10) || '> ' || lang || chr(10) || '---' || chr(10) || 'see [[Note]] _it_' AS t FROM documents)
+SELECT id, 'Title ' || id || chr(10) || 'bold item' || chr(10) || 'code of link' || chr(10) || split_part(split_part(t, '> ', 2), chr(10), 1) || chr(10) || chr(10) || 'see Note it' AS plain FROM l"""
+)
+def stripped_notes(spark, folder):
+    """A Markdown note about each document, as plain text."""
+    line = F.lit("\n")
+    note = F.concat(F.lit("# Title "), F.col("doc_id").cast("string"), line, line, F.lit("- **bold** item\n1. `code` of [link](a.md)\n> "), "lang", F.lit("\n---\nsee [[Note]] _it_"))
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), T.strip_markdown(note).alias("plain"))
+
+
 @query("""SELECT page_id AS id, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN 'url' WHEN url LIKE 'snippet:%' THEN 'snippet' ELSE 'file' END AS source_type,
 regexp_extract(url, '^https?://([^/]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '([^/]+?)(?:\\.[^./]*)?$', 1), ''), url) AS label, left(trim(translate(url, '/\\:*?"<>|', '---------')), 80) AS file_name FROM pages""")
 def page_origins(spark, folder):
