@@ -38,3 +38,23 @@ def resolve_links(hints: DataFrame, sources: DataFrame) -> DataFrame:
 
 def backlinks(links: DataFrame, target: str) -> DataFrame:
     return links.filter(F.lower("target") == target.lower()).select("id").distinct()
+
+
+def resolve_pending(pending: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pending edges (from_id, to_origin) with the source whose origin, or whose base name without .md, they name."""
+    base = F.regexp_replace(F.regexp_extract("origin", r"([^/]+)$", 1), r"\.md$", "")
+    keys = sources.select(F.col("id").alias("to_id"), F.explode(F.array_distinct(F.array("origin", base))).alias("to_origin"))
+    return pending.join(keys, "to_origin").groupBy("from_id", "to_origin").agg(F.min("to_id").alias("to_id"))
+
+
+def resolve_wikilinks(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """(id, target, to_id) by exact name, else name without case, else path: the first rule that finds a note."""
+    rules = (
+        notes.select(F.col("id").alias("to_id"), F.col("name").alias("key"), F.lit(0).alias("rule")),
+        notes.select(F.col("id").alias("to_id"), F.lower("name").alias("key"), F.lit(1).alias("rule")),
+        notes.select(F.col("id").alias("to_id"), F.col("path").alias("key"), F.lit(2).alias("rule")),
+    )
+    keyed = links.select("id", "target", F.explode(F.array(F.struct(F.col("target").alias("key"), F.lit(0).alias("rule")), F.struct(F.lower("target").alias("key"), F.lit(1).alias("rule")), F.struct(F.col("target").alias("key"), F.lit(2).alias("rule")))).alias("k"))
+    found = keyed.select("id", "target", "k.key", "k.rule").join(rules[0].unionByName(rules[1]).unionByName(rules[2]), ["key", "rule"])
+    best = found.groupBy("id", "target").agg(F.min(F.struct("rule", "to_id")).alias("b")).select("id", "target", F.col("b.to_id").alias("to_id"))
+    return links.select("id", "target").distinct().join(best, ["id", "target"], "left")

@@ -104,3 +104,19 @@ def rerank_tokens(candidates: DataFrame, query: list[str], k1: float = 1.5, b: f
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     sums = rated.groupBy("id").agg(F.sum(part).alias("bm25"))
     return rows.join(sums, "id", "left").select("id", (0.7 * F.coalesce("bm25", F.lit(0.0)) + 0.3 * 100 * F.col("score")).alias("score"))
+
+
+def phrase_hits(chunks: DataFrame, phrase: list[str]) -> DataFrame:
+    """(id, hits) of chunks that hold the words of a phrase one after another."""
+    n = len(phrase)
+    # A one-element explode: else the optimizer puts the splitting into the lambda, once for each place.
+    rows = chunks.select("id", F.explode(F.array(words(F.col("content")))).alias("w")).filter(F.array_contains("w", phrase[0]) & (F.size("w") >= n))
+    want = F.array(*[F.lit(p) for p in phrase])
+    hits = F.size(F.filter(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n) == want))
+    return rows.select("id", hits.cast("long").alias("hits")).filter("hits > 0")
+
+
+def prefix_hits(chunks: DataFrame, prefix: str) -> DataFrame:
+    """(id, hits) of chunks with words that begin with a prefix."""
+    hits = F.size(F.filter(words(F.col("content")), lambda w: w.startswith(prefix)))
+    return chunks.select("id", hits.cast("long").alias("hits")).filter("hits > 0")

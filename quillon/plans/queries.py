@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import parsing as P
 from quillon.functions import text as T
 from quillon.functions.vector import cosine, mean_vectors
 from quillon.operators import chunking, dedupe, embed, graph, search, sessions
@@ -473,3 +474,93 @@ def sync_actions(spark, folder):
     o = table(spark, folder, "orders")
     local, remote = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")), F.when(F.col("o_orderkey") % 7 > 0, F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise("other"))
     return o.select(F.col("o_orderkey").alias("key"), sessions.sync_action(local, remote, F.col("o_custkey"), F.lit(700)).alias("action"))
+
+
+# ------------------------------------------------------------------ more of search, links and answers
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT id, w, unnest(range(1, len(w))) AS i FROM w)
+SELECT id, count(*) AS hits FROM p WHERE w[i] = 'and' AND w[i + 1] = 'the' GROUP BY id""")
+def phrase_hits(spark, folder):
+    """Documents that hold a phrase of two words, and how often."""
+    return search.phrase_hits(sources(spark, folder).select("id", F.col("text").alias("content")), ["and", "the"])
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents)
+SELECT id, len(list_filter(w, lambda x: starts_with(x, 'licen'))) AS hits FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'licen'))) > 0""")
+def prefix_hits(spark, folder):
+    """Documents with words of one prefix, and how many."""
+    return search.prefix_hits(sources(spark, folder).select("id", F.col("text").alias("content")), "licen")
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, concat('/v/', c_mktsegment, '/n', c_custkey, '.md') AS origin FROM customer),
+p AS (SELECT o_orderkey AS from_id, CASE WHEN o_orderkey % 2 = 0 THEN concat('n', o_custkey) ELSE concat('/v/BUILDING/n', o_custkey, '.md') END AS to_origin FROM orders)
+SELECT from_id, to_origin, min(id) AS to_id FROM p JOIN s ON to_origin = origin OR to_origin = concat('n', id) GROUP BY ALL""")
+def resolve_pending(spark, folder):
+    """Pending edges that newly ingested sources resolve, by origin or by base name."""
+    known = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("/v/"), "c_mktsegment", F.lit("/n"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("origin"))
+    key = F.col("o_custkey").cast("string")
+    to = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("n"), key)).otherwise(F.concat(F.lit("/v/BUILDING/n"), key, F.lit(".md")))
+    return graph.resolve_pending(table(spark, folder, "orders").select(F.col("o_orderkey").alias("from_id"), to.alias("to_origin")), known)
+
+
+@query("""WITH n AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE lower(s_name) END AS name, concat('notes/', s_suppkey) AS path FROM supplier),
+l AS (SELECT DISTINCT l_partkey AS id, CASE l_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN upper(s_name) ELSE concat('notes/', l_suppkey) END AS target FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
+SELECT l.id, target, coalesce(min(a.id), min(b.id), min(c.id)) AS to_id FROM l LEFT JOIN n a ON a.name = target LEFT JOIN n b ON lower(b.name) = lower(target) LEFT JOIN n c ON c.path = target GROUP BY ALL""")
+def resolve_wikilinks(spark, folder):
+    """Wikilinks by exact name, then without case, then by path."""
+    supplier = table(spark, folder, "supplier")
+    notes = supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).otherwise(F.lower("s_name")).alias("name"), F.concat(F.lit("notes/"), F.col("s_suppkey").cast("string")).alias("path"))
+    kind = F.col("l_suppkey") % 3
+    target = F.when(kind == 0, F.col("s_name")).when(kind == 1, F.upper("s_name")).otherwise(F.concat(F.lit("notes/"), F.col("l_suppkey").cast("string")))
+    links = table(spark, folder, "lineitem").join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(F.col("l_partkey").alias("id"), target.alias("target"))
+    return graph.resolve_wikilinks(links, notes)
+
+
+@query("""SELECT event_id AS id, event_type AS subject, 'has-value' AS predicate, user_id::VARCHAR AS object FROM events WHERE event_id % 4 <> 3""")
+def parse_triples(spark, folder):
+    """Triples of model answers in the shapes that models give: a bare array, two kinds of object, fenced; broken ones are none."""
+    e = table(spark, folder, "events")
+    one = F.concat(F.lit('[{"subject":"'), "event_type", F.lit('","predicate":"Has Value","object":"'), F.col("user_id").cast("string"), F.lit('"}]'))
+    kind = F.col("event_id") % 4
+    answer = F.when(kind == 0, F.concat(F.lit("```json\n"), one, F.lit("\n```"))).when(kind == 1, F.concat(F.lit('{"relations":'), one, F.lit("}"))).when(kind == 2, F.concat(F.lit('{"triples":'), one, F.lit("}"))).otherwise(F.concat(F.lit("Sorry: "), one))
+    rows = e.select(F.col("event_id").alias("id"), F.explode(P.triples(answer)).alias("t"))
+    return rows.select("id", T.entity_key(F.col("t.subject")).alias("subject"), T.predicate_key(F.col("t.predicate")).alias("predicate"), T.entity_key(F.col("t.object")).alias("object"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN NULL ELSE c END AS collection FROM (SELECT o_orderkey, lower(c_mktsegment) AS c FROM orders JOIN customer ON c_custkey = o_custkey)""")
+def parse_choices(spark, folder):
+    """Collections that model answers name: exactly, in another case, not at all, or inside a sentence."""
+    names = F.array(*[F.lit(x) for x in ("automobile", "building", "furniture", "household", "machinery")])
+    rows = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    kind, c = F.col("o_orderkey") % 4, F.lower("c_mktsegment")
+    answer = F.when(kind == 0, c).when(kind == 1, F.upper(c)).when(kind == 2, F.lit("NEW: zzz")).otherwise(F.concat(F.lit("The answer is "), c, F.lit(".")))
+    return rows.select(F.col("o_orderkey").alias("id"), P.collection_choice(answer, names).alias("collection"))
+
+
+@query("""SELECT page_id AS id, concat('P', page_id) AS title, concat('v', page_id % 5) AS status FROM pages""")
+def notion_pages(spark, folder):
+    """Title and a property of every page, exported in another tool's form."""
+    hexes, number = F.md5(F.col("page_id").cast("string")), F.col("page_id").cast("string")
+    made = F.concat(F.lit("<html><head><title>x</title></head><body><h1 class=\"page-title\">P"), number, F.lit(" "), hexes, F.lit("</h1><table><tr><th>Status</th><td><b>v"), (F.col("page_id") % 5).cast("string"), F.lit("</b></td></tr><tr><th>Empty</th><td></td></tr></table><div class=\"page-body\">"), F.coalesce("html", F.lit("")), F.lit("</div></body></html>"))
+    rows = table(spark, folder, "pages").select(F.col("page_id").alias("id"), made.alias("html"))
+    head = F.substring_index("html", '<div class="page-body">', 1)
+    return rows.select("id", P.notion_page_title(head).alias("title"), P.notion_properties(head)["Status"].alias("status"))
+
+
+@query("""SELECT w AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 2 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS w FROM events) GROUP BY 1, 2""")
+def sliding_hours(spark, folder):
+    """Events in windows of three hours that begin every hour."""
+    e = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = e.groupBy(F.window("ts", "3 hours", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(f"""WITH {_CHUNKS}, c AS (SELECT id, count(*) AS n_chunks, string_agg(md5(content), ',' ORDER BY position) AS parts FROM chunks GROUP BY id)
+SELECT source AS collection, doc_id AS id, coalesce(n_chunks, 0) AS n_chunks, md5(coalesce(parts, '')) AS digest FROM documents LEFT JOIN c ON c.id = doc_id""")
+def export_bundle(spark, folder):
+    """Sources with their chunks in order, as an export nests them."""
+    parts = _chunks(spark, folder).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", F.md5("content").alias("m")))).alias("chunks"))
+    rows = sources(spark, folder).join(parts, "id", "left")
+    return rows.select("collection", "id", F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n_chunks"), F.md5(F.coalesce(F.array_join(F.transform("chunks", lambda x: x["m"]), ","), F.lit(""))).alias("digest"))
