@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import parsing as P
 from quillon.functions import text as T
 from quillon.functions.vector import cosine, mean_vectors
-from quillon.operators import chunking, dedupe, embed, graph, search, sessions
+from quillon.operators import chunking, dedupe, embed, graph, search, sessions, similar
 from quillon.sources.tables import page_sources, sources, table
 from quillon.streaming.windows import event_windows, file_stream, run_available
 
@@ -564,3 +564,27 @@ def export_bundle(spark, folder):
     parts = _chunks(spark, folder).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", F.md5("content").alias("m")))).alias("chunks"))
     rows = sources(spark, folder).join(parts, "id", "left")
     return rows.select("collection", "id", F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n_chunks"), F.md5(F.coalesce(F.array_join(F.transform("chunks", lambda x: x["m"]), ","), F.lit(""))).alias("digest"))
+
+
+def _document_vectors(spark, folder):
+    return embed.embed_hash(sources(spark, folder).select("id", F.col("text").alias("content")))
+
+
+@query()
+def near_sources(spark, folder):
+    """Near duplicates by hash vectors: links between representatives of cosine 0.97 and more."""
+    return similar.similar_links(_document_vectors(spark, folder), 0.97)
+
+
+@query()
+def relate_auto(spark, folder):
+    """Edges to the most similar vectors of each, at most five, from cosine 0.85."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    none = spark.createDataFrame([], "src bigint, dst bigint")
+    return similar.relate(similar.similar_links(rows, 0.85), none)
+
+
+@query("""WITH h AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings) SELECT vec_id AS id, rep FROM h""")
+def vector_copies(spark, folder):
+    """The representative of each vector among equal ones."""
+    return similar.representatives(table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
