@@ -76,6 +76,30 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096)
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+def nearest_mean(rows: DataFrame, means: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """(id, key, score): the mean (key, dim, mean) of largest cosine to each row's vector, ties by the smaller key.
+
+    Keys name collections, of which there are few; more than ``most`` are an error and never broadcast.
+    """
+    table = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("v")).orderBy(key).limit(most + 1).toArrow()
+    if len(table) > most:
+        raise ValueError(f"more than {most} collections")
+    names = np.asarray(table[key])
+    matrix = _unit(np.stack(table["v"].to_numpy(zero_copy_only=False)).astype(np.float64)) if len(names) else np.zeros((0, 1))
+    shared = rows.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, centres = shared.value
+        for batch in batches:
+            if len(batch) and len(keys):
+                vectors = _unit(np.asarray(batch.column("vector").flatten()).astype(np.float64).reshape(len(batch), -1))
+                sims = np.round(vectors @ centres.T, 9)
+                best = sims.argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[best]).cast(pa.int64()), pa.array(sims[np.arange(len(best)), best])], names=["id", key, "score"])
+
+    return rows.select("id", "vector").mapInArrow(run, f"id bigint, {key} bigint, score double")
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)

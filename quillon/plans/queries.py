@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import parsing as P
 from quillon.functions import text as T
-from quillon.functions.vector import cosine, mean_vectors
+from quillon.functions.vector import mean_vectors
 from quillon.operators import chunking, dedupe, embed, graph, search, sessions, similar
 from quillon.sources.tables import page_sources, sources, table
 from quillon.streaming.windows import event_windows, file_stream, run_available
@@ -338,14 +338,10 @@ s AS (SELECT vec_id AS id, collection, round(list_cosine_similarity(embedding::D
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, collection) AS r FROM s)
 SELECT id, collection, round(s, 6) AS score FROM k WHERE r = 1""")
 def classify_cosine(spark, folder):
-    """The collection whose mean vector is nearest, for every vector. Labels are few; their means are checked before they are broadcast."""
-    rows = table(spark, folder, "embeddings")
-    means = mean_vectors(rows, "label", "embedding").groupBy(F.col("label").alias("collection")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("v"))
-    if means.count() > 10_000:
-        raise ValueError("too many collections to compare each vector with all of them")
-    scored = rows.select(F.col("vec_id").alias("id"), "embedding").crossJoin(F.broadcast(means)).select("id", "collection", F.round(cosine(F.col("embedding"), F.col("v")), 9).alias("s"))
-    best = scored.groupBy("id").agg(F.max(F.struct("s", (-F.col("collection")).alias("c"))).alias("b"))
-    return best.select("id", (-F.col("b.c")).cast("int").alias("collection"), F.round("b.s", 6).alias("score"))
+    """The collection whose mean vector is nearest, for every vector."""
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("collection"))
+    out = search.nearest_mean(rows.select("id", "vector"), mean_vectors(rows, "collection", "vector"), "collection")
+    return out.select("id", F.col("collection").cast("int").alias("collection"), F.round("score", 6).alias("score"))
 
 
 @query()
