@@ -146,9 +146,11 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, float]:
     """Weights from at most ``sample`` pages that mark their main region, chosen by a hash of the page."""
-    marked = pages.select(html_col).filter(F.col(html_col).rlike(r"(?i)<(article|main)\b") & (F.length(html_col) <= SAMPLE_CHARS))
-    rows = marked.orderBy(F.xxhash64(html_col), html_col).limit(sample).collect()
-    return learn(sorted(r[0] for r in rows))
+    marked = pages.select(html_col, F.xxhash64(html_col).alias("h")).filter(F.col(html_col).rlike(r"(?i)<(article|main)\b") & (F.length(html_col) <= SAMPLE_CHARS))
+    # Only hashes are ranked; then the pages of the chosen ones are fetched, copies of a page once.
+    chosen = [r["h"] for r in marked.select("h").distinct().orderBy("h").limit(sample).collect()]
+    rows = marked.filter(F.col("h").isin(chosen)).groupBy("h").agg(F.min(html_col).alias("page")).collect() if chosen else []
+    return learn(sorted(r["page"] for r in rows))
 
 
 def extract_text(pages: DataFrame, weights: dict[str, float], html_col: str = "html") -> DataFrame:
