@@ -1,5 +1,3 @@
-import hashlib
-import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -7,9 +5,7 @@ from pyspark.sql import functions as F
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.jaccard_join import forest_depths, jaccard_classes, keep_one, recall
 from quillon.llm.substring_dedup import substring_dedup
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LAST = 1 << 62
+from tests_llm_brute import brute_classes, brute_windows
 
 
 def test_exact_dedup_equals_grouping(docs, odd_docs, empty):
@@ -32,24 +28,6 @@ def test_exact_dedup_tells_texts_of_one_id_apart(spark):
     assert out == {(1, "a"): 2, (1, "b"): 1, (2, "a"): 2}
 
 
-def brute_windows(rows, k=13):
-    first = {}
-    key = lambda i: LAST if i is None else i
-    for i, t, *_ in sorted(rows, key=lambda r: key(r[0])):
-        w = WORD.findall(t or "")
-        for j in range(len(w) - k + 1):
-            first.setdefault(tuple(w[j : j + k]), key(i))
-    out = []
-    for i, t, *_ in rows:
-        w = WORD.findall(t or "")
-        gone = [False] * len(w)
-        for j in range(len(w) - k + 1):
-            if first[tuple(w[j : j + k])] < key(i):
-                gone[j : j + k] = [True] * k
-        out.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
-    return sorted(out, key=repr)
-
-
 def test_substring_dedup_equals_brute_force(docs, odd_docs, empty):
     out = substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("s"), "repeats", "id", "key")
     got = out.collect()
@@ -65,28 +43,6 @@ def test_substring_dedup_on_chained_overlaps(spark):
     assert sorted(map(tuple, out)) == brute_windows(rows)
 
 
-def brute_classes(rows):
-    sets = []
-    for _, t, *_ in rows:
-        w = WORD.findall(t or "")
-        sets.append({tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set()))
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                parent[find(a)] = find(b)
-    low = defaultdict(list)
-    for i in range(len(rows)):
-        low[find(i)].append(rows[i][0])
-    return sorted(((rows[i][0], min((x for x in low[find(i)] if x is not None), default=None)) for i in range(len(rows))), key=repr)
-
-
 def test_near_classes_equal_brute_force(docs, odd_docs, empty):
     got = jaccard_classes(docs).collect()
     assert sorted(((r.doc_id, r.class_id) for r in got), key=repr) == brute_classes(odd_docs)
