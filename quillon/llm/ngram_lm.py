@@ -1,17 +1,21 @@
-"""N-gram language model in an Elias-Fano trie.
+"""N-gram language model in Elias-Fano tries, in shards.
 
-Counting is Spark's: token counts and pair counts are summed over all training texts, pre-aggregated in
-each task. Words that make up ``CORE_SHARE`` of all tokens at least are the core vocabulary, at most
-1 / CORE_SHARE words by that definition; all others are one class for the purposes of context, with exact
-counts of their own. Pairs of classes that make up ``PAIR_SHARE`` of the training tokens at least go into
-the trie, at most 1 / PAIR_SHARE of them. So the model that each task holds has a proven bound, while the
-counts behind it cover everything.
+Counting is Spark's: token counts are summed over all texts, pre-aggregated in each task. Pairs of tokens
+are put together in each task too, every pair once for each ``FLUSH`` tokens with the rows that hold it. All
+words and all pairs count, whatever their number and at every size: nothing is left out by frequency.
+
+Pairs are dealt into shards of about ``SHARD`` tokens by the hash of their context, those of a common
+context by the hash of the pair, and those of a common pair by where they stand, so that neither makes a
+large shard. Each shard builds the trie of its
+training pairs and scores the pairs of all texts that came with them; what leaves it are sums for each row.
+Common words (``CORE_SHARE`` of all tokens at least) have their counts broadcast instead of joined; this
+decides only how a count is fetched, not what it is.
 
 The trie has a level of contexts, whose pointers are a monotone Elias-Fano sequence, and a level of
 successors. Successors are searched relative to their context: the sequence of context base + successor
 is monotone over the whole level and Elias-Fano coded too. Probabilities are smoothed by absolute
-discounting, stored as 8-bit codes of a codebook of quantiles. All levels lie in one flat buffer that is
-used as it is, from a broadcast or a memory-mapped file.
+discounting, stored as 8-bit codes, each for the mean of a 256th of their range. All levels lie in one flat buffer that is
+used as it is, from memory or a memory-mapped file.
 """
 
 from __future__ import annotations
@@ -24,16 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, extended, mix, signed, slabs, written
+from quillon.llm.common import _Q, Words, extended, mix, signed, slabs, written
 
-CORE_SHARE = 1e-6
-PAIR_SHARE = 1e-7
-MIN_PAIR = 2
+#: Words with this share of all tokens have their counts broadcast; at most 1 / CORE_SHARE words.
+CORE_SHARE = 1e-5
+#: Pairs with this share of all tokens are counted first and then scored where their rows are; at most 1 / PAIR_SHARE pairs.
+PAIR_SHARE = 1e-4
 DISCOUNT = 0.75
 #: Tokens that a task counts at a time before it hands on their sums.
 FLUSH = 1 << 22
-BITS = 21
-RARE, BEGIN = 0, 1  # classes besides the core words, which follow
+#: Tokens whose pairs a task holds at a time.
+PAIR_FLUSH = 1 << 21
+#: Tokens that a shard holds, on average.
+SHARD = 1 << 18
+#: What follows the last word of a text; also the context of its first word.
 END = int(mix(np.array([0x454E44], np.uint64))[0])
 
 
@@ -111,9 +119,11 @@ class NGramTrie:
     def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(values):
             return np.zeros(0, np.uint8), np.zeros(1, np.float64)
-        book = np.unique(np.quantile(values, (np.arange(256) + 0.5) / 256))
-        edges = (book[1:] + book[:-1]) / 2
-        return np.searchsorted(edges, values).astype(np.uint8), book
+        # Of equal width and not of equal number: a common context is one value among thousands of rare ones.
+        low, width = values.min(), max(np.ptp(values) / 256, 1e-12)
+        codes = np.minimum((values - low) / width, 255).astype(np.uint8)
+        n = np.bincount(codes, minlength=256)
+        return codes, np.bincount(codes, values, 256) / np.maximum(n, 1)
 
     @staticmethod
     def build(first: np.ndarray, second: np.ndarray, log_p: np.ndarray, backoff: np.ndarray) -> NGramTrie:
@@ -205,95 +215,109 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Core:
-    """Core words: sorted hashes and training counts; class of a word is its place + 2, of any other RARE."""
+    """Common words: sorted hashes and training counts."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         self.hashes, self.counts = hashes, counts
 
-    def classes(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for words that aren't common."""
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 2, RARE)
+        return np.where(self.hashes[at] == h, at, -1)
+
 
-    def paths(self, words: Words, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class of the token before, class, document) of each token, ends included."""
-        k, doc = _with_ends(words, self.classes(words.hash), int(self.classes(np.array([END], np.uint64))[0]), rows)
-        before = np.empty_like(k)
-        before[1:] = k[:-1]
-        before[np.searchsorted(doc, np.arange(rows), "left")] = BEGIN
-        return before, k, doc
+_GRAMS = "n_tokens bigint, _c bigint, _w bigint, _ci int, _cw bigint, _s bigint, _n bigint, _base bigint, _rows array<int>"
 
 
-def pair_counts(docs: DataFrame, core) -> DataFrame:
-    """(pair of classes, count) over training texts; core: a broadcast."""
+def grams(rows: DataFrame, passed: list[str], text_col: str, core) -> DataFrame:
+    """For each row one without its text, with n_tokens; and the pairs of tokens, with those columns null.
 
-    def flush(pairs: list[np.ndarray]) -> pa.RecordBatch:
-        own, n = np.unique(np.concatenate(pairs), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], names=["pair", "n"])
+    rows has _row and held_out; core: a broadcast. A pair has its context _c, the word _w, the place _ci of a
+    common context, the count _cw of a common word, a hash _s that it is dealt by, the count _n in training, and a
+    row _base + x for each x in _rows, repeated as often as the pair stands there.
+    """
+    schema = extended(rows.select(*passed).schema, _GRAMS)
+    for field in schema.fields:
+        field.nullable = True
+    names = schema.names
+
+    def pairs(parts: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
+        c, w, row, train = (np.concatenate(x) for x in zip(*parts, strict=True))
+        base, known = row.min(), core.value
+        order = np.lexsort((row, w, c))
+        c, w, row, train = c[order], w[order], row[order], train[order]
+        new = np.ones(len(c), bool)
+        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        at = np.flatnonzero(new)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(c)), pa.int32()), pa.array((row - base).astype(np.int32)))
+        c, w = c[at], w[at]
+        ci, wi = known.find(c), known.find(w)
+        s = np.where(ci < 0, mix(c), mix(c * np.uint64(_Q) + w))
+        cw = pa.array(known.counts[np.maximum(wi, 0)], pa.int64(), mask=wi < 0)
+        own = [pa.array(signed(c)), pa.array(signed(w)), pa.array(ci, pa.int32()), cw, pa.array(signed(s)), pa.array(np.add.reduceat(train.astype(np.int64), at)), pa.array(np.full(len(at), base)), lists]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(at), t) for t in types], pa.nulls(len(at), pa.int64()), *own], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs, size = core.value, [], 0
+        parts, size, types = [], 0, []
         for batch in batches:
-            for row, to, data, starts, ends in slabs(batch.column("text")):
-                before, k, _ = known.paths(Words(data, starts, ends, lower=True), to - row)
-                pairs.append(before.astype(np.int64) << BITS | k)
-                size += len(k)
-                if size >= FLUSH:
-                    yield flush(pairs)
-                    pairs, size = [], 0
+            types = [batch.schema.field(c).type for c in passed]
+            number = np.asarray(batch.column("_row"))
+            train = ~np.asarray(batch.column("held_out").cast(pa.int8())).astype(bool)
+            for row, to, data, starts, ends in slabs(batch.column(text_col)):
+                words = Words(data, starts, ends, lower=True)
+                w, doc = _with_ends(words, words.hash, np.uint64(END), to - row)
+                c = np.empty_like(w)
+                c[0], c[1:] = END, w[:-1]  # the end of one text stands before the first word of the next
+                parts.append((c, w, number[row:to][doc], train[row:to][doc]))
+                size += len(w)
+                part = batch.slice(row, to - row)
+                yield pa.RecordBatch.from_arrays([*[part.column(x) for x in passed], pa.array(np.bincount(doc, minlength=to - row)), *[pa.nulls(to - row, f) for f in (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int32()))]], names=names)
+                if size >= PAIR_FLUSH:
+                    yield pairs(parts, types)
+                    parts, size = [], 0
         if size:
-            yield flush(pairs)
+            yield pairs(parts, types)
 
-    return docs.filter("train").select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, schema)
 
 
-class Model:
-    """Token probabilities by count, and the trie of context ratios.
+class Unigrams:
+    """p(token): unseen tokens share the rate of tokens seen once, (once + 1) / (N + 1); seen ones share the rest by count."""
 
-    p(token): unseen tokens share the rate of tokens seen once, (once + 1) / (N + 1); seen ones share
-    the rest by count. p(token | context) = p(class | context class) * p(token) / p(class); a core word is
-    a class of its own.
-    """
-
-    def __init__(self, core: Core, n_train: int, distinct: int, once: int, trie: bytes):
-        self.core, self.n_train, self.distinct, self.trie = core, n_train, distinct, trie
+    def __init__(self, n_train: int, once: int):
+        self.n_train = n_train
         self.unseen = (once + 1) / (n_train + 1) if n_train else 1.0
 
-    def class_probs(self) -> np.ndarray:
-        """p of RARE, BEGIN (none) and the core words; a core word of held-out texts only is unseen."""
-        seen = max(1 - self.unseen, 1e-300) * self.core.counts / max(self.n_train, 1)
-        return np.concatenate(([min(1.0, max(1 - seen.sum(), self.unseen, 1e-12)), 1e-12], np.where(self.core.counts > 0, seen, self.unseen)))
-
-    def log_seen(self) -> float:
-        """log10 of what a count is multiplied by."""
-        return float(np.log10(max(1 - self.unseen, 1e-300) / max(self.n_train, 1)))
-
-
-def fit(docs: DataFrame, counts: DataFrame, core_share: float = CORE_SHARE, pair_share: float = PAIR_SHARE) -> Model:
-    """The model of keyed texts; counts: their written token counts."""
-    spark = docs.sparkSession
-    n_train, n_all, distinct, once = (int(x or 0) for x in counts.agg(F.sum("n"), F.sum("all"), F.sum((F.col("n") > 0).cast("long")), F.sum((F.col("n") == 1).cast("long"))).first())
-    end = signed(np.array([END], np.uint64))[0].item()
-    rows = counts.filter((F.col("all") >= core_share * n_all) | (F.col("h") == end)).select("h", "n").toArrow()  # at most 1 / core_share
-    h, n = np.asarray(rows["h"]).view(np.uint64), np.asarray(rows["n"])
-    if not len(h):
-        h, n = np.array([END], np.uint64), np.zeros(1, np.int64)
-    order = np.argsort(h)
-    core = Core(h[order], n[order])
-    model = Model(core, n_train, distinct, once, b"")
-    documents = int(core.counts[np.searchsorted(core.hashes, np.uint64(END))])
-    least = max(MIN_PAIR, pair_share * n_train)
-    pairs = written(pair_counts(docs, spark.sparkContext.broadcast(core)).filter(F.col("n") >= least), "pairs").toArrow()  # at most 1 / pair_share
-    key, n = np.asarray(pairs["pair"]), np.asarray(pairs["n"]).astype(np.float64)
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    first, second = key >> BITS, key & ((1 << BITS) - 1)
-    p = model.class_probs()
-    total = np.concatenate(([n_train - core.counts.sum(), documents], core.counts)).astype(np.float64)
-    kept = np.bincount(first, n - DISCOUNT, len(p))
-    backoff = np.where(total > 0, np.maximum(1 - kept / np.maximum(total, 1), 1e-9), 1.0)
-    probability = np.minimum((n - DISCOUNT) / total[first] + backoff[first] * p[second], 1.0)
-    model.trie = NGramTrie.build(first, second, np.log10(probability), np.log10(backoff)).dumps()
-    return model
+    def probs(self, counts: np.ndarray) -> np.ndarray:
+        seen = max(1 - self.unseen, 1e-300) * counts / max(self.n_train, 1)
+        return np.where(counts > 0, seen, self.unseen)
+
+
+def shard_sums(table: pa.Table, core: Core, successors: np.ndarray, unigrams: Unigrams) -> pa.Table:
+    """(_row, known, base, score): sums over the pairs of one shard; successors: distinct ones of each common context in training."""
+    c, w, ci, cw, n, base, whole = (np.asarray(table[x]) for x in ("_c", "_w", "_ci", "_cw", "_n", "_base", "_total"))
+    lists = table["_rows"].combine_chunks()
+    vocabulary, code = np.unique(np.concatenate([c, w]), return_inverse=True)
+    key, of = np.unique(code[: len(c)] * len(vocabulary) + code[len(c) :], return_inverse=True)
+    first, second = key // len(vocabulary), key % len(vocabulary)
+    count = np.bincount(of, n, len(key))
+    count[of[whole >= 0]] = whole[whole >= 0]  # a common pair is in other shards too
+    width = len(vocabulary)
+    total, distinct, word_count = np.bincount(first, count, width), np.bincount(first, count > 0, width), np.zeros(width, np.int64)
+    common = ci >= 0
+    total[code[: len(c)][common]] = core.counts[ci[common]]  # every word but the end has a successor, and every text a first one
+    distinct[code[: len(c)][common]] = successors[ci[common]]
+    word_count[code[len(c) :]] = cw
+    backoff = np.where(total > 0, DISCOUNT * distinct / np.maximum(total, 1), 1.0)
+    lower = unigrams.probs(word_count)
+    kept = np.flatnonzero(count > 0)
+    probability = np.minimum((count[kept] - DISCOUNT) / total[first[kept]] + backoff[first[kept]] * lower[second[kept]], 1.0)
+    trie = NGramTrie.build(first[kept], second[kept], np.log10(probability), np.log10(backoff))
+    score = trie.log_probs(first, second, np.log10(lower))[of]
+    size = np.asarray(lists.value_lengths())
+    row, back = np.unique(np.repeat(base, size) + np.asarray(lists.flatten()), return_inverse=True)
+    sums = [np.bincount(back, np.repeat(x, size), len(row)) for x in (cw > 0, np.log10(cw + 1), score)]
+    return pa.table({"_row": row, "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,54 +325,44 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The model learns from rows of ``docs`` that are not held out. A-Z count as a-z; tokens are words
     between white space and one end. base_score sums log10((c + 1) / (N + V + 1)); score is the model's
-    log10 probability of the text. Null text counts as empty: one token, the end. A row without id is
-    learned from. Other columns pass through; columns with the names of new ones are replaced. Without
-    any training text every token is unseen.
+    log10 probability of the text: p(word | context) = max(n - D, 0) / n(context) + D * distinct successors /
+    n(context) * p(word), or p(word) after a context that training hasn't. Null text counts as empty: one
+    token, the end. A row without id is learned from. Other columns pass through; columns with the names
+    of new ones are replaced. Without any training text every token is unseen.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     docs = docs.drop("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keyed = _keyed(docs, id_col, text_col)
-    counts = written(token_counts(keyed), "counts")
-    model = fit(keyed, counts)
-    shared = spark.sparkContext.broadcast((model.core, model.trie, np.log10(model.class_probs())))
+    counts = written(token_counts(_keyed(docs, id_col, text_col)), "counts")
+    n_train, n_all, vocabulary, once = (int(x or 0) for x in counts.agg(F.sum("n"), F.sum("all"), F.sum((F.col("n") > 0).cast("long")), F.sum((F.col("n") == 1).cast("long"))).first())
+    end = signed(np.array([END], np.uint64))[0].item()
+    common = counts.filter((F.col("all") >= CORE_SHARE * n_all) | (F.col("h") == end)).select("h", "n").toArrow()  # at most 1 / CORE_SHARE, and the end
+    h, n = np.asarray(common["h"]).view(np.uint64), np.asarray(common["n"])
+    if not len(h):
+        h, n = np.array([END], np.uint64), np.zeros(1, np.int64)
+    order = np.argsort(h)
+    core = context.broadcast(Core(h[order], n[order]))
+
     rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("held_out", held_out(id_col))
     passed = [c for c in rows.columns if c != text_col]
-    extra = "n_tokens bigint, _known bigint, _base double, _score double, _rare array<bigint>"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core, buffer, lower = shared.value
-        trie = NGramTrie.loads(buffer)
-        plus = np.concatenate(([0.0, 0.0], np.log10(core.counts + 1)))
-        known = np.concatenate(([0, 0], core.counts > 0))
-        for batch in batches:
-            for row, to, data, starts, ends in slabs(batch.column(text_col)):
-                words = Words(data, starts, ends, lower=True)
-                before, k, doc = core.paths(words, to - row)
-                n = to - row
-                score = np.bincount(doc, trie.log_probs(before, k, lower), n)
-                rare = np.flatnonzero(core.classes(words.hash) == RARE)
-                cut = np.searchsorted(words.doc[rare], np.arange(n + 1), "left")
-                lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(signed(words.hash[rare])))
-                part = batch.slice(row, n)
-                yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in passed], pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, known[k], n).astype(np.int64)), pa.array(np.bincount(doc, plus[k], n)), pa.array(score), lists],
-                    names=[*passed, "n_tokens", "_known", "_base", "_score", "_rare"],
-                )
-
-    scored = written(rows.mapInArrow(run, extended(rows.select(*passed).schema, extra)), "scored")
-    # A rare word is below core_share of all tokens by definition, so no key of this join is hot.
-    rare = scored.select("_row", F.explode("_rare").alias("h")).join(counts.select("h", "n"), "h")
-    log10 = lambda x: F.log10(x.cast("double"))
-    of_class = float(np.log10(model.class_probs()[RARE]))
-    sums = rare.groupBy("_row").agg(
-        F.sum((F.col("n") > 0).cast("long")).alias("_k"),
-        F.sum(log10(F.col("n") + 1)).alias("_b"),
-        F.sum(F.when(F.col("n") > 0, log10(F.col("n")) + (model.log_seen() - of_class)).otherwise(float(np.log10(model.unseen)) - of_class)).alias("_s"),
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    whole = float(np.log10(model.n_train + model.distinct + 1))
-    out = scored.drop("_rare").join(sums, "_row", "left")
+    both = written(grams(rows, passed, text_col, core), "grams")
+    pairs = both.filter(F.col("_c").isNotNull()).select("_c", "_w", "_ci", "_cw", "_s", "_n", "_base", "_rows")
+    learned = pairs.filter((F.col("_ci") >= 0) & (F.col("_n") > 0)).select("_ci", "_s").distinct().groupBy("_ci").count().toArrow()
+    distinct = np.zeros(len(h), np.int64)
+    distinct[np.asarray(learned["_ci"])] = np.asarray(learned["count"])
+    successors, unigrams = context.broadcast(distinct), Unigrams(n_train, once)
+    size, pair = F.size("_rows"), pairs.filter("_ci >= 0")
+    large = pair.filter(size >= 16).groupBy("_s").agg(F.sum(size).alias("m")).filter(F.col("m") >= PAIR_SHARE * n_all).select("_s")
+    totals = written(pair.join(F.broadcast(large), "_s").groupBy("_s").agg(F.sum("_n").alias("_total")), "common-pairs")
+    # A word that isn't common is below CORE_SHARE of all tokens, so no key of this join is hot.
+    rare = pairs.filter(F.col("_cw").isNull()).drop("_cw").join(counts.select(F.col("h").alias("_w"), F.col("n").alias("_cw")).hint("merge"), "_w")
+    dealt = pairs.filter(F.col("_cw").isNotNull()).unionByName(rare).join(F.broadcast(totals), "_s", "left")
+    by = F.when(F.col("_total").isNull(), F.col("_s")).otherwise(F.xxhash64("_s", "_base"))
+    dealt = dealt.withColumn("_shard", F.pmod(by, F.lit(-(-n_all // SHARD) or 1))).withColumn("_total", F.coalesce("_total", F.lit(-1))).drop("_s")
+    parts = dealt.groupBy("_shard").applyInArrow(lambda table: shard_sums(table, core.value, successors.value, unigrams), "_row bigint, known bigint, base double, score double")
+    sums = parts.groupBy("_row").agg(*[F.sum(c).alias(f"_{c}") for c in ("known", "base", "score")])
+    whole = float(np.log10(n_train + vocabulary + 1))
+    out = both.filter(F.col("_c").isNull()).select(*passed, "n_tokens").join(sums.hint("merge"), "_row")
     return out.select(
-        *[c for c in docs.columns if c != text_col], "held_out", "n_tokens", (F.col("_known") + zero("_k")).alias("n_known"), F.lit(model.n_train).cast("long").alias("train_tokens"),
-        (F.col("_base") + zero("_b") - F.col("n_tokens") * whole).alias("base_score"), (F.col("_score") + zero("_s")).alias("score"),
+        *[c for c in docs.columns if c != text_col], "held_out", "n_tokens", F.col("_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
+        (F.col("_base") - F.col("n_tokens") * whole).alias("base_score"), F.col("_score").alias("score"),
     )

@@ -117,3 +117,28 @@ def test_lm_base_score_and_totals(docs, odd_docs, empty):
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows), key=repr) == want
     assert all(r.score <= 0 for r in rows) and sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert score_texts(empty).count() == 0
+
+
+@pytest.mark.parametrize("shard", [1 << 18, 40])
+def test_lm_scores_with_every_pair(spark, monkeypatch, shard):
+    monkeypatch.setattr("quillon.llm.ngram_lm.SHARD", shard)
+    monkeypatch.setattr("quillon.llm.ngram_lm.CORE_SHARE", 0.02)
+    r = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(r.zipf(1.3, r.integers(0, 60)), 90))) for i in range(120)] + [(500, None), (501, "w1 never seen w2")]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    path = lambda t: ["", *(t or "").split(), ""]
+    words, pairs = Counter(w for i, t in rows if not held(i) for w in path(t)[1:]), Counter(p for i, t in rows if not held(i) for p in zip(path(t), path(t)[1:], strict=False))
+    n, once, after = sum(words.values()), sum(c == 1 for c in words.values()), Counter(c for c, _ in pairs)
+    unseen = (once + 1) / (n + 1)
+
+    def p(c, w):
+        lower = (1 - unseen) * words[w] / n if words[w] else unseen
+        if not words[c]:
+            return lower
+        return min(1, max(pairs[c, w] - 0.75, 0) / words[c] + 0.75 * after[c] / words[c] * lower)
+
+    got = {x.doc_id: x.score for x in score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == len(rows) and 1 in pairs.values()
+    for i, t in rows:
+        want = [math.log10(p(c, w)) for c, w in zip(path(t), path(t)[1:], strict=False)]
+        assert got[i] == pytest.approx(sum(want), abs=0.02 * len(want) + 0.02)
