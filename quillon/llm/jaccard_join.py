@@ -3,16 +3,17 @@
 Each text of five-word shingles has ``trees`` labels of ``max_depth`` minimum hashes; texts that share a
 prefix of a label stand under one node of that tree. Matched prefixes begin at full depth and are
 shortened until the chance of meeting, 1 - (1 - s^depth)^trees at the threshold s, reaches the target
-recall. Under each node all members are compared with one pivot, not with each other, so a node with a
-third of all texts costs one pair for each member. Links that a pivot could miss are found exactly:
-members that a pivot rejects are compared with the bucket's members of other components, block by block and
-without emitting pairs. As 1 - J is a metric, members whose distances to the pivot differ by more than
-1 - s are left out of that. Identical word sequences are one representative from the start.
+recall. Under each node of the last depth all members are compared with each other, block by block and
+without emitting pairs: what leaves a task is the number of links of each text, and of the links
+themselves the first of each text, which hold a class together. A pair that meets under several nodes
+counts under the node of its first common tree only. Identical word sequences are one representative from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ TREES = 20
 MAX_DEPTH = 8
 DEPTH_STEP = 3
 TARGET_RECALL = 0.9995
-#: Texts that one task compares with so many others, where a pivot doesn't tell.
-BLOCK = 256
+#: Texts of a bucket that one task compares with so many others.
+BLOCK = 1024
 _LAST = 0x7FFFFFFFFFFFFFFF
 
 _SIGNED = "ord bigint, fp int, key binary, n int, prefixes array<bigint>"
@@ -116,121 +117,106 @@ def signatures(docs: DataFrame, trees: int = TREES, depths: list[int] | None = N
     return docs.select("ord", "fp", "text").mapInArrow(run, _SIGNED)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, pivot, jaccard) of pairs (key, pivot): the exact Jaccard similarity of their shingle sets."""
-    both = pairs.join(texts, "key").join(texts.select(F.col("key").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 256):
-                batch = whole.slice(at, 256)
-                sets = []
-                for name in ("text", "pivot_text"):
-                    found = []
-                    column = batch.column(name)
-                    codes = column.dictionary_encode()
-                    for _, _, data, starts, ends in slabs(codes.dictionary):
-                        found += shingle_sets(Words(data, starts, ends))
-                    sets.append([found[c] for c in codes.indices.to_pylist()])
-                sims = []
-                for x, y in zip(*sets, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    sims.append(common / (len(x) + len(y) - common))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("pivot"), pa.array(sims, pa.float64())], names=["key", "pivot", "jaccard"])
-
-    return both.select("key", "pivot", "text", "pivot_text").mapInArrow(run, "key binary, pivot binary, jaccard double")
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), F.hash(text).alias("fp"), text.alias("text"))
 
 
-def _cross_links(rest: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Verified links (key, pivot, jaccard) between rejected members of a bucket and members of other components.
+def bucket_links(members: DataFrame, texts: DataFrame, trees: int, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(key, n, others): verified links of texts within buckets, each pair counted in its first common tree only.
 
-    rest has (bucket, key, open, root); open: rejected by the pivot. Rejected and all members of a bucket
-    are dealt into blocks, and each task compares one block with one other by an inverted list of shingles.
-    No pairs are emitted: of each rejected text one link for each component that it reaches comes out.
+    members has (bucket, tree, key, labels), labels with the bucket of each tree. A bucket's members are dealt
+    into blocks, and each task compares one block with one other or itself by an inverted list of shingles.
+    No pairs are emitted: n counts a text's links in that task. others has as many of them as connect the
+    blocks as all links do: for each text its first link, and one to each component of the task that it joins.
     """
-    sizes = rest.groupBy("bucket").agg(F.ceil(F.count_if("open") / block).cast("int").alias("ny"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nx"))
-    rows = rest.join(sizes, "bucket")
-    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ys = rows.filter("open").withColumn("yb", deal("ny")).withColumn("xb", each("nx")).withColumn("y", F.lit(True))
-    xs = rows.withColumn("xb", deal("nx")).withColumn("yb", each("ny")).withColumn("y", F.lit(False))
-    both = ys.unionByName(xs).select("bucket", "yb", "xb", "y", "key", "root").join(texts, "key")
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb")).hint("merge")
+    rows = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    # Block i meets every block j; the task is (smaller, larger).
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    rows = rows.select("bucket", "tree", F.least("own", "other").alias("xb"), F.greatest("own", "other").alias("yb"), "own", "key", "labels")
+    both = rows.join(texts.hint("merge"), "key")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = {k: i for i, k in enumerate(dict.fromkeys(pdf["key"]))}
-        column = pa.array(pdf.drop_duplicates("key")["text"], pa.string())
-        sets = [x for _, _, data, starts, ends in slabs(column) for x in shingle_sets(Words(data, starts, ends))]
-        xs, ys = pdf[~pdf["y"]], pdf[pdf["y"]]
-        own = [keys[k] for k in xs["key"]]
-        out: list[tuple] = []
+        tree, names = int(pdf["tree"].iloc[0]), pdf["key"].to_numpy()
+        sets = [x for _, _, data, starts, ends in slabs(pa.array(pdf["text"], pa.string())) for x in shingle_sets(Words(data, starts, ends))]
+        labels, side = np.stack(pdf["labels"].to_numpy())[:, :tree], pdf["own"].to_numpy() == pdf["xb"].to_numpy()
+        within = pdf["xb"].iloc[0] == pdf["yb"].iloc[0]
+        xs = np.flatnonzero(side)
+        ys = xs if within else np.flatnonzero(~side)
+        n, parent, joined = np.zeros(len(names), np.int64), list(range(len(names))), []
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         if len(xs) and len(ys):
-            flat, member = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), [len(sets[i]) for i in own])
+            size = np.array([len(sets[i]) for i in xs])
+            flat, member = np.concatenate([sets[i] for i in xs]), np.repeat(np.arange(len(xs)), size)
             order = np.argsort(flat, kind="stable")
             flat, member = flat[order], member[order]
-            size, roots, names = np.array([len(sets[i]) for i in own]), xs["root"].to_numpy(), xs["key"].to_numpy()
-            for key, root in zip(ys["key"], ys["root"], strict=True):
-                y = sets[keys[key]]
+            for j in ys.tolist():
+                new = ~(labels[xs] == labels[j]).any(axis=1)  # not met in an earlier tree
+                new &= (xs > j) | (not within)
+                if not new.any():
+                    continue
+                y = sets[j]
                 a, b = np.searchsorted(flat, y, "left"), np.searchsorted(flat, y, "right")
-                n = b - a
-                at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                common = np.bincount(member[at], minlength=len(own))
-                sims = common / (size + len(y) - common)
-                met = set()
-                for i in np.flatnonzero(sims >= threshold):
-                    if roots[i] != root and roots[i] not in met:
-                        met.add(roots[i])
-                        out.append((key, names[i], float(sims[i])))
-        return pd.DataFrame(out, columns=["key", "pivot", "jaccard"])
-
-    return both.groupBy("bucket", "yb", "xb").applyInPandas(compare, "key binary, pivot binary, jaccard double")
+                k = b - a
+                at = np.repeat(a, k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                common = np.bincount(member[at], minlength=len(xs))
+                hit = xs[(common / (size + len(y) - common) >= threshold) & new]
+                n[j] += len(hit)
+                n[hit] += 1
+                for i in hit.tolist():
+                    x, z = find(i), find(j)
+                    if x != z:
+                        parent[x] = z
+                        joined.append((j, i))
+        others: dict[int, list] = {}
+        for j, i in joined:
+            others.setdefault(j, []).append(names[i])
+        out = [(names[i], int(n[i]), others.get(i, [])) for i in np.flatnonzero(n).tolist()]
+        return pd.DataFrame(out, columns=["key", "n", "others"])
+
+    return both.groupBy("bucket", "xb", "yb").applyInPandas(compare, "key binary, n bigint, others array<binary>")
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, trees: int = TREES, target: float = TARGET_RECALL) -> tuple[DataFrame, DataFrame]:
-    """(signatures of all rows, verified links (key, pivot, jaccard) between different texts)."""
-    depths = forest_depths(trees, threshold=threshold, target=target)
+    """(signatures of all rows, verified links between different texts as ``bucket_links`` gives them).
+
+    Buckets are those of the shortest prefixes alone, as they hold what longer ones have in common.
+    """
+    depths = forest_depths(trees, threshold=threshold, target=target)[-1:]
     keyed = _keyed(docs, id_col, text_col)
     sigs = written(signatures(keyed, trees, depths), "signatures")
-    texts_of = sigs.filter("n > 0").groupBy("key").agg(F.min(F.struct("ord", "fp")).alias("rep"), F.any_value("prefixes").alias("prefixes"))
-    members = texts_of.select("key", F.posexplode("prefixes").alias("slot", "bucket"))
-    shared = members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("bucket", F.col("lo").alias("pivot"))
-    members = written(members.join(shared, "bucket"), "members")
+    texts_of = sigs.filter("n > 0").groupBy("key").agg(F.any_value("prefixes").alias("prefixes"))
+    slots = texts_of.select("key", F.posexplode("prefixes").alias("tree", "bucket"))
+    shared = slots.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("bucket")
+    slots = slots.join(shared.hint("merge"), "bucket")
+    members = written(slots.join(texts_of.withColumnRenamed("prefixes", "labels").hint("merge"), "key"), "members")
+    # Where all members share an earlier bucket too, each pair has met there.
+    label = [F.col("labels")[i] for i in range(trees)]
+    met = reduce(or_, [(F.col("tree") > i) & (F.min(x) == F.max(x)) for i, x in enumerate(label)])
+    new = members.groupBy("bucket", "tree").agg(met.alias("met")).filter("not met").select("bucket")
+    members = members.join(new.hint("merge"), "bucket")
     needed = members.select("key").distinct()
     reps = sigs.join(needed, "key", "left_semi").groupBy("key").agg(F.min(F.struct("ord", "fp")).alias("rep")).select("key", "rep.ord", "rep.fp")
     texts = written(keyed.join(reps, ["ord", "fp"]).groupBy("key").agg(F.min("text").alias("text")), "texts")
-
-    sims = written(verified(members.filter("key != pivot").select("key", "pivot").distinct(), texts), "similar")
-    links = sims.filter(F.col("jaccard") >= threshold)
-
-    # What the pivots of the last depth may have missed: buckets with texts that are not connected yet.
-    last = members.filter(F.col("slot") >= trees * (len(depths) - 1))
-    labels = components(links.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-    rows = written(last.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1").select("bucket")
-    seen = rows.filter("key != pivot").join(mixed, "bucket", "left_semi").join(sims, ["key", "pivot"])
-    state = written(seen.select("bucket", "key", "root", "jaccard", (F.col("jaccard") < threshold).alias("open")), "state")
-    bounds = state.filter("open").groupBy("bucket").agg(F.min("jaccard").alias("j0"), F.max("jaccard").alias("j1"), F.min("root").alias("n0"), F.max("root").alias("n1"))
-    slack = 1 - threshold + 1e-9
-    reachable = (F.col("jaccard") <= F.col("j1") + slack) & (F.col("jaccard") >= F.col("j0") - slack) & ~((F.col("root") == F.col("n0")) & (F.col("root") == F.col("n1")))
-    rest = state.join(bounds, "bucket").filter(F.col("open") | reachable).select("bucket", "key", "open", "root")
-    rest = written(rest.join(rest.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket", "left_semi"), "rest")
-    more = written(_cross_links(rest, texts, threshold).distinct(), "cross")
-    return sigs, links.unionByName(more).dropDuplicates(["key", "pivot"])
+    return sigs, written(bucket_links(members, texts, trees, threshold), "links")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: ord, fp, class_ord (smallest ord of its class), n_links, class_size.
 
-    n_links counts the verified links of the row's text to different texts. Null and empty texts have no
+    n_links counts all different texts of at least the threshold that share a bucket with the row's text. Null and empty texts have no
     shingles and are alone. A null id is larger than any other. Rows with equal words share a class.
     """
     sigs, links = near_links(docs, id_col, text_col, threshold)
-    labels = components(links.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-    degree = links.select("key").unionByName(links.select(F.col("pivot").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+    labels = components(links.select(F.col("key").alias("a"), F.explode("others").alias("b")))
+    degree = links.groupBy("key").agg(F.sum("n").alias("n_links"))
     known = labels.withColumnRenamed("node", "key").join(degree, "key", "left")
     alone = F.concat(F.lit("row"), F.col("ord").cast("string"), F.lit("/"), F.col("fp").cast("string")).cast("binary")
     rows = sigs.select("ord", "fp", F.when(F.col("n") > 0, F.col("key")).otherwise(alone).alias("key")).join(known, "key", "left")

@@ -69,3 +69,20 @@ def test_keep_one_keeps_the_columns(docs):
 
 def test_forest_reaches_its_recall():
     assert recall(forest_depths()[-1]) >= 0.9995 > recall(forest_depths()[-1] + 1)
+
+
+def test_all_links_of_a_class_count(spark, monkeypatch):
+    monkeypatch.setattr("quillon.llm.jaccard_join.bucket_links.__defaults__", (7,))
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(30):
+        text = base.copy()
+        for j in range(i % 6):
+            text[11 + 30 * ((i + j) % 6)] = f"new{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(90, rows[4][1]), (91, "alone here")]
+    shingles = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    texts = {t: i for i, t in rows}
+    near = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+    want = {i: sum(near(i, k) for u, k in texts.items() if u != t and shingles[i]) for i, t in rows}
+    got = {r.doc_id: r.n_links for r in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 2
