@@ -1,10 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-Bytes become learned vectors; learned filters run over windows of ``WIDTH`` bytes every ``STRIDE`` bytes
-to the end of the text. Activations are max-pooled in chunks that overlap by half and cover the whole
-document; of the chunks the maximum and the mean go through one small hidden layer to one probability.
-One more plane of each chunk tells how much of it repeats what stands a few bytes before, which windows
-of this width can't see. Scoring is a map over partitions with the weights in its closure.
+Bytes become learned vectors; learned filters run over windows of ``WIDTH`` bytes every ``STRIDE`` bytes to
+the end of the text and are max-pooled in chunks that overlap by half and cover the whole document. A
+second set of learned filters reads each chunk's pooled activations, so that a chunk counts by what it has
+and by what it lacks (text that repeats itself activates few filters). These are max-pooled over all chunks
+and combined into one probability. Scoring is a map over partitions with the weights in its closure.
 """
 
 from __future__ import annotations
@@ -13,150 +13,190 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import extended, text_bytes
+from quillon.llm.common import extended, slabs
 
-WIDTH, STRIDE, PLANES, FILTERS, HIDDEN = 12, 4, 8, 16, 12
+STRIDE, SPAN, PLANES, FILTERS, HIDDEN = 4, 3, 8, 24, 16
+WIDTH = STRIDE * SPAN
 #: Windows of half a chunk; a chunk is two halves.
 HALF = 32
-LAGS = range(2, 26)
-#: Labelled rows of each class that the network is fitted on, the bound of what reaches the driver, and passes over them.
+#: Bytes of text that one forward step holds; what a document has found so far is carried over.
+STEP_BYTES = 1 << 18
+#: Labelled rows of each class that the network is fitted on, the bound of what reaches the driver, and the longest of them.
 SAMPLE_PER_CLASS = 1500
-EPOCHS = 6
+SAMPLE_CHARS = 100_000
+#: Batches that are learned from, of so many rows, half of each class; learning ends before when the loss is small.
+STEPS, BATCH, SMALL_LOSS = 1200, 24, 0.01
 THRESHOLD = 0.7
 
 
-def _echo(data: np.ndarray, halves: int) -> np.ndarray:
-    """For each half chunk, the largest share of its bytes that equal those a fixed number of bytes before."""
-    step = HALF * STRIDE
-    out = np.zeros(halves, np.float32)
-    padded = np.zeros(halves * step, np.uint8)
-    padded[: min(len(data), len(padded))] = data[: len(padded)]
-    cell = np.clip(len(data) - np.arange(halves) * step, step // 2, step).astype(np.float32)  # a few bytes alone tell little
-    same = np.zeros(len(padded), bool)
-    for lag in LAGS:
-        if len(data) <= 2 * lag:
-            break
-        np.equal(padded[lag:], padded[:-lag], out=same[lag:])
-        same[:lag] = False
-        same[len(data) :] = False
-        out = np.maximum(out, same.reshape(halves, step).sum(1, dtype=np.uint8 if step < 256 else np.uint16) / cell)
-    return out
+def windows_of(n: np.ndarray) -> np.ndarray:
+    """Windows of texts of n bytes: one at least, and the last one reaches the end."""
+    return np.maximum(1, -(-np.maximum(n - WIDTH, 0) // STRIDE) + 1)
 
 
-def _halves(n: int) -> tuple[int, int]:
-    windows = max(1, -(-max(n - WIDTH, 0) // STRIDE) + 1)
-    return windows, -(-windows // HALF)
+class Layout:
+    """Documents laid out in halves of chunks, each followed by one empty half; what windows, halves and chunks belong to."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        n = ends - starts
+        windows = windows_of(n)
+        halves = -(-windows // HALF)
+        first = np.concatenate(([0], np.cumsum(halves + 1)))
+        self.codes = np.full(first[-1] * HALF * STRIDE, 256, np.int32)
+        shift = first[:-1] * HALF * STRIDE - starts
+        self.codes[np.arange(n.sum()) + np.repeat(shift + starts - (np.cumsum(n) - n), n)] = data[np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)]
+        self.used = np.clip(np.repeat(windows, halves + 1) - (np.arange(first[-1]) - np.repeat(first[:-1], halves + 1)) * HALF, 0, HALF)
+        chunks = np.maximum(halves - 1, 1)
+        self.left = np.arange(chunks.sum()) + np.repeat(first[:-1] - (np.cumsum(chunks) - chunks), chunks)
+        self.begin = np.cumsum(chunks) - chunks
+        self.doc = np.repeat(np.arange(len(n)), chunks)
+        self.fill = ((self.used[self.left] + self.used[self.left + 1]) / (2 * HALF)).astype(np.float32)
+
+
+def _swapped(r: np.random.Generator) -> bytes:
+    """A table that exchanges the letters a-z at random, and A-Z likewise."""
+    table, order = np.arange(256, dtype=np.uint8), r.permutation(26).astype(np.uint8)
+    table[65:91], table[97:123] = 65 + order, 97 + order
+    return table.tobytes()
 
 
 class Network:
-    """The weights, the forward pass for one document, and gradients for training."""
+    """The weights, the forward pass and gradients for training."""
 
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
-        pooled = 2 * (FILTERS + 1)
         self.w = {
-            "embed": r.normal(0, 0.5, (256, PLANES)),
-            "filters": r.normal(0, 1 / np.sqrt(WIDTH * PLANES), (WIDTH * PLANES, FILTERS)),
+            "embed": r.normal(0, 0.5, (257, PLANES)),
+            "filters": r.normal(0, 1 / np.sqrt(WIDTH * PLANES), (STRIDE * PLANES, SPAN * FILTERS)),
             "bias": np.zeros(FILTERS),
-            "dense": r.normal(0, 1 / np.sqrt(pooled), (pooled, HIDDEN)),
-            "dense_bias": np.zeros(HIDDEN),
+            "chunk": r.normal(0, 1 / np.sqrt(FILTERS), (FILTERS + 1, HIDDEN)),
+            "chunk_bias": np.full(HIDDEN, 0.1),
             "out": r.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN),
             "out_bias": np.zeros(1),
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
-
-    def _blocks(self, data: np.ndarray, halves: int) -> Iterator[np.ndarray]:
-        """Vectors of the bytes below some halves at a time, so that memory doesn't grow with the text."""
-        step, reach = HALF * STRIDE, WIDTH - STRIDE
-        for h in range(0, halves, 256):
-            some = min(256, halves - h)
-            part = data[h * step : (h + some) * step + reach]
-            x = np.zeros((some * step + reach, PLANES), np.float32)
-            x[: len(part)] = self.w["embed"][part]
-            yield as_strided(x, (some * HALF, WIDTH * PLANES), (STRIDE * x.strides[0], x.strides[1]))
-
-    def pool(self, data: np.ndarray, trace: bool = False):
-        windows, halves = _halves(len(data))
-        tops, wheres = [], []
-        left = windows
-        for x in self._blocks(data, halves):
-            a = x @ self.w["filters"]
-            if left < len(a):
-                a[left:] = -np.inf  # windows past the end
-            left -= len(a)
-            a = a.reshape(-1, HALF, FILTERS)
-            if trace:
-                wheres.append(a.argmax(1))
-            tops.append(a.max(1))
-        half = np.concatenate([np.maximum(np.concatenate(tops) + self.w["bias"], 0), _echo(data, halves)[:, None]], 1)
-        chunk = np.maximum(half[:-1], half[1:]) if halves > 1 else half
-        pooled = np.concatenate([chunk.max(0), chunk.mean(0)])
-        return (pooled, half, chunk, np.concatenate(wheres)) if trace else pooled
-
-    def head(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.tanh(pooled @ self.w["dense"] + self.w["dense_bias"])
-        return h, 1 / (1 + np.exp(-np.clip(h @ self.w["out"] + self.w["out_bias"], -30, 30)))
-
-    def score(self, data: np.ndarray) -> float:
-        return float(self.head(self.pool(data)[None])[1][0])
-
-    def gradients(self, data: np.ndarray, label: float, weight: float, into: dict[str, np.ndarray]) -> None:
-        pooled, half, chunk, where = self.pool(data, trace=True)
-        h, p = self.head(pooled[None])
-        d = weight * (p[0] - label)
-        into["out_bias"] += d
-        into["out"] += d * h[0]
-        dh = d * self.w["out"] * (1 - h[0] ** 2)
-        into["dense_bias"] += dh
-        into["dense"] += np.outer(pooled, dh)
-        dp = self.w["dense"] @ dh
-        width, halves = FILTERS + 1, len(half)
-        dc = np.tile(dp[width:] / len(chunk), (len(chunk), 1))
-        dc[chunk.argmax(0), np.arange(width)] += dp[:width]
-        dm = np.zeros_like(half)
-        if halves > 1:
-            left = half[:-1] >= half[1:]
-            dm[:-1] += dc * left
-            dm[1:] += dc * ~left
-        else:
-            dm = dc
-        dm = (dm * (half > 0))[:, :FILTERS]
-        into["bias"] += dm.sum(0)
-        row, f = np.nonzero(dm)
-        g = dm[row, f].astype(np.float32)
-        at = (row * HALF + where[row, f]) * STRIDE
-        bytes_at = at[:, None] + np.arange(WIDTH)
-        real = bytes_at < len(data)
-        codes = data[np.minimum(bytes_at, max(len(data) - 1, 0))] if len(data) else np.zeros(bytes_at.shape, np.uint8)
-        x = self.w["embed"][codes] * real[..., None]
-        into["filters"] += np.stack([(x.reshape(len(g), -1)[f == k] * g[f == k, None]).sum(0) for k in range(FILTERS)], 1)
-        dx = (self.w["filters"].T[f] * g[:, None]).reshape(len(g), WIDTH, PLANES) * real[..., None]
-        flat = codes.ravel()
-        into["embed"] += np.stack([np.bincount(flat, dx[..., k].ravel(), 256) for k in range(PLANES)], 1)
-
-    def fit(self, texts: list[bytes], labels: list[int], weights: list[float], epochs: int = EPOCHS, rate: float = 0.004, batch: int = 16) -> Network:
+        self.w["embed"][256] = 0
+
+    def halves(self, at: Layout, trace: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """Pooled activations of each half, the window that each comes from if traced, and the blocks of byte vectors."""
+        x = self.w["embed"][at.codes].reshape(-1, STRIDE * PLANES)
+        p = x @ self.w["filters"]
+        a = p[:, :FILTERS].copy()
+        for k in range(1, SPAN):
+            a[:-k] += p[k:, k * FILTERS : (k + 1) * FILTERS]
+        a = a.reshape(-1, HALF, FILTERS)
+        a[np.arange(HALF) >= at.used[:, None]] = -np.inf
+        top = a.max(1)
+        where = (a == top[:, None]).argmax(1) if trace else None
+        return np.maximum(top + self.w["bias"], 0), where, x
+
+    def chunks(self, at: Layout, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs of the second filters, and what these find in each chunk."""
+        c = np.concatenate([np.maximum(half[at.left], half[at.left + 1]), at.fill[:, None]], 1)
+        return c, c @ self.w["chunk"] + self.w["chunk_bias"]
+
+    def probability(self, pooled: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.maximum(pooled, 0) @ self.w["out"] + self.w["out_bias"], -30, 30)))
+
+    def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Probabilities of some documents. Long ones go in steps that overlap by a chunk, so memory doesn't grow with them."""
+        pooled, row = np.full((len(starts), HIDDEN), -np.inf, self.w["out"].dtype), 0
+        half = HALF * STRIDE
+        while row < len(starts):
+            to = max(row + 1, int(np.searchsorted(ends, starts[row] + STEP_BYTES, "right")))
+            if ends[row] - starts[row] <= STEP_BYTES:
+                pooled[row:to] = self._pooled(data, starts[row:to], ends[row:to])
+            else:
+                to, a = row + 1, int(starts[row])
+                while a < ends[row]:
+                    b = min(a + STEP_BYTES, int(ends[row]))
+                    last = ends[row] - b <= half + WIDTH
+                    pooled[row] = np.maximum(pooled[row], self._pooled(data, np.array([a]), np.array([ends[row] if last else b]), whole=last)[0])
+                    if last:
+                        break
+                    a = b - 2 * half
+            row = to
+        return self.probability(pooled)
+
+    def _pooled(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: bool = True) -> np.ndarray:
+        at = Layout(data, starts, ends)
+        if not whole:  # windows that would reach past this step belong to the next one
+            at.left, at.begin, at.fill = at.left[:-1], at.begin, at.fill[:-1]
+        z = self.chunks(at, self.halves(at)[0])[1]
+        return np.maximum.reduceat(z, at.begin)
+
+    def gradients(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the weighted log loss, and the probabilities."""
+        at, g = Layout(data, starts, ends), {}
+        half, where, x = self.halves(at, trace=True)
+        c, z = self.chunks(at, half)
+        pooled = np.maximum.reduceat(z, at.begin)
+        p = self.probability(pooled)
+        d = (weights * (p - labels)).astype(self.w["out"].dtype)
+        g["out_bias"], g["out"] = d.sum(keepdims=True), np.maximum(pooled, 0).T @ d
+        dp = d[:, None] * self.w["out"] * (pooled > 0)
+        # One chunk of each document passes each unit's gradient on: the first that has the maximum.
+        best = z == pooled[at.doc]
+        order = np.cumsum(best, 0)
+        best &= order - (order[at.begin] - best[at.begin])[at.doc] == 1
+        dz = dp[at.doc] * best
+        g["chunk"], g["chunk_bias"] = c.T @ dz, dz.sum(0)
+        dc = (dz @ self.w["chunk"].T)[:, :FILTERS]
+        from_left = half[at.left] >= half[at.left + 1]
+        dh = np.zeros_like(half)
+        dh[at.left] += dc * from_left  # no two chunks have the same left half
+        dh[at.left + 1] += dc * ~from_left
+        dh *= half > 0
+        g["bias"] = dh.sum(0)
+        f, row = np.nonzero(dh.T)
+        v, block = dh[row, f], row * HALF + where[row, f]
+        used, cut = np.unique(f, return_index=True)
+        filters, embed = np.zeros((STRIDE * PLANES, SPAN, FILTERS), x.dtype), np.zeros((257, PLANES), x.dtype)
+        one = self.w["filters"].reshape(STRIDE * PLANES, SPAN, FILTERS)
+        grid = at.codes.reshape(-1, STRIDE)
+        for k in range(SPAN):
+            if len(f):
+                filters[:, k, used] = np.add.reduceat(x[block + k] * v[:, None], cut).T
+            dx = (one[:, k].T[f] * v[:, None]).reshape(-1, PLANES)
+            codes = grid[block + k].ravel()
+            for j in range(PLANES):
+                embed[:, j] += np.bincount(codes, dx[:, j], 257)
+        embed[256] = 0
+        g["filters"], g["embed"] = filters.reshape(STRIDE * PLANES, -1), embed
+        return g, p
+
+    def fit(self, texts: list[bytes], labels: list[int], share: float, steps: int = STEPS, rate: float = 0.006) -> Network:
+        """Learn from batches, half of each class; share of class 1 in all labels sets what a row weighs."""
         r = np.random.default_rng(11)
-        docs = [np.frombuffer(t, np.uint8) for t in texts]
-        m, v = ({k: np.zeros(x.shape) for k, x in self.w.items()} for _ in range(2))
-        steps, total = 0, max(1, epochs * -(-len(docs) // batch))
-        for _ in range(epochs):
-            order = r.permutation(len(docs))
-            for b in range(0, len(order), batch):
-                some = order[b : b + batch]
-                g = {k: np.zeros(x.shape) for k, x in self.w.items()}
-                for i in some:
-                    self.gradients(docs[i], labels[i], weights[i], g)
-                steps += 1
-                now = rate * (1 - steps / (total + 1))
-                for k, w in self.w.items():
-                    d = g[k] / len(some) + 1e-5 * w
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    v[k] = 0.99 * v[k] + 0.01 * d * d
-                    w -= (now * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.99**steps)) + 1e-7)).astype(np.float32)
+        y = np.array(labels)
+        classes = [np.flatnonzero(y == k) for k in (0, 1)]
+        weight = np.where(y == 1, 2 * share, 2 * (1 - share)).astype(np.float32)
+        m, v = ({k: np.zeros(x.shape, np.float32) for k, x in self.w.items()} for _ in range(2))
+        decks, loss = [np.zeros(0, np.int64)] * 2, 1.0
+        for step in range(1, steps + 1):
+            some = []
+            for k in (0, 1):
+                while len(decks[k]) < BATCH // 2:
+                    decks[k] = np.concatenate([decks[k], r.permutation(classes[k])])
+                some.append(decks[k][: BATCH // 2])
+                decks[k] = decks[k][BATCH // 2 :]
+            some = np.concatenate(some)
+            size = np.array([len(texts[i]) for i in some])
+            # Every other row has its letters swapped for others, the same way throughout, so that few labels aren't learned by heart.
+            data = np.frombuffer(b"".join(texts[i].translate(_swapped(r)) if k % 2 else texts[i] for k, i in enumerate(some)), np.uint8)
+            g, p = self.gradients(data, np.cumsum(size) - size, np.cumsum(size), y[some], weight[some])
+            loss += 0.02 * (float(-np.log(np.maximum(np.where(y[some] == 1, p, 1 - p), 1e-9)).mean()) - loss)
+            if loss < SMALL_LOSS:
+                break
+            now = rate * min(1.0, step / 50) * (1 - step / (steps + 1))
+            for k, w in self.w.items():
+                d = g[k] / len(some) + 1e-5 * w
+                m[k] = 0.9 * m[k] + 0.1 * d
+                v[k] = 0.99 * v[k] + 0.01 * d * d
+                w -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
         return self
 
 
@@ -165,38 +205,40 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, epochs: int = EPOCHS) -> Network:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_PER_CLASS, steps: int = STEPS) -> Network:
     """Fit on at most ``per_class`` labelled rows of each class, chosen by a hash of their ids.
 
-    Only this bounded sample reaches the driver, as whole texts. Classes weigh as they do among all
-    labels. Null labels, ids or texts and ids without a document are left out; without any label of both
-    classes the network stays as it began and says so by scores near one half.
+    Only this bounded sample reaches the driver, as whole texts of at most ``SAMPLE_CHARS`` characters.
+    Classes weigh as they do among all labels. Null labels, ids or texts and ids without a document are
+    left out; without any label of both classes the network stays as it began and says so by scores near
+    one half.
     """
-    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if len(counts) < 2:
         return Network()
-    picked = [marked.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for y in sorted(counts)]
-    sample = docs.select(id_col, F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), id_col)
-    rows = sorted({(r[id_col], r["text"], r["y"]) for r in sample.toLocalIterator()})
-    taken = {y: max(1, sum(r[2] == y for r in rows)) for y in counts}
-    share = {y: counts[y] / sum(counts.values()) for y in counts}
-    weights = [share[y] * len(rows) / taken[y] for _, _, y in rows]
-    return Network().fit([t.encode() for _, t, _ in rows], [y for *_, y in rows], weights, epochs)
+    picked = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in sorted(counts)]
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
+    sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "k")  # 2 * per_class rows
+    rows = sorted({(r["k"], r["t"], r["y"]) for r in sample.toLocalIterator()})
+    if len({y for *_, y in rows}) < 2:
+        return Network()
+    return Network().fit([t.encode() for _, t, _ in rows], [y for *_, y in rows], counts[1] / sum(counts.values()), steps)
 
 
 def score_quality(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Every row of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on).
 
-    Only the text goes into a score; null counts as empty, and an empty text has a score too. Other
-    columns pass through; columns named score or predicted are replaced.
+    Only the text goes into a score; null counts as empty, and an empty text has a score too. Repeated
+    rows are scored alike; a text's score doesn't depend on what it is batched with but for rounding. Other
+    columns pass through; columns named score or predicted are replaced. An empty table gives no rows.
     """
     docs = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = text_bytes(batch.column(text_col))
-            scores = np.array([network.score(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.float64)
+            found = [network.scores(data, starts, ends) for _, _, data, starts, ends in slabs(batch.column(text_col), STEP_BYTES)]
+            scores = np.concatenate(found or [np.zeros(0)]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= threshold).cast(pa.int32())], names=[*batch.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(run, extended(docs.schema, "score double, predicted int"))

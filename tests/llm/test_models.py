@@ -38,19 +38,34 @@ def test_encode_decode_round_trip(docs, empty):
 
 
 def test_gradients_match_differences():
-    net, data = Network(3), np.frombuffer(b"Some text, then some more *** text $$$ to the end of a chunk. " * 9, np.uint8)
+    net = Network(3)
+    texts = [b"Some text, then some more *** text $$$ to the end of a chunk. " * 9, b"short", b"", b"la " * 300]
+    size = np.array([len(t) for t in texts])
+    args = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.cumsum(size)
+    y, weight = np.array([1, 0, 1, 0]), np.array([1.0, 2.0, 0.5, 1.0])
+    for k in net.w:
+        net.w[k] = net.w[k].astype(np.float64) + 0.03 * (k == "bias")  # off the kink
+    loss = lambda: float(-(weight * np.log(np.where(y == 1, p := net.scores(*args), 1 - p))).sum())
+    g, p = net.gradients(*args, y, weight)
+    assert p == pytest.approx(net.scores(*args))
     for k in net.w:
-        net.w[k] = net.w[k].astype(np.float64)
-    g = {k: np.zeros(v.shape) for k, v in net.w.items()}
-    net.gradients(data, 1.0, 1.0, g)
-    for k in ("out", "dense", "bias"):
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         old, losses = net.w[k][at], []
-        for step in (1e-4, -1e-4):
+        for step in (1e-5, -1e-5):
             net.w[k][at] = old + step
-            losses.append(-math.log(net.score(data)))
+            losses.append(loss())
         net.w[k][at] = old
-        assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=0.05, abs=1e-4)
+        assert g[k][at] == pytest.approx((losses[0] - losses[1]) / 2e-5, rel=0.05, abs=1e-4), k
+
+
+def test_scores_in_steps_and_in_batches_agree(monkeypatch):
+    net, r = Network(4), np.random.default_rng(8)
+    texts = [bytes(r.integers(32, 120, n, dtype=np.uint8)) for n in (0, 1, 11, 12, 13, 127, 128, 139, 140, 141, 255, 256, 5000, 4096, 4100, 9999)]
+    size = np.array([len(t) for t in texts])
+    args = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.cumsum(size)
+    whole = net.scores(*args)
+    monkeypatch.setattr("quillon.llm.quality_cnn.STEP_BYTES", 1024)
+    assert net.scores(*args) == pytest.approx(whole, abs=1e-6)
 
 
 def test_quality_on_held_out_rows(spark):
@@ -63,7 +78,7 @@ def test_quality_on_held_out_rows(spark):
         labels.append((i, int(good)))
     rows += [(1000, None), (None, ""), (1001, "x" * 300_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    network = train(docs, spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, quality int"), epochs=8)
+    network = train(docs, spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, quality int"))
     out = score_quality(docs, network).withColumn("held", held_out()).collect()
     assert len(out) == len(rows) and all(0 <= x.score <= 1 and x.predicted == (x.score >= 0.7) for x in out)
     held = [x for x in out if x.held and x.doc_id < 1000]

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -66,8 +67,33 @@ def test_extraction():
     assert [extract(x, weights) for x in (None, "", "<", "<<<>", "<script>x", "<!--")][:2] == ["", ""]
 
 
+def test_blocks_inside_an_article():
+    weights = learn([PAGE])
+    para = "<p>" + "Some words of it. " * 4 + "</p>"
+    long = "<p>" + "Buy more things here, friends. " * 80 + "</p>"
+    frame = "<html><body><nav><a href=/>Home</a></nav><article>{}</article><footer>Foot</footer></body></html>"
+    want = "\n\n".join(["Some words of it. Some words of it. Some words of it. Some words of it."] * 2)
+    for block in (f"<aside>{long}</aside>", f"<form>{long}</form>", f"<div class='comment-list'>{long}</div>", f"<section id=comments>{long}</section>", f"<div class=\"ad-banner\">{long}</div>"):
+        assert extract(frame.format(para + block + para), weights) == want
+    for kept in ('id="side-effects"', 'class="related-work"', "class=has-sidebar", "class='no-sidebar wide'"):
+        assert extract(frame.format(f"{para}<section {kept}>{para}</section>"), weights) == want
+    assert extract(f"<body><div class='sidebar content'><h1>Some words of it. {'Some words of it. ' * 3}</h1>{para}</div></body>", weights) == want
+    assert extract(frame.format(f"<p>one <a href=it's>two</a> three</p><p>isn't</p>{para}{para}"), weights).startswith("one two three\n\nisn't\n\n")
+    assert extract(frame.format(f"<p>{'x ' * 400_000}</p>"), weights) == " ".join("x" * 400_000)
+
+
+def test_deep_nesting_is_linear():
+    weights, took = learn([PAGE]), []
+    for n in (4_000, 32_000):
+        for page in ("<div>" * n + "deep words here" + "</div>" * n, "<b><p>" * n + "deep words here", "<p><i>" * n + "deep words here"):
+            began = time.perf_counter()
+            extract("<article>Text of it " + "words " * 9 * n + page, weights)
+            took.append(time.perf_counter() - began)
+    assert all(b < 30 * a + 0.5 for a, b in zip(took[:3], took[3:], strict=True))
+
+
 def test_extract_text_rows(spark):
-    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "", "z")], "page_id long, url string, html string, text string")
+    pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "", "z"), (3, "v", PAGE, "x"), (3, "v", PAGE, "x")], "page_id long, url string, html string, text string")
     out = {r.page_id: r for r in extract_text(pages, learn([PAGE])).collect()}
     assert out[1].n_chars == len(out[1].text) > 0 and out[2].text == "" == out[None].text
     assert extract_text(pages.limit(0), {}).count() == 0
