@@ -67,8 +67,12 @@ class ByteBPE:
         self.words.make_automaton()
         self.size = [len(t) for t in self.tokens]
         self.shorter = [self._longest_proper_prefix(t) for t in self.tokens]
+        self.longest_token = max(self.size)
         self.joined: dict[tuple[int, int], int] = {}
-        self.parts: list[tuple[int, int]] = [(i, i) for i in range(top)]
+        top_level = 1 << 62
+        # What stands at a token's border while merges go on, each with the rank of the merge that uses it up.
+        self.at_end: list[list[tuple[int, int]]] = [[(i, top_level)] for i in range(top)]
+        self.at_begin: list[list[tuple[int, int]]] = [[(i, top_level)] for i in range(top)]
         self._stable: dict[int, bool] = {}
         for rank in range(top):
             self._learn_split(rank)
@@ -83,43 +87,27 @@ class ByteBPE:
 
     def _learn_split(self, rank: int) -> None:
         """The two tokens whose merge makes this one, where the merges can reach it."""
-        token, left = self.tokens[rank], self.shorter[rank] if self.tokens[rank] else -1
-        while left >= 0:
-            right = self.ranks.get(token[self.size[left] :])
-            if right is not None and left < rank and right < rank and self._is_stable(left, right):
+        token = self.tokens[rank]
+        for cut in range(1, len(token)):
+            left, right = self.ranks.get(token[:cut], rank), self.ranks.get(token[cut:], rank)
+            if left < rank and right < rank and self._is_stable(left, right):
                 self.joined[left, right] = rank
-                self.parts[rank] = (left, right)
+                self.at_end[rank] += [(right, rank), *self.at_end[right][1:]]
+                self.at_begin[rank] += [(left, rank), *self.at_begin[left][1:]]
                 return
-            left = self.shorter[left]
 
     def _is_stable(self, left: int, right: int) -> bool:
         """Whether the merges, applied to the two tokens' bytes, end in exactly these two tokens.
 
-        The merge that would join the two across their border has to come no earlier than the merges
-        that made them: undo the later-made side step by step and look at the pair at the border.
+        They don't if some merge crosses the border: one of two neighbours there, ranked before the merge that
+        uses the left one up, and not after the one that uses up the right one (of equal merges the left goes first).
         """
-        joined, parts = self.joined, self.parts
-        limit = 1 << 62
-        while True:
-            rank = joined.get((left, right))
-            if rank is not None and rank < limit:
-                return False
-            if left > right:
-                limit = left
-                left = parts[left][1]
-                if left == limit:
-                    limit = right + 1
-                    right = parts[right][0]
-                    if right + 1 == limit:
-                        return True
-            else:
-                limit = right + 1
-                right = parts[right][0]
-                if right + 1 == limit:
-                    limit = left
-                    left = parts[left][1]
-                    if left == limit:
-                        return True
+        for a, a_ends in self.at_end[left]:
+            for b, b_ends in self.at_begin[right]:
+                merge = self.joined.get((a, b))
+                if merge is not None and merge < a_ends and merge <= b_ends:
+                    return False
+        return True
 
     def stable(self, left: int, right: int) -> bool:
         key = left << 32 | right
@@ -139,7 +127,8 @@ class ByteBPE:
         size, shorter, memo, longest = self.size, self.shorter, self._stable, self.words.iter_long
         barred = bytearray(n + 1)
         out: list[int] = []
-        at, last, token = 0, -1, next(longest(text))[1]
+        reach = self.longest_token  # a search looks at no more than a token can hold
+        at, last, token = 0, -1, next(longest(text[:reach]))[1]
         while True:
             end = at + size[token]
             if not barred[end]:
@@ -150,7 +139,7 @@ class ByteBPE:
                     out.append(token)
                     if end == n:
                         return out
-                    at, last, token = end, token, next(longest(text, end))[1]
+                    at, last, token = end, token, next(longest(text[end : end + reach]))[1]
                     continue
             if shorter[token] >= 0:
                 token = shorter[token]
@@ -186,7 +175,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text_col: str = "tex
     """Every row of ``docs`` with n_tokens and, as asked for, ids (binary, little-endian u4), decoded
     (binary), ids_sha256 and decoded_sha256 (lowercase hex).
 
-    Null texts count as empty: no ids. Other columns pass through; columns with the names of new ones
+    Null and empty texts have no ids; repeated rows are coded alike; an empty table gives no rows. Other columns pass through; columns with the names of new ones
     are replaced. It is a map over partitions without any shuffle; a lost task reads its rows again.
     Each row's memory is bounded by its own text. ``path`` must be readable on every executor.
     """

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes that end a word: space, and tab to carriage return.
@@ -62,6 +63,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Groups with this share of all rows are joined by a broadcast, which holds 1 / HOT_SHARE rows at most.
+HOT_SHARE = 1 / 2000
+
+
+def group_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` inner joined with one row for each group, without a task that gets a hot group whole.
+
+    ``size`` is the number of rows of each group and ``total`` that of all: groups of ``HOT_SHARE`` of them are
+    2,000 at most and are broadcast, the others are shuffled and none of them is large. Keys must not be null.
+    """
+    hot = F.broadcast(groups.filter(F.col(size) >= total * HOT_SHARE))
+    rest = groups.filter(F.col(size) < total * HOT_SHARE)
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(rest.hint("merge"), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def extended(schema: T.StructType, ddl: str) -> T.StructType:
     """The schema with more fields at its end."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import fresh, group_join, written
+
 #: Characters from the beginning of a text that the second step hashes.
 PREFIX_CHARS = 64
 
@@ -17,59 +19,73 @@ def normalised(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def digest(text: Column) -> Column:
+    """The full hash. It is never null, so that no join on it asks for it before its time."""
+    return F.coalesce(F.sha2(text, 256), F.lit(""))
+
+
+def _length(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0))
+
+
+def _prefix(text: Column) -> Column:
+    return F.xxhash64(F.substring(text, 1, PREFIX_CHARS))
+
+
 def duplicate_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, len, prefix) of rows that share length and prefix hash with another row.
+    """(id, len, prefix), distinct, of rows that share length and prefix hash with another row.
 
-    Only these short keys are shuffled. Counts are pre-aggregated on the map side, so one length or
-    prefix that holds a third of all rows costs one row for each task; the joins back carry one row
-    for each key on the counted side, which adaptive execution may split or broadcast.
+    Only these short keys are written and shuffled. Groups are counted with map-side sums; a length or prefix
+    that holds a third of all rows is joined back by a broadcast of bounded size.
     """
     text = normalised(F.col(text_col))
-    keys = docs.select(F.col(id_col).alias("id"), F.octet_length(text).alias("len"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("prefix"))
-    lengths = keys.groupBy("len").count().filter("count > 1").select("len")
-    same_length = keys.join(lengths, "len", "left_semi")
-    prefixes = same_length.groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
-    return same_length.join(prefixes, ["len", "prefix"], "left_semi")
+    keys = written(docs.select(F.col(id_col).alias("id"), _length(text).alias("len"), _prefix(text).alias("prefix")), "keys")
+    total = keys.count()
+    lengths = keys.groupBy("len").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same_length = group_join(keys, lengths, ["len"], "n", total).drop("n")
+    prefixes = same_length.groupBy("len", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return group_join(same_length, prefixes, ["len", "prefix"], "n", total).select("id", "len", "prefix").distinct()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each (id, text) that reached the last step, alone there or not: id, len, prefix, full_hash, keep_id, group_size.
 
-    Full texts are read and hashed for the rows that survived the first two steps only.
+    Full texts are hashed for the rows that survived the first two steps only.
     """
     text = normalised(F.col(text_col))
-    some = duplicate_candidates(docs, id_col, text_col).select("id", "len", "prefix").distinct()
-    full = (
-        docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.octet_length(text).alias("_len"))
-        .join(some.select(F.col("id"), "len", "prefix"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_len") == F.col("len")) & (F.xxhash64(F.substring("_text", 1, PREFIX_CHARS)) == F.col("prefix")))
-        .select("id", "len", "prefix", F.sha2("_text", 256).alias("full_hash"))
-    )
+    some = written(duplicate_candidates(docs, id_col, text_col), "candidates").withColumnsRenamed({"id": "i", "len": "l", "prefix": "p"})
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), _length(text).alias("len"), _prefix(text).alias("prefix"))
+    survivors = rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("len") == F.col("l")) & (F.col("prefix") == F.col("p")), "left_semi")
+    full = written(survivors.select("id", "len", "prefix", digest(F.col("text")).alias("full_hash")), "hashes")
     groups = full.groupBy("full_hash").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return full.distinct().join(groups, "full_hash")
+    return group_join(full.distinct(), groups, ["full_hash"], "group_size", full.count())
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None) -> DataFrame:
     """Every row of ``docs`` with keep_id, group_size and kept.
 
-    Texts are equal when identical after no change; null equals the empty text. Of equal texts the row
-    with the largest id stays. A null id is smaller than any other and stays only in a group without
-    ids. Rows repeated with one id and one text each count in group_size, and all of them share the
-    verdict of that id. Other columns pass through; columns of ``docs`` named like the three new ones
-    are replaced. An empty table gives an empty result.
+    Texts are equal when identical after no change; null equals the empty text, and texts of any length are
+    compared whole. Of equal texts the row with the largest id stays. A null id is smaller than any other and
+    stays only in a group without ids. Rows repeated with one id and one text each count in group_size, and all
+    of them share the verdict of that id. Other columns pass through, whatever their names; columns of ``docs``
+    named like the new ones are replaced. An empty table gives an empty result.
+
+    With ``digest_col`` each row has the SHA-256 of its text by that name in place of the text, which then
+    isn't carried through the last join.
     """
-    new = ("keep_id", "group_size", "kept")
-    docs = docs.drop(*new)
+    docs = docs.drop("keep_id", "group_size", "kept", *([digest_col] if digest_col else []))
     text = normalised(F.col(text_col))
-    found = exact_groups(docs, id_col, text_col).select(
-        F.col("id").alias("_g_id"), F.col("len").alias("_g_len"), F.col("prefix").alias("_g_prefix"), F.col("full_hash").alias("_g_hash"), F.col("keep_id").alias("_g_keep"), F.col("group_size").alias("_g_size")
-    )
-    same = F.col(id_col).eqNullSafe(F.col("_g_id")) & (F.octet_length(text) == F.col("_g_len")) & (F.xxhash64(F.substring(text, 1, PREFIX_CHARS)) == F.col("_g_prefix"))
+    i, n, p, own, g_i, g_n, g_p, g_hash, g_keep, g_size = fresh(docs, "i", "n", "p", "own", "g_i", "g_n", "g_p", "g_hash", "g_keep", "g_size")
+    found = exact_groups(docs, id_col, text_col).withColumnsRenamed({"id": g_i, "len": g_n, "prefix": g_p, "full_hash": g_hash, "keep_id": g_keep, "group_size": g_size})
+    rows = docs.withColumns({i: F.col(id_col), n: _length(text), p: _prefix(text)})
+    if digest_col:
+        rows = rows.withColumn(own, digest(text)).drop(text_col)
+    joined = rows.join(found, F.col(i).eqNullSafe(F.col(g_i)) & (F.col(n) == F.col(g_n)) & (F.col(p) == F.col(g_p)), "left")
     # Two texts of one id may agree in length and prefix: the full hash then tells which is meant.
-    joined = docs.join(found, same, "left").filter(F.col("_g_hash").isNull() | (F.col("_g_hash") == F.sha2(text, 256)))
-    grouped = F.col("_g_hash").isNotNull()
-    return (
-        joined.withColumn("keep_id", F.when(grouped, F.col("_g_keep")).otherwise(F.col(id_col)))
-        .withColumn("group_size", F.coalesce(F.col("_g_size"), F.lit(1).cast("long")))
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .drop("_g_id", "_g_len", "_g_prefix", "_g_hash", "_g_keep", "_g_size")
-    )
+    same = F.col(g_hash) == (F.col(own) if digest_col else digest(text))
+    joined = joined.filter(F.col(g_hash).isNull() | same)
+    grouped = F.col(g_hash).isNotNull()
+    if digest_col:
+        joined = joined.withColumn(digest_col, F.col(own)).drop(own)
+    new = {"keep_id": F.when(grouped, F.col(g_keep)).otherwise(F.col(id_col)), "group_size": F.coalesce(F.col(g_size), F.lit(1).cast("long"))}
+    return joined.withColumns(new).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop(i, n, p, g_i, g_n, g_p, g_hash, g_keep, g_size)

@@ -18,10 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.exact_dedup import exact_dedup, normalised
+    from quillon.llm.exact_dedup import exact_dedup
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    return exact_dedup(docs, digest_col="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP2_SQL = """

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.exact_dedup import duplicate_candidates, exact_dedup, exact_groups
 from quillon.llm.jaccard_join import forest_depths, jaccard_classes, keep_one, recall
 from quillon.llm.substring_dedup import substring_dedup
 from tests_llm_brute import brute_classes, brute_windows
@@ -21,6 +21,27 @@ def test_exact_dedup_equals_grouping(docs, odd_docs, empty):
     assert exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_with_its_own_names_as_columns(docs):
+    inner = ["i", "n", "p", "own", "g_i", "g_n", "g_p", "g_hash", "G_keep", "g_size", "len", "prefix", "full_hash", "l", "text_sha256", "keep_id"]
+    more = docs.select("*", *[F.lit("x").alias(c) for c in inner])
+    plain = sorted((tuple(r) for r in exact_dedup(docs).select("doc_id", "text", "keep_id", "group_size", "kept").collect()), key=repr)
+    out = exact_dedup(more)
+    assert sorted((tuple(r) for r in out.select("doc_id", "text", "keep_id", "group_size", "kept").collect()), key=repr) == plain
+    assert set(out.columns) == set(more.columns) | {"group_size"}
+    digests = exact_dedup(more, digest_col="text_sha256")
+    assert "text" not in digests.columns and {r.text_sha256 for r in digests.collect()} == {r[0] for r in docs.select(F.sha2(F.coalesce("text", F.lit("")), 256)).collect()}
+
+
+def test_exact_dedup_hashes_survivors_only(spark, docs, capsys):
+    exact_groups(docs)
+    exact_dedup(docs).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("sha2") == 1 and "FileScan" in plan  # the tie-break after the last join; the candidates' hashes were written
+    keys = duplicate_candidates(docs)
+    keys.explain()
+    assert "sha2" not in capsys.readouterr().out
+
+
 def test_exact_dedup_tells_texts_of_one_id_apart(spark):
     head = "h" * 100
     rows = [(1, head + "a"), (1, head + "b"), (2, head + "a")]

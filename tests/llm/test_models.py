@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -28,6 +29,19 @@ def test_bpe_equals_tiktoken():
         assert own.decode(ids) == t.encode()
 
 
+def test_long_pieces_take_linear_time():
+    own, took = coder(PATH, PATTERN), []
+    other = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    r = np.random.default_rng(4)
+    text = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGH"), 160_000))
+    assert np.frombuffer(own.encode(text[:3000]), "<u4").tolist() == other.encode_ordinary(text[:3000])
+    for n in (20_000, 160_000):
+        began = time.perf_counter()
+        own.encode(text[:n])
+        took.append(time.perf_counter() - began)
+    assert took[1] < 20 * took[0] + 0.2
+
+
 def test_encode_decode_round_trip(docs, empty):
     out = encode_decode(docs, PATH, PATTERN, digests=True).collect()
     for r in out:
