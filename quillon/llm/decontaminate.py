@@ -4,11 +4,16 @@ Texts become tokens of letters and digits, lower case. Numbers, names (capitalis
 and units after a number become typed placeholders, so a question whose numbers or names were changed
 has the same template. Windows of template tokens are hash-joined with those of the benchmark; matches
 on one diagonal (same shift between item and document) are put together, and the values in their slots
-must map one to one: a value of the item always to the same value of the document.
+must map one to one, both ways: a value of the item always to the same value of the document, and back.
+
+Beside templates, windows of the tokens as they are find what has too few fixed words for a template: an item
+that stands in a document word for word, whatever its length and case, is found, and so is any run of
+``MIN_TOKENS`` of its tokens. Items shorter than a window are windows of their own length.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _BYTE, _power_tables, _Q, mix, signed, slabs, text_bytes, written
+from quillon.llm.common import _BYTE, _power_tables, _Q, fresh, group_join, mix, signed, slabs, text_bytes, written
 
 WINDOW = 8
-#: A window with fewer fixed words is too general to tell an item by.
+#: A template window with fewer fixed words is too general to tell an item by; such windows count as they are written only.
 MIN_FIXED = 4
-#: A document holds an item if so many of the item's tokens, or this share of them, are matched on one diagonal.
+#: A document holds an item if so many of the item's tokens, or this share of them by templates, are matched on one diagonal.
 MIN_TOKENS = 13
 MIN_SHARE = 0.6
-#: Benchmark windows up to which their hashes are broadcast to filter documents before the join (16 MB).
-BROADCAST_WINDOWS = 2_000_000
+#: Benchmark windows up to which they are broadcast (some 60 MB); more are hash-joined with those of documents.
+BROADCAST_WINDOWS = 250_000
 _LAST = 0x7FFFFFFFFFFFFFFF
 
 # Units of measure, in English and in common short forms.
@@ -107,52 +112,166 @@ def template_tokens(raw: tuple, low: tuple) -> tuple[np.ndarray, np.ndarray, np.
     return template, value, number | name | unit, doc
 
 
-_WINDOWS = "window bigint, key bigint, fp int, at int, n_tokens int, slots array<bigint>"
-
-
-def template_windows(rows: DataFrame, width: int = WINDOW, only=None) -> DataFrame:
-    """Template windows of keyed rows (key, fp, text): window hash, key, fp, first token, tokens in all, slot values.
-
-    A text of fewer than ``width`` tokens is one window. only: a broadcast of the sorted hashes wanted.
-    """
+_WINDOWS = "window bigint, key bigint, fp int, at int, size int, n_tokens int, written boolean, slots array<bigint>"
+_ITEM_LISTS = "array<struct<item:bigint,item_fp:int,at:int,size:int,n_tokens:int,written:boolean,slots:array<bigint>>>"
+_FOUND = "key bigint, fp int, item bigint, item_fp int, tokens int, item_tokens int, coverage double, same boolean"
+
+
+class Windows:
+    """The windows of some texts: hashes, first tokens, sizes, kinds, and where the texts' tokens are."""
+
+    def __init__(self, column: pa.Array, raw: list, sizes: tuple[int, ...], own_size: bool, known: np.ndarray | None):
+        data, at = text_bytes(pc.utf8_lower(column))
+        template, self.value, self.slot, self.doc = template_tokens(tuple(raw), (data[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0]))
+        rows, n = len(column), len(template)
+        self.first = np.searchsorted(self.doc, np.arange(rows), "left")
+        self.count = np.searchsorted(self.doc, np.arange(rows), "right") - self.first
+        left = self.first[self.doc] + self.count[self.doc] - np.arange(n)  # tokens from here to the text's end
+        fixed = np.concatenate(([0], np.cumsum(~self.slot)))
+        parts = []
+        for kind, tokens in enumerate((template, self.value)):
+            h = np.full(n, kind + 1, np.uint64)
+            for t in range(max(sizes)):
+                if t < n:
+                    h[: n - t] = h[: n - t] * np.uint64(_Q) + tokens[t:]
+                size = t + 1
+                if size not in sizes:
+                    continue
+                good = left >= size
+                if own_size and size < max(sizes):  # a short text is one window
+                    good &= self.count[self.doc] == size
+                begin = np.flatnonzero(good)
+                if kind == 0:
+                    begin = begin[fixed[begin + size] - fixed[begin] >= min(MIN_FIXED, size)]
+                hashes = signed(mix(h[begin] ^ np.uint64(size * 0x9E3779B97F4A7C1)))
+                if known is not None:
+                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
+                    begin, hashes = begin[hit], hashes[hit]
+                parts.append((hashes, begin, np.full(len(begin), size), np.full(len(begin), bool(kind))))
+        self.hash, self.begin, self.size, self.written = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def slots_of(self, i: int) -> np.ndarray:
+        b = self.begin[i]
+        part = slice(b, b + self.size[i])
+        return self.value[part][self.slot[part]].view(np.int64)
+
+
+def template_windows(rows: DataFrame, sizes: tuple[int, ...], own_size: bool = False) -> DataFrame:
+    """Windows of keyed rows (key, fp, text). own_size: texts shorter than the largest size are one window only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = pc.fill_null(batch.column("text"), "")
             for row, to, *raw in slabs(column):
-                data, at = text_bytes(pc.utf8_lower(column.slice(row, to - row)))
-                template, value, slot, doc = template_tokens(tuple(raw), (data[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0]))
-                if not len(template):
-                    continue
-                first = np.searchsorted(doc, np.arange(to - row), "left")
-                count = np.searchsorted(doc, np.arange(to - row), "right") - first
-                size = np.minimum(width, count[doc])
-                begin = np.flatnonzero(np.arange(len(doc)) + size <= first[doc] + count[doc])
-                begin = begin[(size[begin] == width) | (begin == first[doc[begin]])]
-                fixed = np.concatenate(([0], np.cumsum(~slot)))
-                size = size[begin]
-                begin, size = (x[fixed[begin + size] - fixed[begin] >= np.minimum(MIN_FIXED, size)] for x in (begin, size))
-                h = size.astype(np.uint64)
-                for t in range(width):
-                    h = np.where(t < size, h * np.uint64(_Q) + template[np.minimum(begin + t, len(template) - 1)], h)
-                h = signed(mix(h))
-                if only is not None:
-                    known = only.value
-                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
-                    begin, size, h = begin[hit], size[hit], h[hit]
-                if not len(h):
-                    continue
-                part = batch.slice(row, to - row)
-                own = pa.array(doc[begin])
-                slots = [value[b : b + s][slot[b : b + s]].view(np.int64) for b, s in zip(begin.tolist(), size.tolist(), strict=True)]
+                w = Windows(column.slice(row, to - row), raw, sizes, own_size, None)
+                part, doc = batch.slice(row, to - row), w.doc[w.begin]
+                own = pa.array(doc)
+                slots = [w.slots_of(i) for i in range(len(w.begin))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), part.column("key").take(own), part.column("fp").take(own), pa.array(begin - first[doc[begin]], pa.int32()), pa.array(count[doc[begin]], pa.int32()), pa.array(slots, pa.list_(pa.int64()))],
+                    [
+                        pa.array(w.hash), part.column("key").take(own), part.column("fp").take(own), pa.array(w.begin - w.first[doc], pa.int32()), pa.array(w.size, pa.int32()),
+                        pa.array(w.count[doc], pa.int32()), pa.array(w.written), pa.array(slots, pa.list_(pa.int64())),
+                    ],
                     names=[field.split()[0] for field in _WINDOWS.split(", ")],
-                )
+                )
 
     return rows.select("key", "fp", "text").mapInArrow(run, _WINDOWS)
 
 
+class Index:
+    """Windows of items, sorted by hash."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(np.asarray(table["window"]), kind="stable")
+        self.hash = np.asarray(table["window"])[order]
+        self.item, self.fp, self.at, self.size, self.n_tokens, self.written = (np.asarray(table[x])[order] for x in ("key", "fp", "at", "size", "n_tokens", "written"))
+        lists = table["slots"].combine_chunks().take(pa.array(order)) if len(table) else pa.array([], pa.list_(pa.int64()))
+        self.slots = np.split(np.asarray(lists.flatten()), np.cumsum(np.asarray(lists.value_lengths()))[:-1]) if len(table) else []
+
+
+def _one_to_one(pairs: set[tuple[int, int]]) -> bool:
+    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
+def held_items(matches: list[tuple]) -> list[tuple]:
+    """The items that one document holds: (item, item_fp, tokens, item_tokens, coverage, same).
+
+    matches: (item, item_fp, item's n_tokens, shift, written as they are, item's first token, size, item's slot values, document's).
+    """
+    diagonals: dict[tuple, list] = defaultdict(list)
+    for item, fp, n, shift, as_written, at, size, theirs, ours in matches:
+        diagonals[item, fp, n, shift, as_written].append((at, size, theirs, ours))
+    best: dict[tuple, tuple] = {}
+    for (item, fp, n, _, as_written), windows in diagonals.items():
+        windows.sort(key=lambda x: x[:2])
+        tokens = run = longest = end = 0
+        for at, size, *_ in windows:
+            new = at + size - max(at, end)
+            run = run + new if tokens and at <= end else size
+            tokens, end, longest = tokens + max(new, 0), max(end, at + size), max(longest, run)
+        if as_written:
+            good, same, tokens = longest >= min(MIN_TOKENS, n), True, longest
+        else:
+            pairs = {p for *_, theirs, ours in windows for p in zip(theirs, ours, strict=True)}
+            good, same = (tokens >= MIN_TOKENS or tokens / n >= MIN_SHARE) and _one_to_one(pairs), all(a == b for a, b in pairs)
+        found = (tokens, tokens / n, same, n)
+        if good and found > best.get((item, fp), ()):
+            best[item, fp] = found
+    return [(item, fp, tokens, n, coverage, same) for (item, fp), (tokens, coverage, same, n) in best.items()]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _by_broadcast(docs: DataFrame, index, sizes: tuple[int, ...]) -> DataFrame:
+    """Items that keyed documents hold, by a broadcast index: a map over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        for batch in batches:
+            column = pc.fill_null(batch.column("text"), "")
+            for row, to, *raw in slabs(column):
+                w = Windows(column.slice(row, to - row), raw, sizes, False, ix.hash)
+                matches: dict[int, list] = defaultdict(list)
+                for i, (a, b) in enumerate(zip(np.searchsorted(ix.hash, w.hash, "left").tolist(), np.searchsorted(ix.hash, w.hash, "right").tolist(), strict=True)):
+                    doc = int(w.doc[w.begin[i]])
+                    ours = w.slots_of(i).tolist() if not w.written[i] else []
+                    at = int(w.begin[i] - w.first[doc])
+                    for j in range(a, b):
+                        if ix.written[j] == w.written[i] and ix.size[j] == w.size[i] and (w.written[i] or len(ix.slots[j]) == len(ours)):
+                            theirs = ix.slots[j].tolist() if ours else []
+                            matches[doc].append((int(ix.item[j]), int(ix.fp[j]), int(ix.n_tokens[j]), at - int(ix.at[j]), bool(ix.written[j]), int(ix.at[j]), int(ix.size[j]), theirs, ours))
+                keys, fps = batch.column("key"), batch.column("fp")
+                rows = [(keys[row + d].as_py(), fps[row + d].as_py(), *found) for d, m in matches.items() for found in held_items(m)]
+                if rows:
+                    yield _batch(rows)
+
+    return docs.select("key", "fp", "text").mapInArrow(run, _FOUND)
+
+
+def _by_join(docs: DataFrame, items: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """The same by a hash join of windows, each of them one row with the items that have it."""
+    entry = F.struct(F.col("key").alias("item"), F.col("fp").alias("item_fp"), "at", "size", "n_tokens", "written", "slots")
+    lists = items.groupBy("window").agg(F.collect_list(entry).cast(_ITEM_LISTS).alias("entries"))
+    windows = template_windows(docs, sizes).drop("n_tokens")
+    used = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).join(lists, "window")
+    met = group_join(windows, used, ["window"], "n", int(windows.count()))
+
+    def verify(table: pa.Table) -> pa.Table:
+        matches = []
+        for r in table.to_pylist():
+            for e in r["entries"]:
+                if e["written"] == r["written"] and e["size"] == r["size"] and (r["written"] or len(e["slots"]) == len(r["slots"])):
+                    slots = ([], []) if r["written"] else (e["slots"], r["slots"])
+                    matches.append((e["item"], e["item_fp"], e["n_tokens"], r["at"] - e["at"], e["written"], e["at"], e["size"], *slots))
+        key, fp = table["key"][0].as_py(), table["fp"][0].as_py()
+        return pa.Table.from_batches([_batch([(key, fp, *found) for found in held_items(matches)])])
+
+    return met.groupBy("key", "fp").applyInArrow(verify, _FOUND)
+
+
 def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("key"), F.hash(text).alias("fp"), text.alias("text"))
@@ -162,33 +281,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Which documents hold which items: one row (key, fp, item, tokens, item_tokens, coverage, reparameterised).
 
     key and fp tell documents apart (fp: the hash of the text). Of several places the one with the most
-    tokens counts. Null and empty texts hold nothing, and an item of no tokens is held by none. A null id
-    is kept as the largest number. Items repeated with one id are one item, with any of their texts.
+    tokens counts. Null and empty texts hold nothing, and an item of no tokens is held by none; an item of a
+    few tokens is held by all documents that have them one after another. A null id is kept as the largest
+    number. Items repeated with one id are one item, with any of their texts; repeated documents give one row.
+    Texts of any length are searched whole. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    items = written(template_windows(_keyed(benchmark, item_col, item_text), width).withColumnsRenamed({"key": "item", "fp": "item_fp", "at": "item_at", "slots": "item_slots", "n_tokens": "item_tokens"}), "items")
-    only = None
+    items = written(template_windows(_keyed(benchmark, item_col, item_text).distinct(), tuple(range(1, width + 1)), own_size=True), "items")
+    sizes = tuple(sorted({r["size"] for r in items.select("size").distinct().collect()} | {width}))  # width of them at most
+    keyed = _keyed(docs, id_col, text_col)
     if items.count() <= BROADCAST_WINDOWS:
-        hashes = np.sort(np.array([r[0] for r in items.select("window").distinct().toLocalIterator()], np.int64))
-        only = spark.sparkContext.broadcast(hashes)
-    windows = template_windows(_keyed(docs, id_col, text_col), width, only).drop("n_tokens")
-    pairs = written(windows.join(items, "window").withColumn("shift", F.col("at") - F.col("item_at")), "matches")
-    place = ["key", "fp", "item", "item_fp", "shift"]
-    spans = pairs.groupBy(*place, "item_tokens").agg(F.array_sort(F.collect_set("item_at")).alias("ats"))
-    steps = F.zip_with(F.slice("ats", F.lit(2), F.greatest(F.size("ats") - 1, F.lit(0))), F.slice("ats", F.lit(1), F.greatest(F.size("ats") - 1, F.lit(0))), lambda x, y: F.least(x - y, F.lit(width)))
-    spans = spans.withColumn("tokens", F.least(F.aggregate(steps, F.lit(0), lambda x, y: x + y) + width, "item_tokens"))
-    values = pairs.select(*place, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).groupBy(*place, F.col("s.item_slots").alias("v")).agg(F.min("s.slots").alias("lo"), F.max("s.slots").alias("hi"))
-    slots = values.groupBy(*place).agg(F.bool_or(F.col("lo") != F.col("hi")).alias("torn"), F.bool_or(F.col("lo") != F.col("v")).alias("changed"))
-    joined = spans.join(slots, place, "left").filter(~F.coalesce("torn", F.lit(False)))
-    joined = joined.withColumn("coverage", F.col("tokens") / F.col("item_tokens"))
-    enough = joined.filter((F.col("tokens") >= MIN_TOKENS) | (F.col("coverage") >= MIN_SHARE))
-    best = F.max(F.struct("tokens", "coverage", (~F.coalesce("changed", F.lit(False))).alias("same"), "item_tokens"))
-    return enough.groupBy("key", "fp", "item").agg(best.alias("b")).select("key", "fp", "item", "b.tokens", "b.item_tokens", "b.coverage", (~F.col("b.same")).alias("reparameterised"))
+        found = _by_broadcast(keyed, docs.sparkSession.sparkContext.broadcast(Index(items.toArrow())), sizes)
+    else:
+        found = _by_join(keyed, items, sizes)
+    best = F.max(F.struct("tokens", "coverage", "same", "item_tokens"))
+    return found.groupBy("key", "fp", "item").agg(best.alias("b")).select("key", "fp", "item", "b.tokens", "b.item_tokens", "b.coverage", (~F.col("b.same")).alias("reparameterised"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; all columns pass through."""
-    found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("key").alias("_key"), F.col("fp").alias("_fp")).distinct()
+    """The rows of ``docs`` that hold no benchmark item; all columns pass through, whatever their names."""
+    key, fp = fresh(docs, "key", "fp")
+    found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text).select(F.col("key").alias(key), F.col("fp").alias(fp)).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = found.hint("merge")  # grows with the input: one plan at every size
-    return docs.join(found, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_key")) & (F.hash(text) == F.col("_fp")), "left_anti")
+    return docs.join(found, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col(key)) & (F.hash(text) == F.col(fp)), "left_anti")

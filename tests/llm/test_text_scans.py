@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from quillon.llm.decontaminate import contaminated, decontaminate
+from quillon.llm.decontaminate import contaminated, decontaminate, held_items
 from quillon.llm.html_extract import extract, extract_text, learn
 from quillon.llm.license_scan import TEMPLATES, license_scan
 from quillon.llm.warc import arc_record, arc_start, archive_pages, parse_arc
@@ -23,6 +23,36 @@ def test_leaks_and_changed_questions(spark, docs, empty):
     assert contaminated(empty, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_and_number_heavy_items(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, "Name the largest moon of Saturn"), (2, "12 + 7 - 3 km, 19 kg, 5 h: 31, 7, 8 Anna Boris 2 3 4"), (3, "Olaf Olsen Osaka Oslo 1 2 3"), (4, "What is the capital of the state in which 300 people live near the lake?")], "item_id long, text string")
+    fill = " ".join(f"filler{i % 97} word" for i in range(40_000))
+    rows = [
+        (1, f"{fill} Name the largest moon of Saturn. {fill}"), (2, "so: 12 + 7 - 3 km, 19 kg, 5 h: 31, 7, 8 Anna Boris 2 3 4 it is"), (3, "x olaf olsen osaka oslo 1 2 3"), (4, "Name the largest moon"), (5, fill),
+        (6, "he asked What is the capital of the state in which 450 people live near the lake?"), (7, "olaf olsen osaka oslo 1 2 4"), (1, f"{fill} Name the largest moon of Saturn. {fill}"), (8, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {(1, 1, False), (2, 2, False), (3, 3, False), (6, 4, True)}
+    got = {(r.key, r.item, r.reparameterised) for r in contaminated(docs, bench).collect()}
+    assert got == want
+    monkeypatch.setattr("quillon.llm.decontaminate.BROADCAST_WINDOWS", 3)
+    rows = contaminated(docs, bench).collect()
+    assert {(r.key, r.item, r.reparameterised) for r in rows} == want and len(rows) == 4
+
+
+def test_slots_match_both_ways(spark):
+    item = "yesterday morning Anna gave Boris seven blue marbles near the old house before lunch with others"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("Anna", "Olga").replace("Boris", "Olga")), (2, item.replace("Anna", "Olga")), (3, item.replace("Anna", "Boris").replace("gave Boris", "gave Anna"))]
+    assert {r.key for r in contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()} >= {2, 3}
+    assert held_items([(1, 0, 20, 0, False, 0, 16, [5, 6], [7, 7])]) == [] != held_items([(1, 0, 20, 0, False, 0, 16, [5, 6], [7, 8])])
+
+
+def test_decontaminate_with_its_own_names_as_columns(spark, docs):
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    out = decontaminate(docs.selectExpr("*", "'x' as fp", "'y' as window", "'z' as item", "'t' as tokens", "'q' as same"), bench)
+    assert {"key", "fp", "window", "item", "tokens", "same"} <= set(out.columns) and not {6, 14} & {r.doc_id for r in out.collect()}
+
+
 def test_torn_slots_are_no_leak(spark):
     item = "Anna gave Anna seven blue marbles near where Anna had seen other marbles before lunch today by Anna herself"
     torn = item.replace("near where Anna", "near where Boris")
