@@ -7,15 +7,19 @@ what WARC asks for and ARC lacks: record ids, ISO timestamps, record types and p
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import shared_dir
+from quillon.llm.common import group_join, shared_dir, written
 
 #: Payloads below this many bytes are always stored in full.
 MIN_REVISIT_BYTES = 1000
@@ -23,6 +27,8 @@ MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 4 << 20
 #: Capture time of pages, which have none of their own.
 CAPTURED = "20240101000000"
+#: Date of the warcinfo records.
+WRITTEN = "2024-01-01T00:00:00Z"
 
 # The fields of a header line by ARC version.
 ARC_FIELDS = {
@@ -30,7 +36,7 @@ ARC_FIELDS = {
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
 _RECORD = "page_id bigint, url string, ip string, warc_date string, mime string, http string, payload binary, payload_bytes bigint, digest string, record_id string"
-_READ = "page_id bigint, record_type string, refers_to bigint, url string, payload_bytes bigint, digest string, whole boolean"
+_READ = "page_id bigint, record_type string, refers_to bigint, url string, payload_bytes bigint, digest string, whole boolean, record_id string, refers_to_record string"
 
 
 def _line(url: str, ip: str, date: str, mime: str, length: int, version: int) -> bytes:
@@ -136,92 +142,123 @@ def convert_arc(archives: DataFrame, column: str = "archive") -> DataFrame:
 
 
 def with_record_types(records: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Records with record_type and refers_to.
+    """Records with record_type, refers_to and first: record_id, url and warc_date of the response that a revisit refers to.
 
     Of records with equal payloads of at least ``min_bytes`` that with the largest page_id is the
     response and the others revisit it; ties on that id are all responses, and so are records without id.
-    Digests are counted before they are joined, so a payload of very many pages is no task's burden.
+    Digests are counted first; those of very many pages are joined back by a broadcast of bounded size.
     """
-    large = records.select("page_id", "digest", "payload_bytes").filter((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
-    groups = large.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).filter("least < refers_to").drop("least")
-    revisits = large.join(groups, ["digest", "payload_bytes"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
+    large = records.select("page_id", "digest", "payload_bytes", F.struct("record_id", "url", "warc_date").alias("own")).filter((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
+    groups = large.groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", "own")).alias("top"), F.min("page_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("least < top.page_id")
+    groups = written(groups.select("digest", "payload_bytes", F.col("top.page_id").alias("refers_to"), F.col("top.own").alias("first"), "n"), "payloads")
+    revisits = group_join(large.drop("own"), groups, ["digest", "payload_bytes"], "n", large.count()).filter("page_id < refers_to").select("page_id", "digest", "refers_to", "first").distinct()
     joined = records.join(revisits, ["page_id", "digest"], "left")
     return joined.withColumn("record_type", F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit")))
 
 
-def _mark(info: str) -> str:
-    """What every record of an archive begins with; no payload written before can hold a fresh id."""
-    return f"WARC/1.1\r\nWARC-Warcinfo-ID: <urn:uuid:{info}>\r\n"
-
-
-def warc_text(info: str) -> Column:
-    """A whole WARC record, without the two line ends after it."""
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    full = F.col("record_type") == "response"
-    head = F.concat(F.encode("http", "ISO-8859-1"), F.lit(b"\r\n\r\n"))
-    block = F.when(F.col("http") == "", F.when(full, F.col("payload")).otherwise(F.lit(b""))).when(full, F.concat(head, F.col("payload"))).otherwise(head)
-    lines = F.concat(
-        F.lit(_mark(info)),
-        line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.col("record_id"), F.lit(">"))),
-        line("WARC-Date", F.col("warc_date")),
-        line("WARC-Target-URI", F.col("url")),
-        line("WARC-IP-Address", F.col("ip")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-        F.when(full, F.lit("")).otherwise(F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("X-Refers-To-Page", F.col("refers_to").cast("string")))),
-        F.coalesce(line("X-Page-Id", F.col("page_id").cast("string")), F.lit("")),
-        line("X-Payload-Bytes", F.col("payload_bytes").cast("string")),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", F.octet_length(block).cast("string")),
-        F.lit("\r\n"),
-    )
-    return F.concat(F.encode(lines, "UTF-8"), block).cast("string")
-
-
-def write_warc(records: DataFrame, path: str) -> str:
-    """Write typed records as gzipped WARC archives; the result is the id that read_warc needs."""
-    info = str(uuid.uuid4())
-    records.select(warc_text(info).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
-    return info
-
-
-def read_warc(spark, path: str, info: str) -> DataFrame:
-    """The records of archives that write_warc wrote: page_id, record_type, refers_to, url, payload_bytes, digest, whole.
-
-    payload_bytes and digest of a response are those of the payload read; whole tells whether the block
-    has its declared length and its payload the declared digest.
+def warc_record(fields: dict[str, str | None], block: bytes) -> bytes:
+    """A record without the two line ends after it; fields that are None are left out."""
+    lines = [f"{name}: {value}" for name, value in fields.items() if value is not None]
+    return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
+
+
+def _typed_record(r: dict, info: str) -> bytes:
+    full, first = r["record_type"] == "response", r["first"] or {}
+    head = r["http"].encode("latin-1") + b"\r\n\r\n" if r["http"] else b""
+    fields = {
+        "WARC-Type": r["record_type"] if head or not full else "resource", "WARC-Record-ID": f"<urn:uuid:{r['record_id']}>", "WARC-Warcinfo-ID": info, "WARC-Date": r["warc_date"],
+        "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": f"sha1:{r['digest']}",
+        "WARC-Profile": None if full else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        "WARC-Refers-To": None if full else f"<urn:uuid:{first['record_id']}>", "WARC-Refers-To-Target-URI": None if full else first["url"], "WARC-Refers-To-Date": None if full else first["warc_date"],
+        "X-Page-Id": None if r["page_id"] is None else str(r["page_id"]), "X-Refers-To-Page": None if full else str(r["refers_to"]), "X-Payload-Bytes": str(r["payload_bytes"]),
+        "Content-Type": "application/http; msgtype=response" if head else r["mime"],
+    }
+    return warc_record(fields, head + r["payload"] if full else head)
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """Write typed records as gzipped WARC archives, one for each partition, each with a warcinfo record first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        info = None
+        for batch in batches:
+            out = []
+            if info is None:
+                info = f"<urn:uuid:{uuid.uuid4()}>"
+                head = {"WARC-Type": "warcinfo", "WARC-Record-ID": info, "WARC-Date": WRITTEN, "Content-Type": "application/warc-fields"}
+                out.append(warc_record(head, b"software: quillon\r\nformat: WARC File Format 1.1\r\n"))
+            for at in range(0, len(batch), 256):
+                out += [_typed_record(r, info) for r in batch.slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                out = []
+
+    lines = records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the cast keeps all bytes
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+
+
+def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields, block) of each record of an uncompressed archive, by declared lengths.
+
+    Line ends between records may be any number. A record cut short is an error.
+    """
+    while line := stream.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {line[:20]!r}")
+        fields = {}
+        while (line := stream.readline().rstrip(b"\r\n")):
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            fields[name.strip()] = value.strip()
+        length = int(fields["Content-Length"])
+        block = stream.read(length)
+        if len(block) < length:
+            raise ValueError(f"a record declares {length} bytes and has {len(block)}")
+        yield fields, block
+
+
+def opened(blob: bytes) -> BinaryIO:
+    """An archive as a stream: as it is, or unpacked where it is gzipped, as a whole or record by record."""
+    return gzip.GzipFile(fileobj=io.BytesIO(blob)) if blob[:2] == b"\x1f\x8b" else io.BytesIO(blob)
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """The records of WARC archives: page_id, record_type, refers_to, url, payload_bytes, digest, whole, record_id, refers_to_record.
+
+    Any WARC archive can be read; warcinfo records are left out. page_id and refers_to come from fields that
+    write_warc adds and are null in others' archives. payload_bytes and digest of a record with a payload are
+    those of the payload read, and whole tells whether it has the declared digest; of a revisit they are declared.
     """
 
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        size, digest, whole = int(h.get("X-Payload-Bytes", -1)), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), True
+        if h.get("WARC-Type") != "revisit":
+            payload = block.partition(b"\r\n\r\n")[2] if h.get("Content-Type", "").startswith("application/http") else block
+            found = hashlib.sha1(payload).hexdigest()
+            whole, size, digest = digest in ("", found) and size in (-1, len(payload)), len(payload), found
+        page, refers, plain = h.get("X-Page-Id"), h.get("X-Refers-To-Page"), lambda x: x and x.strip("<>").removeprefix("urn:uuid:")
+        return (int(page) if page else None, h.get("WARC-Type"), int(refers) if refers else None, h.get("WARC-Target-URI"), size, digest, whole, plain(h.get("WARC-Record-ID")), plain(h.get("WARC-Refers-To")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string())
         for batch in batches:
-            rows = []
-            for raw in batch.column(0):
-                head, _, block = raw.as_py().partition(b"\r\n\r\n")
-                h = dict(x.split(": ", 1) for x in head.decode().split("\r\n") if ": " in x)
-                length = int(h["Content-Length"])
-                whole, block = len(block) >= length, block[:length]
-                size, digest = int(h["X-Payload-Bytes"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
-                if h["WARC-Type"] == "response":
-                    payload = block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
-                    found = hashlib.sha1(payload).hexdigest()
-                    whole, size, digest = whole and found == digest and len(payload) == size, len(payload), found
-                page, refers = h.get("X-Page-Id"), h.get("X-Refers-To-Page")
-                rows.append((int(page) if page else None, h["WARC-Type"], int(refers) if refers else None, h["WARC-Target-URI"], size, digest, whole))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[f.split()[0] for f in _READ.split(", ")])
-
-    lines = spark.read.option("lineSep", _mark(info)).text(path).filter("value != ''")
-    return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, _READ)
+            for blob in batch.column(0):
+                records = (row(h, block) for h, block in parse_warc(opened(blob.as_py())) if h.get("WARC-Type") != "warcinfo")
+                while rows := list(islice(records, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[f.split()[0] for f in _READ.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _READ)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html) by way of ARC archives into WARC archives and back: one row for each page.
 
     Null html is an empty payload; a null url is about:blank; a page without id is a response. Repeated
-    rows are records of their own. An empty table gives empty archives and no rows.
+    rows are records of their own, and pages of any length are one record. Other columns of ``pages`` are not
+    archived: the result has the columns of ``read_warc`` only. An empty table gives no records and no rows.
     """
     spark = pages.sparkSession
-    records = with_record_types(convert_arc(pages_to_arc(pages)))
+    records = with_record_types(written(convert_arc(pages_to_arc(pages)), "records"))
     path = f"{shared_dir(spark)}/quillon-warc-{uuid.uuid4().hex}"
-    info = write_warc(records, path)
-    return read_warc(spark, path, info)
+    write_warc(records, path)
+    return read_warc(spark, path)

@@ -1,3 +1,6 @@
+import gzip
+import hashlib
+import io
 import re
 import time
 
@@ -6,7 +9,7 @@ import pytest
 from quillon.llm.decontaminate import contaminated, decontaminate, held_items
 from quillon.llm.html_extract import extract, extract_text, learn
 from quillon.llm.license_scan import TEMPLATES, license_scan
-from quillon.llm.warc import arc_record, arc_start, archive_pages, parse_arc
+from quillon.llm.warc import arc_record, arc_start, archive_pages, parse_arc, parse_warc, read_warc, warc_record
 
 ITEM = "A train leaves London at 9 and travels 120 km with Maria aboard. After 3 hours Maria meets her friend, who walked 5 km from home. How far is it?"
 
@@ -139,11 +142,25 @@ def test_arc_by_declared_lengths():
             list(parse_arc(blob[:-4]))
 
 
+def test_foreign_archives(spark, tmp_path):
+    records = [({"WARC-Type": "warcinfo"}, b"x"), ({"WARC-Type": "response", "Content-Type": "application/http", "WARC-Target-URI": "http://a"}, b"HTTP/1.1 200 OK\r\n\r\nbody\r\n\r\nWARC/1.0\r\n"), ({"WARC-Type": "resource", "WARC-Record-ID": "<urn:uuid:7>"}, bytes(range(256)))]
+    parts = [warc_record(h, b) + b"\r\n\r\n" for h, b in records]
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    got = [(r.record_type, r.url, r.payload_bytes, r.digest, r.whole, r.record_id) for r in read_warc(spark, str(tmp_path)).collect()]
+    want = [("response", "http://a", 18, hashlib.sha1(b"body\r\n\r\nWARC/1.0\r\n").hexdigest(), True, None), ("resource", None, 256, hashlib.sha1(bytes(range(256))).hexdigest(), True, "7")]
+    assert sorted(got, key=repr) == sorted(want * 2, key=repr)
+    with pytest.raises(ValueError):
+        list(parse_warc(io.BytesIO(parts[1][:-9])))
+
+
 def test_archives_round_trip(spark):
     big, other = "é" * 600 + "\r\n\r\nWARC/1.1\r\n", "b" * 999
     rows = [(1, "http://a", big), (2, "http://b", big), (5, None, big), (3, "http://c d", other), (4, "x", other), (6, "u", None), (7, "u", ""), (None, "u", big), (8, "u", "a" * 1000), (8, "u", "a" * 1000)]
     out = archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(out) == len(rows) and all(r.whole for r in out)
+    ids = {r.record_id: r.page_id for r in out if r.record_type == "response"}
+    assert all(ids[r.refers_to_record] == r.refers_to for r in out if r.record_type == "revisit")
     by = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in out}
     size = len(big.encode())
     assert by == {1: ("revisit", 5, size), 2: ("revisit", 5, size), 5: ("response", None, size), 3: ("response", None, 999), 4: ("response", None, 999), 6: ("response", None, 0), 7: ("response", None, 0), None: ("response", None, size), 8: ("response", None, 1000)}
