@@ -55,6 +55,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = normalised(F.col(text_col))
     some = written(duplicate_candidates(docs, id_col, text_col), "candidates").withColumnsRenamed({"id": "i", "len": "l", "prefix": "p"})
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), _length(text).alias("len"), _prefix(text).alias("prefix"))
+    some = some.hint("merge")  # grows with the input: one plan at every size
     survivors = rows.join(some, F.col("id").eqNullSafe(F.col("i")) & (F.col("len") == F.col("l")) & (F.col("prefix") == F.col("p")), "left_semi")
     full = written(survivors.select("id", "len", "prefix", digest(F.col("text")).alias("full_hash")), "hashes")
     groups = full.groupBy("full_hash").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -80,7 +81,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumns({i: F.col(id_col), n: _length(text), p: _prefix(text)})
     if digest_col:
         rows = rows.withColumn(own, digest(text)).drop(text_col)
-    joined = rows.join(found, F.col(i).eqNullSafe(F.col(g_i)) & (F.col(n) == F.col(g_n)) & (F.col(p) == F.col(g_p)), "left")
+    joined = rows.join(found.hint("merge"), F.col(i).eqNullSafe(F.col(g_i)) & (F.col(n) == F.col(g_n)) & (F.col(p) == F.col(g_p)), "left")
     # Two texts of one id may agree in length and prefix: the full hash then tells which is meant.
     same = F.col(g_hash) == (F.col(own) if digest_col else digest(text))
     joined = joined.filter(F.col(g_hash).isNull() | same)
