@@ -137,15 +137,80 @@ def notion_title(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+[0-9a-f]{32}$", ""))
 
 
+# Fixed value: what counts as white space at the ends of a text.
+SPACES = " \t\n\v\f\r\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """White space of any script off both ends, without a pattern."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def byte_cut(text: Column, limit: int) -> Column:
+    """At most ``limit`` bytes of UTF-8, cut where a character ends."""
+    cut = F.rtrim(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string")), F.lit("\ufffd"))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
+
+
 def first_sentence(text: Column, limit: int = 120) -> Column:
-    """Up to the first sentence mark after ten characters, at most ``limit`` characters, then an ellipsis."""
-    found = F.regexp_extract(text, r"(?s)^(.{10,}?[.!?])", 1)
-    cut = F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
-    return F.when((found != "") & (F.length(found) <= limit), found).otherwise(cut)
+    """Up to the first sentence mark that has over ten bytes before it, if that is at most ``limit`` bytes; else the text, cut there."""
+    text = stripped(text)
+    mark = lambda k: F.substring(text, k + 1, 1).isin(".", "!", "?") & (F.octet_length(F.substring(text, 1, k)) > 10)
+    early = F.coalesce(*[F.when(mark(k), F.lit(k + 1)) for k in range(3, 11)])  # of up to four bytes a character
+    late = F.nullif(F.length(F.regexp_extract(text, r"(?s)^(.{11,}?[.!?])", 1)), F.lit(0))
+    sentence = stripped(F.left(text, F.coalesce(early, late)))
+    whole = F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(byte_cut(text, limit), F.lit("…")))
+    return F.when(F.octet_length(sentence) <= limit, sentence).otherwise(whole)
 
 
 def safe_filename(text: Column, limit: int = 80) -> Column:
-    return F.substring(F.trim(F.translate(text, '/\\:*?"<>|\n', "---------" + " ")), 1, limit)
+    """A file name: separators as dashes, quotes and the like off, blanks as underscores."""
+    return byte_cut(F.translate(text, "/\\:*| ?\"<>", "-----_"), limit)
+
+
+def tokenize_query(text: Column) -> Column:
+    """A query as it is, but each run of CJK characters as its terms joined by OR."""
+    parts = F.regexp_extract_all(text, F.lit(rf"([{CJK}]+|[^\s{CJK}]+)"), 1)
+    grouped = F.transform(parts, lambda x: F.when(has_cjk(x) & (F.length(x) > 1), F.concat(F.lit("("), F.array_join(cjk_terms(x), " OR "), F.lit(")"))).otherwise(x))
+    return F.when(has_cjk(text), F.array_join(grouped, " ")).otherwise(text)
+
+
+def normalize_pdf_text(text: Column) -> Column:
+    """Text of a PDF: form feeds as line ends, no blanks at line ends, two line ends at most, no control characters."""
+    out = F.regexp_replace(F.translate(text, "\f", "\n"), r"[ \t]+\n", "\n")
+    return stripped(F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+
+
+def source_label(title: Column, origin: Column, key: Column) -> Column:
+    """title (origin), or the origin alone, or the id."""
+    return F.when(F.coalesce(title, F.lit("")) != "", F.concat(title, F.lit(" ("), F.coalesce(origin, F.lit("")), F.lit(")"))).otherwise(F.coalesce(F.nullif(origin, F.lit("")), key.cast("string")))
+
+
+def preview(text: Column, limit: int = 60) -> Column:
+    """The first characters of a text, with an ellipsis if there are more."""
+    text = stripped(text)
+    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("…"))).otherwise(text)
+
+
+def new_collection_name(title: Column) -> Column:
+    """The name of a collection for a first document: the first four words of its title, in lower case."""
+    return F.lower(F.array_join(F.slice(F.split(F.coalesce(F.nullif(one_line(title), F.lit("")), F.lit("default")), " "), 1, 4), " "))
+
+
+# Fixed value: the signs that card ids are made of.
+CARD_SIGNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#"
+
+
+def card_guid(text: Column) -> Column:
+    """Ten signs, one for each of the first bytes of the SHA-1."""
+    digest = F.unhex(F.sha1(text))
+    byte = lambda i: F.conv(F.hex(F.substring(digest, i, 1)), 16, 10).cast("int")
+    return F.concat(*[F.substring(F.lit(CARD_SIGNS), byte(i) % 64 + 1, F.lit(1)) for i in range(1, 11)])
+
+
+def card_checksum(text: Column) -> Column:
+    """The first 32 bits of the SHA-1 as a number."""
+    return F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("long")
 
 
 def extension(path: Column) -> Column:

@@ -8,21 +8,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.text import stripped
+
 _CHUNK = "array<struct<position:int,char_start:int,char_end:int,section:string,content:string>>"
 _ARROW = pa.list_(pa.struct([("position", pa.int32()), ("char_start", pa.int32()), ("char_end", pa.int32()), ("section", pa.string()), ("content", pa.string())]))
 
 
 def fixed_pieces(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """Pieces of ``size`` characters, each ``overlap`` into the one before, to the first blank one."""
+    """Pieces of ``size`` characters, each ``overlap`` into the one before, with their places and no white space at their ends."""
     step = size - overlap if size > overlap else size
-    count = F.when(F.length(text) == 0, 0).otherwise(1 + F.ceil(F.greatest(F.length(text) - size, F.lit(0)) / step)).cast("int")
+    length = F.length(text)
+    count = F.when(length == 0, 0).otherwise(1 + F.ceil(F.greatest(length - size, F.lit(0)) / step)).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.trim(F.substring(text, i * step + 1, F.lit(size))))
+    return F.transform(
+        starts,
+        lambda i: F.struct(
+            i.alias("position"), (i * step).alias("char_start"), F.least(i * step + size, length).alias("char_end"),
+            stripped(F.substring(text, i * step + 1, F.lit(size))).alias("content"),
+        ),
+    )
 
 
 def chunk_fixed(sources: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """(id, position, content) of sources (id, text)."""
-    return sources.select("id", F.posexplode(fixed_pieces(F.coalesce("text", F.lit("")), size, overlap)).alias("position", "content")).filter("content != ''")
+    """(id, position, char_start, char_end, content) of sources (id, text), up to the first piece that is blank."""
+    # A one-element explode: else the optimizer puts the cutting into each use of its result.
+    rows = sources.select("id", F.explode(F.array(fixed_pieces(F.coalesce("text", F.lit("")), size, overlap))).alias("p"))
+    blank = F.array_position(F.transform("p", lambda x: x["content"] == ""), True)
+    return rows.select("id", F.inline(F.when(blank > 0, F.slice("p", F.lit(1), (blank - 1).cast("int"))).otherwise(F.col("p"))))
 
 
 def paragraph_pieces(text: str, size: int = 800) -> list[dict]:

@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.text import words, words_no_stop
+from quillon.functions.text import source_label, words, words_no_stop
+from quillon.functions.vector import cosine
+from quillon.sources.store import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -17,12 +19,16 @@ RRF_K = 60
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, id, tf, len) of chunks (id, content)."""
-    rows = chunks.select("id", words(F.col("content")).alias("w"))
+    rows = chunks.select("id", F.explode(F.array(words(F.col("content")))).alias("w"))  # split once
     return rows.select("id", F.size("w").cast("long").alias("len"), F.explode("w").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_stats(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def term_stats(chunks: DataFrame) -> DataFrame:
+    """(term, df, cf) of chunks (id, content) with distinct ids: a chunk's words are counted where they are, and one row for each goes on."""
+    rows = chunks.select(F.explode(F.array(F.array_sort(words(F.col("content"))))).alias("w"))
+    # Equal words stand side by side in the sorted list: the first of each run begins it.
+    each = rows.select(F.posexplode("w").alias("i", "term"), "w").select("term", ((F.col("i") == 0) | (F.get("w", F.col("i") - 1) != F.col("term"))).cast("long").alias("first"))
+    return each.groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def bm25(chunks: DataFrame, terms: list[str], every: bool = True, k1: float = K1, b: float = B) -> DataFrame:
@@ -40,42 +46,79 @@ def bm25(chunks: DataFrame, terms: list[str], every: bool = True, k1: float = K1
     return (out.filter(F.col("terms") == len(set(terms))) if every else out).drop("terms")
 
 
-def vector_top_k(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query_id, id, score): for each query the k rows with the largest cosine, ties by id.
+#: Rows, and queries, that one task of a vector search compares.
+ROW_BLOCK, QUERY_BLOCK = 65_536, 2_048
 
-    The queries are a stated set, dealt in blocks against all rows: each task keeps k rows for each query,
-    so what is shuffled is tasks * queries * k rows whatever the table's size.
-    """
-    spark = rows.sparkSession
-    table = queries.toArrow()
-    ids = np.asarray(table["id"])
-    matrix = _unit(np.stack(table["vector"].to_numpy(zero_copy_only=False)).astype(np.float64)) if len(ids) else np.zeros((0, 1))
-    shared = spark.sparkContext.broadcast((ids, matrix))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        best_s = best_i = None
-        for batch in batches:
-            if not len(batch) or not len(qids):
-                continue
-            v = batch.column("vector")
-            vectors = _unit(np.asarray(v.flatten()).astype(np.float64).reshape(len(batch), -1))
-            own = np.asarray(batch.column("id"))
-            for at in range(0, len(own), block):
-                sims = np.round(q @ vectors[at : at + block].T, 9)
-                who = np.broadcast_to(own[at : at + block], sims.shape)
-                if best_s is not None:
-                    sims, who = np.concatenate([best_s, sims], 1), np.concatenate([best_i, who], 1)
-                order = np.lexsort((who, -sims), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(sims, order, 1), np.take_along_axis(who, order, 1)
-        if best_s is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["query_id", "id", "score"])
-
-    found = rows.select("id", "vector").mapInArrow(run, "query_id bigint, id bigint, score double")
+def vector_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each query the k rows with the largest cosine, ties by id.
+
+    Queries and rows are dealt into blocks by a hash, and each task compares one block with one other and keeps k
+    rows for each of its queries. Nothing is broadcast, and a task's memory doesn't depend on the tables' sizes.
+    """
+    row_blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
+
+    def dealt(table: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
+        table = table.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(own))
+        return table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        matrices = [_unit(_matrix(t["vector"])) if len(t) else np.zeros((0, 1)) for t in (left, right)]
+        ids, qids = np.asarray(left["id"]), np.asarray(right["id"])
+        best_i, best_s = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
+        for at in range(0, len(ids), 4096) if len(qids) else ():
+            sims = np.concatenate([best_s, np.round(matrices[1] @ matrices[0][at : at + 4096].T, 9)], 1)
+            who = np.concatenate([best_i, np.broadcast_to(ids[at : at + 4096], (len(qids), len(ids[at : at + 4096])))], 1)
+            order = np.lexsort((who, -sims), axis=1)[:, :k]
+            best_s, best_i = np.take_along_axis(sims, order, 1), np.take_along_axis(who, order, 1)
+        return pa.table({"query_id": np.repeat(qids, best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
+
+    left, right = dealt(rows, "r", row_blocks, "q", query_blocks), dealt(queries, "q", query_blocks, "r", row_blocks)
+    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(compare, "query_id bigint, id bigint, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
 
+def vector_search(rows: DataFrame, vector: list[float], limit: int) -> DataFrame:
+    """(id, score): the rows (id, vector) of largest cosine to one vector. Each task keeps ``limit`` rows."""
+    query = F.array(*[F.lit(float(x)) for x in vector])
+    return rows.select("id", F.round(cosine(F.col("vector"), query), 9).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def hybrid_search(index, vectors: DataFrame, query: str, vector: list[float] | None, sources: DataFrame, collections: DataFrame, limit: int = 5, collection: str = "", rerank: list[str] | None = None) -> DataFrame:
+    """(id, collection, source, title, content, score): BM25 and vectors fused by reciprocal ranks, the best ``limit``.
+
+    ``limit`` * 4 candidates come from each arm, * 8 if they are reranked by the words in ``rerank``. An arm without
+    result is empty: a query that isn't well formed has no BM25 hits, and without a vector there are no vector
+    hits. ``collection`` filters both arms, and only if it is named; BM25 still weighs words by all chunks. sources
+    has (id, collection, title, origin, content), collections (id, name); what they don't know keeps its id.
+    """
+    size = limit * (8 if rerank else 4)
+    inside = sources.filter(F.col("collection") == collection).select("id") if collection else None
+    kept = lambda hits: hits.join(inside, "id", "left_semi") if collection else hits
+    nothing = sources.sparkSession.createDataFrame([], f"id {dict(sources.dtypes)['id']}, score double")
+    try:
+        words_arm = kept(index.search(query).withColumn("id", F.col("id").cast(dict(sources.dtypes)["id"])))
+    except ValueError:
+        words_arm = nothing
+    held = vectors.join(sources.select("id"), "id", "left_semi")  # a vector without its chunk is no hit
+    vector_arm = vector_search(kept(held), vector, size) if vector else nothing
+    ranks = [ranked(arm.withColumn("score", F.round("score", 9)), size) for arm in (words_arm, vector_arm)]
+    fused = written(rrf(*ranks).orderBy(F.desc("score"), "id").limit(size), "candidates")  # size rows
+    label = source_label(F.col("title"), F.col("origin"), F.col("id"))
+    rows = sources.join(F.broadcast(fused), "id", "right")
+    rows = rows.join(F.broadcast(collections.select(F.col("id").alias("collection"), "name")), "collection", "left")  # a row for each collection
+    rows = rows.select("id", F.coalesce("name", "collection").alias("collection"), label.alias("source"), "title", "content", "score")
+    if rerank:
+        rows = written(rows, "enriched")
+        rows = rows.drop("score").join(F.broadcast(rerank_tokens(rows, rerank)), "id")
+    return rows.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(vectors.combine_chunks().flatten()).astype(np.float64).reshape(len(vectors), -1)
+
+
 def nearest_mean(rows: DataFrame, means: DataFrame, key: str, most: int = 10_000) -> DataFrame:
     """(id, key, score): the mean (key, dim, mean) of largest cosine to each row's vector, ties by the smaller key.
 
@@ -84,7 +127,7 @@ def nearest_mean(rows: DataFrame, means: DataFrame, key: str, most: int = 10_000
     table = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda x: x["mean"]).alias("v")).orderBy(key).limit(most + 1).toArrow()
     if len(table) > most:
         raise ValueError(f"more than {most} collections")
-    names = np.asarray(table[key])
+    names = np.asarray(table[key].to_pylist())
     matrix = _unit(np.stack(table["v"].to_numpy(zero_copy_only=False)).astype(np.float64)) if len(names) else np.zeros((0, 1))
     shared = rows.sparkSession.sparkContext.broadcast((names, matrix))
 
@@ -95,9 +138,10 @@ def nearest_mean(rows: DataFrame, means: DataFrame, key: str, most: int = 10_000
                 vectors = _unit(np.asarray(batch.column("vector").flatten()).astype(np.float64).reshape(len(batch), -1))
                 sims = np.round(vectors @ centres.T, 9)
                 best = sims.argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[best]).cast(pa.int64()), pa.array(sims[np.arange(len(best)), best])], names=["id", key, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(keys[best].tolist()), pa.array(sims[np.arange(len(best)), best])], names=["id", key, "score"])
 
-    return rows.select("id", "vector").mapInArrow(run, f"id bigint, {key} bigint, score double")
+    kind = "bigint" if pa.types.is_integer(table[key].type) else "string"
+    return rows.select("id", "vector").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, {key} {kind}, score double")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:

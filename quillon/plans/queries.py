@@ -9,6 +9,7 @@ from quillon.functions import parsing as P
 from quillon.functions import text as T
 from quillon.functions.vector import mean_vectors
 from quillon.operators import chunking, dedupe, embed, graph, search, sessions, similar
+from quillon.sources.store import shared_dir
 from quillon.sources.tables import page_sources, sources, table
 from quillon.streaming.windows import event_windows, file_stream, run_available
 
@@ -20,12 +21,13 @@ _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{Nd}}]+'),
 _ONE_LINE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 _MARKED = "concat('see [a](', source, '.md) and [w](http://e.org/x) [[Note', (doc_id % 7)::VARCHAR, '#Sec|Al]] ![[img', (doc_id % 3)::VARCHAR, ']] #tag/', lang, ' #', source, chr(10), coalesce(text, ''))"
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
-_CHUNKS = """
-chunks AS (
-  SELECT doc_id AS id, i AS position, trim(substr(text, i * 450 + 1, 500)) AS content
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)"
+_CHUNKS = f"""
+pieces AS (
+  SELECT doc_id AS id, i AS position, i * 450 AS char_start, least(i * 450 + 500, length(text)) AS char_end, trim(substr(text, i * 450 + 1, 500), {_SPACES}) AS content
   FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(0, CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 500, 0) / 450.0)::BIGINT END)) AS i FROM documents)
-  WHERE trim(substr(text, i * 450 + 1, 500)) <> ''
-)
+),
+chunks AS (SELECT * EXCLUDE (stop) FROM (SELECT *, min(CASE WHEN content = '' THEN position END) OVER (PARTITION BY id) AS stop FROM pieces) WHERE stop IS NULL OR position < stop)
 """
 
 
@@ -94,7 +96,7 @@ SELECT term, df, cf FROM p"""
 def term_stats(spark, folder):
     """Documents and occurrences of each term: the inverted index's dictionary."""
     rows = sources(spark, folder).select("id", F.col("text").alias("content"))
-    return search.term_stats(search.postings(rows))
+    return search.term_stats(rows)
 
 
 @query(
@@ -187,7 +189,7 @@ def stripped_notes(spark, folder):
 
 
 @query("""SELECT page_id AS id, CASE WHEN url LIKE 'http://%' OR url LIKE 'https://%' THEN 'url' WHEN url LIKE 'snippet:%' THEN 'snippet' ELSE 'file' END AS source_type,
-regexp_extract(url, '^https?://([^/]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '([^/]+?)(?:\\.[^./]*)?$', 1), ''), url) AS label, left(trim(translate(url, '/\\:*?"<>|', '---------')), 80) AS file_name FROM pages""")
+regexp_extract(url, '^https?://([^/]+)', 1) AS host, coalesce(nullif(regexp_extract(url, '([^/]+?)(?:\\.[^./]*)?$', 1), ''), url) AS label, CASE WHEN strlen(f) <= 80 THEN f ELSE left(f, list_max(list_filter(range(0, 81), lambda k: strlen(left(f, k::BIGINT)) <= 80))::BIGINT) END AS file_name FROM (SELECT *, translate(translate(url, '?"<>', ''), '/\\:*| ', '-----_') AS f FROM pages)""")
 def page_origins(spark, folder):
     """Source type, host, label and file name of every page's origin."""
     url = F.col("url")
@@ -233,10 +235,10 @@ def content_hashes(spark, folder):
 # ------------------------------------------------------------------ chunks and tables
 
 
-@query(f"WITH {_CHUNKS} SELECT id, position::INTEGER AS position, length(content) AS n_chars, sha256(content) AS content_hash FROM chunks")
+@query(f"WITH {_CHUNKS} SELECT id, position::INTEGER AS position, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, length(content) AS n_chars, sha256(content) AS content_hash FROM chunks")
 def chunk_fixed(spark, folder):
-    """Fixed pieces of 500 characters that overlap by 50."""
-    return _chunks(spark, folder).select("id", "position", F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("content_hash"))
+    """Fixed pieces of 500 characters that overlap by 50, to the first blank one."""
+    return _chunks(spark, folder).select("id", "position", "char_start", "char_end", F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("content_hash"))
 
 
 @query()
@@ -282,15 +284,15 @@ def recent_sources(spark, folder):
     return sources(spark, folder).orderBy(F.desc("created_at"), "id").limit(50).select("id", "title")
 
 
-_SENTENCE = "CASE WHEN regexp_extract(content, '^((?s).{10,}?[.!?])', 1) <> '' AND length(regexp_extract(content, '^((?s).{10,}?[.!?])', 1)) <= 120 THEN regexp_extract(content, '^((?s).{10,}?[.!?])', 1) WHEN length(content) > 120 THEN concat(left(content, 120), '...') ELSE content END"
+_FIRST = "list_min(list_filter(range(1, length(content) + 1), lambda k: substr(content, k::BIGINT, 1) IN ('.', '!', '?') AND strlen(left(content, (k - 1)::BIGINT)) > 10))"
+_CUT = "left(content, list_max(list_filter(range(0, 121), lambda k: strlen(left(content, k::BIGINT)) <= 120))::BIGINT)"
 
 
-@query(f"WITH {_CHUNKS} SELECT id, position::INTEGER AS position, {_SENTENCE} AS front, left(sha1(concat(id, '/', position)), 10) AS guid FROM chunks")
-def flash_cards(spark, folder):
-    """A card for each chunk: its first sentence in front."""
-    rows = _chunks(spark, folder)
-    guid = F.substring(F.sha1(F.concat_ws("/", F.col("id").cast("string"), F.col("position").cast("string"))), 1, 10)
-    return rows.select("id", "position", T.first_sentence(F.col("content")).alias("front"), guid.alias("guid"))
+@query(f"""WITH {_CHUNKS}, s AS (SELECT id, position, content, {_FIRST} AS k FROM chunks)
+SELECT id, position::INTEGER AS position, CASE WHEN k IS NOT NULL AND strlen(left(content, k::BIGINT)) <= 120 THEN left(content, k::BIGINT) WHEN strlen(content) <= 120 THEN content ELSE concat({_CUT}, '…') END AS front FROM s""")
+def first_sentences(spark, folder):
+    """The first sentence of each chunk, or what there is room for."""
+    return _chunks(spark, folder).select("id", "position", T.first_sentence(F.col("content")).alias("front"))
 
 
 @query("SELECT doc_id AS id, to_json({'id': doc_id, 'collection': source, 'lang': lang, 'n_chars': n_chars}) ::VARCHAR AS line FROM documents")
@@ -440,11 +442,10 @@ def event_hours(spark, folder):
     return _windows_out(event_windows(table(spark, folder, "events")))
 
 
-@query()
+@query(_WINDOW_SQL)
 def event_hours_stream(spark, folder):
-    """The same as a stream with a watermark, over all files there are; hours that the watermark hasn't passed are held back."""
-    where = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/quillon-streams").rstrip("/")
-    return _windows_out(run_available(event_windows(file_stream(spark, f"{folder}/events.parquet"), late="1 hour"), where))
+    """The same as a stream with a watermark, over all files there are: each batch's windows take the place of what they were."""
+    return _windows_out(run_available(event_windows(file_stream(spark, f"{folder}/events.parquet"), late="1 hour"), shared_dir(spark), ["start", "event_type"]))
 
 
 @query("""WITH a AS (SELECT user_id AS path, max(ts) AS m, count(*) AS s FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id AS path, max(ts) AS m, count(*) AS s FROM events WHERE event_id % 3 > 0 GROUP BY 1)
@@ -525,14 +526,15 @@ def parse_triples(spark, folder):
     return rows.select("id", T.entity_key(F.col("t.subject")).alias("subject"), T.predicate_key(F.col("t.predicate")).alias("predicate"), T.entity_key(F.col("t.object")).alias("object"))
 
 
-@query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN c WHEN 1 THEN c WHEN 2 THEN NULL ELSE c END AS collection FROM (SELECT o_orderkey, lower(c_mktsegment) AS c FROM orders JOIN customer ON c_custkey = o_custkey)""")
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 2 THEN NULL WHEN 4 THEN NULL ELSE c END AS collection, CASE o_orderkey % 5 WHEN 2 THEN c || ' parts' WHEN 4 THEN lower(o_orderpriority) END AS suggested
+FROM (SELECT o_orderkey, o_orderpriority, lower(c_mktsegment) AS c FROM orders JOIN customer ON c_custkey = o_custkey)""")
 def parse_choices(spark, folder):
-    """Collections that model answers name: exactly, in another case, not at all, or inside a sentence."""
+    """Collections that model answers name: exactly, in another case, as a new one, inside a sentence, or not at all."""
     names = F.array(*[F.lit(x) for x in ("automobile", "building", "furniture", "household", "machinery")])
     rows = table(spark, folder, "orders").join(table(spark, folder, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    kind, c = F.col("o_orderkey") % 4, F.lower("c_mktsegment")
-    answer = F.when(kind == 0, c).when(kind == 1, F.upper(c)).when(kind == 2, F.lit("NEW: zzz")).otherwise(F.concat(F.lit("The answer is "), c, F.lit(".")))
-    return rows.select(F.col("o_orderkey").alias("id"), P.collection_choice(answer, names).alias("collection"))
+    kind, c = F.col("o_orderkey") % 5, F.lower("c_mktsegment")
+    answer = F.when(kind == 0, c).when(kind == 1, F.upper(c)).when(kind == 2, F.concat(F.lit("New: "), F.initcap(c), F.lit(" parts"))).when(kind == 3, F.concat(F.lit("The answer is "), c, F.lit("."))).otherwise(F.col("o_orderpriority"))
+    return rows.select(F.col("o_orderkey").alias("id"), P.collection_choice(answer, names).alias("c")).select("id", "c.collection", "c.suggested")
 
 
 @query("""SELECT page_id AS id, concat('P', page_id) AS title, concat('v', page_id % 5) AS status FROM pages""")
@@ -562,24 +564,6 @@ def export_bundle(spark, folder):
     return rows.select("collection", "id", F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n_chunks"), F.md5(F.coalesce(F.array_join(F.transform("chunks", lambda x: x["m"]), ","), F.lit(""))).alias("digest"))
 
 
-def _document_vectors(spark, folder):
-    return embed.embed_hash(sources(spark, folder).select("id", F.col("text").alias("content")))
-
-
-@query()
-def near_sources(spark, folder):
-    """Near duplicates by hash vectors: links between representatives of cosine 0.97 and more."""
-    return similar.similar_links(_document_vectors(spark, folder), 0.97)
-
-
-@query()
-def relate_auto(spark, folder):
-    """Edges to the most similar vectors of each, at most five, from cosine 0.85."""
-    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    none = spark.createDataFrame([], "src bigint, dst bigint")
-    return similar.relate(similar.similar_links(rows, 0.85), none)
-
-
 @query("""WITH h AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY embedding) AS rep FROM embeddings) SELECT vec_id AS id, rep FROM h""")
 def vector_copies(spark, folder):
     """The representative of each vector among equal ones."""

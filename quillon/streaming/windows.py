@@ -17,16 +17,22 @@ def event_windows(events: DataFrame, every: str = "1 hour", late: str | None = N
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def run_available(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote.
+def run_available(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Run a stream of updates over all that is there now and return its rows: of each key what the last batch said.
 
-    Results go to Parquet with the sink's commit log beside the checkpoint, so a restart repeats nothing.
+    A batch is written under its number, so one that comes again after a restart writes the same files anew.
     """
-    spark = stream.sparkSession
+    spark, schema = stream.sparkSession, stream.schema
     out = f"{folder}/stream-{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").format("parquet").option("path", f"{out}/rows").start()
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/rows/_batch={number}")
+
+    query = stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{out}/state").foreachBatch(save).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}, _batch int").parquet(f"{out}/rows/*")
+    rest = [c for c in schema.names if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("last")).select(*keys, "last.*").select(*schema.names)
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:

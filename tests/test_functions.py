@@ -57,8 +57,10 @@ def test_cosine(spark):
 
 def test_fixed_chunks(spark):
     def pieces(text, size, overlap):
-        return one(spark, chunking.fixed_pieces(F.col("t"), size, overlap), t=text)
+        rows = spark.createDataFrame([(1, text)], "id int, text string")
+        return [r.content for r in chunking.chunk_fixed(rows, size, overlap).orderBy("position").collect()]
 
+    assert pieces("ab\n" + " " * 20 + "cd ef gh", 10, 0) == ["ab"]
     assert len(pieces("b" * 300, 100, 0)) == 3 and len(pieces("a" * 1000, 200, 20)) == 6
     assert all(len(p) <= 100 for p in pieces("x" * 500, 100, 10)) and pieces("", 100, 10) == []
 

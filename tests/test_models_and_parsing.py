@@ -6,8 +6,9 @@ from quillon.operators import graph, models, search
 
 def test_answers(spark):
     names = F.array(F.lit("Research"), F.lit("Cooking"))
-    rows = spark.createDataFrame([("research",), ("put it in cooking",), ("NEW: other",)], "a string")
-    assert [r.c for r in rows.select(P.collection_choice(F.col("a"), names).alias("c")).collect()] == ["Research", "Cooking", None]
+    rows = spark.createDataFrame([("research",), ("put it in cooking",), ("NEW: other",), ("new: Cooking parts",), ("NEW:",), ("Zoo",)], "a string")
+    got = [tuple(r.c) for r in rows.select(P.collection_choice(F.col("a"), names).alias("c")).collect()]
+    assert got == [("Research", None), ("Cooking", None), (None, "other"), (None, "cooking parts"), (None, "misc"), (None, "zoo")]
     rows = spark.createDataFrame([("[9, 2]", 2), ("```json\n[8]\n```", 1), ("[1]", 2), ("nine", 1)], "a string, n int")
     assert [r.s for r in rows.select(P.scores(F.col("a"), F.col("n")).alias("s")).collect()] == [[9.0, 2.0], [8.0], None, None]
 

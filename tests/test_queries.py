@@ -33,12 +33,6 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "score"]
 
 
-def test_streamed_hours_are_a_part_of_the_batch(spark):
-    stream = {tuple(r) for r in entry.queries()["event_hours_stream"](spark, FOLDER).collect()}
-    batch = {tuple(r) for r in entry.queries()["event_hours"](spark, FOLDER).collect()}
-    assert stream <= batch and len(stream) > 0.9 * len(batch)
-
-
 @pytest.mark.parametrize("name", ["chunk_paragraph", "chunk_markdown"])
 def test_chunks_cover_their_sources(spark, name):
     out = entry.queries()[name](spark, FOLDER).toPandas()
