@@ -45,7 +45,7 @@ def fresh(rows: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, so that a lost executor costs a re-read and not a recomputation, and lets
@@ -57,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -258,7 +258,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     archived: the result has the columns of ``read_warc`` only. An empty table gives no records and no rows.
     """
     spark = pages.sparkSession
-    records = with_record_types(written(convert_arc(pages_to_arc(pages)), "records"))
+    records = with_record_types(written(convert_arc(pages_to_arc(pages)), "records", "zstd"))
     path = f"{shared_dir(spark)}/quillon-warc-{uuid.uuid4().hex}"
     write_warc(records, path)
     return read_warc(spark, path)
