@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Words, mix, signed, slabs, written
+from quillon.llm.common import Words, fresh, group_join, mix, signed, slabs, written
 from quillon.llm.components import components
 
 SHINGLE = 5
@@ -223,7 +223,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("ord", "fp", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     rows = written(rows, "classes")
     sizes = rows.groupBy("root").agg(F.min("ord").alias("class_ord"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(sizes, "root").drop("root")
+    return group_join(rows, sizes, ["root"], "class_size", rows.count()).drop("root")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -237,7 +237,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     All columns pass through. Rows repeated with one id, or without any, all stay or all go.
     """
-    gone = near_classes(docs, id_col, text_col, threshold).filter("ord > class_ord").select(F.col("ord").alias("_ord"), F.col("fp").alias("_fp")).distinct()
+    ord_col, fp_col = fresh(docs, "ord", "fp")
+    gone = near_classes(docs, id_col, text_col, threshold).filter("ord > class_ord").select(F.col("ord").alias(ord_col), F.col("fp").alias(fp_col)).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     gone = gone.hint("merge")  # grows with the input: one plan at every size
-    return docs.join(gone, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_ord")) & (F.hash(text) == F.col("_fp")), "left_anti")
+    return docs.join(gone, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col(ord_col)) & (F.hash(text) == F.col(fp_col)), "left_anti")

@@ -14,7 +14,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.substring_dedup import substring_dedup
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return substring_dedup(docs, repeats=False).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

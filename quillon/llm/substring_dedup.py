@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import Words, extended, mix, signed, slabs, written
+from quillon.llm.common import HOT_SHARE, Words, extended, fresh, group_join, mix, signed, slabs, written
 
 MIN_WORDS = 13
 SEED_WORDS = 5
+#: Parts that a hot anchor's places are dealt into.
+PARTS = 64
 _LAST = 0x7FFFFFFFFFFFFFFF
 
-_ANCHOR = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("fp", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ctx", T.LongType())])
+_ANCHOR = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("fp", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ctx", T.LongType()), T.StructField("part", T.IntegerType())])
 _WINDOW = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("window", T.LongType()), T.StructField("ord", T.LongType()), T.StructField("fp", T.IntegerType()), T.StructField("at", T.IntegerType())])
 
 
@@ -54,8 +56,8 @@ def _anchors_of(words: Words, min_words: int, k: int):
     return gram[anchor], doc[begin], first - words.first[doc[begin]], last - first + 1, ctx
 
 
-def anchors(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> DataFrame:
-    """Winnowed anchors of keyed documents (ord, fp, text)."""
+def anchors(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SEED_WORDS, hot: np.ndarray | None = None) -> DataFrame:
+    """Winnowed anchors of keyed documents (ord, fp, text). The places of ``hot`` ones are dealt into parts 1 to PARTS; part is 0 for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,9 +65,12 @@ def anchors(docs: DataFrame, min_words: int = MIN_WORDS, k: int = SEED_WORDS) ->
                 if (found := _anchors_of(Words(data, starts, ends), min_words, k)) is None:
                     continue
                 gram, doc, at, n, ctx = found
-                keys = batch.slice(row, to - row)
+                keys, part = batch.slice(row, to - row), np.zeros(len(gram), np.int32)
+                if hot is not None and len(hot):
+                    own = np.asarray(keys.column("ord"))[doc].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(keys.column("fp"))[doc].astype(np.uint64)
+                    part = np.where(np.isin(signed(gram), hot), mix(own) % np.uint64(PARTS) + np.uint64(1), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(gram)), keys.column("ord").take(pa.array(doc)), keys.column("fp").take(pa.array(doc)), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(signed(ctx))],
+                    [pa.array(signed(gram)), keys.column("ord").take(pa.array(doc)), keys.column("fp").take(pa.array(doc)), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(signed(ctx)), pa.array(part)],
                     names=_ANCHOR.names,
                 )
 
@@ -108,23 +113,27 @@ def matched_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``at`` is the first window's first word, ``n`` the number of windows, one word apart.
     """
     keyed = _keyed(docs, id_col, text_col)
-    found = anchors(keyed, min_words, k)
-    shared = found.groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("anchor")
-    seeds = written(found.join(shared, "anchor"), "seeds")
-    contexts = seeds.groupBy("anchor", "ctx").agg(F.min("ord").alias("first"))
+    shared = anchors(keyed, min_words, k).groupBy("anchor").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("anchor", "n")
+    shared = written(shared, "shared")
+    least = max(2.0, (shared.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE)
+    hot = np.sort(np.asarray(shared.filter(F.col("n") >= least).select("anchor").toArrow()["anchor"]))  # 1 / HOT_SHARE at most
+    parts = F.when(F.col("n") >= least, F.sequence(F.lit(1), F.lit(PARTS))).otherwise(F.array(F.lit(0)))
+    seeds = written(anchors(keyed, min_words, k, hot).join(shared.select("anchor", F.explode(parts).alias("part")).hint("merge"), ["anchor", "part"]).drop("part"), "seeds")
+    contexts = written(seeds.groupBy("anchor", "ctx").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n_ctx")), "contexts")
     several = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts"))
-    contexts = contexts.join(several, "anchor")
-    placed = written(seeds.join(contexts, ["anchor", "ctx"]).withColumn("whole", F.col("ord") > F.col("first")), "contexts")
+    contexts = group_join(contexts, several, ["anchor"], "contexts", contexts.count())
+    placed = group_join(seeds, contexts, ["anchor", "ctx"], "n_ctx", seeds.count()).withColumn("whole", F.col("ord") > F.col("first"))
+    placed = written(placed.filter("whole or contexts > 1").select("anchor", "ord", "fp", "at", "n", "whole"), "placed")
     whole = placed.filter("whole").select("ord", "fp", "at", "n")
-    wanted = placed.filter("not whole and contexts > 1").groupBy("ord", "fp").agg(F.collect_set(F.struct("anchor", "at", "n")).alias("spans"))
+    wanted = placed.filter("not whole").groupBy("ord", "fp").agg(F.collect_set(F.struct("anchor", "at", "n")).alias("spans"))
     windows = written(_open_windows(keyed, wanted, min_words, k), "windows")
-    earliest = windows.groupBy("anchor", "window").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").select("anchor", "window", "lo")
-    single = windows.join(earliest, ["anchor", "window"]).filter("ord > lo").select("ord", "fp", "at", F.lit(1).alias("n"))
+    earliest = windows.groupBy("anchor", "window").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.count(F.lit(1)).alias("n_windows")).filter("lo < hi").select("anchor", "window", "lo", "n_windows")
+    single = group_join(windows, earliest, ["anchor", "window"], "n_windows", windows.count()).filter("ord > lo").select("ord", "fp", "at", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = SEED_WORDS) -> DataFrame:
-    """Every row of ``docs`` with n_words, n_removed, kept_text and repeats.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = SEED_WORDS, repeats: bool = True) -> DataFrame:
+    """Every row of ``docs`` with n_words, n_removed, kept_text and, if asked for, repeats.
 
     A word is removed where a window of ``min_words`` words covers it that starts in a document with a
     smaller id, too; windows are judged on the input. kept_text joins the words left by one space.
@@ -134,11 +143,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pass through; columns named like the new ones are replaced. An empty table gives an empty result.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text", "repeats")
+    spans_col, ord_col, fp_col = fresh(docs, "spans", "ord", "fp")
     runs = matched_windows(docs, id_col, text_col, min_words, k)
-    spans = runs.groupBy("ord", "fp").agg(F.collect_set(F.struct("at", "n")).alias("_spans")).withColumnsRenamed({"ord": "_ord", "fp": "_fp"})
+    spans = runs.groupBy("ord", "fp").agg(F.collect_set(F.struct("at", "n")).alias(spans_col)).withColumnsRenamed({"ord": ord_col, "fp": fp_col})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(spans, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col("_ord")) & (F.hash(text) == F.col("_fp")), "left").drop("_ord", "_fp")
-    out = extended(docs.schema, "n_words bigint, n_removed bigint, kept_text string, repeats array<struct<start:int,stop:int>>")
+    joined = docs.join(spans, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)) == F.col(ord_col)) & (F.hash(text) == F.col(fp_col)), "left").drop(ord_col, fp_col)
+    out = extended(docs.schema, "n_words bigint, n_removed bigint, kept_text string" + ", repeats array<struct<start:int,stop:int>>" * repeats)
     kept_columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +156,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for row, to, data, starts, ends in slabs(batch.column(text_col)):
                 words = Words(data, starts, ends)
                 part = batch.slice(row, to - row)
-                n_words, n_removed, texts, repeats = [], [], [], []
-                for i, spans in enumerate(part.column("_spans")):
+                n_words, n_removed, texts, found_spans = [], [], [], []
+                for i, spans in enumerate(part.column(spans_col)):
                     a, n = int(words.first[i]), int(words.count[i])
                     begin, stop = words.start[a : a + n], words.end[a : a + n]
                     keep, found = np.ones(n, bool), []
@@ -158,18 +168,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         np.add.at(edge, at, 1)
                         np.add.at(edge, np.minimum(at + m + min_words - 1, n), -1)
                         keep = np.cumsum(edge[:n]) == 0
-                        turn = np.flatnonzero(np.diff(np.concatenate(([1], keep.astype(np.int8), [1]))))
+                        turn = np.zeros(0, np.int64) if not repeats else np.flatnonzero(np.diff(np.concatenate(([1], keep.astype(np.int8), [1]))))
                         found = [{"start": int(x), "stop": int(y)} for x, y in turn.reshape(-1, 2)]
                     raw = data.data
                     texts.append(" ".join([str(raw[x:y], "utf-8") for x, y in zip(begin[keep].tolist(), stop[keep].tolist(), strict=True)]))
                     n_words.append(n)
                     n_removed.append(int(n - keep.sum()))
-                    repeats.append(found)
+                    found_spans.append(found)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(c) for c in kept_columns], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(repeats, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))],
+                    [*[part.column(c) for c in kept_columns], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), *[pa.array(found_spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))] * repeats],
                     names=out.names,
                 )
 
     return joined.mapInArrow(run, out)
-
-

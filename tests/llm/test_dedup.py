@@ -57,6 +57,24 @@ def test_substring_dedup_equals_brute_force(docs, odd_docs, empty):
     assert substring_dedup(empty).count() == 0
 
 
+def test_dedup_with_inner_names_as_columns(docs, odd_docs):
+    more = docs.select("*", *[F.lit("x").alias(c) for c in ("ord", "fp", "Spans", "anchor", "part", "n", "at", "ctx", "n_words", "repeats", "root", "class_ord", "bucket", "labels", "_ord", "_spans")])
+    got = substring_dedup(more).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_windows(odd_docs)
+    assert "repeats" not in substring_dedup(more, repeats=False).columns
+    kept = keep_one(more)
+    assert kept.columns == more.columns and kept.count() == keep_one(docs).count()
+
+
+def test_substring_dedup_with_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr("quillon.llm.substring_dedup.HOT_SHARE", 0.02)
+    monkeypatch.setattr("quillon.llm.common.HOT_SHARE", 0.02)
+    phrase = [f"hot{i}" for i in range(16)]
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(i % 7)] + phrase[i % 3 : 14 + i % 3] + [f"b{i % 5}y{j}" for j in range(20)])) for i in range(60)]
+    out = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert sorted(map(tuple, out), key=repr) == brute_windows(rows)
+
+
 def test_substring_dedup_on_chained_overlaps(spark):
     w = [f"w{i}" for i in range(90)]
     rows = [(1, " ".join(w[:40])), (2, " ".join(w[20:60])), (3, " ".join(w[30:55] + ["x"] + w[41:70])), (4, " ".join(w[28:41])), (5, " ".join(w[28:40]))]
