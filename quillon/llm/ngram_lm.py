@@ -1,48 +1,60 @@
 """N-gram language model in Elias-Fano tries, in shards.
 
-Counting is Spark's: token counts are summed over all texts, pre-aggregated in each task. Pairs of tokens
-are put together in each task too, every pair once for each ``FLUSH`` tokens with the rows that hold it. All
-words and all pairs count, whatever their number and at every size: nothing is left out by frequency.
-
-Pairs are dealt into shards of about ``SHARD`` tokens by the hash of their context, those of a common
-context by the hash of the pair, and those of a common pair by where they stand, so that neither makes a
-large shard. Each shard builds the trie of its
-training pairs and scores the pairs of all texts that came with them; what leaves it are sums for each row.
-Common words (``CORE_SHARE`` of all tokens at least) have their counts broadcast instead of joined; this
-decides only how a count is fetched, not what it is.
-
-The trie has a level of contexts, whose pointers are a monotone Elias-Fano sequence, and a level of
-successors. Successors are searched relative to their context: the sequence of context base + successor
-is monotone over the whole level and Elias-Fano coded too. Probabilities are smoothed by absolute
-discounting, stored as 8-bit codes, each for the mean of a 256th of their range. All levels lie in one flat buffer that is
-used as it is, from memory or a memory-mapped file.
+Texts are dealt into blocks of about ``BLOCK_BYTES``. For each order from one word up a block asks for its distinct
+n-grams, each once, with what it has of them in training: one request for each shard. A shard adds up what all blocks
+have, builds a trie of its n-grams with their smoothed probabilities, and answers each request in the order of its
+n-grams, by searching the context and then the word relative to it. A block's requests come out of its texts in a
+fixed order, so answers need no names: the block lays them beside its n-grams again. What is shuffled is the texts,
+once for each round, and for each block and distinct n-gram some bytes; no task sees more of a common word or pair
+than one entry for each block. All words and pairs count, whatever their number and at every size.
+
+Shards are dealt by the hash of the context; contexts of ``HOT`` tokens and more by that of the n-gram, since their
+counts came with the round before. Probabilities are smoothed by Dirichlet priors: p(w | c) = (n(c, w) + K p(w)) /
+(n(c) + K), and p(w) for one word as ``Unigrams`` says. They are stored as 8-bit codes of the logarithm.
+
+The trie has three levels in one flat, memory-mapped buffer: contexts as a monotone sequence, pointers to where their
+successors begin, and successors relative to their context. Sequences are Elias-Fano coded and searched as they are.
 """
 
 from __future__ import annotations
 
 import json
+import mmap
+import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _Q, Words, extended, mix, signed, slabs, written
+from quillon.llm.common import _Q, Words, extended, fresh, mix, slabs, text_bytes, written
 
-#: Words with this share of all tokens have their counts broadcast; at most 1 / CORE_SHARE words.
-CORE_SHARE = 1e-5
-#: Pairs with this share of all tokens are counted first and then scored where their rows are; at most 1 / PAIR_SHARE pairs.
-PAIR_SHARE = 1e-4
-DISCOUNT = 0.75
-#: Tokens that a task counts at a time before it hands on their sums.
-FLUSH = 1 << 22
-#: Tokens whose pairs a task holds at a time.
-PAIR_FLUSH = 1 << 21
-#: Tokens that a shard holds, on average.
-SHARD = 1 << 18
-#: What follows the last word of a text; also the context of its first word.
-END = int(mix(np.array([0x454E44], np.uint64))[0])
+#: Words of the longest n-gram.
+ORDER = 2
+#: The weight of the next lower order, in tokens.
+PRIOR = 6.0
+#: Bytes of text in a block, which one task holds; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
+#: Tokens of all texts for each shard.
+SHARD = 1 << 20
+#: Contexts with so many tokens are dealt over shards by their n-grams.
+HOT = 1 << 14
+#: Logarithms from -LOWEST to 0 are coded in 256 steps.
+LOWEST = 12.75
+#: What follows the last word of a text, and what stands before its first.
+END, START = (int(mix(np.array([x], np.uint64))[0]) for x in (0x454E44, 0x53544152))
+
+
+def coded(log_p: np.ndarray) -> np.ndarray:
+    """8-bit codes of log10 probabilities."""
+    return np.clip(np.rint(-np.asarray(log_p) * (255 / LOWEST)), 0, 255).astype(np.uint8)
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    return codes.astype(np.float64) * (-LOWEST / 255)
 
 
 class EliasFano:
@@ -50,23 +62,21 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        bits = np.unpackbits(high.view(np.uint8), bitorder="little")
-        self.zeros = np.flatnonzero(bits == 0).astype(np.int32 if len(bits) < 1 << 31 else np.int64)  # ends of runs, for search
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))  # set bits before each word: a directory of an eighth
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
-        low_bits = min(32, max(0, (top // max(n, 1)).bit_length() - 1))
-        low = (values & np.uint64((1 << low_bits) - 1)).astype(np.uint32)
+        low_bits = min(56, max(0, (top // max(n, 1)).bit_length() - 1))
+        low = values & np.uint64((1 << low_bits) - 1)
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(at[-1]) + 66 if n else 64) // 64 * 64 + 64, np.uint8)
         bits[at] = 1
-        packed = np.zeros((n * low_bits + 63) // 8 + 8, np.uint8)
+        packed = np.zeros((n * low_bits + 63) // 8 + 16, np.uint8)
         if low_bits:
-            flat = (low[:, None] >> np.arange(low_bits, dtype=np.uint32) & 1).astype(np.uint8).ravel()
-            tight = np.packbits(flat, bitorder="little")
+            tight = np.concatenate([np.packbits((low[a : a + (1 << 16), None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n, 1 << 16)] or [packed[:0]])
             packed[: len(tight)] = tight
         return EliasFano(n, low_bits, packed, np.packbits(bits, bitorder="little").view(np.uint64))
 
@@ -76,14 +86,24 @@ class EliasFano:
         bit = i * self.low_bits
         byte = bit >> 3
         word = np.zeros(len(i), np.uint64)
-        for k in range(5):
+        for k in range(8):
             word |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
         return word >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
 
+    def _place(self, wanted: np.ndarray, bit: int) -> np.ndarray:
+        """The place of the wanted-th (from 0) bit of that kind: its word by the directory, then in the word."""
+        before = self.ones if bit else np.arange(len(self.ones)) * 64 - self.ones
+        word = np.searchsorted(before, wanted, "right") - 1
+        out = np.empty(len(wanted), np.int64)
+        for a in range(0, len(wanted), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            bits = np.unpackbits(self.high[word[part], None].view(np.uint8), axis=1, bitorder="little") == bit
+            out[part] = word[part] * 64 + (np.cumsum(bits, axis=1, dtype=np.uint8) > (wanted[part] - before[word[part]])[:, None]).argmax(axis=1)
+        return out
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        # The run that holds place i is the first whose end, less the zeros before it, lies beyond i.
-        high = np.searchsorted(self.zeros - np.arange(len(self.zeros)), i, "right")
+        high = self._place(i, 1) - i
         return high.astype(np.uint64) << np.uint64(self.low_bits) | self.lows(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
@@ -91,10 +111,10 @@ class EliasFano:
         values = values.astype(np.uint64)
         out = np.full(len(values), -1, np.int64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
-        inside = np.flatnonzero(high < len(self.zeros))
+        inside = np.flatnonzero(high < len(self.high) * 64 - self.ones[-1])
         high, low = high[inside], values[inside] & np.uint64((1 << self.low_bits) - 1)
-        end = self.zeros[high].astype(np.int64) - high
-        a = np.where(high > 0, self.zeros[high - 1] - high + 1, 0).astype(np.int64)
+        end = self._place(high, 0) - high  # the run of a high part ends where its zero stands
+        a = np.where(high > 0, self._place(np.maximum(high - 1, 0), 0) - high + 1, 0)
         b, todo = end.copy(), np.flatnonzero(a < end)
         while len(todo):
             middle = (a[todo] + b[todo]) >> 1
@@ -108,52 +128,54 @@ class EliasFano:
         return out
 
 
+#: Bits of a word's hash that tell the successors of one context apart, and of a context's hash beside its shard.
+WORD_BITS, CONTEXT_BITS = 40, 62
+
+
 class NGramTrie:
-    """Contexts and successors with quantised log probabilities; ``dumps``/``loads`` keep it in one flat buffer."""
+    """A level of contexts with pointers, and a level of successors with quantised log probabilities; one flat buffer.
 
-    def __init__(self, pointers: EliasFano, successors: EliasFano, codes: np.ndarray, codebook: np.ndarray, backoff_codes: np.ndarray, backoff_book: np.ndarray, width: int):
-        self.pointers, self.successors, self.width = pointers, successors, width
-        self.codes, self.codebook, self.backoff_codes, self.backoff_book = codes, codebook, backoff_codes, backoff_book
+    Contexts are a monotone sequence of hashes, and so are the pointers to where their successors begin. Successors are
+    kept relative to their context, as place of the context * 2^WORD_BITS + word, which is monotone over the whole level.
+    """
 
-    @staticmethod
-    def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(values):
-            return np.zeros(0, np.uint8), np.zeros(1, np.float64)
-        # Of equal width and not of equal number: a common context is one value among thousands of rare ones.
-        low, width = values.min(), max(np.ptp(values) / 256, 1e-12)
-        codes = np.minimum((values - low) / width, 255).astype(np.uint8)
-        n = np.bincount(codes, minlength=256)
-        return codes, np.bincount(codes, values, 256) / np.maximum(n, 1)
+    def __init__(self, contexts: EliasFano, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
+        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
 
     @staticmethod
-    def build(first: np.ndarray, second: np.ndarray, log_p: np.ndarray, backoff: np.ndarray) -> NGramTrie:
-        """From pairs sorted by (first, second), the log probability of each, and the log backoff weight of each context."""
-        width = max(1, len(backoff))
-        pointers = EliasFano.build(np.searchsorted(first, np.arange(width + 1)))
-        successors = EliasFano.build(first.astype(np.uint64) * np.uint64(width) + second.astype(np.uint64))
-        return NGramTrie(pointers, successors, *NGramTrie._quantised(log_p), *NGramTrie._quantised(backoff), width)
+    def build(context: np.ndarray, word: np.ndarray, log_p: np.ndarray) -> NGramTrie:
+        """From pairs sorted by (context, word), both unsigned integers of CONTEXT_BITS and WORD_BITS bits."""
+        own, begin = np.unique(context, return_index=True)
+        of = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(np.append(begin, len(context))))
+        return NGramTrie(EliasFano.build(own), EliasFano.build(np.append(begin, len(context))), EliasFano.build(of << np.uint64(WORD_BITS) | word), coded(log_p))
 
     def successors_of(self, context: int) -> np.ndarray:
-        a, b = self.pointers.access(np.array([context, context + 1])).astype(np.int64)
-        return self.successors.access(np.arange(a, b)).astype(np.int64) - context * self.width
-
-    def log_probs(self, first: np.ndarray, second: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """log10 p(second | first); lower: log10 p of every class, to back off to where the pair isn't in the trie."""
-        out = self.backoff_book[self.backoff_codes[first]] + lower[second]
-        if self.successors.n:
-            place = self.successors.find(first.astype(np.uint64) * np.uint64(self.width) + second.astype(np.uint64))
-            hit = place >= 0
-            out[hit] = self.codebook[self.codes[place[hit]]]
+        place = self.contexts.find(np.array([context], np.uint64))
+        if place[0] < 0:
+            return np.zeros(0, np.int64)
+        a, b = self.pointers.access(np.append(place, place + 1)).astype(np.int64)
+        return (self.successors.access(np.arange(a, b)) & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Places of pairs on the level of successors, or -1: first the context, then the word relative to it."""
+        place = self.contexts.find(context)
+        out = np.full(len(context), -1, np.int64)
+        known = np.flatnonzero(place >= 0)
+        if len(known):
+            out[known] = self.successors.find(place[known].astype(np.uint64) << np.uint64(WORD_BITS) | word[known])
         return out
 
     def dumps(self) -> bytes:
-        p, s = self.pointers, self.successors
-        arrays = [p.low, p.high, s.low, s.high, self.codes, self.codebook, self.backoff_codes, self.backoff_book]
-        head = json.dumps({"p": [p.n, p.low_bits], "s": [s.n, s.low_bits], "width": self.width, "arrays": [[str(a.dtype), len(a)] for a in arrays]}).encode()
-        out = len(head).to_bytes(8, "little") + head
+        levels = [self.contexts, self.pointers, self.successors]
+        arrays = [x for e in levels for x in (e.low, e.high)] + [self.codes]
+        head = json.dumps({"levels": [[e.n, e.low_bits] for e in levels], "arrays": [[str(a.dtype), len(a)] for a in arrays]}).encode()
+        out = [len(head).to_bytes(8, "little") + head]
+        size = len(out[0])
         for a in arrays:
-            out += bytes(-len(out) % 8) + np.ascontiguousarray(a).tobytes()
-        return out
+            raw = bytes(-size % 8) + np.ascontiguousarray(a).tobytes()
+            out.append(raw)
+            size += len(raw)
+        return b"".join(out)
 
     @staticmethod
     def loads(buffer) -> NGramTrie:
@@ -163,8 +185,7 @@ class NGramTrie:
             at += -at % 8
             arrays.append(np.frombuffer(buffer, dtype, n, at))
             at += n * np.dtype(dtype).itemsize
-        p, s = (EliasFano(*head[k], *arrays[2 * i : 2 * i + 2]) for i, k in enumerate("ps"))
-        return NGramTrie(p, s, *arrays[4:], head["width"])
+        return NGramTrie(*[EliasFano(*level, *arrays[2 * i : 2 * i + 2]) for i, level in enumerate(head["levels"])], arrays[-1])
 
     @staticmethod
     def open(path: str) -> NGramTrie:
@@ -177,192 +198,243 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (~held_out(id_col)).alias("train"))
-
+class Unigrams:
+    """p(token): unseen tokens share the rate of tokens seen once, (once + 1) / (N + 1); seen ones share the rest by count."""
 
-def _with_ends(words: Words, per_word: np.ndarray, end, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values of words with one for the end after each document's; and the document of each."""
-    stop = words.first + words.count
-    return np.insert(per_word, stop, end), np.insert(words.doc, stop, np.arange(rows))
+    def __init__(self, n_train: int, once: int):
+        self.n_train = n_train
+        self.unseen = (once + 1) / (n_train + 1) if n_train else 1.0
 
+    def probs(self, counts: np.ndarray) -> np.ndarray:
+        seen = max(1 - self.unseen, 1e-300) * counts / max(self.n_train, 1)
+        return np.where(counts > 0, seen, self.unseen)
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token hash, n in training, n in all) over keyed texts (text, train), ends included."""
 
-    def flush(hashes: list[np.ndarray], trains: list[np.ndarray]) -> pa.RecordBatch:
-        h, t = np.concatenate(hashes), np.concatenate(trains)
-        own, back, n = np.unique(h, return_inverse=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(np.bincount(back, t, len(own)).astype(np.int64)), pa.array(n)], names=["h", "n", "all"])
+class Block:
+    """The tokens of a block's texts, and its distinct n-grams of each order in the order in which they are asked for."""
+
+    def __init__(self, table: pa.Table, columns: tuple[str, str, str]):
+        row, text, train = columns
+        order = np.argsort(np.asarray(table[row]), kind="stable")  # the same order in every round
+        table = table.take(pa.array(order))
+        self.rows, self.train = np.asarray(table[row]), np.asarray(table[train].cast(pa.int8())).astype(bool)
+        hashes, docs, before = [], [], 0
+        for a, b, data, starts, ends in slabs(table[text].combine_chunks()):
+            words = Words(data, starts, ends, lower=True)
+            stop = words.first + words.count
+            hashes.append(np.insert(words.hash, stop, np.uint64(END)))
+            docs.append(np.insert(words.doc, stop, np.arange(b - a)) + before)
+            before += b - a
+        self.word, self.doc = (np.concatenate(x) for x in (hashes, docs))
+        self.opens = np.ones(len(self.doc), bool)
+        self.opens[1:] = self.doc[1:] != self.doc[:-1]
+        self.history = np.zeros(len(self.word), np.uint64)
+        self.count = self.log_p = self.context_count = None
+
+    def ask(self, order: int) -> None:
+        """Go on to the next order: its contexts and distinct n-grams. What the order before was answered goes with them."""
+        if order > 1:
+            past = np.roll(self.word, order - 1)
+            for back in range(order - 1):
+                past[np.roll(self.opens, back)] = np.uint64(START)
+            self.history = mix(self.history * np.uint64(_Q) + past)
+            context_count = np.roll(self.count[self.of], 1)
+            context_count[self.opens] = self.texts
+            lower = self.log_p[self.of]
+        gram = mix(self.history * np.uint64(_Q) + self.word)
+        hot = np.zeros(len(gram), bool) if order == 1 else context_count >= HOT
+        key = gram if order == 1 else np.where(hot, gram, mix(self.history))
+        # Distinct n-grams, by what they are dealt by: equal ones stand together.
+        rank = np.lexsort((gram, key))
+        new = np.ones(len(rank), bool)
+        new[1:] = (gram[rank][1:] != gram[rank][:-1]) | (key[rank][1:] != key[rank][:-1])
+        at = rank[np.flatnonzero(new)]
+        self.of = np.empty(len(rank), np.int64)
+        self.of[rank] = np.cumsum(new) - 1
+        self.key, word = key[at], self.word[at]
+        if order == 1:  # both parts of a word's hash together are all of it
+            self.gram_context, self.gram_word = word >> np.uint64(64 - WORD_BITS), word & np.uint64((1 << WORD_BITS) - 1)
+        else:
+            self.gram_context, self.gram_word = self.history[at] >> np.uint64(64 - CONTEXT_BITS), word >> np.uint64(64 - WORD_BITS)
+        self.n = np.bincount(self.of, self.train[self.doc], len(at)).astype(np.uint32)
+        self.context_count, self.lower = (context_count[at], lower[at]) if order > 1 else (np.zeros(len(at), np.int64), np.zeros(len(at)))
+
+    def parts(self, shards: int) -> list[tuple[int, int, int]]:
+        """(shard, from, to): n-grams are sorted by what they are dealt by, so those of a shard are one run."""
+        shard = ((self.key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.diff(shard)) + 1
+        begin = np.concatenate(([0], cut)) if len(shard) else np.zeros(0, np.int64)
+        return list(zip(shard[begin].tolist(), begin.tolist(), [*cut.tolist(), len(shard)], strict=True)) if len(shard) else []
+
+    def request(self, a: int, b: int, order: int) -> bytes:
+        """Contexts with their counts, and for each n-gram of a context its word, its number here and its lower probability."""
+        context = self.gram_context[a:b]
+        begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+        sizes = np.diff(np.append(begin, b - a)).astype(np.uint32)
+        words = self.gram_word[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]
+        small = zlib.compress(sizes.tobytes() + self.n[a:b].tobytes() + (coded(self.lower[a:b]).tobytes() + self.context_count[a:b][begin].astype(np.uint32).tobytes() if order > 1 else b""), 1)
+        return np.array([b - a, len(begin)], "<u4").tobytes() + context[begin].astype("<u8").tobytes() + words.tobytes() + small
+
+    def answered(self, counts: np.ndarray, codes: np.ndarray, order: int, unigrams: Unigrams | None, texts: int) -> None:
+        self.count, self.texts = counts.astype(np.int64), texts
+        self.log_p = np.log10(unigrams.probs(self.count)) if order == 1 else decoded(codes)
+
+
+def opened(blob: bytes, order: int) -> tuple[np.ndarray, ...]:
+    """(context, word, n, lower, context count) of a request's n-grams."""
+    n, contexts = np.frombuffer(blob, "<u4", 2).tolist()
+    at = 8
+    own = np.frombuffer(blob, "<u8", contexts, at)
+    at += own.nbytes
+    words = np.zeros((n, 8), np.uint8)
+    words[:, : WORD_BITS // 8] = np.frombuffer(blob, np.uint8, n * (WORD_BITS // 8), at).reshape(n, -1)
+    small = zlib.decompress(blob[at + n * (WORD_BITS // 8) :])
+    sizes, count = np.frombuffer(small, np.uint32, contexts), np.frombuffer(small, np.uint32, n, 4 * contexts)
+    lower, total = np.zeros(n, np.uint8), np.zeros(contexts, np.uint32)
+    if order > 1:
+        lower, total = np.frombuffer(small, np.uint8, n, 4 * (contexts + n)), np.frombuffer(small, np.uint32, contexts, 4 * contexts + 5 * n)
+    return np.repeat(own, sizes), words.view("<u8").ravel(), count, lower, np.repeat(total, sizes)
+
+
+_REQUEST, _ANSWER = "_shard int, _block bigint, _data binary", "_block bigint, _order int, _shard int, _data binary, n bigint, v bigint, once bigint"
+
+
+def shard_answers(table: pa.Table, order: int) -> pa.Table:
+    """Answers of one shard: to each request its n-grams' counts and codes; the first one carries the shard's totals, too."""
+    blobs = table["_data"].to_pylist()
+    parts = [opened(x, order) for x in blobs]
+    size = [len(p[0]) for p in parts]
+    context, word, n, lower, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+    rank = np.lexsort((word, context))
+    new = np.ones(len(rank), bool)
+    new[1:] = (context[rank][1:] != context[rank][:-1]) | (word[rank][1:] != word[rank][:-1])
+    at = rank[np.flatnonzero(new)]
+    count = np.add.reduceat(n[rank].astype(np.int64), np.flatnonzero(new))
+    if order > 1:
+        log_p = np.log10(np.minimum((count + PRIOR * 10.0 ** decoded(lower[at])) / (total[at].astype(np.float64) + PRIOR), 1.0))
+    else:
+        log_p = np.zeros(len(at))
+    with tempfile.TemporaryFile() as file:  # unlinked as soon as it is there
+        file.write(NGramTrie.build(context[at], word[at], log_p).dumps())
+        file.flush()
+        trie = NGramTrie.loads(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
+        place = trie.find(context, word)
+        codes = np.asarray(trie.codes)[place]
+    counts = count[place].astype("<u4")
+    cut = np.cumsum([0, *size])
+    data = [zlib.compress(counts[a:b].tobytes() + (codes[a:b].tobytes() if order > 1 else b""), 1) for a, b in zip(cut, cut[1:], strict=False)]
+    stats = [[int(x), *[0] * (len(blobs) - 1)] for x in (count.sum(), (count > 0).sum(), (count == 1).sum())]
+    return pa.table({"_block": table["_block"].combine_chunks(), "_order": pa.array([order] * len(blobs), pa.int32()), "_shard": table["_shard"].combine_chunks(), "_data": pa.array(data, pa.binary()), "n": stats[0], "v": stats[1], "once": stats[2]})
+
+
+def _answers_of(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and codes of a block's n-grams of an order, shard by shard."""
+    table = table.filter(pc.equal(table["_order"], order)).sort_by("_shard")
+    counts, codes = [np.zeros(0, "<u4")], [np.zeros(0, np.uint8)]
+    for blob in table["_data"].to_pylist():
+        raw = zlib.decompress(blob)
+        n = len(raw) // 5 if order > 1 else len(raw) // 4
+        counts.append(np.frombuffer(raw, "<u4", n))
+        codes.append(np.frombuffer(raw, np.uint8, n if order > 1 else 0, 4 * n))
+    return np.concatenate(counts), np.concatenate(codes)
+
+
+def _resumed(texts: pa.Table, answers: pa.Table | None, columns: tuple[str, str, str], order: int, unigrams: Unigrams | None, n_texts: int) -> Block:
+    """A block as it stands after the answers of the orders below ``order``."""
+    block = Block(texts, columns)
+    for k in range(1, order):
+        block.ask(k)
+        block.answered(*_answers_of(answers, k), k, unigrams, n_texts)
+    return block
+
+
+def blocks(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``rows`` with a column that tells their block: a number of its own for each run of about BLOCK_BYTES of text in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, trains, size = [], [], 0
+        held, block = BLOCK_BYTES, 0
         for batch in batches:
-            train = np.asarray(batch.column("train").cast(pa.int8())).astype(bool)
-            for row, to, data, starts, ends in slabs(batch.column("text")):
-                words = Words(data, starts, ends, lower=True)
-                h, doc = _with_ends(words, words.hash, np.uint64(END), to - row)
-                hashes.append(h)
-                trains.append(train[row:to][doc])
-                size += len(h)
-                if size >= FLUSH:
-                    yield flush(hashes, trains)
-                    hashes, trains, size = [], [], 0
-        if size:
-            yield flush(hashes, trains)
+            first, sizes, out = np.asarray(batch.column(row)), np.diff(text_bytes(batch.column(text_col))[1]), []
+            for i, size in enumerate(sizes.tolist()):
+                if held + size > BLOCK_BYTES and held:
+                    held, block = 0, int(first[i])  # the first row's number
+                held += max(size, 1)
+                out.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, "h bigint, n bigint, all bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
+    row = fresh(rows, "row")[0]
+    rows = rows.withColumn(row, F.monotonically_increasing_id())
+    return rows.mapInArrow(run, extended(rows.schema, f"{name} bigint"))
 
 
-class Core:
-    """Common words: sorted hashes and training counts."""
+def _asking(order: int, columns: tuple[str, str, str], shards: int, unigrams: Unigrams | None, n_texts: int):
+    """The functions that make a block's requests: of the first order, and of later ones."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
+    def later(texts: pa.Table, known: pa.Table) -> pa.Table:
+        own = _resumed(texts, known, columns, order, unigrams, n_texts)
+        own.ask(order)
+        parts, name = own.parts(shards), texts["_block"][0].as_py()
+        return pa.table({"_shard": pa.array([s for s, _, _ in parts], pa.int32()), "_block": pa.array([name] * len(parts), pa.int64()), "_data": pa.array([own.request(a, b, order) for _, a, b in parts], pa.binary())})
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each hash, -1 for words that aren't common."""
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+    def first(texts: pa.Table) -> pa.Table:
+        return later(texts, None)
 
+    return first, later
 
-_GRAMS = "n_tokens bigint, _c bigint, _w bigint, _ci int, _cw bigint, _s bigint, _n bigint, _base bigint, _rows array<int>"
 
+def _answering(order: int):
+    def answer(table: pa.Table) -> pa.Table:
+        return shard_answers(table, order)
 
-def grams(rows: DataFrame, passed: list[str], text_col: str, core) -> DataFrame:
-    """For each row one without its text, with n_tokens; and the pairs of tokens, with those columns null.
-
-    rows has _row and held_out; core: a broadcast. A pair has its context _c, the word _w, the place _ci of a
-    common context, the count _cw of a common word, a hash _s that it is dealt by, the count _n in training, and a
-    row _base + x for each x in _rows, repeated as often as the pair stands there.
-    """
-    schema = extended(rows.select(*passed).schema, _GRAMS)
-    for field in schema.fields:
-        field.nullable = True
-    names = schema.names
-
-    def pairs(parts: list[tuple], types: list[pa.DataType]) -> pa.RecordBatch:
-        c, w, row, train = (np.concatenate(x) for x in zip(*parts, strict=True))
-        base, known = row.min(), core.value
-        order = np.lexsort((row, w, c))
-        c, w, row, train = c[order], w[order], row[order], train[order]
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
-        at = np.flatnonzero(new)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(c)), pa.int32()), pa.array((row - base).astype(np.int32)))
-        c, w = c[at], w[at]
-        ci, wi = known.find(c), known.find(w)
-        s = np.where(ci < 0, mix(c), mix(c * np.uint64(_Q) + w))
-        cw = pa.array(known.counts[np.maximum(wi, 0)], pa.int64(), mask=wi < 0)
-        own = [pa.array(signed(c)), pa.array(signed(w)), pa.array(ci, pa.int32()), cw, pa.array(signed(s)), pa.array(np.add.reduceat(train.astype(np.int64), at)), pa.array(np.full(len(at), base)), lists]
-        return pa.RecordBatch.from_arrays([*[pa.nulls(len(at), t) for t in types], pa.nulls(len(at), pa.int64()), *own], names=names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, types = [], 0, []
-        for batch in batches:
-            types = [batch.schema.field(c).type for c in passed]
-            number = np.asarray(batch.column("_row"))
-            train = ~np.asarray(batch.column("held_out").cast(pa.int8())).astype(bool)
-            for row, to, data, starts, ends in slabs(batch.column(text_col)):
-                words = Words(data, starts, ends, lower=True)
-                w, doc = _with_ends(words, words.hash, np.uint64(END), to - row)
-                c = np.empty_like(w)
-                c[0], c[1:] = END, w[:-1]  # the end of one text stands before the first word of the next
-                parts.append((c, w, number[row:to][doc], train[row:to][doc]))
-                size += len(w)
-                part = batch.slice(row, to - row)
-                yield pa.RecordBatch.from_arrays([*[part.column(x) for x in passed], pa.array(np.bincount(doc, minlength=to - row)), *[pa.nulls(to - row, f) for f in (pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int32()))]], names=names)
-                if size >= PAIR_FLUSH:
-                    yield pairs(parts, types)
-                    parts, size = [], 0
-        if size:
-            yield pairs(parts, types)
-
-    return rows.mapInArrow(run, schema)
+    return answer
 
 
-class Unigrams:
-    """p(token): unseen tokens share the rate of tokens seen once, (once + 1) / (N + 1); seen ones share the rest by count."""
-
-    def __init__(self, n_train: int, once: int):
-        self.n_train = n_train
-        self.unseen = (once + 1) / (n_train + 1) if n_train else 1.0
-
-    def probs(self, counts: np.ndarray) -> np.ndarray:
-        seen = max(1 - self.unseen, 1e-300) * counts / max(self.n_train, 1)
-        return np.where(counts > 0, seen, self.unseen)
-
-
-def shard_sums(table: pa.Table, core: Core, successors: np.ndarray, unigrams: Unigrams) -> pa.Table:
-    """(_row, known, base, score): sums over the pairs of one shard; successors: distinct ones of each common context in training."""
-    c, w, ci, cw, n, base, whole = (np.asarray(table[x]) for x in ("_c", "_w", "_ci", "_cw", "_n", "_base", "_total"))
-    lists = table["_rows"].combine_chunks()
-    vocabulary, code = np.unique(np.concatenate([c, w]), return_inverse=True)
-    key, of = np.unique(code[: len(c)] * len(vocabulary) + code[len(c) :], return_inverse=True)
-    first, second = key // len(vocabulary), key % len(vocabulary)
-    count = np.bincount(of, n, len(key))
-    count[of[whole >= 0]] = whole[whole >= 0]  # a common pair is in other shards too
-    width = len(vocabulary)
-    total, distinct, word_count = np.bincount(first, count, width), np.bincount(first, count > 0, width), np.zeros(width, np.int64)
-    common = ci >= 0
-    total[code[: len(c)][common]] = core.counts[ci[common]]  # every word but the end has a successor, and every text a first one
-    distinct[code[: len(c)][common]] = successors[ci[common]]
-    word_count[code[len(c) :]] = cw
-    backoff = np.where(total > 0, DISCOUNT * distinct / np.maximum(total, 1), 1.0)
-    lower = unigrams.probs(word_count)
-    kept = np.flatnonzero(count > 0)
-    probability = np.minimum((count[kept] - DISCOUNT) / total[first[kept]] + backoff[first[kept]] * lower[second[kept]], 1.0)
-    trie = NGramTrie.build(first[kept], second[kept], np.log10(probability), np.log10(backoff))
-    score = trie.log_probs(first, second, np.log10(lower))[of]
-    size = np.asarray(lists.value_lengths())
-    row, back = np.unique(np.repeat(base, size) + np.asarray(lists.flatten()), return_inverse=True)
-    sums = [np.bincount(back, np.repeat(x, size), len(row)) for x in (cw > 0, np.log10(cw + 1), score)]
-    return pa.table({"_row": row, "known": sums[0].astype(np.int64), "base": sums[1], "score": sums[2]})
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Every row of ``docs``, without its text, with held_out, n_tokens, n_known, train_tokens, base_score and score.
 
     The model learns from rows of ``docs`` that are not held out. A-Z count as a-z; tokens are words
-    between white space and one end. base_score sums log10((c + 1) / (N + V + 1)); score is the model's
-    log10 probability of the text: p(word | context) = max(n - D, 0) / n(context) + D * distinct successors /
-    n(context) * p(word), or p(word) after a context that training hasn't. Null text counts as empty: one
-    token, the end. A row without id is learned from. Other columns pass through; columns with the names
-    of new ones are replaced. Without any training text every token is unseen.
+    between white space and one end. base_score sums log10((c + 1) / (N + V + 1)) with c the token's training
+    count, N all of them and V distinct ones; score is the model's log10 probability of the text. Null text
+    counts as empty: one token, the end. A row without id is learned from. Repeated rows each count and each
+    have a score. Texts of any length are read whole. Other columns pass through, whatever their names; columns with the
+    names of new ones are replaced. Without any training text every token is unseen. An empty table gives no rows.
     """
-    context = docs.sparkSession.sparkContext
     docs = docs.drop("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    counts = written(token_counts(_keyed(docs, id_col, text_col)), "counts")
-    n_train, n_all, vocabulary, once = (int(x or 0) for x in counts.agg(F.sum("n"), F.sum("all"), F.sum((F.col("n") > 0).cast("long")), F.sum((F.col("n") == 1).cast("long"))).first())
-    end = signed(np.array([END], np.uint64))[0].item()
-    common = counts.filter((F.col("all") >= CORE_SHARE * n_all) | (F.col("h") == end)).select("h", "n").toArrow()  # at most 1 / CORE_SHARE, and the end
-    h, n = np.asarray(common["h"]).view(np.uint64), np.asarray(common["n"])
-    if not len(h):
-        h, n = np.array([END], np.uint64), np.zeros(1, np.int64)
-    order = np.argsort(h)
-    core = context.broadcast(Core(h[order], n[order]))
-
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("held_out", held_out(id_col))
-    passed = [c for c in rows.columns if c != text_col]
-    both = written(grams(rows, passed, text_col, core), "grams")
-    pairs = both.filter(F.col("_c").isNotNull()).select("_c", "_w", "_ci", "_cw", "_s", "_n", "_base", "_rows")
-    learned = pairs.filter((F.col("_ci") >= 0) & (F.col("_n") > 0)).select("_ci", "_s").distinct().groupBy("_ci").count().toArrow()
-    distinct = np.zeros(len(h), np.int64)
-    distinct[np.asarray(learned["_ci"])] = np.asarray(learned["count"])
-    successors, unigrams = context.broadcast(distinct), Unigrams(n_train, once)
-    size, pair = F.size("_rows"), pairs.filter("_ci >= 0")
-    large = pair.filter(size >= 16).groupBy("_s").agg(F.sum(size).alias("m")).filter(F.col("m") >= PAIR_SHARE * n_all).select("_s")
-    totals = written(pair.join(F.broadcast(large), "_s").groupBy("_s").agg(F.sum("_n").alias("_total")), "common-pairs")
-    # A word that isn't common is below CORE_SHARE of all tokens, so no key of this join is hot.
-    rare = pairs.filter(F.col("_cw").isNull()).drop("_cw").join(counts.select(F.col("h").alias("_w"), F.col("n").alias("_cw")).hint("merge"), "_w")
-    dealt = pairs.filter(F.col("_cw").isNotNull()).unionByName(rare).join(F.broadcast(totals), "_s", "left")
-    by = F.when(F.col("_total").isNull(), F.col("_s")).otherwise(F.xxhash64("_s", "_base"))
-    dealt = dealt.withColumn("_shard", F.pmod(by, F.lit(-(-n_all // SHARD) or 1))).withColumn("_total", F.coalesce("_total", F.lit(-1))).drop("_s")
-    parts = dealt.groupBy("_shard").applyInArrow(lambda table: shard_sums(table, core.value, successors.value, unigrams), "_row bigint, known bigint, base double, score double")
-    sums = parts.groupBy("_row").agg(*[F.sum(c).alias(f"_{c}") for c in ("known", "base", "score")])
+    block, text, train = fresh(docs, "block", "lm_text", "train")
+    rows = docs.withColumns({text: F.coalesce(F.col(text_col), F.lit("")), train: ~held_out(id_col)}).drop(text_col)
+    row = fresh(rows, "row")[0]
+    rows = written(blocks(rows, text, block), "blocks", "zstd")
+    columns = (row, text, train)
+    totals = rows.agg(F.count(F.lit(1)), F.count_if(F.col(train)), F.sum(F.octet_length(text))).first()
+    n_texts, shards = int(totals[1]), max(1, -(-(int(totals[2] or 0) // 5 + int(totals[0])) // SHARD))
+    answers, unigrams, n_train, vocabulary = None, None, 0, 0
+    needed = rows.select(F.col(block).alias("_block"), *columns)
+    grouped = needed.groupBy("_block")
+    for k in range(1, order + 1):
+        first, later = _asking(k, columns, shards, unigrams, n_texts)
+        requests = grouped.applyInArrow(first, _REQUEST) if answers is None else grouped.cogroup(answers.groupBy("_block")).applyInArrow(later, _REQUEST)
+        found = written(requests.groupBy("_shard").applyInArrow(_answering(k), _ANSWER), "answers")
+        if k == 1:
+            n_train, vocabulary, once = (int(x or 0) for x in found.agg(F.sum("n"), F.sum("v"), F.sum("once")).first())
+            unigrams = Unigrams(n_train, once)
+        found = found.select("_block", "_order", "_shard", "_data")
+        answers = found if answers is None else answers.unionByName(found)
+
     whole = float(np.log10(n_train + vocabulary + 1))
-    out = both.filter(F.col("_c").isNull()).select(*passed, "n_tokens").join(sums.hint("merge"), "_row")
+
+    def scores(texts: pa.Table, known: pa.Table) -> pa.Table:
+        own = _resumed(texts, known, columns, 2, unigrams, n_texts)
+        n, base, seen = (np.bincount(own.doc, x, len(own.rows)) for x in (np.ones(len(own.doc)), np.log10(own.count[own.of] + 1) - whole, own.count[own.of] > 0))
+        for k in range(2, order + 1):
+            own.ask(k)
+            own.answered(*_answers_of(known, k), k, unigrams, n_texts)
+        score = np.bincount(own.doc, own.log_p[own.of], len(own.rows))
+        return pa.table({"_row": own.rows, "_n": n.astype(np.int64), "_known": seen.astype(np.int64), "_base": base, "_score": score})
+
+    results = needed.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(scores, "_row bigint, _n bigint, _known bigint, _base double, _score double")
+    inner = fresh(rows, "r", "t", "u", "b", "s")
+    out = rows.drop(text, block).join(results.toDF(*inner).hint("merge"), F.col(row) == F.col(inner[0]))
     return out.select(
-        *[c for c in docs.columns if c != text_col], "held_out", "n_tokens", F.col("_known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("_base") - F.col("n_tokens") * whole).alias("base_score"), F.col("_score").alias("score"),
+        *[c for c in docs.columns if c != text_col], (~F.col(train)).alias("held_out"), F.col(inner[1]).alias("n_tokens"), F.col(inner[2]).alias("n_known"),
+        F.lit(n_train).cast("long").alias("train_tokens"), F.col(inner[3]).alias("base_score"), F.col(inner[4]).alias("score"),
     )

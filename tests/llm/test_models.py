@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 
 from quillon.llm.byte_bpe import coder, encode_decode
-from quillon.llm.ngram_lm import EliasFano, NGramTrie, score_texts
+from quillon.llm.ngram_lm import PRIOR, EliasFano, NGramTrie, decoded, score_texts
 from quillon.llm.quality_cnn import Network, held_out, score_quality, train
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -118,18 +118,19 @@ def test_elias_fano(top):
 
 def test_trie_keeps_pairs(tmp_path):
     r = np.random.default_rng(2)
-    key = np.unique(r.integers(0, 60 * 60, 500))
-    first, second = key // 60, key % 60
-    ratio, backoff = r.normal(size=len(key)), r.normal(size=60)
-    blob = NGramTrie.build(first, second, ratio, backoff).dumps()
+    pairs = np.unique(np.stack([r.integers(0, 60, 900) * (1 << 55) // 7, r.integers(0, 1 << 40, 900) % 97 * (1 << 33)], 1).astype(np.uint64), axis=0)
+    context, word = pairs.T
+    log_p = -r.uniform(0, 9, len(context))
+    blob = NGramTrie.build(context, word, log_p).dumps()
     (tmp_path / "t").write_bytes(blob)
     for trie in (NGramTrie.loads(blob), NGramTrie.open(str(tmp_path / "t"))):
-        assert trie.successors_of(7).tolist() == second[first == 7].tolist()
-        lower = np.linspace(-3, -1, 60)
-        got = trie.log_probs(first, second, lower)
-        assert np.abs(got - ratio).max() < 0.3 and np.corrcoef(got, ratio)[0, 1] > 0.999
-        absent = np.setdiff1d(np.arange(3600), key)
-        assert np.abs(trie.log_probs(absent // 60, absent % 60, lower) - backoff[absent // 60] - lower[absent % 60]).max() < 0.3
+        some = int(context[40])
+        assert trie.successors_of(some).tolist() == word[context == some].tolist() and trie.successors_of(5).tolist() == []
+        place = trie.find(context, word)
+        assert place.tolist() == list(range(len(context))) and np.abs(decoded(trie.codes[place]) - log_p).max() < 0.03
+        assert (trie.find(context, word + np.uint64(1)) == -1).all() and (trie.find(context + np.uint64(1), word) == -1).all()
+    levels = (trie.contexts, trie.pointers, trie.successors)
+    assert sum(e.low.nbytes + e.high.nbytes + e.ones.nbytes for e in levels) < 11 * len(context)  # a pair has 102 bits
 
 
 def test_lm_base_score_and_totals(docs, odd_docs, empty):
@@ -148,26 +149,39 @@ def test_lm_base_score_and_totals(docs, odd_docs, empty):
     assert score_texts(empty).count() == 0
 
 
-@pytest.mark.parametrize("shard", [1 << 18, 40])
-def test_lm_scores_with_every_pair(spark, monkeypatch, shard):
-    monkeypatch.setattr("quillon.llm.ngram_lm.SHARD", shard)
-    monkeypatch.setattr("quillon.llm.ngram_lm.CORE_SHARE", 0.02)
+@pytest.mark.parametrize(("shard", "block", "hot", "order"), [(1 << 20, 1 << 23, 1 << 14, 2), (40, 700, 30, 2), (90, 1500, 25, 3)])
+def test_lm_scores_with_every_pair(spark, monkeypatch, shard, block, hot, order):
+    for name, value in (("SHARD", shard), ("BLOCK_BYTES", block), ("HOT", hot)):
+        monkeypatch.setattr(f"quillon.llm.ngram_lm.{name}", value)
     r = np.random.default_rng(6)
-    rows = [(i, " ".join(f"w{x}" for x in np.minimum(r.zipf(1.3, r.integers(0, 60)), 90))) for i in range(120)] + [(500, None), (501, "w1 never seen w2")]
+    rows = [(i, " ".join(f"w{x}" for x in np.minimum(r.zipf(1.3, r.integers(0, 60)), 90))) for i in range(120)] + [(500, None), (501, "w1 never seen w2"), (503, "w1 w2"), (503, "w1 w2")]
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    path = lambda t: ["", *(t or "").split(), ""]
-    words, pairs = Counter(w for i, t in rows if not held(i) for w in path(t)[1:]), Counter(p for i, t in rows if not held(i) for p in zip(path(t), path(t)[1:], strict=False))
-    n, once, after = sum(words.values()), sum(c == 1 for c in words.values()), Counter(c for c, _ in pairs)
+    path = lambda t: ["^"] * (order - 1) + [*(t or "").split(), "$"]
+    grams = Counter(tuple(p[j - k : j + 1]) for i, t in rows if not held(i) for p in [path(t)] for j in range(order - 1, len(p)) for k in range(order))
+    contexts = Counter(tuple(p[j - k : j]) for i, t in rows if not held(i) for p in [path(t)] for j in range(order - 1, len(p)) for k in range(order))
+    n, once = contexts[()], sum(c == 1 for g, c in grams.items() if len(g) == 1)
     unseen = (once + 1) / (n + 1)
 
-    def p(c, w):
-        lower = (1 - unseen) * words[w] / n if words[w] else unseen
-        if not words[c]:
-            return lower
-        return min(1, max(pairs[c, w] - 0.75, 0) / words[c] + 0.75 * after[c] / words[c] * lower)
-
-    got = {x.doc_id: x.score for x in score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert len(got) == len(rows) and 1 in pairs.values()
-    for i, t in rows:
-        want = [math.log10(p(c, w)) for c, w in zip(path(t), path(t)[1:], strict=False)]
-        assert got[i] == pytest.approx(sum(want), abs=0.02 * len(want) + 0.02)
+    def p(gram):
+        if len(gram) == 1:
+            return (1 - unseen) * grams[gram] / n if grams[gram] else unseen
+        return (grams[gram] + PRIOR * p(gram[1:])) / (contexts[gram[:-1]] + PRIOR)
+
+    score = lambda t: [math.log10(p(tuple(x[j - order + 1 : j + 1]))) for x in [path(t)] for j in range(order - 1, len(x))]
+    words = {g for g in grams if len(g) == 1}
+    some = ("w1",) if order == 2 else ("w1", "w2")
+    assert sum(p((*some, *w)) for w in words) + unseen * PRIOR**(order - 1) / math.prod(contexts[some[k:]] + PRIOR for k in range(order - 1)) == pytest.approx(1)  # one unseen word
+    got = score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), order=order).collect()
+    assert len(got) == len(rows)
+    texts = dict(rows)
+    for x in got:
+        want = score(texts[x.doc_id])
+        assert x.score == pytest.approx(sum(want), abs=0.03 * len(want) + 0.02)
+
+
+def test_lm_with_inner_names_as_columns(docs):
+    more = docs.selectExpr("*", "'a' as _row", "'b' as row", "'c' as block", "'d' as train", "'e' as lm_text", "'f' as Base_score", "'g' as r", "'h' as _block")
+    out = score_texts(more)
+    assert {r.row for r in out.collect()} == {"b"} and {r._row for r in out.collect()} == {"a"} and set(more.columns) - {"text", "Base_score"} <= set(out.columns)
+    plain = sorted((r.score for r in score_texts(docs).collect()))
+    assert sorted(r.score for r in out.collect()) == pytest.approx(plain)
