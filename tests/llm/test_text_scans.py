@@ -1,8 +1,10 @@
 import gzip
 import hashlib
 import io
+import random
 import re
 import time
+from collections import defaultdict
 
 import pytest
 
@@ -64,27 +66,49 @@ def test_torn_slots_are_no_leak(spark):
     assert got == {1}
 
 
-def test_license_scan_equals_brute_force(spark, docs, empty):
-    def words(t):
-        return [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+def brute_licenses(rows):
+    """(id, license): (containment, places) by all windows of all size classes against all templates."""
 
     def shingles(t):
-        w = words(t)
-        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        w = [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+        return [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
+
+    known = [(name, i, set(shingles(x))) for name, texts in TEMPLATES.items() for i, x in enumerate(texts)]
+    size = {len(s): 1 << (len(s) - 1).bit_length() for *_, s in known}
+    found = defaultdict(lambda: [0.0, set()])
+    for key, text in rows:
+        row = shingles(text)
+        windows = defaultdict(dict)  # of the same shingles in the same order, whatever the class
+        for c in set(size.values()):
+            for at in range(0, max(len(row), 1), c):
+                window = tuple(dict.fromkeys(row[at : at + 2 * c]))
+                for name, i, s in known:
+                    if size[len(s)] == c and (m := s & set(window)) and len(m) >= 0.8 * len(s):
+                        windows[window][name, i] = (len(m) / len(s), m)
+        for window, held in windows.items():
+            for (name, _), (share, m) in held.items():
+                if not any(o > share and m <= x for o, x in held.values()):
+                    best = found[key, name]
+                    best[0] = max(best[0], share)
+                    best[1].add(window)
+    return {k: (share, len(places)) for k, (share, places) in found.items()}
+
 
-    fill = " ".join(f"w{i}" for i in range(200))
-    rows, want = [], set()
-    for n, (name, texts) in enumerate(TEMPLATES.items()):
+def test_license_scan_equals_brute_force(spark, docs, empty):
+    r = random.Random(5)
+    fill = [f"w{i}" for i in range(900)]
+    rows = [(900, None), (901, ""), (902, " ".join(fill)), (903, "Released under the"), (904, "released under many different licenses"), (None, "Released under the MIT License.")]
+    for n, (_, texts) in enumerate(TEMPLATES.items()):
         for k, t in enumerate(texts):
-            i = 10 * n + k
-            rows.append((i, f"{fill[: 7 * i]} x {t.upper() if k % 2 else t} y {fill[: 5 * i]}"))
-            want.add((i, name))
-    rows += [(900, None), (901, ""), (902, fill), (903, "Released under the"), (904, "released under many different licenses")]
-    got = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert want <= {(r.doc_id, r.license) for r in got} and not [r for r in got if r.doc_id >= 900]
-    held = {(i, name): max(len(shingles(t) & shingles(x)) / len(shingles(x)) for x in texts) for i, t in rows for name, texts in TEMPLATES.items()}
-    assert all(held[r.doc_id, r.license] >= 0.8 and r.containment == pytest.approx(held[r.doc_id, r.license]) for r in got)
-    assert license_scan(docs).count() == 0 and license_scan(empty).count() == 0
+            w = t.upper().split() if k % 2 else t.split()
+            for j in range(len(w)):
+                if r.random() < (0.0, 0.02, 0.04)[k % 3]:
+                    w[j] = "other"
+            rows.append((10 * n + k, " ".join(fill[: r.randrange(60)] + w + fill[r.randrange(900) :])))
+    rows += rows[-2:] + [(950, " ".join(fill * 30 + [t for texts in TEMPLATES.values() for t in texts] + fill * 20))]
+    got = {(x.doc_id, x.license): (x.containment, x.places) for x in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_licenses(rows) and len(got) > 2 * len(TEMPLATES) and {i for i, _ in got} >= {None, 950}
+    assert license_scan(docs.selectExpr("*", "1 as _id", "2 as _words", "3 as license")).count() == 0 and license_scan(empty).count() == 0
 
 
 PAGE = "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>Menu one</a></li></ul></nav><div class=ad>Buy this now please</div><article><h1>Head &amp; more</h1><p>First  part\nof <b>text<br>goes on</p><p>Second part of it here.</article><footer>&copy; someone or other</footer></body></html>"
