@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from quillon.functions.text import stripped
 
@@ -126,3 +127,17 @@ def chunk(sources: DataFrame, strategy: str = "paragraph") -> DataFrame:
     """By the name of a strategy; unknown names mean paragraphs."""
     made = {"markdown": chunk_markdown, "fixed": chunk_fixed, "code": lambda s: chunk_fixed(s, 800, 100)}
     return made.get(strategy, chunk_paragraph)(sources)
+
+
+class ChunkRows:
+    """A table function: the pieces of a text by the name of a strategy, for SQL."""
+
+    def eval(self, text: str, strategy: str):
+        cut = {"markdown": markdown_pieces}.get(strategy, paragraph_pieces)
+        for p in cut(text or ""):
+            yield p["position"], p["char_start"], p["char_end"], p["section"], p["content"]
+
+
+def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
+    """``SELECT id, c.* FROM docs, LATERAL chunk_text(text, 'paragraph') c``."""
+    spark.udtf.register(name, udtf(ChunkRows, returnType="position int, char_start int, char_end int, section string, content string"))

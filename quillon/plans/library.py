@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import parsing as P
 from quillon.functions import text as T
-from quillon.operators import dedupe, exports, graph, ingest, models, search, similar
+from quillon.operators import chunking, dedupe, exports, graph, ingest, models, search, similar
 from quillon.operators.index import SearchIndex
 from quillon.plans.queries import _CHUNKS, _WORDS, _chunks, query
 from quillon.sources.plugins import changed
@@ -326,6 +326,23 @@ def merged_stream(spark, folder):
     return spark.read.schema(schema).parquet(newest["table"]).select("path", "kind")
 
 
+@query("""SELECT conv_id AS id, turn::INTEGER AS turn, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE strlen(coalesce(text, '')) BETWEEN 1 AND 700 AND text NOT LIKE '%' || chr(10) || chr(10) || '%' AND trim(text) <> ''""")
+def chunk_function(spark, folder):
+    """Turns of one paragraph through the chunker as a table function of SQL: one piece each."""
+    chunking.register_chunker(spark)
+    rows = table(spark, folder, "conversations").filter("octet_length(text) between 1 and 700 and not contains(text, '\\n\\n') and trim(text) != ''")
+    rows.createOrReplaceTempView("quillon_turns")
+    return spark.sql("SELECT conv_id AS id, int(turn) AS turn, c.content FROM quillon_turns, LATERAL chunk_text(text, 'paragraph') c")
+
+
+@query("""SELECT c_mktsegment AS collection, count(*) AS n, max(c_acctbal) AS best FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) GROUP BY 1""")
+def guarded_collection(spark, folder):
+    """What a collection still holds, which guards its removal, found by its name."""
+    rows = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("collection"), "c_acctbal")
+    first = rows.select("collection").orderBy("collection").limit(1)
+    return rows.join(F.broadcast(first), "collection", "left_semi").groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.max("c_acctbal").alias("best"))
+
+
 # ------------------------------------------------------------------ exports and imports
 
 _NAME = "translate(translate({x}, '?\"<>', ''), '/\\:*| ', '-----_')"

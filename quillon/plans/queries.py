@@ -241,11 +241,19 @@ def chunk_fixed(spark, folder):
     return _chunks(spark, folder).select("id", "position", "char_start", "char_end", F.length("content").cast("long").alias("n_chars"), F.sha2("content", 256).alias("content_hash"))
 
 
-@query()
+_TRIM = f"trim({{0}}, {_SPACES})"
+_FULL = "concat(CASE WHEN s.held = 0 THEN '' ELSE concat(s.buf, chr(10), chr(10)) END, x.buf)"
+
+
+@query(f"""WITH p AS (SELECT doc_id AS id, list_transform(string_split(replace(coalesce(text, ''), chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {{'out': []::VARCHAR[], 'buf': x, 'held': strlen(x) + 2}}) AS parts FROM documents),
+f AS (SELECT id, list_reduce(parts, lambda s, x: CASE WHEN s.held + x.held >= 800 THEN {{'out': CASE WHEN {_TRIM.format(_FULL)} = '' THEN s.out ELSE list_append(s.out, {_TRIM.format(_FULL)}) END, 'buf': '', 'held': 0::BIGINT}} ELSE {{'out': s.out, 'buf': {_FULL}, 'held': s.held + x.held}} END,
+  {{'out': []::VARCHAR[], 'buf': '', 'held': 0::BIGINT}}) AS r FROM p),
+c AS (SELECT id, CASE WHEN {_TRIM.format('r.buf')} = '' THEN r.out ELSE list_append(r.out, {_TRIM.format('r.buf')}) END AS pieces FROM f)
+SELECT id, (i - 1)::INTEGER AS position, md5(pieces[i]) AS digest FROM (SELECT id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM c)""")
 def chunk_paragraph(spark, folder):
     """Paragraph pieces, with a line as paragraph."""
     rows = sources(spark, folder).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return chunking.chunk_paragraph(rows)
+    return chunking.chunk_paragraph(rows).select("id", "position", F.md5("content").alias("digest"))
 
 
 @query()
@@ -346,12 +354,15 @@ def classify_cosine(spark, folder):
     return out.select("id", F.col("collection").cast("int").alias("collection"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id AS id, word, ln(1 + count(*)) AS x FROM (SELECT doc_id, unnest({_WORDS.format("coalesce(text, '')")}) AS word FROM documents) GROUP BY ALL),
+v AS (SELECT DISTINCT word FROM w), n AS (SELECT word, unnest(range(1, 4)) AS k FROM v), g AS (SELECT word, substr(word, i::BIGINT, k) AS gram FROM (SELECT word, k, unnest(range(1, length(word) - k + 2)) AS i FROM n WHERE k <= length(word))),
+d AS (SELECT gram, list_reduce(list_transform(range(0, strlen(gram)), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i + 1, 2))::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261) % 512 AS bucket FROM (SELECT DISTINCT gram FROM g)),
+b AS (SELECT word, bucket, count(*) AS m FROM g JOIN d USING (gram) GROUP BY ALL), s AS (SELECT id, bucket, sum(x * m) AS x FROM w JOIN b USING (word) GROUP BY ALL), z AS (SELECT id, sqrt(sum(x * x)) AS size FROM s GROUP BY id)
+SELECT id, bucket::INTEGER AS bucket, round((x / size)::FLOAT::DOUBLE, 5) AS weight FROM s JOIN z USING (id)""")
 def embed_hash(spark, folder):
-    """Hash vectors of every document, with their size."""
-    rows = sources(spark, folder).select("id", F.col("text").alias("content"))
-    out = embed.embed_hash(rows)
-    return out.select("id", F.size("vector").alias("dim"), F.size(F.filter("vector", lambda x: x != 0)).alias("filled"), F.md5(F.array_join(F.transform("vector", lambda x: F.round(x.cast("double"), 4).cast("string")), ",")).alias("digest"))
+    """Hash vectors of every document: what isn't zero of them."""
+    out = embed.embed_hash(sources(spark, folder).select("id", F.col("text").alias("content")))
+    return out.select("id", F.posexplode("vector").alias("bucket", "w")).filter("w != 0").select("id", "bucket", F.round(F.col("w").cast("double"), 5).alias("weight"))
 
 
 # ------------------------------------------------------------------ graph

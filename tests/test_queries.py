@@ -33,7 +33,7 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["id", "score"]
 
 
-@pytest.mark.parametrize("name", ["chunk_paragraph", "chunk_markdown"])
+@pytest.mark.parametrize("name", ["chunk_markdown"])
 def test_chunks_cover_their_sources(spark, name):
     out = entry.queries()[name](spark, FOLDER).toPandas()
     sizes = out.groupby("id").size()
