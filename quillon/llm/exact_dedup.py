@@ -62,8 +62,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return group_join(full.distinct(), groups, ["full_hash"], "group_size", full.count())
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None) -> DataFrame:
-    """Every row of ``docs`` with keep_id, group_size and kept.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None, names: tuple[str, str, str] = ("keep_id", "group_size", "kept")) -> DataFrame:
+    """Every row of ``docs`` with keep_id, group_size and kept, or what ``names`` calls them.
 
     Texts are equal when identical after no change; null equals the empty text, and texts of any length are
     compared whole. Of equal texts the row with the largest id stays. A null id is smaller than any other and
@@ -74,9 +74,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With ``digest_col`` each row has the SHA-256 of its text by that name in place of the text, which then
     isn't carried through the last join.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", *([digest_col] if digest_col else []))
+    docs = docs.drop(*names, *([digest_col] if digest_col else []))
     text = normalised(F.col(text_col))
-    i, n, p, own, g_i, g_n, g_p, g_hash, g_keep, g_size = fresh(docs, "i", "n", "p", "own", "g_i", "g_n", "g_p", "g_hash", "g_keep", "g_size")
+    i, n, p, own, g_i, g_n, g_p, g_hash, g_keep, g_size = fresh(docs.select("*", *[F.lit(0).alias(x) for x in names]), "i", "n", "p", "own", "g_i", "g_n", "g_p", "g_hash", "g_keep", "g_size")
     found = exact_groups(docs, id_col, text_col).withColumnsRenamed({"id": g_i, "len": g_n, "prefix": g_p, "full_hash": g_hash, "keep_id": g_keep, "group_size": g_size})
     rows = docs.withColumns({i: F.col(id_col), n: _length(text), p: _prefix(text)})
     if digest_col:
@@ -88,5 +88,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grouped = F.col(g_hash).isNotNull()
     if digest_col:
         joined = joined.withColumn(digest_col, F.col(own)).drop(own)
-    new = {"keep_id": F.when(grouped, F.col(g_keep)).otherwise(F.col(id_col)), "group_size": F.coalesce(F.col(g_size), F.lit(1).cast("long"))}
-    return joined.withColumns(new).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id"))).drop(i, n, p, g_i, g_n, g_p, g_hash, g_keep, g_size)
+    new = {names[0]: F.when(grouped, F.col(g_keep)).otherwise(F.col(id_col)), names[1]: F.coalesce(F.col(g_size), F.lit(1).cast("long"))}
+    return joined.withColumns(new).withColumn(names[2], F.col(id_col).eqNullSafe(F.col(names[0]))).drop(i, n, p, g_i, g_n, g_p, g_hash, g_keep, g_size)

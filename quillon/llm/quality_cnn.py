@@ -80,6 +80,14 @@ class Network:
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
         self.w["embed"][256] = 0
 
+    @classmethod
+    def constant(cls, probability: float) -> Network:
+        """A network that says the same of every text."""
+        out = cls()
+        out.w["out"][:] = 0
+        out.w["out_bias"][:] = np.log(probability / (1 - probability))
+        return out
+
     def halves(self, at: Layout, trace: bool = False) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
         """Pooled activations of each half, the window that each comes from if traced, and the blocks of byte vectors."""
         x = self.w["embed"][at.codes].reshape(-1, STRIDE * PLANES)
@@ -210,35 +218,35 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Only this bounded sample reaches the driver, as whole texts of at most ``SAMPLE_CHARS`` characters.
     Classes weigh as they do among all labels. Null labels, ids or texts and ids without a document are
-    left out; without any label of both classes the network stays as it began and says so by scores near
-    one half.
+    left out. Without labelled texts of both classes there is nothing to tell them apart by: all texts score 0.01
+    if some are labelled 0, and else 0.99, so that a filter keeps them.
     """
     marked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("y"))
     counts = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
     if len(counts) < 2:
-        return Network()
+        return Network.constant(0.01 if 0 in counts else 0.99)
     picked = [marked.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class) for y in sorted(counts)]
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).filter(F.length("t") <= SAMPLE_CHARS)
     sample = texts.join(F.broadcast(picked[0].unionByName(picked[1])), "k")  # 2 * per_class rows
     rows = sorted({(r["k"], r["t"], r["y"]) for r in sample.toLocalIterator()})
-    if len({y for *_, y in rows}) < 2:
-        return Network()
+    if len(found := {y for *_, y in rows}) < 2:
+        return Network.constant(0.01 if 0 in found else 0.99)
     return Network().fit([t.encode() for _, t, _ in rows], [y for *_, y in rows], counts[1] / sum(counts.values()), steps)
 
 
-def score_quality(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on).
+def score_quality(docs: DataFrame, network: Network, text_col: str = "text", threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Every row of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on), or what ``names`` calls them.
 
     Only the text goes into a score; null counts as empty, and an empty text has a score too. Repeated
     rows are scored alike; a text's score doesn't depend on what it is batched with but for rounding. Other
-    columns pass through; columns named score or predicted are replaced. An empty table gives no rows.
+    columns pass through; columns with the new names are replaced. An empty table gives no rows.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [network.scores(data, starts, ends) for _, _, data, starts, ends in slabs(batch.column(text_col), STEP_BYTES)]
             scores = np.concatenate(found or [np.zeros(0)]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= threshold).cast(pa.int32())], names=[*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), pa.array(scores >= threshold).cast(pa.int32())], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, extended(docs.schema, "score double, predicted int"))
+    return docs.mapInArrow(run, extended(docs.schema, f"{names[0]} double, {names[1]} int"))

@@ -99,6 +99,22 @@ def test_op10(spark, texts):
     assert {(r.doc_id, r.license) for r in QUERIES["op10_license_scan"](spark, FOLDER).collect()} == want
 
 
+def test_pipeline_stages_on_odd_rows(spark, docs, odd_docs, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    more = docs.selectExpr("*", "'a' as _row", "'b' as key", "'c' as fp", "'d' as ord", "'e' as i", "'f' as own", "'g' as block", "1 as predicted", "2 as keep_id").drop("key", "score").withColumn("score", docs.doc_id)
+    for name, stage in pipeline.STAGES:
+        out, none = stage(spark, more, FOLDER), stage(spark, more.limit(0), FOLDER)
+        assert none.count() == 0, name
+        rows = out.collect()
+        assert len(rows) <= len(odd_docs) and (rows or name == "quality classifier"), name  # a few labels of these ids say what they say
+        if name != "byte-level BPE":
+            assert out.columns == more.columns, name
+            assert {(r.doc_id, r.text) for r in rows} <= {(i, t) for i, t, _ in odd_docs}, name
+        assert {r.score for r in rows} == {r.doc_id for r in rows} and {r._row for r in rows} <= {"a"}, name
+    by = {(r.doc_id, r.lang) for r in dict(pipeline.STAGES)["exact dedup"](spark, more, FOLDER).collect()}
+    assert (5, "fr") in by and (4, "fr") not in by and (14, "de") in by  # null counts as empty; the largest id stays
+
+
 def test_pipeline_stages(spark, texts):
     pipeline = pytest.importorskip("corpus_pipeline")
     stages = dict(pipeline.STAGES)

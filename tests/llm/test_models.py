@@ -102,7 +102,9 @@ def test_quality_on_held_out_rows(spark):
 
 def test_quality_without_labels(docs, empty, spark):
     network = train(empty, spark.createDataFrame([], "doc_id long, quality int"))
-    assert score_quality(empty, network).count() == 0 and score_quality(docs, network).count() == docs.count()
+    assert score_quality(empty, network).count() == 0 and {r.predicted for r in score_quality(docs, network).collect()} == {1}
+    bad = train(docs, spark.createDataFrame([(2, 0), (8, 0)], "doc_id long, quality int"))
+    assert {r.predicted for r in score_quality(docs, bad).collect()} == {0}
 
 
 @pytest.mark.parametrize("top", [1, 50, 10_000, 1 << 40])
