@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm.byte_bpe import encode_decode
-from quillon.llm.common import written
+from quillon.llm.common import fresh, written
 from quillon.llm.decontaminate import decontaminate
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.jaccard_join import keep_one
@@ -22,12 +23,14 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, rejects go."""
     network = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, network).filter("predicted = 1").select(*docs.columns)
+    score, predicted = fresh(docs, "score", "predicted")
+    return score_quality(docs, network, names=(score, predicted)).filter(F.col(predicted) == 1).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    keep_id, size, kept = fresh(docs, "keep_id", "group_size", "kept")
+    return exact_dedup(docs, names=(keep_id, size, kept)).filter(F.col(kept)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
