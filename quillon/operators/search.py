@@ -32,14 +32,16 @@ def term_stats(chunks: DataFrame) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, terms: list[str], every: bool = True, k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score) of chunks that hold every term, or any. Only chunks with a term are exploded."""
+    """(id, score) of chunks that hold every term, or any, without an index: chunks are read and split once, and what
+    is kept of each is its length and the terms in it. ``SearchIndex`` reads the postings of the terms alone.
+    """
     want = F.array(*[F.lit(t) for t in sorted(set(terms))])
-    rows = chunks.select("id", words(F.col("content")).alias("w")).select("id", "w", F.size("w").alias("len"))
+    split = chunks.select("id", F.explode(F.array(words(F.col("content")))).alias("w"))
+    rows = written(split.select("id", F.size("w").alias("len"), F.filter("w", lambda x: F.array_contains(want, x)).alias("hits")), "hits")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    hits = rows.filter(F.arrays_overlap("w", want)).select("id", "len", F.explode(F.filter("w", lambda x: F.array_contains(want, x))).alias("term"))
-    tf = hits.groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = rows.select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rated = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row for each query term, and one row
+    rated = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))  # one row for each query term, and one row
     idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     out = rated.groupBy("id").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("terms"))
@@ -162,12 +164,12 @@ def ranked(hits: DataFrame, limit: int) -> DataFrame:
 
 def rerank_tokens(candidates: DataFrame, query: list[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Candidates (id, content, score) by 0.7 * BM25 among themselves + 0.3 * 100 * their score."""
-    rows = candidates.select("id", "score", words_no_stop(F.col("content")).alias("w"))
+    rows = written(candidates.select("id", "score", words_no_stop(F.col("content")).alias("w")), "candidates")  # a bounded list, read once
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len"))
     asked = F.explode(F.array(*[F.lit(t) for t in query]))
     tf = rows.select("id", F.size("w").alias("len"), "w", asked.alias("term")).select("id", "len", "term", F.size(F.filter("w", lambda x: x == F.col("term"))).alias("tf")).filter("tf > 0")
     df = tf.groupBy("term").agg(F.countDistinct("id").alias("df"))
-    rated = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    rated = tf.join(F.broadcast(df), "term").join(F.broadcast(stats))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     sums = rated.groupBy("id").agg(F.sum(part).alias("bm25"))

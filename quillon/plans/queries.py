@@ -9,7 +9,7 @@ from quillon.functions import parsing as P
 from quillon.functions import text as T
 from quillon.functions.vector import mean_vectors
 from quillon.operators import chunking, dedupe, embed, graph, search, sessions, similar
-from quillon.sources.store import shared_dir
+from quillon.sources.store import shared_dir, written
 from quillon.sources.tables import page_sources, sources, table
 from quillon.streaming.windows import event_windows, file_stream, run_available
 
@@ -149,7 +149,7 @@ SELECT cw.id, round(0.7 * coalesce(b, 0) + 30 * score, 6) AS score FROM cw LEFT
 )
 def rerank_tokens(spark, folder):
     """The fused candidates, reranked by BM25 among themselves."""
-    fused = search.rrf(*_ranked_lists(spark, folder))
+    fused = written(search.rrf(*_ranked_lists(spark, folder)), "fused")
     rows = sources(spark, folder).select("id", F.col("text").alias("content")).join(F.broadcast(fused), "id")
     return search.rerank_tokens(rows, ["trash", "moron"]).select("id", F.round("score", 6).alias("score"))
 
