@@ -1,15 +1,15 @@
 """N-gram language model in Elias-Fano tries, in shards.
 
-Texts are dealt into blocks of about ``BLOCK_BYTES``. For each order from one word up a block asks for its distinct
+Texts are packed into blocks of about ``BLOCK_BYTES``, compressed, each one row of a table. For each order from one word up a block asks for its distinct
 n-grams, each once, with what it has of them in training: one request for each shard. A shard adds up what all blocks
 have, builds a trie of its n-grams with their smoothed probabilities, and answers each request in the order of its
 n-grams, by searching the context and then the word relative to it. A block's requests come out of its texts in a
 fixed order, so answers need no names: the block lays them beside its n-grams again. What is shuffled is the texts,
-once for each round, and for each block and distinct n-gram some bytes; no task sees more of a common word or pair
+compressed, for each round after the first, and for each block and distinct n-gram some bytes; no task sees more of a common word or pair
 than one entry for each block. All words and pairs count, whatever their number and at every size.
 
-Shards are dealt by the hash of the context; contexts of ``HOT`` tokens and more by that of the n-gram, since their
-counts came with the round before. Probabilities are smoothed by Dirichlet priors: p(w | c) = (n(c, w) + K p(w)) /
+Shards are dealt by the hash of the context; contexts of ``HOT`` tokens and more by that of the n-gram, which their
+counts, from the round before, allow. Probabilities are smoothed by Dirichlet priors: p(w | c) = (n(c, w) + K p(w)) /
 (n(c) + K), and p(w) for one word as ``Unigrams`` says. They are stored as 8-bit codes of the logarithm.
 
 The trie has three levels in one flat, memory-mapped buffer: contexts as a monotone sequence, pointers to where their
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _Q, Words, extended, fresh, mix, slabs, text_bytes, written
+from quillon.llm.common import _Q, SLAB_BYTES, Words, fresh, mix, slabs, written
 
 #: Words of the longest n-gram.
 ORDER = 2
@@ -41,7 +41,7 @@ BLOCK_BYTES = 8 << 20
 #: Tokens of all texts for each shard.
 SHARD = 1 << 20
 #: Contexts with so many tokens are dealt over shards by their n-grams.
-HOT = 1 << 14
+HOT = 1 << 16
 #: Logarithms from -LOWEST to 0 are coded in 256 steps.
 LOWEST = 12.75
 #: What follows the last word of a text, and what stands before its first.
@@ -129,7 +129,7 @@ class EliasFano:
 
 
 #: Bits of a word's hash that tell the successors of one context apart, and of a context's hash beside its shard.
-WORD_BITS, CONTEXT_BITS = 40, 62
+WORD_BITS, CONTEXT_BITS = 40, 48
 
 
 class NGramTrie:
@@ -213,13 +213,11 @@ class Unigrams:
 class Block:
     """The tokens of a block's texts, and its distinct n-grams of each order in the order in which they are asked for."""
 
-    def __init__(self, table: pa.Table, columns: tuple[str, str, str]):
-        row, text, train = columns
-        order = np.argsort(np.asarray(table[row]), kind="stable")  # the same order in every round
-        table = table.take(pa.array(order))
-        self.rows, self.train = np.asarray(table[row]), np.asarray(table[train].cast(pa.int8())).astype(bool)
+    def __init__(self, packed: bytes):
+        table = pa.ipc.open_stream(packed).read_all()
+        self.rows, self.train = np.asarray(table["row"]), np.asarray(table["train"].cast(pa.int8())).astype(bool)
         hashes, docs, before = [], [], 0
-        for a, b, data, starts, ends in slabs(table[text].combine_chunks()):
+        for a, b, data, starts, ends in slabs(table["text"].combine_chunks()):
             words = Words(data, starts, ends, lower=True)
             stop = words.first + words.count
             hashes.append(np.insert(words.hash, stop, np.uint64(END)))
@@ -229,9 +227,16 @@ class Block:
         self.opens = np.ones(len(self.doc), bool)
         self.opens[1:] = self.doc[1:] != self.doc[:-1]
         self.history = np.zeros(len(self.word), np.uint64)
-        self.count = self.log_p = self.context_count = None
 
-    def ask(self, order: int) -> None:
+    @staticmethod
+    def packed(parts: list[pa.RecordBatch]) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in parts:
+                out.write_batch(part)
+        return sink.getvalue().to_pybytes()
+
+    def ask(self, order: int, shards: int) -> None:
         """Go on to the next order: its contexts and distinct n-grams. What the order before was answered goes with them."""
         if order > 1:
             past = np.roll(self.word, order - 1)
@@ -242,38 +247,38 @@ class Block:
             context_count[self.opens] = self.texts
             lower = self.log_p[self.of]
         gram = mix(self.history * np.uint64(_Q) + self.word)
-        hot = np.zeros(len(gram), bool) if order == 1 else context_count >= HOT
-        key = gram if order == 1 else np.where(hot, gram, mix(self.history))
-        # Distinct n-grams, by what they are dealt by: equal ones stand together.
+        own = mix(self.history) if order > 1 else gram
+        dealt = np.where(context_count >= HOT, gram, own) if order > 1 else gram
+        shard = (dealt >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        key = shard << np.uint64(CONTEXT_BITS) | own & np.uint64((1 << CONTEXT_BITS) - 1)
+        # Distinct n-grams, by shard, then context: equal ones stand together.
         rank = np.lexsort((gram, key))
         new = np.ones(len(rank), bool)
         new[1:] = (gram[rank][1:] != gram[rank][:-1]) | (key[rank][1:] != key[rank][:-1])
         at = rank[np.flatnonzero(new)]
         self.of = np.empty(len(rank), np.int64)
         self.of[rank] = np.cumsum(new) - 1
-        self.key, word = key[at], self.word[at]
+        self.shard, word = (key[at] >> np.uint64(CONTEXT_BITS)).astype(np.int64), self.word[at]
         if order == 1:  # both parts of a word's hash together are all of it
-            self.gram_context, self.gram_word = word >> np.uint64(64 - WORD_BITS), word & np.uint64((1 << WORD_BITS) - 1)
+            self.gram_context, self.gram_word = word >> np.uint64(WORD_BITS), word & np.uint64((1 << WORD_BITS) - 1)
         else:
-            self.gram_context, self.gram_word = self.history[at] >> np.uint64(64 - CONTEXT_BITS), word >> np.uint64(64 - WORD_BITS)
+            self.gram_context, self.gram_word = key[at] & np.uint64((1 << CONTEXT_BITS) - 1), word >> np.uint64(64 - WORD_BITS)
         self.n = np.bincount(self.of, self.train[self.doc], len(at)).astype(np.uint32)
         self.context_count, self.lower = (context_count[at], lower[at]) if order > 1 else (np.zeros(len(at), np.int64), np.zeros(len(at)))
 
-    def parts(self, shards: int) -> list[tuple[int, int, int]]:
-        """(shard, from, to): n-grams are sorted by what they are dealt by, so those of a shard are one run."""
-        shard = ((self.key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(shard)) + 1
-        begin = np.concatenate(([0], cut)) if len(shard) else np.zeros(0, np.int64)
-        return list(zip(shard[begin].tolist(), begin.tolist(), [*cut.tolist(), len(shard)], strict=True)) if len(shard) else []
+    def parts(self) -> list[tuple[int, int, int]]:
+        """(shard, from, to): the n-grams of a shard are one run."""
+        begin = np.flatnonzero(np.concatenate(([True], self.shard[1:] != self.shard[:-1])))
+        return list(zip(self.shard[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(self.shard)], strict=True))
 
     def request(self, a: int, b: int, order: int) -> bytes:
         """Contexts with their counts, and for each n-gram of a context its word, its number here and its lower probability."""
         context = self.gram_context[a:b]
         begin = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
         sizes = np.diff(np.append(begin, b - a)).astype(np.uint32)
-        words = self.gram_word[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8]
+        words, contexts = (x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8] for x, bits in ((self.gram_word[a:b], WORD_BITS), (context[begin], CONTEXT_BITS)))
         small = zlib.compress(sizes.tobytes() + self.n[a:b].tobytes() + (coded(self.lower[a:b]).tobytes() + self.context_count[a:b][begin].astype(np.uint32).tobytes() if order > 1 else b""), 1)
-        return np.array([b - a, len(begin)], "<u4").tobytes() + context[begin].astype("<u8").tobytes() + words.tobytes() + small
+        return np.array([b - a, len(begin)], "<u4").tobytes() + contexts.tobytes() + words.tobytes() + small
 
     def answered(self, counts: np.ndarray, codes: np.ndarray, order: int, unigrams: Unigrams | None, texts: int) -> None:
         self.count, self.texts = counts.astype(np.int64), texts
@@ -284,16 +289,16 @@ def opened(blob: bytes, order: int) -> tuple[np.ndarray, ...]:
     """(context, word, n, lower, context count) of a request's n-grams."""
     n, contexts = np.frombuffer(blob, "<u4", 2).tolist()
     at = 8
-    own = np.frombuffer(blob, "<u8", contexts, at)
-    at += own.nbytes
-    words = np.zeros((n, 8), np.uint8)
+    own, words = np.zeros((contexts, 8), np.uint8), np.zeros((n, 8), np.uint8)
+    own[:, : CONTEXT_BITS // 8] = np.frombuffer(blob, np.uint8, contexts * (CONTEXT_BITS // 8), at).reshape(contexts, -1)
+    at += contexts * (CONTEXT_BITS // 8)
     words[:, : WORD_BITS // 8] = np.frombuffer(blob, np.uint8, n * (WORD_BITS // 8), at).reshape(n, -1)
     small = zlib.decompress(blob[at + n * (WORD_BITS // 8) :])
     sizes, count = np.frombuffer(small, np.uint32, contexts), np.frombuffer(small, np.uint32, n, 4 * contexts)
     lower, total = np.zeros(n, np.uint8), np.zeros(contexts, np.uint32)
     if order > 1:
         lower, total = np.frombuffer(small, np.uint8, n, 4 * (contexts + n)), np.frombuffer(small, np.uint32, contexts, 4 * contexts + 5 * n)
-    return np.repeat(own, sizes), words.view("<u8").ravel(), count, lower, np.repeat(total, sizes)
+    return np.repeat(own.view("<u8").ravel(), sizes), words.view("<u8").ravel(), count, lower, np.repeat(total, sizes)
 
 
 _REQUEST, _ANSWER = "_shard int, _block bigint, _data binary", "_block bigint, _order int, _shard int, _data binary, n bigint, v bigint, once bigint"
@@ -339,45 +344,55 @@ def _answers_of(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(counts), np.concatenate(codes)
 
 
-def _resumed(texts: pa.Table, answers: pa.Table | None, columns: tuple[str, str, str], order: int, unigrams: Unigrams | None, n_texts: int) -> Block:
+def _resumed(packed: bytes, answers: pa.Table | None, order: int, shards: int, unigrams: Unigrams | None, n_texts: int) -> Block:
     """A block as it stands after the answers of the orders below ``order``."""
-    block = Block(texts, columns)
+    block = Block(packed)
     for k in range(1, order):
-        block.ask(k)
+        block.ask(k, shards)
         block.answered(*_answers_of(answers, k), k, unigrams, n_texts)
     return block
 
 
-def blocks(rows: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``rows`` with a column that tells their block: a number of its own for each run of about BLOCK_BYTES of text in a partition."""
+def blocks(rows: DataFrame, row: str, text: str, train: str) -> DataFrame:
+    """(_block, _data): rows packed into blocks of about BLOCK_BYTES of text, each a row by the number of its first row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = BLOCK_BYTES, 0
-        for batch in batches:
-            first, sizes, out = np.asarray(batch.column(row)), np.diff(text_bytes(batch.column(text_col))[1]), []
-            for i, size in enumerate(sizes.tolist()):
-                if held + size > BLOCK_BYTES and held:
-                    held, block = 0, int(first[i])  # the first row's number
-                held += max(size, 1)
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, name])
+        held, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([held[0]["row"][0].as_py()], pa.int64()), pa.array([Block.packed(held)], pa.binary())], names=["_block", "_data"])
 
-    row = fresh(rows, "row")[0]
-    rows = rows.withColumn(row, F.monotonically_increasing_id())
-    return rows.mapInArrow(run, extended(rows.schema, f"{name} bigint"))
+        for whole in batches:
+            batch = pa.RecordBatch.from_arrays([whole.column(c) for c in (row, text, train)], names=["row", "text", "train"])
+            for a, b, data, *_ in slabs(batch.column("text"), min(BLOCK_BYTES, SLAB_BYTES)):
+                if held and size + len(data) > BLOCK_BYTES:
+                    yield done()
+                    held, size = [], 0
+                held.append(batch.slice(a, b - a))
+                size += len(data)
+        if held:
+            yield done()
 
+    return rows.select(row, text, train).mapInArrow(run, "_block bigint, _data binary")
 
-def _asking(order: int, columns: tuple[str, str, str], shards: int, unigrams: Unigrams | None, n_texts: int):
-    """The functions that make a block's requests: of the first order, and of later ones."""
 
-    def later(texts: pa.Table, known: pa.Table) -> pa.Table:
-        own = _resumed(texts, known, columns, order, unigrams, n_texts)
-        own.ask(order)
-        parts, name = own.parts(shards), texts["_block"][0].as_py()
-        return pa.table({"_shard": pa.array([s for s, _, _ in parts], pa.int32()), "_block": pa.array([name] * len(parts), pa.int64()), "_data": pa.array([own.request(a, b, order) for _, a, b in parts], pa.binary())})
+def _asking(order: int, shards: int, unigrams: Unigrams | None, n_texts: int):
+    """The functions that make blocks' requests: of the first order, and of later ones, from a block and what it was answered."""
+    names = [f.split()[0] for f in _REQUEST.split(", ")]
+
+    def requests(name: int, packed: bytes, known: pa.Table | None) -> list[pa.Array]:
+        own = _resumed(packed, known, order, shards, unigrams, n_texts)
+        own.ask(order, shards)
+        parts = own.parts()
+        return [pa.array([s for s, _, _ in parts], pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array([own.request(a, b, order) for _, a, b in parts], pa.binary())]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, packed in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays(requests(name.as_py(), packed.as_py(), None), names=names)
 
-    def first(texts: pa.Table) -> pa.Table:
-        return later(texts, None)
+    def later(block: pa.Table, known: pa.Table) -> pa.Table:
+        return pa.table(requests(block["_block"][0].as_py(), block["_data"][0].as_py(), known), names=names)
 
     return first, later
 
@@ -400,19 +415,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names of new ones are replaced. Without any training text every token is unseen. An empty table gives no rows.
     """
     docs = docs.drop("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    block, text, train = fresh(docs, "block", "lm_text", "train")
-    rows = docs.withColumns({text: F.coalesce(F.col(text_col), F.lit("")), train: ~held_out(id_col)}).drop(text_col)
-    row = fresh(rows, "row")[0]
-    rows = written(blocks(rows, text, block), "blocks", "zstd")
-    columns = (row, text, train)
+    text, train, row = fresh(docs, "lm_text", "train", "row")
+    rows = docs.withColumns({text: F.coalesce(F.col(text_col), F.lit("")), train: ~held_out(id_col), row: F.monotonically_increasing_id()}).drop(text_col)
+    rows = written(rows, "rows", "zstd")
+    packed = written(blocks(rows, row, text, train), "blocks")
     totals = rows.agg(F.count(F.lit(1)), F.count_if(F.col(train)), F.sum(F.octet_length(text))).first()
     n_texts, shards = int(totals[1]), max(1, -(-(int(totals[2] or 0) // 5 + int(totals[0])) // SHARD))
     answers, unigrams, n_train, vocabulary = None, None, 0, 0
-    needed = rows.select(F.col(block).alias("_block"), *columns)
-    grouped = needed.groupBy("_block")
     for k in range(1, order + 1):
-        first, later = _asking(k, columns, shards, unigrams, n_texts)
-        requests = grouped.applyInArrow(first, _REQUEST) if answers is None else grouped.cogroup(answers.groupBy("_block")).applyInArrow(later, _REQUEST)
+        first, later = _asking(k, shards, unigrams, n_texts)
+        requests = packed.mapInArrow(first, _REQUEST) if answers is None else packed.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(later, _REQUEST)
         found = written(requests.groupBy("_shard").applyInArrow(_answering(k), _ANSWER), "answers")
         if k == 1:
             n_train, vocabulary, once = (int(x or 0) for x in found.agg(F.sum("n"), F.sum("v"), F.sum("once")).first())
@@ -422,18 +434,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     whole = float(np.log10(n_train + vocabulary + 1))
 
-    def scores(texts: pa.Table, known: pa.Table) -> pa.Table:
-        own = _resumed(texts, known, columns, 2, unigrams, n_texts)
+    def scores(block: pa.Table, known: pa.Table) -> pa.Table:
+        own = _resumed(block["_data"][0].as_py(), known, 2, shards, unigrams, n_texts)
         n, base, seen = (np.bincount(own.doc, x, len(own.rows)) for x in (np.ones(len(own.doc)), np.log10(own.count[own.of] + 1) - whole, own.count[own.of] > 0))
         for k in range(2, order + 1):
-            own.ask(k)
+            own.ask(k, shards)
             own.answered(*_answers_of(known, k), k, unigrams, n_texts)
         score = np.bincount(own.doc, own.log_p[own.of], len(own.rows))
         return pa.table({"_row": own.rows, "_n": n.astype(np.int64), "_known": seen.astype(np.int64), "_base": base, "_score": score})
 
-    results = needed.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(scores, "_row bigint, _n bigint, _known bigint, _base double, _score double")
+    results = packed.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(scores, "_row bigint, _n bigint, _known bigint, _base double, _score double")
     inner = fresh(rows, "r", "t", "u", "b", "s")
-    out = rows.drop(text, block).join(results.toDF(*inner).hint("merge"), F.col(row) == F.col(inner[0]))
+    out = rows.drop(text).join(results.toDF(*inner).hint("merge"), F.col(row) == F.col(inner[0]))
     return out.select(
         *[c for c in docs.columns if c != text_col], (~F.col(train)).alias("held_out"), F.col(inner[1]).alias("n_tokens"), F.col(inner[2]).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"), F.col(inner[3]).alias("base_score"), F.col(inner[4]).alias("score"),
