@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import exports, graph, ingest, models, similar
 from quillon.operators.index import SearchIndex, parse_query
-from quillon.sources import plugins
+from quillon.sources import plugins, tables
 from quillon.sources.store import KnowledgeBase
 from quillon.streaming.watch import FolderSource, differences, merge_changes, snapshot
 
@@ -179,3 +179,24 @@ def test_merged_batches_may_come_again(spark):
     once = merge_changes(table, batch, "path", "at", "kind")
     twice = merge_changes(once, batch.filter("path != 'b'"), "path", "at", "kind")
     assert sorted(tuple(r) for r in once.collect()) == sorted(tuple(r) for r in twice.collect()) == [("a", 2, "modified", 5), ("c", 1, "created", 7)]
+
+
+def test_local_files_as_sources(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_text("---\naliases: [One, Two]\n---\n# Head\n\n**bold** text")
+    (tmp_path / "sub" / "b.txt").write_text("plain text here")
+    (tmp_path / "c.html").write_text("<p>a &amp; b</p><p>c</p>")
+    (tmp_path / "d.txt").write_text("tiny")
+    found = tables.files(spark, str(tmp_path), "*.{md,txt,html}", 10)
+    got = {r.title: (r.mime, r.text.splitlines()[-1], json.loads(r.meta)["filename"]) for r in tables.local_sources(found).collect()}
+    assert got == {"a": ("text/markdown", "bold text", "a.md"), "b": ("text/plain", "plain text here", "b.txt"), "c": ("text/html", "c", "c.html")}
+    assert sorted(r.name for r in tables.vault_notes(found.filter("path like '%.md'")).collect()) == ["One", "Two", "a"]
+    rows = spark.createDataFrame([("1", "x"), ("2", "1"), ("3", "y")], "id string, name string")
+    assert tables.by_id_or_name(rows, "1").first().id == "1" and tables.by_id_or_name(rows, "y").first().id == "3" and tables.by_id_or_name(rows, "z").count() == 0
+    assert tables.filtered(rows, id="", name="y").count() == 1 and tables.filtered(rows, id="").count() == 3
+
+
+def test_relations_in_scan_order(spark):
+    links = spark.createDataFrame([(1, i, i / 10) for i in range(2, 9)], "a long, b long, score double")
+    none = spark.createDataFrame([], "src long, dst long")
+    assert sorted(r.dst for r in similar.relate(links, none, order="scan").collect()) == [2, 3, 4, 5, 6] and sorted(r.dst for r in similar.relate(links, none).collect()) == [4, 5, 6, 7, 8]
