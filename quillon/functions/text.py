@@ -98,6 +98,27 @@ def markdown_links(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]+)\)"), 1), lambda x: ~x.startswith("http"))
 
 
+def link_hints(text: Column) -> Column:
+    """(to_origin, rel_type, evidence) of the links in each line: ](target) refers unless it leads to the web, and after the
+    last of these in a line [[target]] cites. The evidence is what is left of the line from where the link before it ends.
+    """
+
+    def found(line: Column, pattern: str, target: str, kind: str, tail: Column) -> Column:
+        parts = F.regexp_extract_all(line, F.lit(pattern), 1)  # each from the end of the one before it
+        return F.transform(
+            parts,
+            lambda x, i: F.struct(F.regexp_extract(x, target, 1).alias("to_origin"), F.lit(kind).alias("rel_type"), F.concat(F.array_join(F.slice(parts, i + 1, F.size(parts)), ""), tail).alias("evidence")),
+        )
+
+    def of_line(line: Column) -> Column:
+        rest = F.regexp_replace(line, r"^.*\]\([^)]*\)", "")
+        refers = F.filter(found(line, r"(.*?\]\([^)]*\))", r"^.*?\]\((.*)\)$", "ref", rest), lambda h: ~h["to_origin"].startswith("http"))
+        cites = found(rest, r"(.*?\[\[.*?\]\])", r"^.*?\[\[(.*)\]\]$", "cite", F.regexp_replace(rest, r"^(.*?\[\[.*?\]\])*", ""))
+        return F.filter(F.concat(refers, cites), lambda h: h["to_origin"] != "")
+
+    return F.flatten(F.transform(F.split(text, "\n"), of_line))
+
+
 def wikilinks(text: Column) -> Column:
     """(embed, target, section, alias) of [[target#section|alias]], each once."""
     found = F.regexp_extract_all(text, F.lit(r"(!?\[\[[^\]]+\]\])"), 1)

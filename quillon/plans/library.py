@@ -326,6 +326,22 @@ def merged_stream(spark, folder):
     return spark.read.schema(schema).parquet(newest["table"]).select("path", "kind")
 
 
+_LINES = "SELECT doc_id AS id, 0 AS n, concat('see [a](', source, '.md), [w](http://e.org/x) and [b](', doc_id % 5, ' c.md) or [[Note', doc_id % 7, ']] then [[', lang, ']]. ', source) AS line FROM documents UNION ALL SELECT doc_id, 1, concat('only [[', source, ']] ', coalesce(left(text, 20), '')) FROM documents WHERE position(chr(10) IN left(coalesce(text, ''), 20)) = 0"
+
+
+@query(f"""WITH l AS ({_LINES}), t AS (SELECT *, regexp_replace(line, '^.*\\]\\([^)]*\\)', '') AS rest FROM l)
+SELECT id, source || '.md' AS to_origin, 'ref' AS rel_type, line AS evidence FROM t JOIN documents ON doc_id = id WHERE n = 0
+UNION ALL SELECT id, concat(id % 5, ' c.md'), 'ref', concat(' and [b](', id % 5, ' c.md)', rest) FROM t WHERE n = 0
+UNION ALL SELECT id, concat('Note', id % 7), 'cite', rest FROM t WHERE n = 0 UNION ALL SELECT id, lang, 'cite', concat(' then [[', lang, ']]. ', source) FROM t JOIN documents ON doc_id = id WHERE n = 0
+UNION ALL SELECT id, source, 'cite', line FROM t JOIN documents ON doc_id = id WHERE n = 1""")
+def link_hints(spark, folder):
+    """Link hints of notes about documents, with what is left of their line as evidence."""
+    text = F.coalesce("text", F.lit(""))
+    first = F.concat(F.lit("see [a]("), "source", F.lit(".md), [w](http://e.org/x) and [b]("), (F.col("doc_id") % 5).cast("string"), F.lit(" c.md) or [[Note"), (F.col("doc_id") % 7).cast("string"), F.lit("]] then [["), "lang", F.lit("]]. "), "source")
+    second = F.when(~F.left(text, F.lit(20)).contains("\n"), F.concat(F.lit("\nonly [["), "source", F.lit("]] "), F.left(text, F.lit(20)))).otherwise(F.lit(""))
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.inline(T.link_hints(F.concat(first, second))))
+
+
 @query("""SELECT conv_id AS id, turn::INTEGER AS turn, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE strlen(coalesce(text, '')) BETWEEN 1 AND 700 AND text NOT LIKE '%' || chr(10) || chr(10) || '%' AND trim(text) <> ''""")
 def chunk_function(spark, folder):
     """Turns of one paragraph through the chunker as a table function of SQL: one piece each."""
