@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import mmap
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import _Q, SLAB_BYTES, Words, fresh, mix, slabs, written
+from quillon.llm.common import _Q, SLAB_BYTES, Words, extended, mix, slabs, written
 
 #: Words of the longest n-gram.
 ORDER = 2
@@ -44,6 +45,8 @@ SHARD = 1 << 20
 HOT = 1 << 16
 #: Logarithms from -LOWEST to 0 are coded in 256 steps.
 LOWEST = 12.75
+#: Columns of a block.
+TEXT, TRAIN = "text", "train"
 #: What follows the last word of a text, and what stands before its first.
 END, START = (int(mix(np.array([x], np.uint64))[0]) for x in (0x454E44, 0x53544152))
 
@@ -214,10 +217,10 @@ class Block:
     """The tokens of a block's texts, and its distinct n-grams of each order in the order in which they are asked for."""
 
     def __init__(self, packed: bytes):
-        table = pa.ipc.open_stream(packed).read_all()
-        self.rows, self.train = np.asarray(table["row"]), np.asarray(table["train"].cast(pa.int8())).astype(bool)
+        self.table = table = pa.ipc.open_stream(packed).read_all()
+        self.train = np.asarray(table[TRAIN].cast(pa.int8())).astype(bool)
         hashes, docs, before = [], [], 0
-        for a, b, data, starts, ends in slabs(table["text"].combine_chunks()):
+        for a, b, data, starts, ends in slabs(table[TEXT].combine_chunks()):
             words = Words(data, starts, ends, lower=True)
             stop = words.first + words.count
             hashes.append(np.insert(words.hash, stop, np.uint64(END)))
@@ -353,18 +356,22 @@ def _resumed(packed: bytes, answers: pa.Table | None, order: int, shards: int, u
     return block
 
 
-def blocks(rows: DataFrame, row: str, text: str, train: str) -> DataFrame:
-    """(_block, _data): rows packed into blocks of about BLOCK_BYTES of text, each a row by the number of its first row."""
+_BLOCK = "_block bigint, _data binary, rows bigint, train bigint, bytes bigint"
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows (TEXT, TRAIN and others) packed with all their columns into blocks of about BLOCK_BYTES of text; each block is a row with a name of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([held[0]["row"][0].as_py()], pa.int64()), pa.array([Block.packed(held)], pa.binary())], names=["_block", "_data"])
+            train = sum(pc.sum(x.column(TRAIN)).as_py() or 0 for x in held)
+            values = (uuid.uuid4().int >> 65, Block.packed(held), sum(map(len, held)), train, size)
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.binary() if isinstance(v, bytes) else pa.int64()) for v in values], names=[f.split()[0] for f in _BLOCK.split(", ")])
 
-        for whole in batches:
-            batch = pa.RecordBatch.from_arrays([whole.column(c) for c in (row, text, train)], names=["row", "text", "train"])
-            for a, b, data, *_ in slabs(batch.column("text"), min(BLOCK_BYTES, SLAB_BYTES)):
+        for batch in batches:
+            for a, b, data, *_ in slabs(batch.column(TEXT), min(BLOCK_BYTES, SLAB_BYTES)):
                 if held and size + len(data) > BLOCK_BYTES:
                     yield done()
                     held, size = [], 0
@@ -373,7 +380,7 @@ def blocks(rows: DataFrame, row: str, text: str, train: str) -> DataFrame:
         if held:
             yield done()
 
-    return rows.select(row, text, train).mapInArrow(run, "_block bigint, _data binary")
+    return rows.mapInArrow(run, _BLOCK)
 
 
 def _asking(order: int, shards: int, unigrams: Unigrams | None, n_texts: int):
@@ -415,12 +422,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names of new ones are replaced. Without any training text every token is unseen. An empty table gives no rows.
     """
     docs = docs.drop("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    text, train, row = fresh(docs, "lm_text", "train", "row")
-    rows = docs.withColumns({text: F.coalesce(F.col(text_col), F.lit("")), train: ~held_out(id_col), row: F.monotonically_increasing_id()}).drop(text_col)
-    rows = written(rows, "rows", "zstd")
-    packed = written(blocks(rows, row, text, train), "blocks")
-    totals = rows.agg(F.count(F.lit(1)), F.count_if(F.col(train)), F.sum(F.octet_length(text))).first()
-    n_texts, shards = int(totals[1]), max(1, -(-(int(totals[2] or 0) // 5 + int(totals[0])) // SHARD))
+    # Positions tell columns apart inside a block, so theirs may have any names.
+    passed = docs.drop(text_col)
+    plain = passed.toDF(*[f"c{i}" for i in range(len(passed.columns))])
+    keyed = docs.select(*[F.col(c) for c in passed.columns], F.coalesce(F.col(text_col), F.lit("")), ~held_out(id_col)).toDF(*plain.columns, TEXT, TRAIN)
+    packed = written(blocks(keyed), "blocks")
+    totals = packed.agg(F.sum("rows"), F.sum("train"), F.sum("bytes")).first()
+    n_rows, n_texts, n_bytes = (int(x or 0) for x in totals)
+    packed, shards = packed.select("_block", "_data"), max(1, -(-(n_bytes // 5 + n_rows) // SHARD))
     answers, unigrams, n_train, vocabulary = None, None, 0, 0
     for k in range(1, order + 1):
         first, later = _asking(k, shards, unigrams, n_texts)
@@ -434,19 +443,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     whole = float(np.log10(n_train + vocabulary + 1))
 
+    schema = extended(plain.schema, "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    names, own_names = schema.names, plain.columns
+
     def scores(block: pa.Table, known: pa.Table) -> pa.Table:
         own = _resumed(block["_data"][0].as_py(), known, 2, shards, unigrams, n_texts)
-        n, base, seen = (np.bincount(own.doc, x, len(own.rows)) for x in (np.ones(len(own.doc)), np.log10(own.count[own.of] + 1) - whole, own.count[own.of] > 0))
+        n, base, seen = (np.bincount(own.doc, x, len(own.train)) for x in (np.ones(len(own.doc)), np.log10(own.count[own.of] + 1) - whole, own.count[own.of] > 0))
         for k in range(2, order + 1):
             own.ask(k, shards)
             own.answered(*_answers_of(known, k), k, unigrams, n_texts)
-        score = np.bincount(own.doc, own.log_p[own.of], len(own.rows))
-        return pa.table({"_row": own.rows, "_n": n.astype(np.int64), "_known": seen.astype(np.int64), "_base": base, "_score": score})
-
-    results = packed.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(scores, "_row bigint, _n bigint, _known bigint, _base double, _score double")
-    inner = fresh(rows, "r", "t", "u", "b", "s")
-    out = rows.drop(text).join(results.toDF(*inner).hint("merge"), F.col(row) == F.col(inner[0]))
-    return out.select(
-        *[c for c in docs.columns if c != text_col], (~F.col(train)).alias("held_out"), F.col(inner[1]).alias("n_tokens"), F.col(inner[2]).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"), F.col(inner[3]).alias("base_score"), F.col(inner[4]).alias("score"),
-    )
+        score = np.bincount(own.doc, own.log_p[own.of], len(own.train))
+        more = [own.train == False, n.astype(np.int64), seen.astype(np.int64), np.full(len(own.train), n_train, np.int64), base, score]  # noqa: E712
+        return pa.table([*[own.table[c] for c in own_names], *map(pa.array, more)], names=names)
+
+    out = packed.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(scores, schema)
+    return out.toDF(*passed.columns, *names[len(own_names) :])
