@@ -104,11 +104,68 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.merkle import crc_divides, lower_ascii, merkle_manifest
+
+    docs = _table(spark, sf_dir, "documents")
+    text = F.when(crc_divides(F.col("doc_id"), 3), lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return merkle_manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], claims={"text": text}, proofs=False)
+
+
+def _crc32_sql(number: str) -> str:
+    """CRC-32 of a number's decimal digits, bit by bit, as DuckDB has no function for it."""
+    digits = f"({number})::VARCHAR"
+    mixed = f"xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr({digits}, (k // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END)"
+    step = f"xor({mixed} >> 1, ({mixed} % 2) * 3988292384)"
+    return f"xor(list_reduce(range(0, 8 * length({digits})), lambda c, k: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_UNTOUCHED = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+_TAMPERED = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))
+OP11_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, sha256({_UNTOUCHED}) AS leaf,
+               CASE WHEN coalesce({_crc32_sql("doc_id")} % 3 = 0, false) THEN sha256({_TAMPERED}) ELSE sha256({_UNTOUCHED}) END AS claim FROM documents)
+),
+up AS (
+  SELECT lang, 0 AS level, idx, leaf AS d, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 8, sha256(string_agg(d, '' ORDER BY idx)), ((any_value(n) + 7) // 8)::BIGINT FROM up WHERE n > 1 GROUP BY lang, level, idx // 8
+),
+subroots AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+above AS (
+  SELECT 0 AS level, place AS idx, subroot AS d, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(d, '' ORDER BY idx)), ((any_value(n) + 7) // 8)::BIGINT FROM above WHERE n > 1 GROUP BY level, idx // 8
+),
+runs AS (SELECT lang, level, idx // 8 AS run, list(d ORDER BY idx) AS ds FROM up WHERE n > 1 GROUP BY lang, level, idx // 8),
+runs_above AS (SELECT level, idx // 8 AS run, list(d ORDER BY idx) AS ds FROM above WHERE n > 1 GROUP BY level, idx // 8),
+walk AS (
+  SELECT doc_id, lang, leaf, idx AS first_idx, idx, 0 AS level, n, claim AS f, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, w.lang, leaf, first_idx, idx // 8, w.level + 1, ((n + 7) // 8)::BIGINT,
+         sha256(array_to_string(ds[1:idx % 8], '') || f || array_to_string(ds[idx % 8 + 2:], '')), proof || array_to_string(ds[1:idx % 8], '') || array_to_string(ds[idx % 8 + 2:], '')
+  FROM walk w JOIN runs r ON r.lang IS NOT DISTINCT FROM w.lang AND r.level = w.level AND r.run = w.idx // 8 WHERE w.n > 1
+),
+to_root AS (
+  SELECT doc_id, w.lang, leaf, first_idx, subroot, place AS idx, 0 AS level, s.n, f, proof FROM walk w JOIN subroots s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT doc_id, lang, leaf, first_idx, subroot, idx // 8, w.level + 1, ((n + 7) // 8)::BIGINT,
+         sha256(array_to_string(ds[1:idx % 8], '') || f || array_to_string(ds[idx % 8 + 2:], '')), proof || array_to_string(ds[1:idx % 8], '') || array_to_string(ds[idx % 8 + 2:], '')
+  FROM to_root w JOIN runs_above r ON r.level = w.level AND r.run = w.idx // 8 WHERE w.n > 1
+)
+SELECT doc_id, leaf, subroot, (SELECT d FROM above WHERE n = 1) AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = (SELECT d FROM above WHERE n = 1) AS verified
+FROM to_root WHERE n = 1
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_exact_dedup, op3_byte_bpe, op4_decontaminate, op5_quality_cnn,
-        op6_jaccard_join, op7_warc, op8_html_extract, op9_ngram_lm, op10_license_scan,
+        op6_jaccard_join, op7_warc, op8_html_extract, op9_ngram_lm, op10_license_scan, op11_merkle_manifest,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL}
