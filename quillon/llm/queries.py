@@ -115,9 +115,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _crc32_sql(number: str) -> str:
     """CRC-32 of a number's decimal digits, bit by bit, as DuckDB has no function for it."""
     digits = f"({number})::VARCHAR"
-    mixed = f"xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr({digits}, (k // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END)"
+    mixed = f"xor(crc, CASE WHEN bit % 8 = 0 THEN ascii(substr({digits}, (bit // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END)"
     step = f"xor({mixed} >> 1, ({mixed} % 2) * 3988292384)"
-    return f"xor(list_reduce(range(0, 8 * length({digits})), lambda c, k: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+    return f"xor(list_reduce(range(0, 8 * length({digits})), lambda crc, bit: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
 
 
 _FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
@@ -161,11 +161,45 @@ FROM to_root WHERE n = 1
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.prefix_trie import donated, prefix_trie
+
+    return prefix_trie(donated(_table(spark, sf_dir, "conversations")))
+
+
+_SAID = "strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')"
+OP12_SQL = f"""
+WITH turns AS (
+  SELECT conv_id AS c, list({{'k': {_SAID}, 'b': strlen(coalesce(text, ''))}} ORDER BY turn NULLS FIRST, sha256({_SAID})) AS t
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+hs AS (SELECT c, t, {_crc32_sql("c")} % 9 AS h FROM turns),
+built AS (SELECT a.c, list_concat(coalesce(d.t, [])[1:a.h], a.t[a.h + 1:]) AS t FROM hs a LEFT JOIN turns d ON d.c = a.c - a.c % 5),
+beginnings AS (
+  SELECT c, d, sha256(array_to_string(list_transform(t[1:d], lambda x: strlen(x.k)::VARCHAR || ':' || x.k), '')) AS k,
+         CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(t[1:d - 1], lambda x: strlen(x.k)::VARCHAR || ':' || x.k), '')) END AS p,
+         CASE WHEN d > 0 THEN t[d].b ELSE 0 END AS b, len(t) = d AS ends
+  FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM built)
+),
+nodes AS (
+  SELECT d, k, any_value(p) AS p, any_value(b) AS b, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM beginnings GROUP BY d, k
+),
+counted AS (SELECT n.*, (SELECT count(*) FROM nodes m WHERE m.d = n.d + 1 AND m.p = n.k) AS n_children FROM nodes n),
+below AS (
+  SELECT b.d, b.k, count(*) FILTER (WHERE m.n_children = 0) AS n_leaves, sum((m.n - 1) * m.b)::BIGINT AS saved_tokens
+  FROM counted m JOIN beginnings b ON b.c = m.c AND b.d <= m.d GROUP BY b.d, b.k
+)
+SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM counted n JOIN below USING (d, k) LEFT JOIN nodes up ON up.d = n.d - 1 AND up.k = n.p
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_exact_dedup, op3_byte_bpe, op4_decontaminate, op5_quality_cnn,
-        op6_jaccard_join, op7_warc, op8_html_extract, op9_ngram_lm, op10_license_scan, op11_merkle_manifest,
+        op6_jaccard_join, op7_warc, op8_html_extract, op9_ngram_lm, op10_license_scan, op11_merkle_manifest, op12_prefix_trie,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_prefix_trie": OP12_SQL}
