@@ -195,11 +195,32 @@ FROM counted n JOIN below USING (d, k) LEFT JOIN nodes up ON up.d = n.d - 1 AND
 """
 
 
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.embedding_dedup import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP13_SQL = """
+WITH RECURSIVE fit AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+classes AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN classes USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_exact_dedup, op3_byte_bpe, op4_decontaminate, op5_quality_cnn,
         op6_jaccard_join, op7_warc, op8_html_extract, op9_ngram_lm, op10_license_scan, op11_merkle_manifest, op12_prefix_trie,
+        op13_embedding_dedup,
     )
 }
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_prefix_trie": OP12_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_embedding_dedup": OP13_SQL}
