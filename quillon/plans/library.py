@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from quillon.functions import parsing as P
 from quillon.functions import text as T
-from quillon.operators import chunking, dedupe, exports, graph, ingest, models, search, similar
+from quillon.operators import chunking, dedupe, embed, exports, graph, ingest, models, pruned, search, similar
 from quillon.operators.index import SearchIndex
-from quillon.plans.queries import _CHUNKS, _WORDS, _chunks, query
+from quillon.plans.queries import _CHUNKS, _HASHED, _WORDS, _chunks, query
 from quillon.sources.plugins import changed
-from quillon.sources.store import shared_dir
+from quillon.sources.store import shared_dir, written
 from quillon.sources.tables import sources, table
 from quillon.streaming.watch import merge_changes
 from quillon.streaming.windows import file_stream
@@ -176,6 +176,48 @@ def dedupe_summary(spark, folder):
     return similar.group_summary(exact, none)
 
 
+_ALIKE = "l AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {t})"
+
+
+def _hash_vectors(spark, folder) -> DataFrame:
+    return written(embed.embed_hash(sources(spark, folder).select("id", F.col("text").alias("content"))), "hash-vectors")
+
+
+@query(f"WITH {_HASHED}, {_ALIKE.format(t=0.97)} SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM l UNION ALL SELECT b FROM l) GROUP BY id")
+def near_text_links(spark, folder):
+    """How many documents each one is linked to at 0.97, by their hash vectors; bounds count most of them."""
+    return pruned.link_counts(_hash_vectors(spark, folder), 0.97)
+
+
+@query(f"""WITH {_HASHED}, {_ALIKE.format(t=0.85)}, k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM l WHERE NOT (a % 10 = 0 AND b = a + 1))
+SELECT a AS src, b AS dst, round(score, 6) AS weight FROM k WHERE n <= 5""")
+def relate_text(spark, folder):
+    """Edges from each document to the first five later ones that are like it at 0.85, without those that are there."""
+    vectors = _hash_vectors(spark, folder)
+    there = vectors.filter("id % 10 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    return similar.relate_in_order(vectors, there).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query(f"""WITH RECURSIVE h AS (SELECT doc_id AS id, sha256(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS hash FROM documents),
+x AS (SELECT id, min(id) OVER (PARTITION BY hash) AS keep_id, count(*) OVER (PARTITION BY hash) AS n FROM h), {_HASHED},
+o AS (SELECT id, v, row_number() OVER (ORDER BY id DESC) AS i FROM e WHERE id NOT IN (SELECT id FROM x WHERE n > 1)),
+l AS (SELECT a.i AS a, b.i AS b, list_cosine_similarity(a.v, b.v) AS score FROM o a JOIN o b ON a.i < b.i WHERE list_cosine_similarity(a.v, b.v) >= 0.97),
+near AS (SELECT b AS i, list(a) AS before FROM l GROUP BY b),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS anchors UNION ALL SELECT o.i, CASE WHEN list_has_any(coalesce(near.before, []), anchors) THEN anchors ELSE list_append(anchors, o.i) END FROM r JOIN o ON o.i = r.i + 1 LEFT JOIN near ON near.i = o.i),
+t AS (SELECT unnest(anchors) AS anchor FROM r WHERE i = (SELECT max(i) FROM r)),
+m AS (SELECT b AS i, min(a) AS anchor FROM l WHERE a IN (SELECT anchor FROM t) AND b NOT IN (SELECT anchor FROM t) GROUP BY b),
+q AS (SELECT m.i, m.anchor, score FROM m JOIN l ON l.a = m.anchor AND l.b = m.i UNION ALL SELECT DISTINCT anchor, anchor, NULL FROM m),
+y AS (SELECT o.id, anchor, score FROM q JOIN o USING (i))
+SELECT 'exact' AS kind, id, keep_id, 1.0 AS score FROM x WHERE n > 1
+UNION ALL SELECT 'near', id, min(id) OVER (PARTITION BY anchor), round(max(score) OVER (PARTITION BY anchor), 6) FROM y""")
+def dedupe_run(spark, folder):
+    """Exact and near duplicates of all documents in one run, each with the oldest of its group."""
+    rows = sources(spark, folder)
+    hashes = dedupe.content_hashes(rows.select("id", F.lit(0).alias("position"), F.col("text").alias("content")))
+    out = similar.dedupe_run(rows, hashes, _hash_vectors(spark, folder))
+    return out.select("kind", "id", "keep_id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_MEANS.format(k=4)} SELECT id, (u.d - 1)::INTEGER AS dim, round(v[u.d], 6) AS mean FROM m, (SELECT unnest(range(1, 65)) AS d) u")
 def source_means(spark, folder):
     """The mean vector of all chunks of each source."""

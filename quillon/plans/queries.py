@@ -354,11 +354,16 @@ def classify_cosine(spark, folder):
     return out.select("id", F.col("collection").cast("int").alias("collection"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH w AS (SELECT doc_id AS id, word, ln(1 + count(*)) AS x FROM (SELECT doc_id, unnest({_WORDS.format("coalesce(text, '')")}) AS word FROM documents) GROUP BY ALL),
+#: Hash vectors of all documents: f has what isn't zero of them, e all of it.
+_HASHED = f"""w AS (SELECT doc_id AS id, word, ln(1 + count(*)) AS x FROM (SELECT doc_id, unnest({_WORDS.format("coalesce(text, '')")}) AS word FROM documents) GROUP BY ALL),
 v AS (SELECT DISTINCT word FROM w), n AS (SELECT word, unnest(range(1, 4)) AS k FROM v), g AS (SELECT word, substr(word, i::BIGINT, k) AS gram FROM (SELECT word, k, unnest(range(1, length(word) - k + 2)) AS i FROM n WHERE k <= length(word))),
 d AS (SELECT gram, list_reduce(list_transform(range(0, strlen(gram)), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i + 1, 2))::BIGINT), lambda h, b: (xor(h, b) * 16777619) & 4294967295, 2166136261) % 512 AS bucket FROM (SELECT DISTINCT gram FROM g)),
-b AS (SELECT word, bucket, count(*) AS m FROM g JOIN d USING (gram) GROUP BY ALL), s AS (SELECT id, bucket, sum(x * m) AS x FROM w JOIN b USING (word) GROUP BY ALL), z AS (SELECT id, sqrt(sum(x * x)) AS size FROM s GROUP BY id)
-SELECT id, bucket::INTEGER AS bucket, round((x / size)::FLOAT::DOUBLE, 5) AS weight FROM s JOIN z USING (id)""")
+b AS (SELECT word, bucket, count(*) AS m FROM g JOIN d USING (gram) GROUP BY ALL), s AS (SELECT id, bucket, sum(x * m) AS x FROM w JOIN b USING (word) GROUP BY ALL), z AS (SELECT id, sqrt(sum(x * x)) AS size FROM s GROUP BY id),
+f AS (SELECT id, bucket, (x / size)::FLOAT::DOUBLE AS x FROM s JOIN z USING (id)),
+e AS (SELECT k.id, list(coalesce(f.x, 0.0) ORDER BY k.bucket) AS v FROM (SELECT id, unnest(range(0, 512)) AS bucket FROM z) k LEFT JOIN f ON f.id = k.id AND f.bucket = k.bucket GROUP BY k.id)"""
+
+
+@query(f"WITH {_HASHED} SELECT id, bucket::INTEGER AS bucket, round(x, 5) AS weight FROM f")
 def embed_hash(spark, folder):
     """Hash vectors of every document: what isn't zero of them."""
     out = embed.embed_hash(sources(spark, folder).select("id", F.col("text").alias("content")))

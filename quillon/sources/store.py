@@ -110,6 +110,16 @@ class KnowledgeBase:
         """Sources go by their origins; origins that no source has change nothing."""
         self.delete_source(self.read("sources").join(origins.select("origin"), "origin", "left_semi").select("id"))
 
+    def remove_duplicates(self, groups: DataFrame, dry_run: bool = True) -> dict[str, int]:
+        """What groups (kind, id, keep_id) of a run come to, and without ``dry_run`` the removal of all but the oldest of each."""
+        groups = written(groups.select("kind", "id", "keep_id"), "groups")
+        gone = groups.filter("id != keep_id").select("id")
+        counts = {r.kind: r.n for r in groups.groupBy("kind").agg(F.countDistinct("keep_id").alias("n")).collect()}  # a row for each kind
+        told = {"examined": self.read("sources").count(), "exact": counts.get("exact", 0), "near": counts.get("near", 0), "removed": 0 if dry_run else gone.count()}
+        if told["removed"]:
+            self.delete_source(gone)
+        return told
+
     def delete_collection(self, name: str, force: bool = False) -> None:
         """A collection goes; one that still has sources only if forced, with all of them."""
         rows = self.read("sources", name)
