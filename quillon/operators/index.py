@@ -1,116 +1,339 @@
-"""A stored inverted index: postings by term, added to and taken from without a rebuild, and boolean queries on it.
-
-Postings are Parquet, partitioned by a bucket of the term, so that a query reads the buckets of its terms only.
-Each batch of changes is appended with its number; ids that went, or came again, are noted in a table of their
-own with the number from which they count anew. Readers leave out what is older than that.
+"""A stored inverted index: blocks of postings in sorted shards, segments that merge, and searches that read what they need.
+
+Postings of a term stand in blocks of up to BLOCK chunks, coded as distances from the block's first chunk, with the largest count
+and the smallest length of the block. Blocks are range-partitioned by term: a shard is a folder of its own, and the index
+knows its first and last term, so a term or a beginning of terms reads one or two shards. A dictionary with the number of
+chunks of each term, front-coded by Parquet, lies in the same shards. Each batch of changes is a segment with such shards;
+chunks that went are listed, and merging rewrites small segments without them. What belongs to the index is said by a
+numbered list of segments that is written last: readers see a change as a whole, and of two writers one fails.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import words
-
-BUCKETS = 64
+from quillon.sources.store import written
+
+#: Postings of a block; chunks of a window, of which a ranked search skips or reads all; block keys that are pushed into a scan.
+BLOCK, WINDOW, PUSHED = 128, 256, 512
+#: Terms of so many chunks at most bound windows by their postings, which are few; others by the heads of their blocks.
+EXACT = 65_536
+#: Segments of about one size (powers of four) that are merged into one.
+TIER = 4
 K1, B = 1.2, 0.75
 _TOKEN = re.compile(r'"([^"]*)"|([()])|([^\s()"]+)')
+_BLOCKS = "term string, first bigint, last bigint, n bigint, cf bigint, tf_max bigint, len_min bigint, offsets array<bigint>, tfs array<bigint>, lens array<bigint>, at array<array<int>>"
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings (term, num, len, tf, at), sorted by term and num."""
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        term = batch.column("term").dictionary_encode()
+        code, num, size, tf = np.asarray(term.indices), *(np.asarray(batch.column(c)) for c in ("num", "len", "tf"))
+        run = np.flatnonzero(np.diff(code, prepend=-1) != 0)
+        within = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
+        start = np.flatnonzero(within % BLOCK == 0)
+        stop = np.append(start[1:], n)
+        cut = pa.array(np.append(start, n), pa.int32())
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (num - np.repeat(num[start], stop - start), tf, size)]
+        columns = [
+            batch.column("term").take(pa.array(start)), pa.array(num[start]), pa.array(num[stop - 1]), pa.array(stop - start), pa.array(np.add.reduceat(tf, start)),
+            pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(size, start)), *lists, pa.ListArray.from_arrays(cut, batch.column("at")),
+        ]
+        yield pa.record_batch(columns, ["term", "first", "last", "n", "cf", "tf_max", "len_min", "offsets", "tfs", "lens", "at"])
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+class SearchIndex:
+    """An index in a folder, as its newest list of segments says."""
 
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
 
-def positions(chunks: DataFrame) -> DataFrame:
-    """(term, id, tf, len, at) of chunks (id, content): how often and where each word stands."""
-    rows = chunks.select("id", F.explode(F.array(words(F.col("content")))).alias("w"))  # split once
-    each = rows.select("id", F.size("w").cast("long").alias("len"), F.posexplode("w").alias("pos", "term"))
-    return each.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("at"))
+    # ------------------------------------------------------------------ lists of segments
 
+    def _folder(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-class SearchIndex:
-    """An index in a folder."""
+    def _state(self) -> dict:
+        """The newest list that is whole."""
+        files, path = self._folder()
+        names = sorted((f.getPath().getName() for f in files.listStatus(path)), reverse=True)
+        for name in names:
+            row = self.spark.read.text(f"{self.root}/versions/{name}", wholetext=True).first()
+            if row and row[0].endswith("}"):
+                return json.loads(row[0])
+        raise ValueError(f"no index in {self.root}")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _commit(self, state: dict) -> None:
+        files, path = self._folder()
+        state = state | {"version": state["version"] + 1}
+        out = files.create(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{state['version']:08d}.json"), False)  # an error if another writer was faster
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+
+    # ------------------------------------------------------------------ writing
 
     def create(self, chunks: DataFrame) -> SearchIndex:
         """An index of chunks (id, content)."""
-        self.spark.createDataFrame([], "id string, batch long").write.parquet(f"{self.root}/gone")
-        self._append(chunks, 0)
+        empty = {"version": -1, "segments": [], "gone": [], "gone_docs": 0, "gone_words": 0, "next": 0}
+        self._commit(self._with_segment(empty, chunks))
         return self
 
-    def _append(self, chunks: DataFrame, batch: int) -> None:
-        posted = positions(chunks.select(F.col("id").cast("string").alias("id"), "content")).withColumn("batch", F.lit(batch).cast("long"))
-        posted = posted.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term")
-        posted.write.mode("append").partitionBy("bucket").parquet(f"{self.root}/postings")
-        lengths = chunks.select(F.col("id").cast("string").alias("id"), F.size(words(F.col("content"))).cast("long").alias("len"), F.lit(batch).cast("long").alias("batch"))
-        lengths.write.mode("append").parquet(f"{self.root}/lengths")
-
-    def _next_batch(self) -> int:
-        newest = [self.spark.read.parquet(f"{self.root}/{t}").agg(F.max("batch")).first()[0] for t in ("gone", "lengths")]
-        return max([x for x in newest if x is not None], default=-1) + 1
+    def _with_segment(self, state: dict, chunks: DataFrame) -> dict:
+        """The state with one more segment of chunks, whose numbers begin where the others' end."""
+        split = chunks.select(F.col("id").cast("string").alias("id"), words(F.col("content")).alias("w")).withColumn("seq", F.monotonically_increasing_id())
+        split = written(split.withColumns({"part": F.shiftright("seq", 33), "nth": F.col("seq") % (1 << 33)}).drop("seq"), "split")
+        counts = dict(split.groupBy("part").count().collect())  # a row for each partition
+        if not counts:
+            return state
+        first = {p: state["next"] + sum(n for q, n in counts.items() if q < p) for p in counts}
+        shift = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+        numbered = split.withColumns({"num": shift[F.col("part")] + F.col("nth"), "len": F.size("w").cast("bigint")})
+        each = numbered.select("num", "len", F.posexplode("w").alias("pos", "term"))
+        postings = each.groupBy("term", "num", "len").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("at"))
+        segment = self._write(postings, numbered.select("num", "id", "len"))
+        return state | {"segments": [*state["segments"], segment], "next": state["next"] + sum(counts.values())}
+
+    def _write(self, postings: DataFrame, docs: DataFrame) -> dict:
+        """A segment of postings (term, num, len, tf, at) and docs (num, id, len)."""
+        name = f"segment-{uuid.uuid4().hex}"
+        path = f"{self.root}/{name}"
+        docs.write.parquet(f"{path}/docs")
+        blocks = postings.select("term", "num", "len", "tf", "at").repartitionByRange("term", "num").sortWithinPartitions("term", "num").mapInArrow(_blocked, _BLOCKS)
+        blocks = blocks.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("shard", "term", "first")
+        blocks.write.partitionBy("shard").parquet(f"{path}/blocks")
+        known = self.spark.read.schema(_BLOCKS + ", shard int").parquet(f"{path}/blocks").groupBy("shard", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+        front = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}  # sorted strings are stored by what differs from the one before
+        known.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.options(**front).partitionBy("shard").parquet(f"{path}/terms")
+        ranges = self._read(name, "terms").groupBy("shard").agg(F.min("term"), F.max("term")).collect()  # a row for each shard
+        size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        return {"name": name, "docs": size[0], "words": size[1], "shards": sorted([list(r) for r in ranges])}
+
+    def _read(self, segment: str, what: str) -> DataFrame:
+        schema = {"blocks": _BLOCKS + ", shard int", "terms": "term string, df bigint, cf bigint, shard int", "docs": "num bigint, id string, len bigint"}[what]
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{segment}/{what}")
+
+    def _docs(self, state: dict) -> DataFrame:
+        """(num, id, len) of what is there now."""
+        return self._without_gone(state, self._union([self._read(s["name"], "docs") for s in state["segments"]], "num bigint, id string, len bigint"))
+
+    def _union(self, tables: list[DataFrame], schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, tables) if tables else self.spark.createDataFrame([], schema)
+
+    def _gone(self, state: dict) -> DataFrame:
+        return self._union([self.spark.read.schema("num bigint, len bigint").parquet(f"{self.root}/{g}") for g in state["gone"]], "num bigint, len bigint")
+
+    def _without_gone(self, state: dict, rows: DataFrame) -> DataFrame:
+        return rows.join(self._gone(state).select("num"), "num", "left_anti") if state["gone"] else rows
+
+    def _without(self, state: dict, ids: DataFrame) -> dict:
+        """The state after chunks went by their ids."""
+        name = f"gone-{uuid.uuid4().hex}"
+        went = self._docs(state).join(ids.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi").select("num", "len")
+        went.write.parquet(f"{self.root}/{name}")
+        count, total = self.spark.read.schema("num bigint, len bigint").parquet(f"{self.root}/{name}").agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+        if not count:
+            return state
+        return state | {"gone": [*state["gone"], name], "gone_docs": state["gone_docs"] + count, "gone_words": state["gone_words"] + total}
 
     def remove(self, ids: DataFrame) -> None:
-        ids.select(F.col("id").cast("string").alias("id"), F.lit(self._next_batch()).cast("long").alias("batch")).write.mode("append").parquet(f"{self.root}/gone")
+        """Chunks go by their ids; ids that aren't there change nothing."""
+        self._commit(self._without(self._state(), ids))
 
     def update(self, chunks: DataFrame) -> None:
-        """Chunks take the place of those with the same id, or are new."""
-        self.remove(chunks)
-        self._append(chunks, self._next_batch())
-
-    def _current(self, rows: DataFrame) -> DataFrame:
-        gone = self.spark.read.parquet(f"{self.root}/gone").groupBy("id").agg(F.max("batch").alias("since"))
-        return rows.join(gone, "id", "left").filter(F.col("since").isNull() | (F.col("batch") > F.col("since"))).drop("since", "batch")
+        """Chunks take the place of those with the same id, or are new: one change."""
+        self._commit(self._with_segment(self._without(self._state(), chunks), chunks))
+
+    def merge(self, everything: bool = False) -> int:
+        """Merge segments of about one size once there are TIER of them, or all; returns how many went. Chunks that went are left out."""
+        state = self._state()
+        tiers: dict[int, list[dict]] = {}
+        for s in state["segments"]:
+            tiers.setdefault(0 if everything else int(math.log(max(1, s["docs"]), TIER)), []).append(s)
+        merged = [s for tier in tiers.values() if len(tier) >= (1 if everything else TIER) for s in tier]
+        if not merged or (len(merged) == 1 and not state["gone"]):
+            return 0
+        names = {s["name"] for s in merged}
+        part = state | {"segments": merged}
+        kept = [s for s in state["segments"] if s["name"] not in names]
+        segment = self._write(self._postings(part, self._blocks(part)), self._docs(part))
+        # Of chunks that went, those of other segments are still to be named.
+        left = {"gone": [], "gone_docs": 0, "gone_words": 0}
+        if state["gone"] and kept:
+            name = f"gone-{uuid.uuid4().hex}"
+            others = self._union([self._read(s["name"], "docs").select("num") for s in kept], "num bigint")
+            self._gone(state).join(others, "num", "left_semi").write.parquet(f"{self.root}/{name}")
+            count, total = self.spark.read.schema("num bigint, len bigint").parquet(f"{self.root}/{name}").agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+            left = {"gone": [name], "gone_docs": count, "gone_words": total} if count else left
+        self._commit(state | left | {"segments": [*kept, segment]})
+        return len(merged)
+
+    # ------------------------------------------------------------------ reading
+
+    @staticmethod
+    def _shards(segment: dict, terms: list[str] | None, prefixes: list[str]) -> list[int]:
+        """Shards that may hold one of the terms, or terms that begin so."""
+        met = lambda low, high: any(low <= t <= high for t in terms or []) or any(high >= p and low[: len(p)] <= p for p in prefixes)
+        return [shard for shard, low, high in segment["shards"] if terms is None or met(low, high)]
+
+    def _scan(self, state: dict, what: str, terms: list[str] | None, prefixes: list[str]) -> DataFrame:
+        tables = []
+        for segment in state["segments"]:
+            rows = self._read(segment["name"], what)
+            if terms is not None:
+                wanted = reduce(Column.__or__, [F.col("term").startswith(p) for p in prefixes], F.col("term").isin(terms))
+                rows = rows.filter(F.col("shard").isin(self._shards(segment, terms, prefixes)) & wanted)
+            tables.append(rows.drop("shard"))
+        return self._union(tables, _BLOCKS if what == "blocks" else "term string, df bigint, cf bigint")
+
+    def _blocks(self, state: dict, terms: list[str] | None = None, prefixes: list[str] | None = None) -> DataFrame:
+        return self._scan(state, "blocks", terms, prefixes or [])
+
+    def _postings(self, state: dict, blocks: DataFrame, places: bool = True) -> DataFrame:
+        """(term, num, len, tf, at) of blocks, without chunks that went."""
+        zipped = F.arrays_zip("offsets", "tfs", "lens", *(["at"] if places else []))
+        each = blocks.select("term", "first", F.inline(zipped))
+        rows = each.select("term", (F.col("first") + F.col("offsets")).alias("num"), F.col("lens").alias("len"), F.col("tfs").alias("tf"), *(["at"] if places else []))
+        return self._without_gone(state, rows)
 
     def postings(self, terms: list[str] | None = None, prefix: str | None = None) -> DataFrame:
         """(term, id, tf, len, at) of all terms, of some, or of those with a prefix."""
-        rows = self.spark.read.schema("term string, id string, len long, tf long, at array<int>, batch long, bucket int").parquet(f"{self.root}/postings")
-        if terms is not None:
-            buckets = {r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).collect()} if terms else set()
-            rows = rows.filter(F.col("bucket").isin(sorted(buckets)) & F.col("term").isin(terms))
-        elif prefix is not None:
-            rows = rows.filter(F.col("term").startswith(prefix))
-        return self._current(rows).select("term", "id", "tf", "len", "at")
+        state = self._state()
+        blocks = self._blocks(state, terms if prefix is None else terms or [], [] if prefix is None else [prefix])
+        return self._postings(state, blocks).join(self._docs(state).select("num", "id"), "num").select("term", "id", "tf", "len", "at")
+
+    @staticmethod
+    def _size(state: dict) -> tuple[int, float]:
+        """Chunks, and words of a chunk on average."""
+        n = sum(s["docs"] for s in state["segments"]) - state["gone_docs"]
+        return n, (sum(s["words"] for s in state["segments"]) - state["gone_words"]) / n if n else 0.0
 
     def stats(self) -> DataFrame:
         """(n, avg_len): one row."""
-        return self._current(self.spark.read.parquet(f"{self.root}/lengths")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+        n, average = self._size(self._state())
+        return self.spark.createDataFrame([(n, average if n else None)], "n bigint, avg_len double")
 
     def term_stats(self) -> DataFrame:
-        return self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        """(term, df, cf): from the dictionary, and from the postings as long as chunks that went aren't merged away."""
+        state = self._state()
+        if not state["gone"]:
+            return self._scan(state, "terms", None, []).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return self._postings(state, self._blocks(state), places=False).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
     def search(self, query: str, k1: float = K1, b: float = B) -> DataFrame:
-        """(id, score): BM25 of the chunks that a query matches."""
+        """(id, score): BM25 of the chunks that a query matches. All parts of the query are met in one scan of its shards."""
         tree, leaves = parse_query(query)
         if not leaves:
             return self.spark.createDataFrame([], "id string, score double")
-        hits = reduce(DataFrame.unionByName, [self._leaf(kind, value).withColumn("leaf", F.lit(i)) for i, (kind, value) in enumerate(leaves)])
+        state = self._state()
+        phrases = [(i, v) for i, (kind, v) in enumerate(leaves) if kind == "phrase"]
+        terms = sorted({w for kind, v in leaves if kind != "prefix" for w in ([v] if kind == "term" else v)})
+        prefixes = sorted({v for kind, v in leaves if kind == "prefix"})
+        each = self._postings(state, self._blocks(state, terms, prefixes), places=bool(phrases))
+        if phrases:
+            each = written(each, "postings")  # met once for each phrase
+        plain = [F.when(F.col("term").startswith(v) if kind == "prefix" else F.col("term") == v, F.lit(i)) for i, (kind, v) in enumerate(leaves) if kind != "phrase"]
+        parts = [_phrase(each, i, v) for i, v in phrases]
+        if plain:
+            parts.append(each.select("num", "len", "tf", F.explode(F.array_compact(F.array(*plain))).alias("leaf")).groupBy("leaf", "num", "len").agg(F.sum("tf").alias("tf")))
+        hits = written(reduce(DataFrame.unionByName, [p.select("leaf", "num", "len", "tf") for p in parts]), "hits")
         df = hits.groupBy("leaf").agg(F.count(F.lit(1)).alias("df"))  # a row for each part of the query
-        rated = hits.join(F.broadcast(df), "leaf").join(F.broadcast(self.stats()))  # and one row
-        idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-        out = rated.groupBy("id").agg(F.sum(part).alias("score"), F.collect_set("leaf").alias("met"))
-        return out.filter(_holds(tree)).select("id", "score")
-
-    def _leaf(self, kind: str, value) -> DataFrame:
-        """(id, len, tf) of one part of a query."""
-        if kind == "prefix":
-            return self.postings(prefix=value).groupBy("id", "len").agg(F.sum("tf").alias("tf"))
-        if kind == "term":
-            return self.postings([value]).select("id", "len", "tf")
-        # A phrase: places where all its words stand, each counted back to the first.
-        places: dict[str, list[int]] = {}
-        for i, w in enumerate(value):
-            places.setdefault(w, []).append(i)
-        where = F.create_map(*[x for w, at in places.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
-        each = self.postings(list(places)).select("id", "len", "at", F.explode(where[F.col("term")]).alias("i"))
-        starts = each.select("id", "len", F.explode(F.transform("at", lambda p: p - F.col("i"))).alias("start"))
-        full = starts.groupBy("id", "len", "start").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") == len(value))
-        return full.groupBy("id", "len").agg(F.count(F.lit(1)).alias("tf"))
+        n, average = self._size(state)
+        rated = hits.join(F.broadcast(df), "leaf")
+        out = rated.groupBy("num").agg(F.sum(_impact(n, average, k1, b)).alias("score"), F.collect_set("leaf").alias("met")).filter(_holds(tree))
+        return out.select("num", "score").join(self._docs(state).select("num", "id"), "num").select("id", "score")
+
+    # ------------------------------------------------------------------ the best k
+
+    def _frequencies(self, state: dict, terms: list[str]) -> dict[str, int]:
+        """Chunks of each term that has any."""
+        if not state["gone"]:
+            rows = self._scan(state, "terms", terms, []).groupBy("term").agg(F.sum("df"))
+        else:
+            rows = self._postings(state, self._blocks(state, terms), places=False).groupBy("term").count()
+        return dict(rows.collect())  # a row for each term of the query
+
+    def top(self, terms: list[str], k: int, every: bool = False, k1: float = K1, b: float = B) -> DataFrame:
+        """(id, score): the k chunks of largest BM25 for any of the terms, or with all of them, ties by number.
+
+        Bounds come from the blocks' heads. The most promising windows are scored first; of the others only those are read
+        whose bound reaches the k-th best score found so far, so a window that is left out holds none of the best k.
+        """
+        state = self._state()
+        terms = sorted(set(terms))
+        df = self._frequencies(state, terms)
+        nothing = self.spark.createDataFrame([], "id string, score double")
+        if not df or (every and len(df) < len(terms)) or k <= 0:
+            return nothing
+        windows, rated = self._windows(state, terms, df, every, k1, b)
+        best = rated(windows.orderBy(F.desc("bound"), "window").limit(max(2, -(-2 * k // WINDOW))))
+        least = best.orderBy(F.desc("score"), "num").limit(k).agg(F.count(F.lit(1)), F.min("score")).first()
+        floor = least[1] if least[0] == k else 0.0
+        self.read = written(windows.filter(F.col("bound") >= floor * (1 - 1e-9)), "windows")
+        out = rated(self.read).orderBy(F.desc("score"), "num").limit(k)
+        return F.broadcast(out).join(self._docs(state).select("num", "id"), "num").orderBy(F.desc("score"), "num").select("id", "score")
+
+    def _windows(self, state: dict, terms: list[str], df: dict[str, int], every: bool, k1: float, b: float):
+        """(window, bound) of windows with the terms, and how the chunks of some windows are scored."""
+        n, average = self._size(state)
+        weight = {t: max(math.log((n - d + 0.5) / (d + 0.5)), 1e-6) for t, d in df.items()}
+        idf = F.create_map(*[x for t, v in weight.items() for x in (F.lit(t), F.lit(v))])[F.col("term")]
+        impact = lambda tf, size: idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average))
+        few, many = [t for t in terms if df.get(t, 0) <= EXACT], [t for t in terms if df.get(t, 0) > EXACT]
+        heads = self._blocks(state, many).select("term", "first", "last", impact(F.col("tf_max"), F.col("len_min")).alias("most"))
+        spread = heads.select("term", "first", F.explode(F.sequence(F.floor(F.col("first") / WINDOW), F.floor(F.col("last") / WINDOW))).alias("window"), "most")
+        each = self._blocks(state, few).select("term", "first", F.inline(F.arrays_zip("offsets", "tfs", "lens")))
+        exact = each.select("term", "first", F.floor((F.col("first") + F.col("offsets")) / WINDOW).alias("window"), impact(F.col("tfs"), F.col("lens")).alias("most"))
+        spread = written(spread.unionByName(exact).groupBy("term", "first", "window").agg(F.max("most").alias("most")), "heads")
+        each = spread.groupBy("window", "term").agg(F.max("most").alias("most"))
+        windows = each.groupBy("window").agg(F.sum("most").alias("bound"), F.count(F.lit(1)).alias("terms"))
+        windows = written(windows.filter(F.col("terms") == len(terms)) if every else windows, "bounds").select("window", "bound")
+        def rated(some: DataFrame) -> DataFrame:
+            """(num, score) of all matching chunks of these windows, from the blocks that reach into them."""
+            some = some.select("window")
+            keys = written(spread.join(some, "window", "left_semi").select("term", "first").distinct(), "keys")
+            few = keys.limit(PUSHED + 1).collect()  # a bounded number
+            blocks = self._blocks(state, terms).drop("at")
+            if len(few) <= PUSHED:
+                blocks = blocks.filter(F.col("first").isin(sorted({r["first"] for r in few})))
+            rows = self._postings(state, blocks.join(keys, ["term", "first"], "left_semi"), places=False)
+            rows = rows.withColumn("window", F.floor(F.col("num") / WINDOW)).join(some, "window", "left_semi")
+            out = rows.groupBy("num").agg(F.sum(impact(F.col("tf"), F.col("len"))).alias("score"), F.count(F.lit(1)).alias("terms"))
+            return (out.filter(F.col("terms") == len(terms)) if every else out).select("num", "score")
+
+        return windows, rated
+
+
+def _impact(n: int, average: float, k1: float, b: float) -> Column:
+    idf = F.greatest(F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(average)))
+
+
+def _phrase(each: DataFrame, leaf: int, phrase: list[str]) -> DataFrame:
+    """(leaf, num, len, tf): places where all words of a phrase stand, each counted back to the first."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(phrase):
+        places.setdefault(w, []).append(i)
+    where = F.create_map(*[x for w, at in places.items() for x in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
+    rows = each.filter(F.col("term").isin(list(places))).select("num", "len", "at", F.explode(where[F.col("term")]).alias("i"))
+    starts = rows.select("num", "len", F.explode(F.transform("at", lambda p: p - F.col("i"))).alias("start"))
+    full = starts.groupBy("num", "len", "start").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") == len(phrase))
+    return full.groupBy("num", "len").agg(F.count(F.lit(1)).alias("tf")).withColumn("leaf", F.lit(leaf))
 
 
 def _query_words(text: str) -> list[str]:

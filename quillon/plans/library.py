@@ -28,15 +28,28 @@ def _byte_cut(x: str, n: int) -> str:
 # ------------------------------------------------------------------ a stored index
 
 
-def _indexed(spark, folder, changes: bool = False) -> SearchIndex:
-    """An index of all documents; with changes, of those that stay when some go and others come with the text of their neighbour."""
+#: Indexes that this process has built: where they lie, by session, tables and whether they have seen changes.
+_BUILT: dict[tuple, str] = {}
+
+
+def _indexed(spark, folder, changes: bool = False, merged: bool = False) -> SearchIndex:
+    """An index of all documents, built once for all queries; with changes, of those that stay when some go and others come
+    with the text of their neighbour.
+    """
+    key = (spark.sparkContext.applicationId, folder, changes, merged)
+    if key in _BUILT:
+        return SearchIndex(spark, _BUILT[key])
     rows = sources(spark, folder).select("id", F.col("text").alias("content"))
     index = SearchIndex(spark, f"{shared_dir(spark)}/quillon-index-{uuid.uuid4().hex}")
-    if not changes:
-        return index.create(rows)
-    index.create(rows.filter("id % 3 < 2"))
-    index.remove(rows.filter("id % 9 = 0").select("id"))
-    index.update(rows.filter("id % 3 = 2 or id % 9 = 1").withColumn("content", F.concat("content", F.lit(" again"))))
+    if changes:
+        index.create(rows.filter("id % 3 < 2"))
+        index.remove(rows.filter("id % 9 = 0").select("id"))
+        index.update(rows.filter("id % 3 = 2 or id % 9 = 1").withColumn("content", F.concat("content", F.lit(" again"))))
+    else:
+        index.create(rows)
+    if merged:
+        index.merge(everything=True)
+    _BUILT[key] = index.root
     return index
 
 
@@ -59,6 +72,38 @@ def boolean_search(spark, folder):
     return out.select("id", F.round("score", 6).alias("score"))
 
 
+_TOP_SQL = f"""WITH d AS (SELECT doc_id AS id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents), s AS (SELECT count(*) AS n, avg(len(ws)) AS a FROM d),
+tf AS (SELECT id, len(ws) AS l, t, count(*) AS f FROM (SELECT id, ws, unnest(ws) AS t FROM d) WHERE t IN (<terms>) GROUP BY ALL), df AS (SELECT t, count(*) AS d FROM tf GROUP BY t),
+r AS (SELECT id, sum(greatest(ln((n - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))) AS score, count(*) AS m FROM tf JOIN df USING (t), s GROUP BY id)
+SELECT id::VARCHAR AS id, round(score, 6) AS score FROM r WHERE m >= <least> ORDER BY r.score DESC, r.id LIMIT 10"""
+
+
+@query(_TOP_SQL.replace("<terms>", "'trash', 'moron', 'license', 'hate'").replace("<least>", "1"))
+def top_any(spark, folder):
+    """The ten best documents for any of some words, from the blocks that can hold them."""
+    return _indexed(spark, folder).top(["trash", "moron", "license", "hate"], 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_TOP_SQL.replace("<terms>", "'license', 'under'").replace("<least>", "2"))
+def top_all(spark, folder):
+    """The ten best documents with all of some words."""
+    return _indexed(spark, folder).top(["license", "under"], 10, every=True).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH w AS (SELECT doc_id AS id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents), t AS (SELECT id, unnest(ws) AS term FROM w)
+SELECT term, id::VARCHAR AS id, count(*) AS tf FROM t WHERE starts_with(term, 'lic') GROUP BY ALL""")
+def prefix_postings(spark, folder):
+    """Postings of all words with a beginning, from the shards that hold it."""
+    return _indexed(spark, folder).postings(prefix="lic").select("term", "id", "tf")
+
+
+@query(f"""WITH d AS (SELECT doc_id AS id, {_WORDS.format("CASE WHEN doc_id % 3 = 2 OR doc_id % 9 = 1 THEN concat(coalesce(text, ''), ' again') ELSE coalesce(text, '') END")} AS ws FROM documents WHERE doc_id % 9 > 0)
+SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT id, unnest(ws) AS term FROM d) GROUP BY term""")
+def index_merged(spark, folder):
+    """The dictionary after segments with changes were merged into one."""
+    return _indexed(spark, folder, changes=True, merged=True).term_stats()
+
+
 @query(r"""WITH q AS (SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) || ' 知识库' || n_nationkey ELSE n_name || CASE n_nationkey % 3 WHEN 1 THEN ' 世' ELSE ' plain' END END AS t FROM nation)
 SELECT id, CASE WHEN id % 3 = 2 THEN t WHEN id % 3 = 1 THEN trim(regexp_replace(split_part(t, ' 世', 1), '\s+', ' ', 'g')) || ' 世' ELSE split_part(t, ' 知识库', 1) || ' (知 OR 识 OR 库 OR 知识 OR 识库) ' || id END AS expanded FROM q""")
 def expanded_queries(spark, folder):
