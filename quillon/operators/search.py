@@ -52,17 +52,8 @@ def bm25(chunks: DataFrame, terms: list[str], every: bool = True, k1: float = K1
 ROW_BLOCK, QUERY_BLOCK = 65_536, 2_048
 
 
-def vector_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank): for each query the k rows with the largest cosine, ties by id.
-
-    Queries and rows are dealt into blocks by a hash, and each task compares one block with one other and keeps k
-    rows for each of its queries. Nothing is broadcast, and a task's memory doesn't depend on the tables' sizes.
-    """
-    row_blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
-
-    def dealt(table: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
-        table = table.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(own))
-        return table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+def nearest(k: int):
+    """A comparison of rows with queries (id, vector), as Arrow tables: the k rows of largest cosine for each query."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         matrices = [_unit(_matrix(t["vector"])) if len(t) else np.zeros((0, 1)) for t in (left, right)]
@@ -75,8 +66,23 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             best_s, best_i = np.take_along_axis(sims, order, 1), np.take_along_axis(who, order, 1)
         return pa.table({"query_id": np.repeat(qids, best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
 
+    return compare
+
+
+def vector_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): for each query the k rows with the largest cosine, ties by id.
+
+    Queries and rows are dealt into blocks by a hash, and each task compares one block with one other and keeps k
+    rows for each of its queries. Nothing is broadcast, and a task's memory doesn't depend on the tables' sizes.
+    """
+    row_blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
+
+    def dealt(table: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
+        table = table.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(own))
+        return table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
     left, right = dealt(rows, "r", row_blocks, "q", query_blocks), dealt(queries, "q", query_blocks, "r", row_blocks)
-    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(compare, "query_id bigint, id bigint, score double")
+    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(nearest(k), "query_id bigint, id bigint, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 

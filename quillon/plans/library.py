@@ -15,8 +15,10 @@ from quillon.plans.queries import _CHUNKS, _HASHED, _WORDS, _chunks, query
 from quillon.sources.plugins import changed
 from quillon.sources.store import shared_dir, written
 from quillon.sources.tables import sources, table
+from quillon.operators.vector_index import VectorIndex
+from quillon.streaming.debounce import debounce_stream
 from quillon.streaming.watch import merge_changes
-from quillon.streaming.windows import file_stream
+from quillon.streaming.windows import file_stream, run_appended
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)"
 
@@ -104,6 +106,36 @@ def index_merged(spark, folder):
     return _indexed(spark, folder, changes=True, merged=True).term_stats()
 
 
+@query("""WITH s AS (SELECT e.vec_id AS id, q.vec_id AS query_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, round(score, 6) AS score, rank FROM k WHERE rank <= 10""")
+def vector_index_exact(spark, folder):
+    """The ten nearest vectors of every twentieth one, from a stored inverted file, of which bounds leave lists out."""
+    rows = _vectors(spark, folder)
+    key = (spark.sparkContext.applicationId, folder, "vectors")
+    if key not in _BUILT:
+        _BUILT[key] = VectorIndex(spark, f"{shared_dir(spark)}/quillon-vectors-{uuid.uuid4().hex}").create(rows).root
+    out = VectorIndex(spark, _BUILT[key]).search(rows.filter("id % 20 = 0"), 10, exact=True)
+    return out.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS path, event_type AS type, epoch_us(ts) AS us, event_id AS seq FROM events),
+o AS (SELECT *, lag(us) OVER w AS us0, lag(type) OVER w AS type0, lead(us) OVER w AS us1, lead(type) OVER w AS type1 FROM e WINDOW w AS (PARTITION BY path ORDER BY us, seq)),
+b AS (SELECT *, sum(CASE WHEN type = 'purchase' OR type0 IS NULL OR type0 = 'purchase' OR us - us0 >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY us, seq) AS burst FROM o),
+l AS (SELECT *, row_number() OVER (PARTITION BY path, burst ORDER BY us DESC, seq DESC) AS r, count(*) OVER (PARTITION BY path, burst) AS n FROM b)
+SELECT path, n, type, make_timestamp(us) AS last_ts FROM l
+WHERE r = 1 AND (type = 'purchase' OR CASE WHEN us1 IS NULL THEN us + 1800000000 <= (SELECT max(us) FROM e) ELSE NOT (type1 = 'purchase' AND us1 - us < 1800000000) END)""")
+def debounce_events(spark, folder):
+    """Bursts of a stream of events that were followed by 30 minutes of quiet; a purchase stands for a deletion."""
+    events = file_stream(spark, f"{folder}/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("event_id").alias("seq"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    try:
+        out = run_appended(debounce_stream(events, 1800.0, deleted="purchase"), f"{shared_dir(spark)}/quillon-debounce-{uuid.uuid4().hex}")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return out.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
 @query(r"""WITH q AS (SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) || ' 知识库' || n_nationkey ELSE n_name || CASE n_nationkey % 3 WHEN 1 THEN ' 世' ELSE ' plain' END END AS t FROM nation)
 SELECT id, CASE WHEN id % 3 = 2 THEN t WHEN id % 3 = 1 THEN trim(regexp_replace(split_part(t, ' 世', 1), '\s+', ' ', 'g')) || ' 世' ELSE split_part(t, ' 知识库', 1) || ' (知 OR 识 OR 库 OR 知识 OR 识库) ' || id END AS expanded FROM q""")
 def expanded_queries(spark, folder):

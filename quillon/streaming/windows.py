@@ -35,6 +35,13 @@ def run_available(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct("_batch", *rest)).alias("last")).select(*keys, "last.*").select(*schema.names)
 
 
+def run_appended(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream whose rows are final over all that is there now, and return them; ``folder`` keeps rows and state, so a later run goes on."""
+    query = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").format("parquet").option("path", f"{folder}/rows").start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """New Parquet files under a path, or the one file that it is, as a stream with the table's schema."""
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern, as Spark takes a plain path for a folder
