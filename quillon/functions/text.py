@@ -169,7 +169,11 @@ def stripped(text: Column) -> Column:
 
 def byte_cut(text: Column, limit: int) -> Column:
     """At most ``limit`` bytes of UTF-8, cut where a character ends."""
-    cut = F.rtrim(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, limit).cast("string")), F.lit("\ufffd"))
+    raw = F.encode(text, "UTF-8")
+    # A character begins with a byte that isn't 10xxxxxx: the cut goes back by the bytes of one that it would split.
+    follows = lambda k: F.hex(F.substring(raw, limit + 1 - k, 1)).rlike("^[89AB]")
+    back = F.when(~follows(0), 0).when(~follows(1), 1).when(~follows(2), 2).otherwise(3)
+    cut = F.substring(raw, F.lit(1), F.greatest(F.lit(limit) - back, F.lit(0))).cast("string")
     return F.when(F.octet_length(text) <= limit, text).otherwise(cut)
 
 

@@ -129,6 +129,24 @@ def chunk(sources: DataFrame, strategy: str = "paragraph") -> DataFrame:
     return made.get(strategy, chunk_paragraph)(sources)
 
 
+def chunk_each(sources: DataFrame) -> DataFrame:
+    """(id, position, char_start, char_end, section, content) of sources (id, text, strategy), each by its own strategy."""
+    kind, cuts = dict(sources.dtypes)["id"], {"markdown": markdown_pieces}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("strategy").to_pylist()
+            pieces = pa.array([cuts.get(s, paragraph_pieces)(x.as_py() or "") for s, x in zip(names, batch.column("text"), strict=True)], _ARROW)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pieces], names=["id", "pieces"])
+
+    fixed = F.coalesce(F.col("strategy").isin("fixed", "code"), F.lit(False))
+    folded = sources.filter(~fixed).select("id", "text", "strategy").mapInArrow(run, f"id {kind}, pieces {_CHUNK}").select("id", F.inline("pieces"))
+    for name, size, overlap in (("fixed", 500, 50), ("code", 800, 100)):
+        cut = chunk_fixed(sources.filter(F.col("strategy") == name), size, overlap).withColumn("section", F.lit(""))
+        folded = folded.unionByName(cut.select(*folded.columns))
+    return folded
+
+
 class ChunkRows:
     """A table function: the pieces of a text by the name of a strategy, for SQL."""
 

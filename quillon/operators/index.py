@@ -159,6 +159,11 @@ class SearchIndex:
         """Chunks take the place of those with the same id, or are new: one change."""
         self._commit(self._with_segment(self._without(self._state(), chunks), chunks))
 
+    def replace(self, ids: DataFrame, chunks: DataFrame) -> None:
+        """Chunks go by their ids and others come, which may have the same ids: one change."""
+        every = ids.select(F.col("id").cast("string").alias("id")).unionByName(chunks.select(F.col("id").cast("string").alias("id")))
+        self._commit(self._with_segment(self._without(self._state(), every), chunks))
+
     def merge(self, everything: bool = False) -> int:
         """Merge segments of about one size once there are TIER of them, or all; returns how many went. Chunks that went are left out."""
         state = self._state()

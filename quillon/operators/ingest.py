@@ -11,17 +11,23 @@ from pyspark.sql import functions as F
 from quillon.functions.text import markdown_links, new_collection_name, preview, source_type, wikilinks
 from quillon.operators import chunking
 from quillon.operators.graph import resolve_links
+from quillon.operators.index import SearchIndex
+from quillon.sources.store import written
 
 _DATA = ("origin", "source_type", "title", "text", "collection")
 
 
 class Ingested(NamedTuple):
-    """sources and chunks after the run, link hints of what is new, and the status of each origin."""
+    """sources and chunks after the run, relations after it (of what is new alone, if no old ones were given), the status of
+    each origin, the ids of sources that went or were replaced, and the embeddings after the run, if there are any.
+    """
 
     sources: DataFrame
     chunks: DataFrame
     relations: DataFrame
     status: DataFrame
+    gone: DataFrame
+    embeddings: DataFrame | None = None
 
 
 def snippets(rows: DataFrame) -> DataFrame:
@@ -60,15 +66,24 @@ def link_hints(sources: DataFrame) -> DataFrame:
     return refers.unionByName(cites).filter("to_origin != ''").distinct()
 
 
-def ingest(data: DataFrame, old_sources: DataFrame, old_chunks: DataFrame, removed: DataFrame | None = None) -> Ingested:
+def ingest(
+    data: DataFrame, old_sources: DataFrame, old_chunks: DataFrame, removed: DataFrame | None = None, strategies: DataFrame | None = None,
+    old_relations: DataFrame | None = None, old_embeddings: DataFrame | None = None, embedder: Callable[[DataFrame], DataFrame] | None = None, model: str = "hash",
+) -> Ingested:
     """Bring data (origin, source_type, title, text, collection) into sources (id, origin, origin_hash, source_type, title, text, collection) and chunks.
 
     A source whose hash is what it was is left as it is; a changed one takes the place of the old one with all of its
-    chunks; a new one is added. Origins in ``removed`` go first; those that aren't known change nothing. An origin twice in
-    the data counts once. Ids are hashes of the origin, so a run that is repeated changes nothing more.
+    chunks; a new one is added. Origins in ``removed`` go first; those that aren't known change nothing. Of an origin that is
+    twice in the data the later row counts. Ids are hashes of the origin, so a run that is repeated changes nothing more.
+
+    A source is cut by the strategy of its collection, as ``strategies`` (collection, chunk_strategy) says, by Markdown where it
+    says nothing, and a PDF by paragraphs. With a source its relations (from_id, to_id, ...) at either end and the embeddings
+    (source_id, position, model, vector) of its chunks go; ``embedder`` takes new chunks (id, content) to (id, vector).
     """
     text = F.coalesce("text", F.lit(""))
-    new = data.select(*_DATA).groupBy("origin").agg(F.max(F.struct(*[c for c in _DATA if c != "origin"])).alias("d")).select("origin", "d.*")
+    staged = written(data.select(*_DATA).withColumn("_seq", F.monotonically_increasing_id()), "fetched")
+    last = staged.groupBy("origin").agg(F.max("_seq").alias("_seq"))  # numbers, not texts
+    new = staged.join(last, ["origin", "_seq"], "left_semi")
     new = new.select(F.sha2("origin", 256).alias("id"), "origin", F.md5(text).alias("origin_hash"), "source_type", "title", text.alias("text"), "collection")
     kept = old_sources.join(removed.select("origin"), "origin", "left_anti") if removed is not None else old_sources
     state = kept.select("origin", F.col("origin_hash").alias("old_hash"), F.lit(True).alias("known"))
@@ -78,13 +93,40 @@ def ingest(data: DataFrame, old_sources: DataFrame, old_chunks: DataFrame, remov
     fresh = compared.filter("status != 'unchanged'").drop("status")
     stay = kept.join(fresh.select("origin"), "origin", "left_anti")
     sources = stay.select(*fresh.columns).unionByName(fresh)
-    pieces = chunking.chunk_paragraph(fresh.filter("source_type = 'pdf'").select("id", "text")).select("id", "position", "content").unionByName(
-        chunking.chunk_fixed(fresh.filter("source_type != 'pdf'").select("id", "text")).select("id", "position", "content")
-    )
-    pieces = pieces.withColumnRenamed("id", "source_id").withColumn("content_hash", F.sha2("content", 256))
+    gone = old_sources.select("id").join(stay.select("id"), "id", "left_anti")
+    named = fresh.join(strategies.select("collection", "chunk_strategy"), "collection", "left") if strategies is not None else fresh.withColumn("chunk_strategy", F.lit("markdown"))
+    strategy = F.when(F.col("source_type") == "pdf", "paragraph").otherwise(F.coalesce("chunk_strategy", F.lit("markdown")))
+    pieces = chunking.chunk_each(named.select("id", "text", strategy.alias("strategy"))).select(F.col("id").alias("source_id"), "position", "content")
+    pieces = pieces.withColumn("content_hash", F.sha2("content", 256))
     chunks = old_chunks.join(stay.select(F.col("id").alias("source_id")), "source_id", "left_semi").select(*pieces.columns).unionByName(pieces)
     relations = resolve_links(link_hints(fresh.select("id", "text")), sources)
-    return Ingested(sources, chunks, relations, compared.select("id", "origin", "status"))
+    if old_relations is not None:
+        left = old_relations
+        for end in ("from_id", "to_id"):
+            left = left.join(gone.withColumnRenamed("id", end), end, "left_anti")
+        relations = left.select(*old_relations.columns).unionByName(relations, allowMissingColumns=True)
+    embeddings = None
+    if old_embeddings is not None or embedder is not None:
+        parts = []
+        if old_embeddings is not None:
+            parts.append(old_embeddings.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").select("source_id", "position", "model", "vector"))
+        if embedder is not None:
+            vectors = embedder(pieces.select(F.struct("source_id", "position").alias("id"), "content"))
+            parts.append(vectors.select("id.source_id", "id.position", F.lit(model).alias("model"), "vector"))
+        embeddings = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return Ingested(sources, chunks, relations, compared.select("id", "origin", "status"), gone, embeddings)
+
+
+def chunk_ids(chunks: DataFrame) -> DataFrame:
+    """(id, content) of chunks (source_id, position, content), as an index and an embedder take them."""
+    return chunks.select(F.concat_ws("#", "source_id", "position").alias("id"), "content")
+
+
+def keep_index(index: SearchIndex, old_chunks: DataFrame, done: Ingested) -> None:
+    """Bring an index of chunks to what it is after a run: chunks of sources that went go and new ones come, as one change."""
+    went = old_chunks.join(done.gone.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    new = done.chunks.join(done.status.filter("status != 'unchanged'").select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    index.replace(chunk_ids(went).select("id"), chunk_ids(new))
 
 
 def summary(status: DataFrame, chunks: DataFrame) -> DataFrame:

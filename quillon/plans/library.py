@@ -11,7 +11,7 @@ from quillon.functions import parsing as P
 from quillon.functions import text as T
 from quillon.operators import chunking, dedupe, embed, exports, graph, ingest, models, pruned, search, similar
 from quillon.operators.index import SearchIndex
-from quillon.plans.queries import _CHUNKS, _HASHED, _WORDS, _chunks, query
+from quillon.plans.queries import _CHUNKS, _HASHED, _WORDS, _chunks, markdown_sql, query
 from quillon.sources.plugins import changed
 from quillon.sources.store import shared_dir, written
 from quillon.sources.tables import sources, table
@@ -368,14 +368,16 @@ def neighbourhood(spark, folder):
 _NEW = "CASE WHEN doc_id % 7 = 0 THEN concat(coalesce(text, ''), ' [a](b', doc_id % 5, '.md) ![[n', doc_id % 3, ']]') ELSE coalesce(text, '') END"
 
 
-def _ingested(spark, folder) -> ingest.Ingested:
+def _ingested(spark, folder, relations: bool = False) -> ingest.Ingested:
     """Documents % 10 <> 3 are there; a run brings those % 10 <> 4, a seventh of them changed; those % 50 = 1 are removed."""
     rows = sources(spark, folder)
     known = rows.filter("id % 10 <> 3").select(F.sha2("origin", 256).alias("id"), "origin", "origin_hash", F.lit("file").alias("source_type"), "title", "text", "collection")
-    chunks = ingest.ingest(known.select("origin", "source_type", "title", "text", "collection"), known.limit(0), spark.createDataFrame([], "source_id string, position int, content string, content_hash string")).chunks
+    strategies = known.select("collection").distinct().withColumn("chunk_strategy", F.when(F.col("collection") == "src1", "fixed").when(F.col("collection") == "src2", "paragraph"))
+    chunks = ingest.ingest(known.select("origin", "source_type", "title", "text", "collection"), known.limit(0), spark.createDataFrame([], "source_id string, position int, content string, content_hash string"), strategies=strategies).chunks
     text = F.when(F.col("id") % 7 == 0, F.concat("text", F.lit(" [a](b"), (F.col("id") % 5).cast("string"), F.lit(".md) ![[n"), (F.col("id") % 3).cast("string"), F.lit("]]"))).otherwise(F.col("text"))
     data = ingest.fetched(rows.filter("id % 10 <> 4").select("origin", "title", text.alias("text"), "collection"))
-    return ingest.ingest(data, known, chunks, rows.filter("id % 50 = 1").select("origin"))
+    every = rows.filter("id % 3 = 0").select(F.sha2("origin", 256).alias("from_id"), F.sha2(F.concat(F.lit("doc://"), (F.col("id") + 1).cast("string")), 256).alias("to_id"), F.lit("next").alias("rel_type"))
+    return ingest.ingest(data, known, chunks, rows.filter("id % 50 = 1").select("origin"), strategies, every if relations else None)
 
 
 @query(f"""SELECT concat('doc://', doc_id) AS origin, sha256(concat('doc://', doc_id)) AS id, CASE WHEN doc_id % 10 = 4 THEN md5(coalesce(text, '')) ELSE md5({_NEW}) END AS origin_hash, source AS collection FROM documents WHERE NOT (doc_id % 50 = 1 AND doc_id % 10 = 4)""")
@@ -399,10 +401,36 @@ def ingest_links(spark, folder):
     return _ingested(spark, folder).relations.select("from_id", "to_origin", "rel_type", "to_id")
 
 
-@query(f"""WITH t AS (SELECT doc_id, {_NEW} AS text FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT doc_id, coalesce(text, '') FROM documents WHERE doc_id % 10 = 4 AND doc_id % 50 <> 1),
-p AS (SELECT doc_id, i, trim(substr(text, i * 450 + 1, 500), {_SPACES}) AS content FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 500, 0) / 450.0)::BIGINT END)) AS i FROM t)),
-c AS (SELECT *, min(CASE WHEN content = '' THEN i END) OVER (PARTITION BY doc_id) AS stop FROM p)
-SELECT sha256(concat('doc://', doc_id)) AS source_id, i::INTEGER AS position, CASE WHEN length(content) > 60 THEN left(content, 60) || '…' ELSE content END AS preview FROM c WHERE i < 3 AND (stop IS NULL OR i < stop)""")
+_PARTS = f"""a AS (SELECT doc_id AS id, source, {_NEW} AS text FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT doc_id, source, coalesce(text, '') FROM documents WHERE doc_id % 10 = 4 AND doc_id % 50 <> 1),
+t AS (SELECT id, text FROM a WHERE source IS NULL OR source NOT IN ('src1', 'src2')), {markdown_sql('t')},
+fixed AS (SELECT id, i AS position, trim(substr(text, i * 450 + 1, 500), {_SPACES}) AS content FROM (SELECT id, text, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 ELSE 1 + ceil(greatest(length(text) - 500, 0) / 450.0)::BIGINT END)) AS i FROM a WHERE source = 'src1')),
+cut AS (SELECT * FROM (SELECT *, min(CASE WHEN content = '' THEN position END) OVER (PARTITION BY id) AS stop FROM fixed) WHERE stop IS NULL OR position < stop),
+paras AS (SELECT id, i, part, sum(strlen(part) + 2) OVER (PARTITION BY id ORDER BY i) AS upto FROM (SELECT id, ps[i] AS part, i FROM (SELECT id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT id, string_split(text, chr(10) || chr(10)) AS ps FROM a WHERE source = 'src2')))),
+ends AS (SELECT id, 0::BIGINT AS n, 0::BIGINT AS i, 0::HUGEINT AS upto FROM paras GROUP BY id UNION ALL
+  SELECT id, n + 1, min(i), min(upto) FROM (SELECT e.id, e.n, p.i, p.upto FROM ends e JOIN paras p ON p.id = e.id AND p.i > e.i AND (p.upto - e.upto >= 800 OR p.i = (SELECT max(i) FROM paras x WHERE x.id = e.id))) GROUP BY id, n),
+runs AS (SELECT id, n, lag(i) OVER (PARTITION BY id ORDER BY n) AS low, i AS high FROM ends),
+joined AS (SELECT r.id, r.n, trim(string_agg(part, chr(10) || chr(10) ORDER BY p.i), {_SPACES}) AS content FROM runs r JOIN paras p ON p.id = r.id AND p.i > r.low AND p.i <= r.high WHERE r.n > 0 GROUP BY r.id, r.n),
+parted AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS position, content FROM joined WHERE content <> ''),
+cs AS (SELECT id, position, content FROM pieces UNION ALL SELECT id, position, content FROM cut UNION ALL SELECT id, position, content FROM parted)"""
+
+
+@query(f"""WITH RECURSIVE {_PARTS} SELECT sha256(concat('doc://', id)) AS source_id, count(*) AS n, md5(string_agg(md5(content), ',' ORDER BY position)) AS digest FROM cs GROUP BY id""")
+def ingested_chunks(spark, folder):
+    """All chunks after the run, each source's cut by the strategy of its collection."""
+    chunks = _ingested(spark, folder).chunks.select("source_id", F.struct("position", F.md5("content").alias("m")).alias("c"))
+    held = chunks.groupBy("source_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    return held.select("source_id", F.size("cs").cast("long").alias("n"), F.md5(F.array_join(F.transform("cs", lambda c: c["m"]), ",")).alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, (doc_id % 10 <> 3 AND (doc_id % 50 = 1 OR (doc_id % 10 <> 4 AND doc_id % 7 = 0))) AS gone FROM documents)
+SELECT sha256(concat('doc://', a.doc_id)) AS from_id, sha256(concat('doc://', a.doc_id + 1)) AS to_id, 'next' AS rel_type FROM d a LEFT JOIN d b ON b.doc_id = a.doc_id + 1
+WHERE a.doc_id % 3 = 0 AND NOT a.gone AND NOT coalesce(b.gone, false)""")
+def ingested_relations(spark, folder):
+    """Old relations after the run: those at sources that went or changed are gone."""
+    return _ingested(spark, folder, relations=True).relations.filter("rel_type = 'next'").select("from_id", "to_id", "rel_type")
+
+
+@query(f"""WITH RECURSIVE {_PARTS} SELECT sha256(concat('doc://', id)) AS source_id, position::INTEGER AS position, CASE WHEN length(content) > 60 THEN left(content, 60) || '…' ELSE content END AS preview FROM cs WHERE position < 3""")
 def first_chunks(spark, folder):
     """The first three chunks of each source after the run, as previews."""
     return ingest.first_chunks(_ingested(spark, folder).chunks)

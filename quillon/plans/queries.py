@@ -256,12 +256,55 @@ def chunk_paragraph(spark, folder):
     return chunking.chunk_paragraph(rows).select("id", "position", F.md5("content").alias("digest"))
 
 
-@query()
+def markdown_sql(texts: str, name: str = "pieces") -> str:
+    """CTEs that cut the texts of a CTE (id, text) line by line into pieces (id, position, char_start, char_end, section, content)."""
+    trim = lambda x: f"trim({x}, {_SPACES})"
+    tail = lambda x: f"CASE WHEN strlen({x}) > 100 THEN right({x}, list_max(list_filter(range(0, 101), lambda k: strlen(right({x}, k::BIGINT)) <= 100))::BIGINT) ELSE {x} END"
+    piece = "{{'char_start': {0}, 'char_end': upto, 'section': {1}, 'content': {2}}}"
+    empty = "NULL::STRUCT(char_start BIGINT, char_end BIGINT, section VARCHAR, content VARCHAR)"
+
+    def ended(rows: str, due: str, keep: str, out: str) -> str:
+        """What is held, after it became a piece if that is due, and the overlap that begins the next."""
+        cut = f"SELECT *, {due} AS due, {trim('buf')} AS c FROM {rows}"
+        carried = f"SELECT *, due AND c <> '' AS cut, CASE WHEN due AND c <> '' THEN {tail('c')} ELSE carried END AS over FROM ({cut})"
+        lead = "CASE WHEN due AND over <> '' THEN {0} ELSE {1} END"
+        return (
+            f"SELECT {keep}, CASE WHEN cut THEN '' ELSE buf END || {lead.format('over || chr(10)', chr(39) * 2)} AS buf, CASE WHEN cut THEN 0 ELSE size END + {lead.format('strlen(over) + 1', '0')} AS size, section, over AS carried, upto, "
+            f"CASE WHEN cut THEN upto ELSE start END - {lead.format('strlen(over) + 1', '0')} AS start, CASE WHEN cut THEN {piece.format('start', 'section', 'c')} END AS {out} FROM ({carried})"
+        )
+
+    line = f"SELECT f.id, l.i, l.line, l.n, l.head, f.buf, f.size, f.section, f.carried, f.upto + l.n AS upto, f.start FROM {name}_fold f JOIN {name}_lines l ON l.id = f.id AND l.i = f.i + 1"
+    headed = ended(f"({line})", "head AND size > 500", "id, i, line, n, head", "p")
+    taken = f"SELECT id, i, p, buf || line || chr(10) AS buf, size + n AS size, CASE WHEN head THEN ltrim(line, '# ') ELSE section END AS section, carried, upto, start FROM ({headed})"
+    full = ended(f"({taken})", "size >= 1000", "id, i, p", "q")
+    return f"""{name}_lines AS (SELECT id, i, ls[i] AS line, strlen(ls[i]) + 1 AS n, regexp_matches(ls[i], '^#{{1,3}} ') AS head, len(ls) AS total FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT id, string_split(text, chr(10)) AS ls FROM {texts}))),
+{name}_fold AS (
+  SELECT id, 0::BIGINT AS i, {empty} AS p, ''::VARCHAR AS buf, 0::BIGINT AS size, ''::VARCHAR AS section, ''::VARCHAR AS carried, 0::BIGINT AS upto, 0::BIGINT AS start, {empty} AS q FROM {texts}
+  UNION ALL {full}
+),
+{name}_rest AS (SELECT id, f.i, start, upto, section, {trim('buf')} AS c FROM {name}_fold f JOIN (SELECT id, max(total) AS i FROM {name}_lines GROUP BY id) USING (id, i)),
+{name}_all AS (SELECT id, i, 0 AS k, p AS x FROM {name}_fold WHERE p IS NOT NULL UNION ALL SELECT id, i, 1, q FROM {name}_fold WHERE q IS NOT NULL UNION ALL SELECT id, i, 2, {piece.format('start', 'section', 'c')} FROM {name}_rest WHERE c <> ''),
+{name} AS (SELECT id, (row_number() OVER (PARTITION BY id ORDER BY i, k) - 1)::INTEGER AS position, x.char_start::INTEGER AS char_start, x.char_end::INTEGER AS char_end, x.section AS section, x.content AS content FROM {name}_all)"""
+
+
+@query(f"WITH RECURSIVE t AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents), {markdown_sql('t')} SELECT * FROM pieces")
 def chunk_markdown(spark, folder):
     """Markdown pieces."""
     return chunking.chunk_markdown(sources(spark, folder))
 
 
+_HEADED = "concat('# Doc ', doc_id, chr(10), coalesce(text, ''), chr(10), '## Of ', source, chr(10), chr(10), coalesce(text, ''), chr(10), '### ', lang, ' ', chr(10), left(coalesce(text, ''), 300))"
+
+
+@query(f"WITH RECURSIVE t AS (SELECT doc_id AS id, {_HEADED} AS text FROM documents), {markdown_sql('t')} SELECT id, position, char_start, char_end, section, md5(content) AS digest FROM pieces")
+def chunk_headings(spark, folder):
+    """Markdown pieces of documents with headings, whose sections they carry."""
+    text, line = F.coalesce("text", F.lit("")), F.lit("\n")
+    headed = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), line, text, line, F.lit("## Of "), F.coalesce("source", F.lit("")), line, line, text, line, F.lit("### "), F.coalesce("lang", F.lit("")), F.lit(" "), line, F.left(text, F.lit(300)))
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), headed.alias("text"))
+    return chunking.chunk_markdown(rows).select("id", "position", "char_start", "char_end", "section", F.md5("content").alias("digest"))
+
+
 @query(f"WITH {_CHUNKS} SELECT id AS source_id, count(*) AS n_chunks FROM chunks GROUP BY id")
 def chunks_per_source(spark, folder):
     return _chunks(spark, folder).groupBy(F.col("id").alias("source_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
