@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import byte_cut, card_checksum, card_guid, first_sentence, safe_filename
+from quillon.operators.joins import group_join
+from quillon.sources.named_files import NamedFiles
+from quillon.sources.store import written
 
-TRUNCATED = "\n\n*(truncated — use --full for complete text)*"
+TRUNCATED = "\n\n*(the text goes on; with its chunks a document has all of it)*"
 
 
-def markdown_documents(sources: DataFrame, chunks: DataFrame | None = None, most: int = 2000) -> DataFrame:
+def markdown_documents(sources: DataFrame, chunks: DataFrame | None = None, most: int = 2000, keep: tuple[str, ...] = ()) -> DataFrame:
     """(collection, path, document) of sources (id, title, origin, collection, source_type, lang, text, added).
 
     With chunks (source_id, position, section, content) a document has all of them under their sections, else the text
@@ -37,17 +40,50 @@ def markdown_documents(sources: DataFrame, chunks: DataFrame | None = None, most
         parts = chunks.select("source_id", F.struct("position", part.alias("part")).alias("p")).groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("parts"))
         rows = sources.join(parts.withColumnRenamed("source_id", "id"), "id", "left")
         body = F.coalesce("parts", body)
-    name = F.coalesce(F.nullif(safe_filename(F.coalesce("title", F.lit(""))), F.lit("")), F.left(F.col("id").cast("string"), F.lit(8)))
-    return rows.select("collection", F.concat(safe_filename(F.col("collection")), F.lit("/"), name, F.lit(".md")).alias("path"), F.concat(head, body).alias("document"))
+    return rows.select(*keep, "collection", _path(F.col("collection"), F.col("title"), F.col("id")).alias("path"), F.concat(head, body).alias("document"))
+
+
+def _path(collection: Column, title: Column, key: Column) -> Column:
+    """Folder and name of a source's document."""
+    name = F.coalesce(F.nullif(safe_filename(F.coalesce(title, F.lit(""))), F.lit("")), F.left(key.cast("string"), F.lit(8)))
+    return F.concat(safe_filename(collection), F.lit("/"), name, F.lit(".md"))
+
+
+def distinct_paths(sources: DataFrame) -> DataFrame:
+    """(id, path) of sources (id, title, collection): where sources would have one path, each has its id in its name."""
+    named = sources.select("id", _path(F.col("collection"), F.col("title"), F.col("id")).alias("path"))
+    shared = named.groupBy("path").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    both = group_join(named, shared, ["path"], "n", max(1, named.count())).select("id", F.concat(F.regexp_replace("path", r"\.md$", "-"), F.col("id").cast("string"), F.lit(".md")).alias("path"))
+    return named.join(shared.select("path"), "path", "left_anti").select("id", "path").unionByName(both)
 
 
 def export_index(sources: DataFrame) -> DataFrame:
-    """(collection, section): the part of an export's index about each collection, in pieces of bounded size.
+    """(path, title, id, content): the lines of each collection's INDEX.md, of sources (id, title, collection, path), its head first."""
+    folder = F.concat(safe_filename(F.col("collection")), F.lit("/INDEX.md"))
+    heads = sources.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).select(
+        folder.alias("path"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("id"),
+        F.concat(F.lit("# "), "collection", F.lit("\n\n"), F.col("n").cast("string"), F.lit(" sources\n\n")).alias("content"),
+    )
+    line = F.concat(F.lit("- ["), F.coalesce("title", F.lit("")), F.lit("]("), F.regexp_extract("path", r"([^/]+)$", 1), F.lit(")\n"))
+    return heads.unionByName(sources.select(folder.alias("path"), F.coalesce("title", F.lit("")).alias("title"), F.col("id").cast("string").alias("id"), line.alias("content")))
+
+
+def export_files(sources: DataFrame, folder: str, chunks: DataFrame | None = None, most: int = 2000, overwrite: bool = False) -> None:
+    """One file for each source of ``markdown_documents``, an INDEX.md for each collection and the export's EXPORT.json, in one job.
 
-    A collection's list has one line for each source, so it is written as rows: (collection, title, line).
+    Sources of one name get their ids into it. A file's rows are sorted together and written as a stream.
     """
-    line = F.concat(F.lit("- ["), "title", F.lit("]("), safe_filename(F.col("collection")), F.lit("/"), safe_filename(F.col("title")), F.lit(".md)"))
-    return sources.select("collection", "title", line.alias("line"))
+    spark = sources.sparkSession
+    spark.dataSource.register(NamedFiles)
+    paths = written(distinct_paths(sources), "paths")
+    documents = markdown_documents(sources, chunks, most, keep=("id",)).drop("path").join(paths, "id")
+    files = documents.select("path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("id"), F.col("document").alias("content"))
+    index = export_index(sources.select("id", "title", "collection").join(paths, "id"))
+    head = sources.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list(F.struct("collection", "n"))).alias("collections"), F.sum("n").alias("sources"))  # a row for each collection
+    told = head.select(F.lit("EXPORT.json").alias("path"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("id"), F.to_json(F.struct(F.current_timestamp().alias("exported_at"), "sources", "collections")).alias("content"))
+    every = files.unionByName(index).unionByName(told)
+    dealt = every.repartition("path").sortWithinPartitions("path", F.col("title").asc_nulls_first(), "id").select("path", "content")
+    dealt.write.format("named_files").mode("overwrite" if overwrite else "append").save(folder)
 
 
 def json_sources(sources: DataFrame, chunks: DataFrame, relations: DataFrame) -> DataFrame:

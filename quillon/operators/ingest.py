@@ -136,6 +136,24 @@ def summary(status: DataFrame, chunks: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(fresh))  # one row each
 
 
+def chunk_counts(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(source_id, n_chunks, n_embedded) of chunks and embeddings (source_id, position): counts that are kept with each batch.
+
+    A batch replaces the counts of its sources (``upsert`` by source_id), so one that comes again changes nothing, and a
+    status is a sum of these small rows.
+    """
+    has = embeddings.select("source_id", "position").distinct().withColumn("has", F.lit(1))
+    return chunks.select("source_id", "position").join(has, ["source_id", "position"], "left").groupBy("source_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.count("has").alias("n_embedded"))
+
+
+def collection_status(sources: DataFrame, counts: DataFrame) -> DataFrame:
+    """(collection, n_sources, n_chunks, n_embedded, coverage): coverage is the share of chunks with an embedding, in per cent."""
+    rows = sources.select(F.col("id").alias("source_id"), "collection").join(counts, "source_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    out = rows.groupBy("collection").agg(F.count(F.lit(1)).alias("n_sources"), total("n_chunks"), total("n_embedded"))
+    return out.withColumn("coverage", F.when(F.col("n_chunks") > 0, 100.0 * F.col("n_embedded") / F.col("n_chunks")).otherwise(F.lit(0.0)))
+
+
 def first_chunks(chunks: DataFrame, most: int = 3) -> DataFrame:
     """(source_id, position, preview) of the first chunks of each source."""
     return chunks.filter(F.col("position") < most).select("source_id", "position", preview(F.col("content")).alias("preview"))

@@ -515,14 +515,39 @@ _NAME = "translate(translate({x}, '?\"<>', ''), '/\\:*| ', '-----_')"
 n AS (SELECT *, {_NAME.format(x='title')} AS safe FROM t)
 SELECT source AS collection, concat(source, '/', CASE WHEN safe = '' THEN left(doc_id::VARCHAR, 8) ELSE {_byte_cut('safe', 80)} END, '.md') AS path,
 md5(concat('# ', title, chr(10), chr(10), '- **Origin**: doc://', doc_id, chr(10), '- **Collection**: ', source, chr(10), '- **Source Type**: file', chr(10), '- **Added**: 2024-01-', lpad((1 + doc_id % 28)::VARCHAR, 2, '0'), chr(10),
-  '- **Language**: ', lang, chr(10), chr(10), '---', chr(10), chr(10), CASE WHEN text = '' THEN '' ELSE concat(CASE WHEN length(text) <= 500 THEN text ELSE left(text, 0) END, chr(10)) END)) AS digest FROM n WHERE length(text) <= 500""")
+  '- **Language**: ', lang, chr(10), chr(10), '---', chr(10), chr(10), CASE WHEN text = '' THEN '' ELSE concat(CASE WHEN strlen(text) <= 2000 THEN text ELSE concat({_byte_cut('text', 2000)}, chr(10), chr(10), '*(the text goes on; with its chunks a document has all of it)*') END, chr(10)) END)) AS digest FROM n""")
 def export_markdown(spark, folder):
-    """A Markdown document for each short source, with its path in the export."""
-    rows = sources(spark, folder).filter(F.length("text") <= 500).withColumn("source_type", F.lit("file"))
+    """A Markdown document for each source, with its path in the export; texts are cut at 2,000 bytes."""
+    rows = sources(spark, folder).withColumn("source_type", F.lit("file"))
     rows = rows.withColumn("added", F.make_date(F.lit(2024), F.lit(1), (1 + F.col("id") % 28).cast("int")))
     return exports.markdown_documents(rows).select("collection", "path", F.md5("document").alias("digest"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, source, left(coalesce(text, ''), 60) AS title FROM documents), n AS (SELECT *, {_NAME.format(x='title')} AS safe FROM t),
+p AS (SELECT *, concat(source, '/', CASE WHEN safe = '' THEN left(doc_id::VARCHAR, 8) ELSE {_byte_cut('safe', 80)} END) AS base FROM n), u AS (SELECT *, count(*) OVER (PARTITION BY base) AS k FROM p),
+f AS (SELECT *, CASE WHEN k > 1 THEN concat(base, '-', doc_id, '.md') ELSE concat(base, '.md') END AS path FROM u),
+i AS (SELECT source, concat('# ', source, chr(10), chr(10), count(*), ' sources', chr(10), chr(10), string_agg(concat('- [', title, '](', regexp_extract(path, '([^/]+)$', 1), ')', chr(10)), '' ORDER BY title, doc_id::VARCHAR)) AS body FROM f GROUP BY source)
+SELECT concat(source, '/INDEX.md') AS path, md5(body) AS digest FROM i UNION ALL SELECT path, NULL FROM f""")
+def export_paths(spark, folder):
+    """The files of an export of all documents, written and read back, with the digests of the collections' indexes."""
+    rows = sources(spark, folder).withColumn("source_type", F.lit("file")).withColumn("added", F.make_date(F.lit(2024), F.lit(1), F.lit(1)))
+    root = f"{shared_dir(spark)}/quillon-export-{uuid.uuid4().hex}"
+    exports.export_files(rows, root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path = F.regexp_extract("path", "(?s)quillon-export-[0-9a-f]+/(.*)$", 1)
+    return found.select(path.alias("path"), F.when(path.endswith("/INDEX.md"), F.md5("content")).alias("digest")).filter("path != 'EXPORT.json'")
+
+
+@query(f"""WITH {_CHUNKS}, e AS (SELECT id, position FROM chunks WHERE (id + position) % 5 > 0)
+SELECT source AS collection, count(DISTINCT doc_id) AS n_sources, count(c.id) AS n_chunks, count(e.id) AS n_embedded, round(CASE WHEN count(c.id) > 0 THEN 100.0 * count(e.id) / count(c.id) ELSE 0 END, 4) AS coverage
+FROM documents LEFT JOIN chunks c ON c.id = doc_id LEFT JOIN e ON e.id = c.id AND e.position = c.position GROUP BY source""")
+def status_chunks(spark, folder):
+    """Sources, chunks and embedded chunks of each collection, from counts of each source."""
+    chunks = _chunks(spark, folder).select(F.col("id").alias("source_id"), "position")
+    counts = ingest.chunk_counts(chunks, chunks.filter("(source_id + position) % 5 > 0"))
+    return ingest.collection_status(sources(spark, folder), counts).withColumn("coverage", F.round("coverage", 4))
+
+
 @query(f"""SELECT doc_id AS id, {_byte_cut("coalesce(text, '')", 200)} AS short, left(coalesce(text, ''), 60) AS title FROM documents""")
 def cut_texts(spark, folder):
     """Texts cut at 200 bytes, and at 60 characters."""
