@@ -56,6 +56,23 @@ def extract_triples(chunks: DataFrame, done: DataFrame, extractor: Callable[[str
     return todo.select("id", "content").mapInPandas(run, f"chunk_id {kind}, subject string, predicate string, object string")
 
 
+def extract_resumed(stream: DataFrame, folder: str, job: str, extractor: Callable[[str], list[tuple[str, str, str]]], per_source: int = 10) -> DataFrame:
+    """(chunk_id, subject, predicate, object) of a stream of chunks (id, source_id, position, content), over all that is there now.
+
+    A job has a ledger of its own in ``folder``: what a batch found is written under the batch's number before the ledger
+    notes it, so a run that fails goes on at the batch where it stopped, without asking for earlier chunks again, and a batch
+    that comes again takes the place of what it left.
+    """
+    out, spark = f"{folder}/{job}", stream.sparkSession
+    chunk = dict(stream.dtypes)["id"]
+
+    def save(batch: DataFrame, number: int) -> None:
+        extract_triples(batch, batch.select(F.col("id").alias("chunk_id")).limit(0), extractor, per_source).write.mode("overwrite").parquet(f"{out}/triples/batch={number}")
+
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/ledger").foreachBatch(save).start().awaitTermination()
+    return spark.read.schema(f"chunk_id {chunk}, subject string, predicate string, object string, batch int").parquet(f"{out}/triples").drop("batch")
+
+
 def embed_with(rows: DataFrame, client: Callable[[list[str]], list[tuple[int, list[float]]]], dim: int, batch: int = 32) -> DataFrame:
     """(id, vector) of rows (id, content) by a model that takes texts and answers (index, vector) in any order.
 

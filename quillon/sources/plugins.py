@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
+import queue
 import subprocess
+import threading
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from quillon.functions.text import normalize_pdf_text, source_type
 
@@ -36,6 +39,69 @@ class Program:
         return answer
 
 
+class Session:
+    """One process for many requests, which are sent ahead as JSON lines and answered in their order.
+
+    A program that ends before all are answered, as one does that answers a single request, is started again for the rest; a
+    request without an answer in time, or at whose turn the program ends without any, is an error of its own.
+    """
+
+    AHEAD = 32
+
+    def __init__(self, command: list[str], timeout: float = TIMEOUT):
+        self.command, self.timeout = command, timeout
+
+    def answers(self, requests: list[dict]) -> Iterator[dict]:
+        """An answer for each request; {"error": ...} where there is none."""
+        at = 0
+        while at < len(requests):
+            got = 0
+            for answer in self._run(requests[at:]):
+                got += 1
+                yield answer
+            if not got:
+                raise RuntimeError("a session has to answer or to fail")
+            at += got
+
+    def _run(self, requests: list[dict]) -> Iterator[dict]:
+        process = subprocess.Popen(self.command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True)
+        lines: queue.Queue[str | None] = queue.Queue()
+
+        def listen() -> None:
+            for line in process.stdout:
+                if line.strip():
+                    lines.put(line)
+            lines.put(None)
+
+        threading.Thread(target=listen, daemon=True).start()
+        sent = done = 0
+        try:
+            while done < len(requests):
+                with contextlib.suppress(OSError):  # an end that the reader is told of as well
+                    while sent < min(len(requests), done + self.AHEAD):
+                        process.stdin.write(json.dumps(requests[sent]) + "\n")
+                        sent += 1
+                    process.stdin.flush()
+                try:
+                    line = lines.get(timeout=self.timeout)
+                except queue.Empty:
+                    yield {"error": f"no answer in {self.timeout:g} seconds"}
+                    return
+                if line is None:
+                    if not done:
+                        yield {"error": f"{self.command[0]} ended without an answer"}
+                    return
+                try:
+                    answer = json.loads(line)
+                except ValueError as e:
+                    answer = {"error": f"not JSON: {e}"}
+                done += 1
+                yield answer if isinstance(answer, dict) else {"error": "not an object"}
+        finally:
+            process.kill()
+            process.wait()
+
+
 class _Origins(InputPartition):
     def __init__(self, origins: list[str]):
         self.origins = origins
@@ -44,7 +110,10 @@ class _Origins(InputPartition):
 class ProgramSource(DataSource):
     """``spark.read.format("program").option("command", json).option("origins", json)``: what a program fetches for some origins.
 
-    Origins are dealt over ``parts`` tasks. An origin that fails is a row with its error and without text.
+    Origins are dealt over ``parts`` tasks, each with one process. Filters on the origin, by equality or IN, are met before
+    anything is fetched, where ``spark.sql.python.filterPushdown.enabled`` is on. With ``known`` (JSON of origins and hashes) the
+    program is asked first what has changed, and only that is fetched; ``relations`` (true) asks for those of each text.
+    An origin that fails is a row with its error and without text.
     """
 
     @classmethod
@@ -52,28 +121,60 @@ class ProgramSource(DataSource):
         return "program"
 
     def schema(self) -> str:
-        return _FETCHED
+        more = (", changed boolean" if "known" in self.options else "") + (", relations array<struct<to_origin:string,rel_type:string>>" if self._relations() else "")
+        return _FETCHED + more
+
+    def _relations(self) -> bool:
+        return self.options.get("relations", "false").lower() == "true"
 
     def reader(self, schema) -> DataSourceReader:
-        return ProgramReader(self.options)
+        return ProgramReader(self.options, self._relations())
 
 
 class ProgramReader(DataSourceReader):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, relations: bool):
         self.command, self.origins = json.loads(options["command"]), json.loads(options["origins"])
         self.parts, self.timeout = int(options.get("parts", 8)), float(options.get("timeout", TIMEOUT))
+        self.known, self.relations = json.loads(options["known"]) if "known" in options else None, relations
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == ("origin",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.origins = [o for o in self.origins if o in wanted]
+            else:
+                yield f
 
     def partitions(self) -> list[InputPartition]:
         return [_Origins(self.origins[i :: self.parts]) for i in range(min(self.parts, len(self.origins)))] or [_Origins([])]
 
+    def _ask(self, method: str, asked: list[dict]) -> list[dict]:
+        return list(Session(self.command, self.timeout).answers([{"method": method, "params": p} for p in asked])) if asked else []
+
     def read(self, partition: _Origins) -> Iterator[tuple]:
-        program = Program(self.command, self.timeout)
-        for origin in partition.origins:
-            try:
-                got = program.call("fetch", origin=origin)
-                yield (origin, got.get("title"), got.get("text"), None)
-            except (RuntimeError, ValueError, OSError, subprocess.TimeoutExpired) as e:
-                yield (origin, None, None, str(e)[:500])
+        for at in range(0, len(partition.origins), 1024):  # what is held at a time
+            yield from self._fetch(partition.origins[at : at + 1024])
+
+    def _fetch(self, origins: list[str]) -> Iterator[tuple]:
+        same = set()
+        if self.known is not None:
+            old = [o for o in origins if o in self.known]
+            told = self._ask("has_changed", [{"origin": o, "hash": self.known[o]} for o in old])
+            same = {o for o, a in zip(old, told, strict=True) if a.get("changed") is False and not a.get("error")}
+        wanted = [o for o in origins if o not in same]
+        got = dict(zip(wanted, self._ask("fetch", [{"origin": o} for o in wanted]), strict=True))
+        good = [o for o in wanted if not got[o].get("error")]
+        links = dict(zip(good, self._ask("relations", [{"origin": o, "text": got[o].get("text")} for o in good]), strict=True)) if self.relations else {}
+        for o in origins:
+            a = got.get(o, {})
+            failed = str(a["error"])[:500] if a.get("error") else None
+            row = (o, None, None, failed) if failed else (o, a.get("title"), a.get("text"), None)
+            if self.known is not None:
+                row += (o not in same,)
+            if self.relations:
+                found = links.get(o, {}).get("relations") or []
+                row += ([(x.get("to_origin"), x.get("rel_type")) for x in found if isinstance(x, dict)],)
+            yield row
 
 
 class Registry:
