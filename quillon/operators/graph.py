@@ -105,6 +105,11 @@ def backlinks(links: DataFrame, target: str) -> DataFrame:
     return links.filter(F.lower("target") == target.lower()).select("id").distinct()
 
 
+def resolved_backlinks(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """(to_id, id): which notes link to a note, each once, by what their links (id, target) resolve to among notes (id, path, name); a note's own links don't count."""
+    return resolve_wikilinks(links, notes).filter("to_id IS NOT NULL AND id != to_id").select("to_id", "id").distinct()
+
+
 def resolve_pending(pending: DataFrame, sources: DataFrame) -> DataFrame:
     """Pending edges (from_id, to_origin) with the source whose origin, or whose base name without .md, they name."""
     base = F.regexp_replace(F.regexp_extract("origin", r"([^/]+)$", 1), r"\.md$", "")

@@ -313,7 +313,7 @@ def masked_means(spark, folder):
 
 # ------------------------------------------------------------------ graph
 
-_REL = "rel AS (SELECT l_orderkey * 10 + l_linenumber AS id, concat('p', l_partkey) AS from_id, CASE WHEN l_suppkey % 4 > 0 THEN concat('p', l_suppkey + 5) ELSE '' END AS to_id, concat('origin', l_suppkey % 9) AS to_origin, l_returnflag AS rel_type, l_quantity AS weight, l_linestatus = 'O' AS bidirectional FROM lineitem WHERE l_linenumber <= 2)"
+_REL = "rel AS (SELECT l_orderkey * 10 + l_linenumber AS id, concat('p', l_partkey) AS from_id, CASE WHEN l_suppkey % 4 > 0 THEN concat('p', l_suppkey + 5) ELSE '' END AS to_id, concat('origin', l_suppkey % 9) AS to_origin, l_returnflag AS rel_type, l_quantity AS weight, l_linestatus = 'O' AS bidirectional FROM lineitem)"
 _SRC = "src AS (SELECT concat('p', p_partkey) AS id, p_name AS label, p_brand AS collection, p_partkey AS created_at FROM part ORDER BY p_partkey DESC LIMIT {n})"
 
 
@@ -321,7 +321,7 @@ def _graph(spark, folder, most: int):
     key = lambda c: F.concat(F.lit("p"), c.cast("string"))
     nodes = table(spark, folder, "part").select(key(F.col("p_partkey")).alias("id"), F.col("p_name").alias("label"), F.col("p_brand").alias("collection"), F.lit("").alias("origin"), F.col("p_partkey").alias("created_at"))
     to = F.when(F.col("l_suppkey") % 4 > 0, key(F.col("l_suppkey") + 5)).otherwise(F.lit(""))
-    rel = table(spark, folder, "lineitem").filter("l_linenumber <= 2").select(
+    rel = table(spark, folder, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), key(F.col("l_partkey")).alias("from_id"), to.alias("to_id"), F.concat(F.lit("origin"), (F.col("l_suppkey") % 9).cast("string")).alias("to_origin"),
         F.col("l_returnflag").alias("rel_type"), F.col("l_quantity").alias("weight"), (F.col("l_linestatus") == "O").alias("bidirectional"), F.lit("").alias("evidence"),
     )
@@ -489,13 +489,13 @@ def link_hints(spark, folder):
     return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.inline(T.link_hints(F.concat(first, second))))
 
 
-@query("""SELECT conv_id AS id, turn::INTEGER AS turn, trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS content FROM conversations WHERE strlen(coalesce(text, '')) BETWEEN 1 AND 700 AND text NOT LIKE '%' || chr(10) || chr(10) || '%' AND trim(text) <> ''""")
+@query(f"""WITH RECURSIVE t AS (SELECT concat(conv_id, '-', turn) AS id, concat('# Turn ', turn, chr(10), coalesce(text, '')) AS text FROM conversations), {markdown_sql('t')} SELECT id, position, section, md5(content) AS digest FROM pieces""")
 def chunk_function(spark, folder):
-    """Turns of one paragraph through the chunker as a table function of SQL: one piece each."""
+    """Turns under headings through the chunker as a table function of SQL."""
     chunking.register_chunker(spark)
-    rows = table(spark, folder, "conversations").filter("octet_length(text) between 1 and 700 and not contains(text, '\\n\\n') and trim(text) != ''")
-    rows.createOrReplaceTempView("quillon_turns")
-    return spark.sql("SELECT conv_id AS id, int(turn) AS turn, c.content FROM quillon_turns, LATERAL chunk_text(text, 'paragraph') c")
+    text = F.concat(F.lit("# Turn "), F.col("turn").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    table(spark, folder, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.alias("text")).createOrReplaceTempView("quillon_turns")
+    return spark.sql("SELECT id, c.position, c.section, md5(c.content) AS digest FROM quillon_turns, LATERAL chunk_text(text, 'markdown') c")
 
 
 @query("""SELECT c_mktsegment AS collection, count(*) AS n, max(c_acctbal) AS best FROM customer WHERE c_mktsegment = (SELECT min(c_mktsegment) FROM customer) GROUP BY 1""")
@@ -582,17 +582,33 @@ def cards(spark, folder):
 
 
 @query(r"""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'T ' || lang ELSE 'Note ' || doc_id END AS title,
-md5(CASE WHEN doc_id % 3 < 2 THEN concat(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)), chr(10), chr(10), '---', chr(10), 'lang: ', lang, chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('status: a:b', chr(10)) END) ELSE coalesce(text, '') END) AS body,
-CASE WHEN doc_id % 3 < 2 THEN lang END AS lang FROM documents WHERE coalesce(text, '') NOT LIKE '---%'""")
+md5(CASE WHEN doc_id % 3 < 2 THEN concat(trim(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(13)), chr(10), chr(10), '---', chr(10), 'lang: ', lang, chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('status: a:b', chr(10)) END) ELSE concat('Body: ', coalesce(text, '')) END) AS body,
+CASE WHEN doc_id % 3 < 2 THEN lang END AS lang FROM documents""")
 def notion_notes(spark, folder):
     """Documents as exported notes, with properties before the text, parsed."""
-    rows = sources(spark, folder).filter(~F.col("text").startswith("---"))
-    head = F.when(F.col("id") % 3 == 0, F.concat(F.lit("---\ntitle: \"T "), "lang", F.lit("\"\nlang: "), "lang", F.lit("\nempty:\n---\n"))).when(F.col("id") % 3 == 1, F.concat(F.lit("---\nstatus: a:b\nlang: "), "lang", F.lit("\n---\n"))).otherwise(F.lit(""))
+    rows = sources(spark, folder)
+    head = F.when(F.col("id") % 3 == 0, F.concat(F.lit("---\ntitle: \"T "), "lang", F.lit("\"\nlang: "), "lang", F.lit("\nempty:\n---\n"))).when(F.col("id") % 3 == 1, F.concat(F.lit("---\nstatus: a:b\nlang: "), "lang", F.lit("\n---\n"))).otherwise(F.lit("Body: "))
     path = F.concat(F.lit("/x/Note "), F.col("id").cast("string"), F.lit(" "), F.md5("origin"), F.lit(".md"))
     found = rows.select("id", P.notion_markdown(path, F.concat(head, "text")).alias("n"))
     return found.select("id", "n.title", F.md5("n.body").alias("body"), F.element_at("n.properties", "lang").alias("lang"))
 
 
+@query("""WITH l AS (SELECT doc_id AS id, concat('Note', doc_id % 7) AS target FROM documents UNION ALL SELECT doc_id, concat('img', doc_id % 3) FROM documents UNION ALL SELECT doc_id, concat('dir', doc_id % 2, '/note4') FROM documents),
+n AS (SELECT doc_id AS id, concat('dir', doc_id % 2, '/note', doc_id) AS path, concat('note', doc_id) AS name FROM documents UNION ALL SELECT doc_id, concat('dir', doc_id % 2, '/note', doc_id), concat('img', doc_id % 3) FROM documents WHERE doc_id % 5 = 0),
+k AS (SELECT l.id, l.target, 0 AS rule, n.id AS to_id FROM l JOIN n ON n.name = l.target UNION ALL SELECT l.id, l.target, 1, n.id FROM l JOIN n ON lower(n.name) = lower(l.target) UNION ALL SELECT l.id, l.target, 2, n.id FROM l JOIN n ON n.path = l.target),
+b AS (SELECT id, target, arg_min(to_id, (rule, to_id)) AS to_id FROM k GROUP BY id, target)
+SELECT DISTINCT to_id, id FROM b WHERE id <> to_id""")
+def backlinks_resolved(spark, folder):
+    """Which notes link to each note, by its name, an alias, its name in any case, or its path."""
+    docs, key = table(spark, folder, "documents"), F.col("doc_id")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    number = lambda n: (key % n).cast("string")
+    links = docs.select(key.alias("id"), F.explode(F.array(text("Note", number(7)), text("img", number(3)), text("dir", number(2), "/note4"))).alias("target"))
+    path = text("dir", number(2), "/note", key.cast("string"))
+    notes = docs.select(key.alias("id"), path.alias("path"), text("note", key.cast("string")).alias("name")).unionByName(docs.filter("doc_id % 5 = 0").select(key.alias("id"), path.alias("path"), text("img", number(3)).alias("name")))
+    return graph.resolved_backlinks(links, notes)
+
+
 @query("""SELECT concat('/dir', page_id % 20) AS folder, sum((page_id % 3 = 0)::INT + (page_id % 4 = 0)::INT) >= 2 AS is_export FROM pages GROUP BY 1""")
 def export_folders(spark, folder):
     """Folders that hold another tool's export, by the marks of their files."""
@@ -620,7 +636,7 @@ def collection_names(spark, folder):
 def resolved_collections(spark, folder):
     """The collection of each source: the one it names, else the first."""
     rows = sources(spark, folder)
-    names = [r[0] for r in rows.select("collection").distinct().orderBy("collection").limit(1000).collect()]
+    names = [r[0] for r in rows.select("collection").distinct().orderBy("collection").collect()]  # a row for each collection
     data = rows.withColumn("collection", F.when(F.col("id") % 4 == 0, F.col("collection")).otherwise(F.lit("")))
     return ingest.resolve_collections(data, ["src0", *[n for n in names if n != "src0"]]).select("id", "collection")
 
