@@ -58,10 +58,10 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SearchIndex:
-    """An index in a folder, as its newest list of segments says."""
+    """An index in a folder, as its newest list of segments says. A segment has ``shards``, or as many as Spark makes of its size."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, shards: int | None = None):
+        self.spark, self.root, self.shards = spark, root.rstrip("/"), shards
 
     # ------------------------------------------------------------------ lists of segments
 
@@ -114,7 +114,7 @@ class SearchIndex:
         name = f"segment-{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         docs.write.parquet(f"{path}/docs")
-        blocks = postings.select("term", "num", "len", "tf", "at").repartitionByRange("term", "num").sortWithinPartitions("term", "num").mapInArrow(_blocked, _BLOCKS)
+        blocks = postings.select("term", "num", "len", "tf", "at").repartitionByRange(*([self.shards] if self.shards else []), "term", "num").sortWithinPartitions("term", "num").mapInArrow(_blocked, _BLOCKS)
         blocks = blocks.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("shard", "term", "first")
         blocks.write.partitionBy("shard").parquet(f"{path}/blocks")
         known = self.spark.read.schema(_BLOCKS + ", shard int").parquet(f"{path}/blocks").groupBy("shard", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))

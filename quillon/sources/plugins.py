@@ -111,7 +111,7 @@ class ProgramSource(DataSource):
     """``spark.read.format("program").option("command", json).option("origins", json)``: what a program fetches for some origins.
 
     Origins are dealt over ``parts`` tasks, each with one process. Filters on the origin, by equality or IN, are met before
-    anything is fetched, where ``spark.sql.python.filterPushdown.enabled`` is on. With ``known`` (JSON of origins and hashes) the
+    anything is fetched (``register`` turns on the setting that this needs). With ``known`` (JSON of origins and hashes) the
     program is asked first what has changed, and only that is fetched; ``relations`` (true) asks for those of each text.
     An origin that fails is a row with its error and without text.
     """
@@ -241,4 +241,6 @@ def changed(sources: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
+    """Make the sources known to a session. Spark refuses a source that takes filters unless the session lets it have them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ProgramSource)

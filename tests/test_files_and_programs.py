@@ -62,7 +62,6 @@ for line in sys.stdin:
 def test_programs_that_go_on(spark, tmp_path):
     (tmp_path / "p.py").write_text(PROGRAM)
     register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
     def run(folder, origins, where=None, **options):
         (tmp_path / folder).mkdir()

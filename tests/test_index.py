@@ -110,7 +110,7 @@ def test_ranked_search_reads_few_windows(spark, tmp_path, monkeypatch):
 
 
 def test_scans_read_the_shards_of_their_terms(spark, tmp_path):
-    index = SearchIndex(spark, f"file://{tmp_path}/i").create(table(spark, corpus(3000, seed=6)))
+    index = SearchIndex(spark, f"file://{tmp_path}/i", shards=6).create(table(spark, corpus(3000, seed=6)))
     state = index._state()
     shards = state["segments"][0]["shards"]
     assert len(shards) > 1 and all(a[1] <= a[2] for a in shards)
@@ -118,8 +118,7 @@ def test_scans_read_the_shards_of_their_terms(spark, tmp_path):
     assert 0 < len(met) < len(shards)
     for blocks in (index._blocks(state, ["rare"]), index._blocks(state, [], ["rar"])):
         plan = blocks._jdf.queryExecution().executedPlan().toString()
-        assert "PartitionFilters: [isnotnull(shard" in plan.replace("true, ", "") or "shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]
-        assert len({f.rsplit("shard=", 1)[1].split("/")[0] for f in blocks.inputFiles()}) == len(shards) >= len(met)
+        assert "shard#" in plan.split("PartitionFilters: [")[1].split("]")[0]  # folders of other shards aren't read
         assert {r.term for r in blocks.select("term").distinct().collect()} == {"rare"}
 
 
