@@ -2,10 +2,13 @@
 
 Texts become tokens of letters and digits, lower case. Numbers, names (capitalised inside a sentence)
 and units after a number become typed placeholders, so a question whose numbers or names were changed
-has the same template. Windows of template tokens are hash-joined with those of the benchmark; matches
+has the same template. A name of several words is one placeholder, with the capitalised word that opens the
+sentence before it, and so is a number in words ("twenty-five", "3 million"). Windows of template tokens are hash-joined with those of the benchmark; matches
 on one diagonal (same shift between item and document) are put together, and the values in their slots
 must map one to one, both ways: a value of the item always to the same value of the document, and back.
 
+Windows with fewer fixed words than ``MIN_FIXED`` count where the whole item is matched ("What is 15 plus 27?").
+
 Beside templates, windows of the tokens as they are find what has too few fixed words for a template: an item
 that stands in a document word for word, whatever its length and case, is found, and so is any run of
 ``MIN_TOKENS`` of its tokens. Items shorter than a window are windows of their own length.
@@ -25,13 +28,16 @@ from pyspark.sql import functions as F
 from quillon.llm.common import _BYTE, _power_tables, _Q, fresh, group_join, mix, signed, slabs, text_bytes, written
 
 WINDOW = 8
-#: A template window with fewer fixed words is too general to tell an item by; such windows count as they are written only.
+#: A template window with fewer fixed words is too general to tell a part of an item by; with ``WHOLE_FIXED`` it counts towards the whole item.
 MIN_FIXED = 4
+WHOLE_FIXED = 3
 #: A document holds an item if so many of the item's tokens, or this share of them by templates, are matched on one diagonal.
 MIN_TOKENS = 13
 MIN_SHARE = 0.6
 #: Benchmark windows up to which they are broadcast (some 60 MB); more are hash-joined with those of documents.
 BROADCAST_WINDOWS = 250_000
+#: Windows of documents that meet one copy of a benchmark window; more frequent windows are dealt into parts.
+PART = 20_000
 _LAST = 0x7FFFFFFFFFFFFFFF
 
 # Units of measure, in English and in common short forms.
@@ -39,8 +45,14 @@ UNITS = (
     "bytes cents cm days degrees dollars eur euro euros feet foot ft g gb grams h hours hrs inch inches kb kg kilograms kilometers kilometres km "
     "kmh l lb lbs liters litres m mb meters metres mg miles min minutes ml mm months mph ms ounces oz percent pounds s seconds tb tons usd weeks yards years"
 ).split()
+# Numbers in words, in English.
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion dozen"
+).split()
 
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A1, 0xB4B4B4B4B4B4B4B3, 0xC3C3C3C3C3C3C3C5))
+_Q64 = np.uint64(_Q)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _DIGIT = np.zeros(256, bool)
@@ -83,76 +95,90 @@ def _hash_of(word: str) -> int:
     return int(_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
-_UNIT_HASHES = np.sort(np.array([_hash_of(u) for u in UNITS], np.uint64))
+_UNIT_HASHES, _WORD_HASHES = (np.sort(np.array([_hash_of(x) for x in words], np.uint64)) for words in (UNITS, NUMBER_WORDS))
 
 
-def template_tokens(raw: tuple, low: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, value hash, is slot, document) of each token; raw and low: bytes, starts, ends as written and in lower case."""
+def template_tokens(raw: tuple, low: tuple) -> tuple[tuple, tuple]:
+    """((template hash, value hash, is slot, document) of each template token, (hash, document) of each token as it is).
+
+    raw and low are bytes, starts and ends as written and in lower case.
+    """
     begin, stop, doc = _spans(*raw)
     begin_low, stop_low, doc_low = _spans(*low)
-    value = _hashes(low[0], begin_low, stop_low)
+    value, data = _hashes(low[0], begin_low, stop_low), raw[0]
+    capital, opens = np.zeros(len(value), bool), np.ones(len(value), bool)
     if len(begin) != len(begin_low):  # lower case changed what is a token: no names there
-        number = _DIGIT[low[0][begin_low]] if len(begin_low) else np.zeros(0, bool)
-        name, doc = np.zeros(len(value), bool), doc_low
-    else:
-        data = raw[0]
-        number = _DIGIT[data[begin]] if len(begin) else np.zeros(0, bool)
-        wide = (data[begin] >= 0xC0).astype(np.int64) if len(begin) else begin
+        begin, stop, doc, data = begin_low, stop_low, doc_low, low[0]
+    elif len(begin):
+        wide = (data[begin] >= 0xC0).astype(np.int64)
         rest, rest_low = np.minimum(begin + 1 + wide, stop), np.minimum(begin_low + 1 + wide, stop_low)
         upper_first = _hashes(data, begin, rest) != _hashes(low[0], begin_low, rest_low)
         same_rest = (_hashes(data, rest, stop) == _hashes(low[0], rest_low, stop_low)) & (rest < stop)
+        capital = upper_first & same_rest
         breaks = np.concatenate(([0], np.cumsum(_BREAK[data])))
-        opens = np.ones(len(begin), bool)
         opens[1:] = (breaks[begin[1:]] > breaks[stop[:-1]]) | (doc[1:] != doc[:-1])
-        name = upper_first & same_rest & ~opens & ~number
-    unit = np.zeros(len(value), bool)
+    digit = _DIGIT[data[begin]] if len(begin) else np.zeros(0, bool)
+    word = ~digit & np.isin(value, _WORD_HASHES)
+    number, follows, unit = digit | word, np.zeros(len(value), bool), np.zeros(len(value), bool)
+    if len(begin):  # after one space or hyphen
+        follows[1:] = (doc[1:] == doc[:-1]) & (begin[1:] - stop[:-1] == 1) & np.isin(data[stop[:-1]], (32, 45))
     unit[1:] = number[:-1] & np.isin(value[1:], _UNIT_HASHES) & (doc[1:] == doc[:-1])
-    name &= ~unit
-    template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return template, value, number | name | unit, doc
+    unit &= ~number
+    name = capital & ~opens & ~number & ~unit
+    name[:-1] |= capital[:-1] & opens[:-1] & ~number[:-1] & ~unit[:-1] & name[1:] & follows[1:]
+    joined = np.zeros(len(value), bool)
+    joined[1:] = follows[1:] & ((name[1:] & name[:-1]) | (word[1:] & number[:-1]))
+    head = np.flatnonzero(~joined)
+    if not len(head):
+        return (value, value, number, doc), (value, doc)
+    template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))[head]
+    place = (np.arange(len(value)) - head[np.cumsum(~joined) - 1]).astype(np.uint64)
+    run = np.add.reduceat(np.where(joined, mix(value + place * _Q64), value), head)
+    return (template, run, (number | name | unit)[head], doc[head]), (value, doc)
 
 
 _WINDOWS = "window bigint, key bigint, fp int, at int, size int, n_tokens int, written boolean, slots array<bigint>"
-_ITEM_LISTS = "array<struct<item:bigint,item_fp:int,at:int,size:int,n_tokens:int,written:boolean,slots:array<bigint>>>"
 _FOUND = "key bigint, fp int, item bigint, item_fp int, tokens int, item_tokens int, coverage double, same boolean"
 
 
 class Windows:
-    """The windows of some texts: hashes, first tokens, sizes, kinds, and where the texts' tokens are."""
+    """The windows of some texts: hash, size, kind, document, place in it, the tokens of the text, and the values in slots."""
 
     def __init__(self, column: pa.Array, raw: list, sizes: tuple[int, ...], own_size: bool, known: np.ndarray | None):
         data, at = text_bytes(pc.utf8_lower(column))
-        template, self.value, self.slot, self.doc = template_tokens(tuple(raw), (data[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0]))
-        rows, n = len(column), len(template)
-        self.first = np.searchsorted(self.doc, np.arange(rows), "left")
-        self.count = np.searchsorted(self.doc, np.arange(rows), "right") - self.first
-        left = self.first[self.doc] + self.count[self.doc] - np.arange(n)  # tokens from here to the text's end
-        fixed = np.concatenate(([0], np.cumsum(~self.slot)))
+        templates, words = template_tokens(tuple(raw), (data[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0]))
+        self.value, self.slot = templates[1:3]
         parts = []
-        for kind, tokens in enumerate((template, self.value)):
+        for kind, (tokens, doc) in enumerate(((templates[0], templates[3]), words)):
+            n = len(tokens)
+            first = np.searchsorted(doc, np.arange(len(column)), "left")
+            count = np.searchsorted(doc, np.arange(len(column)), "right") - first
+            left = first[doc] + count[doc] - np.arange(n)  # tokens from here to the text's end
+            fixed = np.concatenate(([0], np.cumsum(~self.slot)))
             h = np.full(n, kind + 1, np.uint64)
             for t in range(max(sizes)):
                 if t < n:
-                    h[: n - t] = h[: n - t] * np.uint64(_Q) + tokens[t:]
+                    h[: n - t] = h[: n - t] * _Q64 + tokens[t:]
                 size = t + 1
                 if size not in sizes:
                     continue
                 good = left >= size
                 if own_size and size < max(sizes):  # a short text is one window
-                    good &= self.count[self.doc] == size
+                    good &= count[doc] == size
                 begin = np.flatnonzero(good)
                 if kind == 0:
-                    begin = begin[fixed[begin + size] - fixed[begin] >= min(MIN_FIXED, size)]
+                    begin = begin[fixed[begin + size] - fixed[begin] >= min(WHOLE_FIXED, size)]
                 hashes = signed(mix(h[begin] ^ np.uint64(size * 0x9E3779B97F4A7C1)))
                 if known is not None:
                     hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes) if len(known) else np.zeros(0, np.int64)
                     begin, hashes = begin[hit], hashes[hit]
-                parts.append((hashes, begin, np.full(len(begin), size), np.full(len(begin), bool(kind))))
-        self.hash, self.begin, self.size, self.written = (np.concatenate(x) for x in zip(*parts, strict=True))
+                own = doc[begin]
+                parts.append((hashes, begin, np.full(len(begin), size), np.full(len(begin), bool(kind)), own, begin - first[own], count[own]))
+        self.hash, self.begin, self.size, self.written, self.doc, self.at, self.n_tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     def slots_of(self, i: int) -> np.ndarray:
-        b = self.begin[i]
-        part = slice(b, b + self.size[i])
+        """Values in the slots of a template window; windows as they are written have no slots."""
+        part = slice(self.begin[i], self.begin[i] + (0 if self.written[i] else self.size[i]))
         return self.value[part][self.slot[part]].view(np.int64)
 
 
@@ -164,13 +190,12 @@ def template_windows(rows: DataFrame, sizes: tuple[int, ...], own_size: bool = F
             column = pc.fill_null(batch.column("text"), "")
             for row, to, *raw in slabs(column):
                 w = Windows(column.slice(row, to - row), raw, sizes, own_size, None)
-                part, doc = batch.slice(row, to - row), w.doc[w.begin]
-                own = pa.array(doc)
+                part, own = batch.slice(row, to - row), pa.array(w.doc)
                 slots = [w.slots_of(i) for i in range(len(w.begin))]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(w.hash), part.column("key").take(own), part.column("fp").take(own), pa.array(w.begin - w.first[doc], pa.int32()), pa.array(w.size, pa.int32()),
-                        pa.array(w.count[doc], pa.int32()), pa.array(w.written), pa.array(slots, pa.list_(pa.int64())),
+                        pa.array(w.hash), part.column("key").take(own), part.column("fp").take(own), pa.array(w.at, pa.int32()), pa.array(w.size, pa.int32()),
+                        pa.array(w.n_tokens, pa.int32()), pa.array(w.written), pa.array(slots, pa.list_(pa.int64())),
                     ],
                     names=[field.split()[0] for field in _WINDOWS.split(", ")],
                 )
@@ -193,6 +218,20 @@ def _one_to_one(pairs: set[tuple[int, int]]) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
+def _covered(windows: list[tuple]) -> tuple[int, int]:
+    """(tokens, longest run of tokens) of windows on one diagonal, sorted by their place."""
+    tokens = run = longest = end = 0
+    for at, size, *_ in windows:
+        new = at + size - max(at, end)
+        run = run + new if tokens and at <= end else size
+        tokens, end, longest = tokens + max(new, 0), max(end, at + size), max(longest, run)
+    return tokens, longest
+
+
+def _values(windows: list[tuple]) -> set[tuple[int, int]]:
+    return {p for *_, theirs, ours in windows for p in zip(theirs, ours, strict=True)}
+
+
 def held_items(matches: list[tuple]) -> list[tuple]:
     """The items that one document holds: (item, item_fp, tokens, item_tokens, coverage, same).
 
@@ -204,16 +243,17 @@ def held_items(matches: list[tuple]) -> list[tuple]:
     best: dict[tuple, tuple] = {}
     for (item, fp, n, _, as_written), windows in diagonals.items():
         windows.sort(key=lambda x: x[:2])
-        tokens = run = longest = end = 0
-        for at, size, *_ in windows:
-            new = at + size - max(at, end)
-            run = run + new if tokens and at <= end else size
-            tokens, end, longest = tokens + max(new, 0), max(end, at + size), max(longest, run)
+        tokens, longest = _covered(windows)
         if as_written:
             good, same, tokens = longest >= min(MIN_TOKENS, n), True, longest
         else:
-            pairs = {p for *_, theirs, ours in windows for p in zip(theirs, ours, strict=True)}
-            good, same = (tokens >= MIN_TOKENS or tokens / n >= MIN_SHARE) and _one_to_one(pairs), all(a == b for a, b in pairs)
+            pairs = _values(windows)
+            good = tokens == n and _one_to_one(pairs)
+            if not good:  # a part of the item: windows of enough fixed words only
+                windows = [w for w in windows if w[1] - len(w[2]) >= min(MIN_FIXED, w[1])]
+                tokens, pairs = _covered(windows)[0], _values(windows)
+                good = (tokens >= MIN_TOKENS or tokens / n >= MIN_SHARE) and _one_to_one(pairs)
+            same = all(a == b for a, b in pairs)
         found = (tokens, tokens / n, same, n)
         if good and found > best.get((item, fp), ()):
             best[item, fp] = found
@@ -236,12 +276,10 @@ def _by_broadcast(docs: DataFrame, index, sizes: tuple[int, ...]) -> DataFrame:
                 w = Windows(column.slice(row, to - row), raw, sizes, False, ix.hash)
                 matches: dict[int, list] = defaultdict(list)
                 for i, (a, b) in enumerate(zip(np.searchsorted(ix.hash, w.hash, "left").tolist(), np.searchsorted(ix.hash, w.hash, "right").tolist(), strict=True)):
-                    doc = int(w.doc[w.begin[i]])
-                    ours = w.slots_of(i).tolist() if not w.written[i] else []
-                    at = int(w.begin[i] - w.first[doc])
+                    doc, at, ours = int(w.doc[i]), int(w.at[i]), w.slots_of(i).tolist()
                     for j in range(a, b):
-                        if ix.written[j] == w.written[i] and ix.size[j] == w.size[i] and (w.written[i] or len(ix.slots[j]) == len(ours)):
-                            theirs = ix.slots[j].tolist() if ours else []
+                        if ix.written[j] == w.written[i] and ix.size[j] == w.size[i] and len(ix.slots[j]) == len(ours):
+                            theirs = ix.slots[j].tolist()
                             matches[doc].append((int(ix.item[j]), int(ix.fp[j]), int(ix.n_tokens[j]), at - int(ix.at[j]), bool(ix.written[j]), int(ix.at[j]), int(ix.size[j]), theirs, ours))
                 keys, fps = batch.column("key"), batch.column("fp")
                 rows = [(keys[row + d].as_py(), fps[row + d].as_py(), *found) for d, m in matches.items() for found in held_items(m)]
@@ -252,24 +290,27 @@ def _by_broadcast(docs: DataFrame, index, sizes: tuple[int, ...]) -> DataFrame:
 
 
 def _by_join(docs: DataFrame, items: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """The same by a hash join of windows, each of them one row with the items that have it."""
-    entry = F.struct(F.col("key").alias("item"), F.col("fp").alias("item_fp"), "at", "size", "n_tokens", "written", "slots")
-    lists = items.groupBy("window").agg(F.collect_list(entry).cast(_ITEM_LISTS).alias("entries"))
-    windows = template_windows(docs, sizes).drop("n_tokens")
-    used = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).join(lists, "window")
-    met = group_join(windows, used, ["window"], "n", int(windows.count()))
-
-    def verify(table: pa.Table) -> pa.Table:
-        matches = []
-        for r in table.to_pylist():
-            for e in r["entries"]:
-                if e["written"] == r["written"] and e["size"] == r["size"] and (r["written"] or len(e["slots"]) == len(r["slots"])):
-                    slots = ([], []) if r["written"] else (e["slots"], r["slots"])
-                    matches.append((e["item"], e["item_fp"], e["n_tokens"], r["at"] - e["at"], e["written"], e["at"], e["size"], *slots))
-        key, fp = table["key"][0].as_py(), table["fp"][0].as_py()
-        return pa.Table.from_batches([_batch([(key, fp, *found) for found in held_items(matches)])])
-
-    return met.groupBy("key", "fp").applyInArrow(verify, _FOUND)
+    """The same by a hash join of windows, put together for each document and item.
+
+    Windows that many documents share are dealt into parts, and each part meets the items of the window, so no
+    task and no list holds what a window's documents or items come to: a list is that of one document and one item.
+    """
+    windows = written(template_windows(docs, sizes).drop("n_tokens"), "windows")
+    used = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n")).join(items.select("window").distinct(), "window")
+    used = written(used.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "used")
+    dealt = group_join(windows, used, ["window"], "n", int(windows.count())).withColumn("part", F.pmod(F.xxhash64("key", "fp"), F.col("parts")).cast("int"))
+    theirs = items.join(used.select("window", "parts"), "window").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    theirs = theirs.select("window", "part", F.col("key").alias("item"), F.col("fp").alias("item_fp"), F.col("at").alias("item_at"), F.col("size").alias("item_size"), "n_tokens", F.col("written").alias("as_written"), F.col("slots").alias("item_slots"))
+    met = dealt.join(theirs.hint("merge"), ["window", "part"]).filter("written = as_written and size = item_size and size(slots) = size(item_slots)")
+    match = F.struct("n_tokens", (F.col("at") - F.col("item_at")).alias("shift"), "as_written", "item_at", "size", "item_slots", "slots")
+    pairs = met.groupBy("key", "fp", "item", "item_fp").agg(F.collect_list(match).alias("matches"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield _batch([(r["key"], r["fp"], *found) for r in rows for found in held_items([(r["item"], r["item_fp"], *m.values()) for m in r["matches"]])])
+
+    return pairs.mapInArrow(verify, _FOUND)
 
 
 def _keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import pytest
 
-from quillon.llm.decontaminate import contaminated, decontaminate, held_items
+from quillon.llm.decontaminate import NUMBER_WORDS, UNITS, contaminated, decontaminate, held_items
 from quillon.llm.html_extract import extract, extract_text, learn
 from quillon.llm.license_scan import TEMPLATES, license_scan
 from quillon.llm.warc import arc_record, arc_start, archive_pages, parse_arc, parse_warc, read_warc, warc_record
@@ -66,6 +66,89 @@ def test_torn_slots_are_no_leak(spark):
     assert got == {1}
 
 
+TOKEN = re.compile(r"[A-Za-z0-9]+(?:(?<=\d)[.,](?=\d)[A-Za-z0-9]+)*")
+
+
+def brute_template(text):
+    """([(template, value)], [word]) of an ASCII text, token by token."""
+    spans = [(m.start(), m.end(), m.group()) for m in TOKEN.finditer(text)]
+    out, kinds = [], []
+    for i, (a, _, w) in enumerate(spans):
+        before = text[spans[i - 1][1] : a] if i else "."
+        opens, near = bool(re.search(r'[.!?\n:|"]', before)) or not i, before in (" ", "-")
+        number = w[0].isdigit() or w.lower() in NUMBER_WORDS
+        unit = not number and kinds[-1:] == ["number"] and w.lower() in UNITS
+        capital = w[0].isupper() and len(w) > 1 and w[1:] == w[1:].lower() and not number and not unit
+        kind = "number" if number else "unit" if unit else "name" if capital and not opens else "opener" if capital else "word"
+        if kind == "name" and near and kinds[-1] in ("name", "opener"):
+            if kinds[-1] == "opener":
+                out[-1] = ("name", out[-1][1])
+            out[-1] = ("name", (*out[-1][1], w.lower()))
+        elif kind == "number" and not w[0].isdigit() and near and kinds[-1] == "number":
+            out[-1] = ("number", (*out[-1][1], w.lower()))
+        else:
+            out.append((kind if kind in ("number", "unit", "name") else w.lower(), (w.lower(),)))
+        kinds.append(kind)
+    return out, [w.lower() for *_, w in spans]
+
+
+def brute_leaks(docs, items):
+    """(document, item) by comparing all places of all documents with all items, shift by shift."""
+    slots, found = ("number", "name", "unit"), set()
+    for d, text in docs:
+        ours, our_words = brute_template(text)
+        for i, item in items:
+            theirs, words = brute_template(item)
+            n, size = len(theirs), min(len(theirs), 8)
+            run = min(13, len(words))
+            if any(our_words[s : s + run] == words[o : o + run] for o in range(len(words) - run + 1) for s in range(len(our_words))):
+                found.add((d, i))
+            for shift in range(-n, len(ours)):
+                for least in (3, 4):
+                    hit, pairs = set(), set()
+                    for at in range(n - size + 1):
+                        a, b = theirs[at : at + size], ours[at + shift : at + shift + size] if at + shift >= 0 else []
+                        if [x for x, _ in a] == [x for x, _ in b] and sum(x not in slots for x, _ in a) >= min(least, size):
+                            hit |= set(range(at, at + size))
+                            pairs |= {(x[1], y[1]) for x, y in zip(a, b, strict=True) if x[0] in slots}
+                    enough = len(hit) == n if least == 3 else len(hit) >= 13 or len(hit) >= 0.6 * n
+                    if hit and enough and len({x for x, _ in pairs}) == len(pairs) == len({y for _, y in pairs}):
+                        found.add((d, i))
+    return found
+
+
+def test_changed_questions_equal_brute_force(spark, monkeypatch):
+    r = random.Random(11)
+    forms = [
+        "A bus leaves {a} for {b} at {n} and {a} is {m} km from {b}, so when does it reach {b}?", "What is {n} plus {m}?", "{a} has {n} apples and gives {m} of them to {b}. How many apples does {a} keep?",
+        "Yesterday {a} sold {n} kg of salt while {b} sold {m} kg of sugar near the old harbour of {a} at noon", "Compute {n} times {m}", "Is {n} larger than {m} or than the age of {a}?",
+    ]
+    names = ["Boston", "New York", "Los Angeles", "Chicago", "San Juan Capistrano", "Oslo", "Rio-Grande", "Maria", "Anna Lena"]
+    numbers = ["15", "twenty-five", "3,200", "seven", "one hundred", "4.5", "3 million", "12"]
+
+    def ask(form):
+        (a, b), (n, m) = r.sample(names, 2), r.sample(numbers, 2)
+        text = form.format(a=a, b=b, n=n, m=m)
+        if r.random() < 0.25:  # torn: one place has another name
+            text = text[::-1].replace(a[::-1], r.choice(names)[::-1], 1)[::-1]
+        return text
+
+    prose = lambda k: " ".join(r.choice(["the", "lamp", "of", "Oslo", "seven", "runs", "9", "km", "today", "What is", "over"]) for _ in range(k))
+    items = [(i, ask(r.choice(forms))) for i in range(40)]
+    rows = [(d, ". ".join([prose(r.randrange(30)), *(ask(r.choice(forms)) for _ in range(r.randrange(3))), prose(r.randrange(30))])) for d in range(120)]
+    rows += [(200, "He asked: What is 31 plus 64? Nobody knew"), (201, "so many people ask what is left of plus")]
+    items += [(100, "What is 15 plus 27?"), (101, "A bus leaves Boston at noon with fifteen apples on board and reaches Chicago in an hour")]
+    rows += [(202, "We saw that. A bus leaves New York at noon with twelve apples on board and reaches Los Angeles in an hour.")]
+    want = brute_leaks(rows, items)
+    assert {(200, 100), (202, 101)} <= want and len(want) < len(rows) * len(items) / 2
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.key, x.item) for x in contaminated(docs, bench).collect()} == want
+    monkeypatch.setattr("quillon.llm.decontaminate.BROADCAST_WINDOWS", 3)
+    monkeypatch.setattr("quillon.llm.decontaminate.PART", 7)
+    joined = [(x.key, x.item) for x in contaminated(docs, bench).collect()]
+    assert set(joined) == want and len(joined) == len(want)
+
+
 def brute_licenses(rows):
     """(id, license): (containment, places) by all windows of all size classes against all templates."""
 
