@@ -25,6 +25,8 @@ from quillon.llm.common import group_join, shared_dir, written
 MIN_REVISIT_BYTES = 1000
 #: An archive that is built in memory ends after so many bytes; one longer record is an archive of its own.
 ARCHIVE_BYTES = 4 << 20
+#: The same for WARC archives.
+WARC_BYTES = 64 << 20
 #: Capture time of pages, which have none of their own.
 CAPTURED = "20240101000000"
 #: Date of the warcinfo records.
@@ -176,24 +178,37 @@ def _typed_record(r: dict, info: str) -> bytes:
     return warc_record(fields, head + r["payload"] if full else head)
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write typed records as gzipped WARC archives, one for each partition, each with a warcinfo record first."""
+def write_warc(records: DataFrame, path: str, archive_bytes: int = WARC_BYTES) -> None:
+    """Write typed records as gzipped WARC archives, each with a warcinfo record first.
+
+    An archive ends after ``archive_bytes`` (before compression), so that it can be read as one value; only a
+    longer record makes a longer archive. A partition without records writes none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = None
+        out, size, info = [], 0, None
+
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(out)], pa.binary())], names=["value"])
+
         for batch in batches:
-            out = []
-            if info is None:
-                info = f"<urn:uuid:{uuid.uuid4()}>"
-                head = {"WARC-Type": "warcinfo", "WARC-Record-ID": info, "WARC-Date": WRITTEN, "Content-Type": "application/warc-fields"}
-                out.append(warc_record(head, b"software: quillon\r\nformat: WARC File Format 1.1\r\n"))
-            for at in range(0, len(batch), 256):
-                out += [_typed_record(r, info) for r in batch.slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-                out = []
-
-    lines = records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the cast keeps all bytes
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+            for at in range(0, len(batch), 16):
+                for r in batch.slice(at, 16).to_pylist():
+                    if not out:
+                        info = f"<urn:uuid:{uuid.uuid4()}>"
+                        head = {"WARC-Type": "warcinfo", "WARC-Record-ID": info, "WARC-Date": WRITTEN, "Content-Type": "application/warc-fields"}
+                        out.append(warc_record(head, b"software: quillon\r\nformat: WARC File Format 1.1\r\n"))
+                    out.append(_typed_record(r, info))
+                    size += len(out[-1])
+                    if size >= archive_bytes:
+                        yield archive()
+                        out, size = [], 0
+        if out:
+            yield archive()
+
+    rows = records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the cast keeps all bytes
+    # A row is an archive, and a file has one row.
+    rows.write.option("maxRecordsPerFile", 1).option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -11,7 +11,7 @@ import pytest
 from quillon.llm.decontaminate import NUMBER_WORDS, UNITS, contaminated, decontaminate, held_items
 from quillon.llm.html_extract import extract, extract_text, learn
 from quillon.llm.license_scan import TEMPLATES, license_scan
-from quillon.llm.warc import arc_record, arc_start, archive_pages, parse_arc, parse_warc, read_warc, warc_record
+from quillon.llm.warc import arc_record, arc_start, archive_pages, convert_arc, pages_to_arc, parse_arc, parse_warc, read_warc, warc_record, with_record_types, write_warc
 
 ITEM = "A train leaves London at 9 and travels 120 km with Maria aboard. After 3 hours Maria meets her friend, who walked 5 km from home. How far is it?"
 
@@ -272,3 +272,18 @@ def test_archives_round_trip(spark):
     size = len(big.encode())
     assert by == {1: ("revisit", 5, size), 2: ("revisit", 5, size), 5: ("response", None, size), 3: ("response", None, 999), 4: ("response", None, 999), 6: ("response", None, 0), 7: ("response", None, 0), None: ("response", None, size), 8: ("response", None, 1000)}
     assert archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_archives_end_at_a_size(spark, tmp_path):
+    rows = [(i, f"http://e.org/{i}", "ü" * (2_000_000 if i == 7 else 300 + i)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    path = str(tmp_path / "archives")
+    write_warc(with_record_types(convert_arc(pages_to_arc(pages))).coalesce(2), path, archive_bytes=8_000)
+    blobs = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "archives").glob("*.gz")]
+    found = [list(parse_warc(io.BytesIO(b))) for b in blobs if b]
+    assert len(found) > 4 and all(records[0][0]["WARC-Type"] == "warcinfo" and len(records) > 1 for records in found)
+    assert all(sum(len(block) for _, block in records[:-1]) < 8_000 for records in found)
+    info = [{h["WARC-Warcinfo-ID"] for h, _ in records[1:] if "WARC-Warcinfo-ID" in h} <= {records[0][0]["WARC-Record-ID"]} for records in found]
+    assert all(info)
+    got = {r.page_id: r.payload_bytes for r in read_warc(spark, path).collect()}
+    assert got == {i: len(t.encode()) for i, _, t in rows}
