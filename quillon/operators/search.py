@@ -182,6 +182,68 @@ def rerank_tokens(candidates: DataFrame, query: list[str], k1: float = 1.5, b: f
     return rows.join(sums, "id", "left").select("id", (0.7 * F.coalesce("bm25", F.lit(0.0)) + 0.3 * 100 * F.col("score")).alias("score"))
 
 
+#: Questions of words alone are well-formed queries; any other sign, and words that are operators, have a meaning of their own.
+_PLAIN, _OPERATORS = r"^[A-Za-z0-9_\s\x{80}-\x{10FFFF}]*$", r"\b(AND|OR|NOT|NEAR)\b"
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def all_words_top(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, id, score, rank): for each question (query_id, text) the k chunks (id, content) of best BM25 that hold all its words.
+
+    Postings of the questions' words alone go on. Candidates of a question come from its rarest word, and its
+    other words are looked up for them, so common words are never joined with questions as a whole. Questions
+    that aren't well formed, or have no words, find nothing.
+    """
+    plain = questions.filter(F.col("text").rlike(_PLAIN) & ~F.col("text").rlike(_OPERATORS))
+    asked = plain.select("query_id", F.array_distinct(words(F.col("text"))).alias("w"))
+    terms = asked.select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
+    lens = chunks.select("id", F.explode(F.array(words(F.col("content")))).alias("w"))
+    stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len"))
+    held = written(postings(chunks).join(terms.select("term").distinct(), "term", "left_semi"), "held")
+    need = terms.join(held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term")
+    rare = need.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
+    found = rare.filter("n = n_terms").select("query_id", F.col("r.term").alias("term")).join(held.select("term", "id"), "term").drop("term")
+    rated = found.join(need, "query_id").join(held, ["id", "term"]).join(F.broadcast(stats))  # one row
+    idf = F.greatest(F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    scored = rated.groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("met"))
+    return _best(scored.filter("met = n_terms").select("query_id", "id", "score"), k)
+
+
+def rerank_many(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``rerank_tokens`` of many questions at once: candidates (query_id, id, score) with new scores, each question's among themselves."""
+    rows = chunks.join(candidates.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.array(words_no_stop(F.col("content")))).alias("w"))
+    rows = written(rows, "candidates")  # split once
+    lens, tf = rows.select("id", F.size("w").alias("len")), rows.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sized = written(candidates.join(lens, "id"), "sized")
+    asked = questions.select("query_id", F.explode(words_no_stop(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    met = sized.join(asked, "query_id").join(tf, ["id", "term"])
+    df = met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    stats = sized.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    rated = met.join(df, ["query_id", "term"]).join(stats, "query_id")
+    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    sums = rated.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    return sized.join(sums, ["query_id", "id"], "left").select("query_id", "id", (0.7 * F.coalesce("bm25", F.lit(0.0)) + 0.3 * 100 * F.col("score")).alias("score"))
+
+
+def search_many(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, question_vectors: DataFrame, limit: int = 4) -> DataFrame:
+    """(query_id, id, score, rank): the hybrid hits of many questions at once, reranked by their words.
+
+    chunks (id, content), questions (query_id, text), and vectors of both (id, vector). Both arms give
+    8 * ``limit`` hits a question, which are fused by reciprocal ranks and reranked. A question without words has no hits.
+    """
+    size, questions = limit * 8, questions.withColumn("text", F.coalesce("text", F.lit(""))).filter(F.size(words(F.col("text"))) > 0)
+    by_vector = vector_top_k(vectors, question_vectors.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi"), size)
+    arms = by_vector.select("query_id", "id", "rank").unionByName(all_words_top(chunks, questions, size).select("query_id", "id", "rank"))
+    fused = _best(arms.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score")), size).drop("rank")
+    return _best(rerank_many(written(fused, "fused"), chunks, questions), limit)
+
+
 def phrase_hits(chunks: DataFrame, phrase: list[str]) -> DataFrame:
     """(id, hits) of chunks that hold the words of a phrase one after another."""
     n = len(phrase)

@@ -651,3 +651,35 @@ def chat_prompts(spark, folder):
     questions = said.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
     hits = said.filter("turn <= 2").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("role").alias("title"), F.col("text").alias("content"))
     return models.chat_turns(questions, hits, said, 2).select("conv_id", F.md5("prompt").alias("prompt"))
+
+
+_SOURCE_LABEL = "CASE WHEN coalesce(left(text, 60), '') <> '' THEN left(text, 60) || ' (doc://' || doc_id || ')' ELSE 'doc://' || doc_id END"
+
+
+@query(f"""WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+q AS (SELECT conv_id, arg_max(text, turn) AS text, max(turn) AS turn FROM said WHERE role = 'user' GROUP BY conv_id),
+texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - conv_id, text FROM q),
+{_HASHED.replace("FROM documents", "FROM texts")},
+v1 AS (SELECT a.id AS query_id, d.id, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, d.v), 9) DESC, d.id) AS rank FROM e a, e d WHERE a.id < 0 AND d.id >= 0 QUALIFY rank <= 32),
+cw AS (SELECT query_id, v1.id, 1.0::DOUBLE / (60 + rank) AS score, list_filter({_WORDS.format("coalesce(text, '')")}, lambda x: strlen(x) > 1 AND NOT list_contains({_STOP}, x)) AS ws FROM v1 JOIN documents ON doc_id = v1.id),
+cs AS (SELECT query_id, count(*) AS n, avg(len(ws)) AS a FROM cw GROUP BY query_id),
+qt AS (SELECT -1 - conv_id AS query_id, t, count(*) AS times FROM (SELECT conv_id, unnest(list_filter({_WORDS.format("text")}, lambda x: strlen(x) > 1 AND NOT list_contains({_STOP}, x))) AS t FROM q) GROUP BY ALL),
+ct AS (SELECT query_id, id, l, t, times, f FROM (SELECT query_id, id, len(ws) AS l, t, count(*) AS f FROM (SELECT query_id, id, ws, unnest(ws) AS t FROM cw) GROUP BY ALL) JOIN qt USING (query_id, t)),
+cd AS (SELECT query_id, t, count(*) AS d FROM ct GROUP BY ALL),
+cb AS (SELECT query_id, id, sum(times * ln((n - d + 0.5) / (d + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * l / a))) AS b FROM ct JOIN cd USING (query_id, t) JOIN cs USING (query_id) GROUP BY ALL),
+h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7 * coalesce(b, 0) + 30 * score, 9) DESC, id) AS rank FROM cw LEFT JOIN cb USING (query_id, id) QUALIFY rank <= 4),
+x AS (SELECT -1 - query_id AS conv_id, string_agg(concat('[', rank, '] Source: ', {_SOURCE_LABEL}, chr(10), coalesce(text, '')), chr(10) || chr(10) ORDER BY rank) AS context FROM h JOIN documents ON doc_id = h.id GROUP BY query_id),
+p AS (SELECT conv_id, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS past FROM (SELECT said.*, row_number() OVER (PARTITION BY said.conv_id ORDER BY said.turn DESC) AS n FROM said JOIN q ON q.conv_id = said.conv_id AND said.turn < q.turn WHERE role <> 'system') WHERE n <= 10 GROUP BY conv_id)
+SELECT q.conv_id, md5(concat_ws(chr(10) || chr(10), nullif(context, ''), nullif(past, ''), concat('user: ', q.text))) AS prompt FROM q LEFT JOIN x USING (conv_id) LEFT JOIN p USING (conv_id)""")
+def chat_on_hits(spark, folder):
+    """The prompt of each conversation's last question: its four best hits in all documents, what was said before it, and itself."""
+    said = table(spark, folder, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    asked = written(said.filter("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("asked")), "asked")
+    docs = sources(spark, folder)
+    chunks, questions = docs.select("id", F.col("text").alias("content")), asked.select(F.col("conv_id").alias("query_id"), "text")
+    vectors = embed.embed_hash(chunks), embed.embed_hash(questions.select(F.col("query_id").alias("id"), F.col("text").alias("content")))
+    hits = search.search_many(chunks, vectors[0], questions, vectors[1])
+    label = T.source_label(F.col("title"), F.col("origin"), F.col("id"))
+    hits = hits.join(docs, "id").select("query_id", "rank", label.alias("title"), F.coalesce("text", F.lit("")).alias("content"))
+    before = said.join(asked.select("conv_id", "asked"), "conv_id").filter(F.col("turn") < F.col("asked")).drop("asked")
+    return models.chat_turns(asked.drop("asked"), hits, before).select("conv_id", F.md5("prompt").alias("prompt"))
