@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.joins import group_join
 from quillon.sources.store import written
 
 
@@ -118,13 +119,20 @@ def resolve_pending(pending: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def resolve_wikilinks(links: DataFrame, notes: DataFrame) -> DataFrame:
-    """(id, target, to_id) by exact name, else name without case, else path: the first rule that finds a note."""
-    rules = (
-        notes.select(F.col("id").alias("to_id"), F.col("name").alias("key"), F.lit(0).alias("rule")),
-        notes.select(F.col("id").alias("to_id"), F.lower("name").alias("key"), F.lit(1).alias("rule")),
-        notes.select(F.col("id").alias("to_id"), F.col("path").alias("key"), F.lit(2).alias("rule")),
-    )
-    keyed = links.select("id", "target", F.explode(F.array(F.struct(F.col("target").alias("key"), F.lit(0).alias("rule")), F.struct(F.lower("target").alias("key"), F.lit(1).alias("rule")), F.struct(F.col("target").alias("key"), F.lit(2).alias("rule")))).alias("k"))
-    found = keyed.select("id", "target", "k.key", "k.rule").join(rules[0].unionByName(rules[1]).unionByName(rules[2]), ["key", "rule"])
-    best = found.groupBy("id", "target").agg(F.min(F.struct("rule", "to_id")).alias("b")).select("id", "target", F.col("b.to_id").alias("to_id"))
-    return links.select("id", "target").distinct().join(best, ["id", "target"], "left")
+    """(id, target, to_id) by exact name, else name without case, else path: the first rule that finds a note, and of its notes the
+    one of the smallest id.
+
+    Names are settled first, to one note each, and then distinct targets; links meet one row for their target, so the work
+    doesn't grow with how many notes share a name times how many links ask for it.
+    """
+    rules = (F.col("name"), F.lower("name"), F.col("path"))
+    named = notes.select(F.col("id").alias("to_id"), F.inline(F.array(*[F.struct(key.alias("key"), F.lit(i).alias("rule")) for i, key in enumerate(rules)])))
+    named = named.groupBy("key", "rule").agg(F.min("to_id").alias("to_id"))
+    links = links.select("id", "target").distinct()
+    targets = links.filter("target IS NOT NULL").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    asked = targets.select("target", "n", F.inline(F.array(*[F.struct(key.alias("key"), F.lit(i).alias("rule")) for i, key in enumerate((F.col("target"), F.lower("target"), F.col("target")))])))
+    best = asked.join(named, ["key", "rule"]).groupBy("target", "n").agg(F.min(F.struct("rule", "to_id")).alias("b")).select("target", "n", F.col("b.to_id").alias("to_id"))
+    settled = written(targets.join(best, ["target", "n"], "left"), "targets")
+    total = settled.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = group_join(links, settled, ["target"], "n", total).select("id", "target", "to_id")
+    return known.unionByName(links.filter("target IS NULL").withColumn("to_id", F.lit(None).cast(dict(known.dtypes)["to_id"])))

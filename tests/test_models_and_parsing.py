@@ -39,3 +39,23 @@ def test_phrase_and_links(spark):
     notes = spark.createDataFrame([(1, "Note", "a/Note"), (2, "note", "b/note")], "id long, name string, path string")
     links = spark.createDataFrame([(9, "note"), (9, "NOTE"), (9, "a/Note"), (9, "gone")], "id long, target string")
     assert {r.target: r.to_id for r in graph.resolve_wikilinks(links, notes).collect()} == {"note": 2, "NOTE": 1, "a/Note": 1, "gone": None}
+
+
+def _most_rows(plan) -> int:
+    """The most rows that one step of an executed plan made."""
+    kind = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+    below = plan.children()
+    made = plan.metrics().get("numOutputRows")
+    return max([made.get().value() if made.isDefined() else 0, *[_most_rows(p) for p in inner], *[_most_rows(below.apply(i)) for i in range(below.size())]])
+
+
+def test_links_to_a_name_of_many_notes_make_no_pairs(spark):
+    notes = spark.createDataFrame([(i, "Same", f"a/{i}") for i in range(300)], "id long, name string, path string")
+    links = spark.createDataFrame([(1000 + i, t) for i in range(300) for t in ("Same", "SAME", f"a/{i}", "gone")] + [(1, None)], "id long, target string")
+    found = graph.resolve_wikilinks(links, notes)
+    want = {(1000 + i, t): to for i in range(300) for t, to in (("Same", 0), ("SAME", 0), (f"a/{i}", i), ("gone", None))}
+    want[1, None] = None
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.id, r.target): r.to_id for r in rows} == want
+    assert _most_rows(found._jdf.queryExecution().executedPlan()) <= 3000
