@@ -274,7 +274,7 @@ class SearchIndex:
         return dict(rows.collect())  # a row for each term of the query
 
     def top(self, terms: list[str], k: int, every: bool = False, k1: float = K1, b: float = B) -> DataFrame:
-        """(id, score): the k chunks of largest BM25 for any of the terms, or with all of them, ties by number.
+        """(id, score): the k chunks of largest BM25 for any of the terms, or with all of them, ties by id, whole numbers by their value.
 
         Bounds come from the blocks' heads. The most promising windows are scored first; of the others only those are read
         whose bound reaches the k-th best score found so far, so a window that is left out holds none of the best k.
@@ -288,10 +288,11 @@ class SearchIndex:
         windows, rated = self._windows(state, terms, df, every, k1, b)
         best = rated(windows.orderBy(F.desc("bound"), "window").limit(max(2, -(-2 * k // WINDOW))))
         least = best.orderBy(F.desc("score"), "num").limit(k).agg(F.count(F.lit(1)), F.min("score")).first()
-        floor = least[1] if least[0] == k else 0.0
-        self.read = written(windows.filter(F.col("bound") >= floor * (1 - 1e-9)), "windows")
-        out = rated(self.read).orderBy(F.desc("score"), "num").limit(k)
-        return F.broadcast(out).join(self._docs(state).select("num", "id"), "num").orderBy(F.desc("score"), "num").select("id", "score")
+        floor = (least[1] if least[0] == k else 0.0) * (1 - 1e-9)
+        self.read = written(windows.filter(F.col("bound") >= floor), "windows")
+        found = rated(self.read).filter(F.col("score") >= floor).join(self._docs(state).select("num", "id"), "num")
+        # Sums of the same parts in another order are ties too.
+        return found.orderBy(F.desc(F.round("score", 12)), F.col("id").try_cast("bigint").asc_nulls_last(), "id").limit(k).select("id", "score")
 
     def _windows(self, state: dict, terms: list[str], df: dict[str, int], every: bool, k1: float, b: float):
         """(window, bound) of windows with the terms, and how the chunks of some windows are scored."""

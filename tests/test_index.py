@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import index as I
 from quillon.operators.index import SearchIndex
@@ -139,3 +140,11 @@ def test_odd_chunks(spark, tmp_path):
     assert none.search("one").count() == none.top(["one"], 3).count() == none.term_stats().count() == none.merge() == 0
     none.update(rows)
     assert [r.id for r in none.search("one").collect()] == ["3"]
+
+
+def test_ties_of_the_best_go_by_id(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "same words here") for i in range(40, 0, -1)], "id long, content string").repartitionByRange(4, F.desc("id"))
+    index = SearchIndex(spark, f"file://{tmp_path}/i").create(rows)
+    assert [r.id for r in index.top(["same", "words"], 12, every=True).collect()] == [str(i) for i in range(1, 13)]
+    named = SearchIndex(spark, f"file://{tmp_path}/n").create(rows.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "content"))
+    assert [r.id for r in named.top(["here"], 3).collect()] == ["n1", "n10", "n11"]
