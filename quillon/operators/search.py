@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import source_label, words, words_no_stop
 from quillon.functions.vector import cosine
+from quillon.operators.index import parse_query
 from quillon.sources.store import written
 
 K1, B = 1.2, 0.75
@@ -99,22 +100,24 @@ def hybrid_search(index, vectors: DataFrame, query: str, vector: list[float] | N
     ``limit`` * 4 candidates come from each arm, * 8 if they are reranked by the words in ``rerank``. An arm without
     result is empty: a query that isn't well formed has no BM25 hits, and without a vector there are no vector
     hits. ``collection`` filters both arms, and only if it is named; BM25 still weighs words by all chunks. sources
-    has (id, collection, title, origin, content), collections (id, name); what they don't know keeps its id.
+    has (id, collection, title, origin, content), collections (id, name); what they don't know keeps its id. ``index``
+    may be a function that returns the index, which is called if the query has words to look up.
     """
     size = limit * (8 if rerank else 4)
     inside = sources.filter(F.col("collection") == collection).select("id") if collection else None
     kept = lambda hits: hits.join(inside, "id", "left_semi") if collection else hits
     nothing = sources.sparkSession.createDataFrame([], f"id {dict(sources.dtypes)['id']}, score double")
     try:
-        words_arm = kept(index.search(query).withColumn("id", F.col("id").cast(dict(sources.dtypes)["id"])))
+        asked = bool(parse_query(query)[1])
     except ValueError:
-        words_arm = nothing
+        asked = False
+    words_arm = kept((index() if callable(index) else index).search(query).withColumn("id", F.col("id").cast(dict(sources.dtypes)["id"]))) if asked else nothing
     held = vectors.join(sources.select("id"), "id", "left_semi")  # a vector without its chunk is no hit
     vector_arm = vector_search(kept(held), vector, size) if vector else nothing
     ranks = [ranked(arm.withColumn("score", F.round("score", 9)), size) for arm in (words_arm, vector_arm)]
     fused = written(rrf(*ranks).orderBy(F.desc("score"), "id").limit(size), "candidates")  # size rows
     label = source_label(F.col("title"), F.col("origin"), F.col("id"))
-    rows = sources.join(F.broadcast(fused), "id", "right")
+    rows = fused.join(sources.join(F.broadcast(fused.select("id")), "id", "left_semi"), "id", "left")  # texts of candidates alone go on
     rows = rows.join(F.broadcast(collections.select(F.col("id").alias("collection"), "name")), "collection", "left")  # a row for each collection
     rows = rows.select("id", F.coalesce("name", "collection").alias("collection"), label.alias("source"), "title", "content", "score")
     if rerank:

@@ -52,3 +52,13 @@ def test_search_many_fuses_both_arms(spark):
         by.setdefault(r.query_id, []).append(r.id)
     assert set(by) == {1, 2, 3, 4, 7, 8, 9} and all(len(ids) == 2 for ids in by.values())
     assert by[8][0] == 9 and set(by[2]) <= {1, 6, 7, 8} and set(by[1]) <= {1, 2, 3, 8}
+
+
+def test_a_query_without_words_asks_no_index(spark):
+    rows = spark.createDataFrame([(i, "c", "t", "o", f"text {i}") for i in range(6)], "id long, collection string, title string, origin string, content string")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, vector array<double>")
+    names = spark.createDataFrame([("c", "C")], "id string, name string")
+    asked = []
+    out = search.hybrid_search(lambda: asked.append(1), vectors, '(open OR "phrase', [1.0, 0.0], rows, names, 3).collect()
+    assert not asked and [r.id for r in out] == [5, 4, 3] and {r.collection for r in out} == {"C"} and [r.content for r in out] == ["text 5", "text 4", "text 3"]
+    assert [r.id for r in search.hybrid_search(lambda: asked.append(1), vectors, "", [1.0, 0.0], rows, names, 1).collect()] == [5] and not asked
