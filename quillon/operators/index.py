@@ -19,6 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,25 +37,155 @@ _TOKEN = re.compile(r'"([^"]*)"|([()])|([^\s()"]+)')
 _BLOCKS = "term string, first bigint, last bigint, n bigint, cf bigint, tf_max bigint, len_min bigint, offsets array<bigint>, tfs array<bigint>, lens array<bigint>, at array<array<int>>"
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of postings (term, num, len, tf, at), sorted by term and num."""
+#: Postings as they go to their shard: n in a row, as the distances of their numbers, counts, lengths and distances of their places,
+#: in numbers of as many bytes as they need.
+_PACKED = "term string, first bigint, n int, data binary"
+#: Words that are sorted at a time, and chunks whose numbers lie so close that distances between them are short integers.
+SLAB, NEAR = 1_000_000, 30
+
+
+def _cuts(rows: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of rows that hold ``most`` elements together, or one row; rows says how many each holds."""
+    ends = np.cumsum(rows)
+    out, at = [], 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        out.append((at, to))
+        at = to
+    return out
+
+
+def _gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs of ``size`` elements that begin at ``start``, one run after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _sorted_blocks(code: np.ndarray, num: np.ndarray, size: np.ndarray, tf: np.ndarray, places: np.ndarray):
+    """Postings in the order of term and number, and where their blocks begin and end."""
+    order = np.lexsort((num, code))
+    if not (order == np.arange(len(order))).all():
+        places = places[_gathered((np.cumsum(tf) - tf)[order], tf[order])]
+        code, num, size, tf = code[order], num[order], size[order], tf[order]
+    run = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(num >> NEAR, prepend=-1) != 0))
+    within = np.arange(len(num)) - np.repeat(run, np.diff(np.append(run, len(num))))
+    start = np.flatnonzero(within % BLOCK == 0)
+    return code, num, size, tf, places, start, np.append(start[1:], len(num))
+
+
+def _to_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in bytes of seven bits, of which all but the last have the eighth set, and how many bytes each has."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 9):
+        more = values >= 1 << 7 * k
+        if not more.any():
+            break
+        size += more
+    at, out = np.cumsum(size) - size, np.empty(size.sum(), np.uint8)
+    for k in range(size.max(initial=0)):
+        held = size > k
+        out[at[held] + k] = (values[held] >> 7 * k & 127) | np.where(size[held] > k + 1, 128, 0)
+    return out, size
+
+
+def _from_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Such numbers, and where each ends."""
+    stop = np.flatnonzero(raw < 128) + 1
+    start = np.append(0, stop[:-1])
+    nth = np.arange(len(raw)) - np.repeat(start, stop - start)
+    return np.add.reduceat((raw & 127).astype(np.int64) << 7 * nth, start), stop
+
+
+def _distances(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Distances to the value before; runs begin at ``start`` with their first value."""
+    out = np.diff(values, prepend=0)
+    out[start] = values[start]
+    return out
+
+
+def _sums(distances: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Values of runs of distances."""
+    total = np.cumsum(distances)
+    start = np.cumsum(size) - size
+    return total - np.repeat(total[start] - distances[start], size)
+
+
+def _packed(terms: pa.Array, code: np.ndarray, num: np.ndarray, size: np.ndarray, tf: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    code, num, size, tf, places, start, stop = _sorted_blocks(code, num, size, tf, places)
+    n, held = stop - start, np.add.reduceat(tf, start)
+    base = np.cumsum(3 * n + held) - (3 * n + held)
+    values = np.empty(len(num) * 3 + len(places), np.int64)
+    for shift, x in enumerate((_distances(num - np.repeat(num[start], n), start), tf, size)):
+        values[_gathered(base + shift * n, n)] = x
+    values[_gathered(base + 3 * n, held)] = _distances(places, np.cumsum(tf) - tf)
+    raw, width = _to_bytes(values)
+    cut = pa.array(np.append(0, np.cumsum(np.add.reduceat(width, base))), pa.int32())
+    data = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, cut.buffers()[1], pa.py_buffer(raw.tobytes())])
+    return pa.record_batch([terms.take(pa.array(code[start])), pa.array(num[start]), pa.array(n, pa.int32()), data], ["term", "first", "n", "data"])
+
+
+def _unpacked(first: np.ndarray, n: np.ndarray, data: pa.BinaryArray) -> tuple[np.ndarray, ...]:
+    """(num, len, tf, places) of rows of packed postings."""
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    values, stop = _from_bytes(np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    base = np.append(0, np.searchsorted(stop, ends[1:] - ends[0], "right"))
+    base, held = base[:-1], np.diff(base) - 3 * n
+    offsets, tf, size = (values[_gathered(base + shift * n, n)] for shift in range(3))
+    return np.repeat(first, n) + _sums(offsets, n), size, tf, _sums(values[_gathered(base + 3 * n, held)], tf)
+
+
+def _postings_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the postings of chunks (num, w): words are counted where their chunk is."""
+    for whole in batches:
+        for at, to in _cuts(np.asarray(pc.list_value_length(whole.column("w"))), SLAB):
+            batch = whole.slice(at, to - at)
+            lists = batch.column("w")
+            term, sizes, nums = lists.flatten().dictionary_encode(), np.asarray(pc.list_value_length(lists)).astype(np.int64), np.asarray(batch.column("num"))
+            if not len(term):
+                continue
+            row, pos = np.repeat(np.arange(len(batch)), sizes), _gathered(np.zeros(len(batch), np.int64), sizes)
+            key = np.asarray(term.indices).astype(np.int64) * len(batch) + row
+            order = np.argsort(key, kind="stable")
+            key, pos = key[order], pos[order]
+            start = np.flatnonzero(np.diff(key, prepend=-1) != 0)
+            code, row = np.divmod(key[start], len(batch))
+            yield _packed(term.dictionary, code, nums[row], sizes[row], np.diff(np.append(start, len(key))), pos)
+
+
+def _postings_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings (term, num, len, tf, at)."""
     for batch in batches:
-        n = len(batch)
-        if not n:
-            continue
-        term = batch.column("term").dictionary_encode()
-        code, num, size, tf = np.asarray(term.indices), *(np.asarray(batch.column(c)) for c in ("num", "len", "tf"))
-        run = np.flatnonzero(np.diff(code, prepend=-1) != 0)
-        within = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
-        start = np.flatnonzero(within % BLOCK == 0)
-        stop = np.append(start[1:], n)
-        cut = pa.array(np.append(start, n), pa.int32())
-        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (num - np.repeat(num[start], stop - start), tf, size)]
-        columns = [
-            batch.column("term").take(pa.array(start)), pa.array(num[start]), pa.array(num[stop - 1]), pa.array(stop - start), pa.array(np.add.reduceat(tf, start)),
-            pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(size, start)), *lists, pa.ListArray.from_arrays(cut, batch.column("at")),
-        ]
-        yield pa.record_batch(columns, ["term", "first", "last", "n", "cf", "tf_max", "len_min", "offsets", "tfs", "lens", "at"])
+        if len(batch):
+            term = batch.column("term").dictionary_encode()
+            num, size, tf = (np.asarray(batch.column(c)) for c in ("num", "len", "tf"))
+            yield _packed(term.dictionary, np.asarray(term.indices).astype(np.int64), num, size, tf, np.asarray(batch.column("at").flatten()))
+
+
+def _blocks_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (term, first, offsets, tfs, lens, places) as packed postings."""
+    for whole in batches:
+        for at, to in _cuts(np.asarray(pc.list_value_length(whole.column("places"))), SLAB):
+            batch = whole.slice(at, to - at)
+            term, n = batch.column("term").dictionary_encode(), np.asarray(pc.list_value_length(batch.column("offsets"))).astype(np.int64)
+            offsets, tf, size, places = (np.asarray(batch.column(c).flatten()).astype(np.int64) for c in ("offsets", "tfs", "lens", "places"))
+            yield _packed(term.dictionary, np.repeat(np.asarray(term.indices).astype(np.int64), n), np.repeat(np.asarray(batch.column("first")), n) + offsets, size, tf, places)
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of BLOCK postings from packed ones that are sorted by term and first chunk."""
+    for whole in batches:
+        for at, to in _cuts(np.asarray(pc.binary_length(whole.column("data"))), 4 * SLAB):
+            batch = whole.slice(at, to - at)
+            term, n = batch.column("term").dictionary_encode(), np.asarray(batch.column("n")).astype(np.int64)
+            num, size, tf, places = _unpacked(np.asarray(batch.column("first")), n, batch.column("data"))
+            code, num, size, tf, places, start, stop = _sorted_blocks(np.repeat(np.asarray(term.indices).astype(np.int64), n), num, size, tf, places)
+            cut = pa.array(np.append(start, len(num)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (num - np.repeat(num[start], stop - start), tf, size)]
+            each = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf)), pa.int32()), pa.array(places, pa.int32()))
+            columns = [
+                term.dictionary.take(pa.array(code[start])), pa.array(num[start]), pa.array(num[stop - 1]), pa.array(stop - start), pa.array(np.add.reduceat(tf, start)),
+                pa.array(np.maximum.reduceat(tf, start)), pa.array(np.minimum.reduceat(size, start)), *lists, pa.ListArray.from_arrays(cut, each),
+            ]
+            yield pa.record_batch(columns, ["term", "first", "last", "n", "cf", "tf_max", "len_min", "offsets", "tfs", "lens", "at"])
 
 
 class SearchIndex:
@@ -96,30 +227,30 @@ class SearchIndex:
 
     def _with_segment(self, state: dict, chunks: DataFrame) -> dict:
         """The state with one more segment of chunks, whose numbers begin where the others' end."""
-        split = chunks.select(F.col("id").cast("string").alias("id"), words(F.col("content")).alias("w")).withColumn("seq", F.monotonically_increasing_id())
-        split = written(split.withColumns({"part": F.shiftright("seq", 33), "nth": F.col("seq") % (1 << 33)}).drop("seq"), "split")
+        split = chunks.select(F.col("id").cast("string").alias("id"), F.explode(F.array(words(F.col("content")))).alias("w")).withColumn("seq", F.monotonically_increasing_id())
+        split = split.select("id", "w", F.size("w").cast("bigint").alias("len"), F.shiftright("seq", 33).alias("part"), (F.col("seq") % (1 << 33)).alias("nth"))
+        split = written(split, "split")
         counts = dict(split.groupBy("part").count().collect())  # a row for each partition
         if not counts:
             return state
         first = {p: state["next"] + sum(n for q, n in counts.items() if q < p) for p in counts}
         shift = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
-        numbered = split.withColumns({"num": shift[F.col("part")] + F.col("nth"), "len": F.size("w").cast("bigint")})
-        each = numbered.select("num", "len", F.posexplode("w").alias("pos", "term"))
-        postings = each.groupBy("term", "num", "len").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("at"))
-        segment = self._write(postings, numbered.select("num", "id", "len"))
+        numbered = split.withColumn("num", shift[F.col("part")] + F.col("nth"))
+        segment = self._write(numbered.select("num", "w").mapInArrow(_postings_of_words, _PACKED), numbered.select("num", "id", "len"))
         return state | {"segments": [*state["segments"], segment], "next": state["next"] + sum(counts.values())}
 
-    def _write(self, postings: DataFrame, docs: DataFrame) -> dict:
-        """A segment of postings (term, num, len, tf, at) and docs (num, id, len)."""
+    def _write(self, packed: DataFrame, docs: DataFrame) -> dict:
+        """A segment of packed postings and docs (num, id, len). Postings go to their shard once, many in a row."""
         name = f"segment-{uuid.uuid4().hex}"
         path = f"{self.root}/{name}"
         docs.write.parquet(f"{path}/docs")
-        blocks = postings.select("term", "num", "len", "tf", "at").repartitionByRange(*([self.shards] if self.shards else []), "term", "num").sortWithinPartitions("term", "num").mapInArrow(_blocked, _BLOCKS)
+        blocks = packed.repartitionByRange(*([self.shards] if self.shards else []), "term", "first").sortWithinPartitions("term", "first").mapInArrow(_blocked, _BLOCKS)
         blocks = blocks.withColumn("shard", F.spark_partition_id()).sortWithinPartitions("shard", "term", "first")
         blocks.write.partitionBy("shard").parquet(f"{path}/blocks")
-        known = self.spark.read.schema(_BLOCKS + ", shard int").parquet(f"{path}/blocks").groupBy("shard", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"))
+        # A row for each block: a dictionary's readers sum up, and nothing is shuffled for it.
+        known = self._read(name, "blocks").select("shard", "term", F.col("n").alias("df"), "cf")
         front = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}  # sorted strings are stored by what differs from the one before
-        known.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.options(**front).partitionBy("shard").parquet(f"{path}/terms")
+        known.sortWithinPartitions("shard", "term").write.options(**front).partitionBy("shard").parquet(f"{path}/terms")
         ranges = self._read(name, "terms").groupBy("shard").agg(F.min("term"), F.max("term")).collect()  # a row for each shard
         size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
         return {"name": name, "docs": size[0], "words": size[1], "shards": sorted([list(r) for r in ranges])}
@@ -176,7 +307,7 @@ class SearchIndex:
         names = {s["name"] for s in merged}
         part = state | {"segments": merged}
         kept = [s for s in state["segments"] if s["name"] not in names]
-        segment = self._write(self._postings(part, self._blocks(part)), self._docs(part))
+        segment = self._write(self._packed(part), self._docs(part))
         # Of chunks that went, those of other segments are still to be named.
         left = {"gone": [], "gone_docs": 0, "gone_words": 0}
         if state["gone"] and kept:
@@ -216,6 +347,13 @@ class SearchIndex:
         rows = each.select("term", (F.col("first") + F.col("offsets")).alias("num"), F.col("lens").alias("len"), F.col("tfs").alias("tf"), *(["at"] if places else []))
         return self._without_gone(state, rows)
 
+    def _packed(self, state: dict) -> DataFrame:
+        """Packed postings of all segments, without chunks that went."""
+        blocks = self._blocks(state)
+        if state["gone"]:
+            return self._postings(state, blocks).mapInArrow(_postings_packed, _PACKED)
+        return blocks.select("term", "first", "offsets", "tfs", "lens", F.flatten("at").alias("places")).mapInArrow(_blocks_packed, _PACKED)
+
     def postings(self, terms: list[str] | None = None, prefix: str | None = None) -> DataFrame:
         """(term, id, tf, len, at) of all terms, of some, or of those with a prefix."""
         state = self._state()

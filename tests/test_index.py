@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,24 @@ def test_ties_of_the_best_go_by_id(spark, tmp_path):
     assert [r.id for r in index.top(["same", "words"], 12, every=True).collect()] == [str(i) for i in range(1, 13)]
     named = SearchIndex(spark, f"file://{tmp_path}/n").create(rows.select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "content"))
     assert [r.id for r in named.top(["here"], 3).collect()] == ["n1", "n10", "n11"]
+
+
+def test_postings_are_packed_where_their_chunks_are(monkeypatch):
+    r = np.random.default_rng(2)
+    values = np.concatenate([r.integers(0, 1 << k, 50) for k in (1, 7, 8, 14, 31, 55)])
+    raw, size = I._to_bytes(values)
+    back, stop = I._from_bytes(raw)
+    assert (back == values).all() and (stop == np.cumsum(size)).all()
+    texts = [["a", "b", "a"], [], ["b"] * 300, ["a"], *([["x", "a"]] * 400)]
+    nums = np.arange(len(texts)) * 3 + (1 << 31) - 600
+    for slab in (1_000_000, 100):  # texts longer than a slab too
+        monkeypatch.setattr(I, "SLAB", slab)
+        batch = pa.record_batch([pa.array(nums), pa.array(texts)], ["num", "w"])
+        packed = pa.Table.from_batches(list(I._postings_of_words(iter([batch])))).combine_chunks().sort_by([("term", "ascending"), ("first", "ascending")])
+        assert packed.num_rows < 60  # and not a row for each of 803 postings
+        got = {}
+        for b in I._blocked(iter(packed.to_batches())):
+            for x in b.to_pylist():
+                assert x["n"] <= I.BLOCK and x["cf"] == sum(x["tfs"]) and x["last"] == x["first"] + x["offsets"][-1]
+                got |= {(x["term"], x["first"] + o): (tf, n, at) for o, tf, n, at in zip(x["offsets"], x["tfs"], x["lens"], x["at"], strict=True)}
+        assert got == {(t, int(nums[i])): (w.count(t), len(w), [k for k, v in enumerate(w) if v == t]) for i, w in enumerate(texts) for t in set(w)}
