@@ -53,18 +53,40 @@ def bm25(chunks: DataFrame, terms: list[str], every: bool = True, k1: float = K1
 ROW_BLOCK, QUERY_BLOCK = 65_536, 2_048
 
 
+#: Queries, and rows, that one product in a task compares: what a task holds beside its blocks.
+QUERY_SLAB, ROW_SLAB = 256, 4096
+
+
+def _nearest(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k nearest of unit rows to each asked one. After the first rows only those go on that reach a query's k-th best."""
+    n = len(asked)
+    best_i, best_s = np.zeros((n, 0), np.int64), np.zeros((n, 0))
+    for at in range(0, len(ids), ROW_SLAB):
+        sims = np.round(asked @ rows[at : at + ROW_SLAB].T, 9)
+        sims[np.isnan(sims)] = -np.inf  # the last of all
+        low = best_s[:, -1] if best_s.shape[1] == k and k else np.full(n, -np.inf)
+        if k and np.isinf(low).all() and sims.shape[1] > k:
+            low = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+        r, c = np.nonzero(sims >= low[:, None])
+        row = np.concatenate([np.repeat(np.arange(n), best_s.shape[1]), r])
+        who, score = np.concatenate([best_i.ravel(), ids[at + c]]), np.concatenate([best_s.ravel(), sims[r, c]])
+        order = np.lexsort((who, -score, row))
+        row = row[order]
+        first = np.searchsorted(row, np.arange(n))
+        order = order[np.arange(len(row)) - first[row] < k]
+        best_i, best_s = who[order].reshape(n, -1), score[order].reshape(n, -1)
+    best_s[np.isneginf(best_s)] = np.nan
+    return best_i, best_s
+
+
 def nearest(k: int):
     """A comparison of rows with queries (id, vector), as Arrow tables: the k rows of largest cosine for each query."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         matrices = [_unit(_matrix(t["vector"])) if len(t) else np.zeros((0, 1)) for t in (left, right)]
         ids, qids = np.asarray(left["id"]), np.asarray(right["id"])
-        best_i, best_s = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
-        for at in range(0, len(ids), 4096) if len(qids) else ():
-            sims = np.concatenate([best_s, np.round(matrices[1] @ matrices[0][at : at + 4096].T, 9)], 1)
-            who = np.concatenate([best_i, np.broadcast_to(ids[at : at + 4096], (len(qids), len(ids[at : at + 4096])))], 1)
-            order = np.lexsort((who, -sims), axis=1)[:, :k]
-            best_s, best_i = np.take_along_axis(sims, order, 1), np.take_along_axis(who, order, 1)
+        found = [_nearest(matrices[0], ids, matrices[1][at : at + QUERY_SLAB], k) for at in range(0, len(qids), QUERY_SLAB)]
+        best_i, best_s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros((0, 0), np.int64), np.zeros((0, 0)))
         return pa.table({"query_id": np.repeat(qids, best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
 
     return compare

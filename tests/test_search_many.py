@@ -1,5 +1,9 @@
 """Searches of many questions at once give what one search after another gives."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillon.functions.text import words_no_stop
@@ -62,3 +66,23 @@ def test_a_query_without_words_asks_no_index(spark):
     out = search.hybrid_search(lambda: asked.append(1), vectors, '(open OR "phrase', [1.0, 0.0], rows, names, 3).collect()
     assert not asked and [r.id for r in out] == [5, 4, 3] and {r.collection for r in out} == {"C"} and [r.content for r in out] == ["text 5", "text 4", "text 3"]
     assert [r.id for r in search.hybrid_search(lambda: asked.append(1), vectors, "", [1.0, 0.0], rows, names, 1).collect()] == [5] and not asked
+
+
+def test_a_task_of_a_vector_search_holds_little_beside_its_blocks():
+    r = np.random.default_rng(4)
+    rows, asked = r.integers(-3, 4, (6000, 4)).astype(float), r.integers(-3, 4, (2048, 4)).astype(float)  # many ties
+    as_table = lambda m: pa.table({"id": np.arange(len(m))[::-1] * 2, "vector": pa.array(list(m))})
+    tables = as_table(rows), as_table(asked)
+    tracemalloc.start()
+    got = search.nearest(7)(*tables)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    unit = [search._unit(m) for m in (rows, asked)]
+    sims, ids = np.round(unit[1] @ unit[0].T, 9), np.arange(6000)[::-1] * 2
+    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :7]
+    assert (got["id"].to_numpy().reshape(-1, 7) == ids[order]).all() and np.allclose(got["score"].to_numpy().reshape(-1, 7), np.take_along_axis(sims, order, 1))
+    odd = rows[:5].copy()
+    odd[1] = np.inf
+    few = search.nearest(7)(as_table(odd), as_table(asked[:2]))
+    assert few.num_rows == 10 and np.isnan(few["score"].to_numpy()).sum() == 2
