@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -105,9 +107,24 @@ def markdown_pieces(text: str, size: int = 1000, overlap: int = 100, tail: bool
     return out
 
 
+#: Bytes of text whose pieces a task holds at a time.
+SLAB = 1 << 22
+
+
+def _in_slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLAB bytes of text, or one row."""
+    for whole in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column("text")), 0), np.int64))
+        at = 0
+        while at < len(whole):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLAB, "right")))
+            yield whole.slice(at, to - at)
+            at = to
+
+
 def _chunked(sources: DataFrame, cut, **options) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_slabs(batches):
             pieces = pa.array([cut(x.as_py() or "", **options) for x in batch.column("text")], _ARROW)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pieces], names=["id", "pieces"])
 
@@ -134,7 +151,7 @@ def chunk_each(sources: DataFrame) -> DataFrame:
     kind, cuts = dict(sources.dtypes)["id"], {"markdown": markdown_pieces}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_slabs(batches):
             names = batch.column("strategy").to_pylist()
             pieces = pa.array([cuts.get(s, paragraph_pieces)(x.as_py() or "") for s, x in zip(names, batch.column("text"), strict=True)], _ARROW)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pieces], names=["id", "pieces"])

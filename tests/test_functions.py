@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
@@ -136,3 +137,11 @@ def test_files(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(f"text of {name}")
     assert {r.path.rsplit("/", 1)[1] for r in files(spark, str(tmp_path)).collect()} == {"a.md", "c.md"}
+
+
+def test_chunkers_hold_the_pieces_of_a_few_texts():
+    texts = ["x" * n for n in (10, 3 << 20, 2 << 20, 5 << 20, 0, 7)] + [None] + ["y" * 1000] * 9000
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    parts = list(chunking._in_slabs(iter([batch])))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch]) and len(parts) >= 5
+    assert all(len(p) == 1 or sum(len(t or "") for t in p["text"].to_pylist()) <= chunking.SLAB for p in parts)
