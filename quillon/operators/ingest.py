@@ -81,16 +81,15 @@ def ingest(
     (source_id, position, model, vector) of its chunks go; ``embedder`` takes new chunks (id, content) to (id, vector).
     """
     text = F.coalesce("text", F.lit(""))
-    staged = written(data.select(*_DATA).withColumn("_seq", F.monotonically_increasing_id()), "fetched")
-    last = staged.groupBy("origin").agg(F.max("_seq").alias("_seq"))  # numbers, not texts
-    new = staged.join(last, ["origin", "_seq"], "left_semi")
-    new = new.select(F.sha2("origin", 256).alias("id"), "origin", F.md5(text).alias("origin_hash"), "source_type", "title", text.alias("text"), "collection")
+    staged = data.select(F.sha2("origin", 256).alias("id"), "origin", F.md5(text).alias("origin_hash"), "source_type", "title", text.alias("text"), "collection")
+    staged = written(staged.withColumn("_seq", F.monotonically_increasing_id()), "fetched")
+    # What becomes of each origin is settled by numbers and hashes; of texts, those that are new move once.
+    last = staged.filter("origin IS NOT NULL").groupBy("origin").agg(F.max(F.struct("_seq", "id", "origin_hash")).alias("l")).select("l.id", "origin", "l.origin_hash", "l._seq")
     kept = old_sources.join(removed.select("origin"), "origin", "left_anti") if removed is not None else old_sources
     state = kept.select("origin", F.col("origin_hash").alias("old_hash"), F.lit(True).alias("known"))
-    compared = new.join(state, "origin", "left")
     status = F.when(F.col("known").isNull(), "added").when(F.col("old_hash") == F.col("origin_hash"), "unchanged").otherwise("updated")
-    compared = compared.withColumn("status", status).drop("old_hash", "known")
-    fresh = compared.filter("status != 'unchanged'").drop("status")
+    compared = written(last.join(state, "origin", "left").select("id", "origin", "_seq", status.alias("status")), "compared")
+    fresh = staged.join(compared.filter("status != 'unchanged'").select("_seq"), "_seq", "left_semi").drop("_seq")
     stay = kept.join(fresh.select("origin"), "origin", "left_anti")
     sources = stay.select(*fresh.columns).unionByName(fresh)
     gone = old_sources.select("id").join(stay.select("id"), "id", "left_anti")
@@ -132,8 +131,12 @@ def keep_index(index: SearchIndex, old_chunks: DataFrame, done: Ingested) -> Non
 def summary(status: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: sources added, updated and left, and the chunks of those that are new."""
     fresh = chunks.join(status.filter("status != 'unchanged'").select(F.col("id").alias("source_id")), "source_id", "left_semi").agg(F.count(F.lit(1)).alias("chunks"))
-    counts = status.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "updated", "unchanged")])
-    return counts.join(F.broadcast(fresh))  # one row each
+    return status_counts(status).join(F.broadcast(fresh))  # one row each
+
+
+def status_counts(status: DataFrame) -> DataFrame:
+    """One row: sources added, updated and left."""
+    return status.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("added", "updated", "unchanged")])
 
 
 def chunk_counts(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

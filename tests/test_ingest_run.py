@@ -64,3 +64,17 @@ def test_cuts_keep_replacement_characters(spark):
 def test_batches_without_words(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "... !"), (4, "")], "id int, content string").repartition(4)
     assert all(not any(r.vector) and len(r.vector) == 512 for r in embed_hash(rows).collect())
+
+
+def test_what_becomes_of_texts_is_settled_without_them(spark):
+    """Counts of a run read no text beyond its hash, and pieces are not cut for them."""
+    rows = spark.createDataFrame([(f"o{i}", "t", "text " * 50 + str(i), "c") for i in range(20)] + [("o3", "t", "later", "c"), (None, "t", "nameless", "c")], "origin string, title string, text string, collection string")
+    data = ingest.fetched(rows)
+    none = spark.createDataFrame([], "id string, origin string, origin_hash string, source_type string, title string, text string, collection string")
+    chunks = spark.createDataFrame([], "source_id string, position int, content string, content_hash string")
+    first = ingest.ingest(data, none, chunks)
+    again = ingest.ingest(data.withColumn("text", F.when(F.col("origin") == "o5", "new").otherwise(F.col("text"))), first.sources, first.chunks)
+    assert tuple(ingest.status_counts(again.status).first()) == (0, 1, 19)
+    assert {r.origin: r.text for r in again.sources.collect()} == {f"o{i}": "later" if i == 3 else "new" if i == 5 else "text " * 50 + str(i) for i in range(20)}
+    plan = again.status._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "MapInArrow" not in plan
