@@ -49,31 +49,109 @@ def bm25(chunks: DataFrame, terms: list[str], every: bool = True, k1: float = K1
     return (out.filter(F.col("terms") == len(set(terms))) if every else out).drop("terms")
 
 
-#: Rows, and queries, that one task of a vector search compares.
-ROW_BLOCK, QUERY_BLOCK = 65_536, 2_048
+#: Rows, and queries, that one task of a vector search compares. Rows are copied to each block of queries, so these are large;
+#: few rows make PARTS blocks all the same, of LEAST rows each.
+ROW_BLOCK, QUERY_BLOCK, PARTS, LEAST = 65_536, 32_768, 8, 4_096
 
 
 #: Queries, and rows, that one product in a task compares: what a task holds beside its blocks.
 QUERY_SLAB, ROW_SLAB = 256, 4096
-
-
-def _nearest(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k nearest of unit rows to each asked one. After the first rows only those go on that reach a query's k-th best."""
-    n = len(asked)
+#: Leading components of the bounds, rows and queries of the sample that a task fits them on, cells that it sorts both by, and what
+#: rounding in single precision may add to a bound and to a product.
+LEAD, SAMPLE, CELLS, MARGIN = 128, 1024, 16, 1e-4
+
+
+class _Sorted:
+    """Vectors in an order in which alike ones stand together, as units in single precision, with their bounds and their cells."""
+
+    def __init__(self, raw: np.ndarray, ids: np.ndarray, basis: np.ndarray, pivots: np.ndarray):
+        lead = np.empty((len(raw), basis.shape[1] + 1), np.float32)
+        for at in range(0, len(raw), 1024):
+            unit = _unit(raw[at : at + 1024].astype(np.float64))
+            part = unit @ basis
+            rest = np.einsum("ij,ij->i", unit, unit) - np.einsum("ij,ij->i", part, part)
+            lead[at : at + 1024, :-1], lead[at : at + 1024, -1] = part, np.sqrt(rest.clip(0))  # a product of two is a bound
+        far = lead[:, :-1] @ pivots.T
+        near = np.nan_to_num(far, nan=-2).argmax(1)
+        order = np.lexsort((-far[np.arange(len(raw)), near], near))
+        self.raw, self.ids, self.lead, self.back = raw[order], ids[order], lead[order], np.argsort(order)
+        self.size = np.concatenate([np.linalg.norm(self.raw[k : k + 1024].astype(np.float64), axis=1) for k in range(0, len(raw), 1024)])
+        self.size[self.size == 0] = 1.0  # zero vectors stay zeros
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def single(self, at) -> np.ndarray:
+        """Units in single precision of some of the rows."""
+        return self.raw[at].astype(np.float32, copy=False) / self.size[at, None].astype(np.float32)
+
+
+def _cosines(a: _Sorted, b: _Sorted, i: np.ndarray, j: np.ndarray, kind: type) -> np.ndarray:
+    """Cosines of pairs of rows, in single or in double precision."""
+    dots = [np.einsum("ij,ij->i", a.raw[i[x : x + 2048]].astype(kind, copy=False), b.raw[j[x : x + 2048]].astype(kind, copy=False)) for x in range(0, len(i), 2048)]
+    return np.concatenate([*dots, np.zeros(0, kind)]) / (a.size[i] * b.size[j])
+
+
+def _fitted(rows: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading directions of both sides' vectors, and pivots among the leading parts, from a sample of each."""
+    some = np.concatenate([_unit(m[:: max(1, len(m) // SAMPLE)][:SAMPLE].astype(np.float64)) for m in (rows, asked)])
+    some = some[np.isfinite(some).all(1)]
+    basis = np.linalg.eigh(some.T @ some)[1][:, ::-1][:, :LEAD].copy()
+    part = some @ basis
+    pivots = part[:: max(1, len(part) // CELLS)][:CELLS].copy()
+    for _ in range(4):
+        near = (part @ pivots.T).argmax(1) if len(part) else np.zeros(0, int)
+        for k in np.unique(near):
+            mean = part[near == k].mean(0)
+            pivots[k] = mean / max(np.linalg.norm(mean), 1e-9)
+    return basis, pivots.astype(np.float32) if len(pivots) else np.zeros((1, basis.shape[1]), np.float32)
+
+
+def _nearest(rows: _Sorted, asked: _Sorted, at: int, k: int, slabs: list[tuple[int, np.ndarray, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k nearest rows to each query of a slab.
+
+    Slabs of rows come nearest first. Of a later one only those queries go on whose k-th best it may reach as a whole, and of
+    their pairs those that bounds let reach it, first in single and then, as what counts, in double precision.
+    """
+    to = min(at + QUERY_SLAB, len(asked))
+    n, lead, whole = to - at, asked.lead[at:to], asked.single(slice(at, to))
     best_i, best_s = np.zeros((n, 0), np.int64), np.zeros((n, 0))
-    for at in range(0, len(ids), ROW_SLAB):
-        sims = np.round(asked @ rows[at : at + ROW_SLAB].T, 9)
-        sims[np.isnan(sims)] = -np.inf  # the last of all
-        low = best_s[:, -1] if best_s.shape[1] == k and k else np.full(n, -np.inf)
-        if k and np.isinf(low).all() and sims.shape[1] > k:
-            low = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-        r, c = np.nonzero(sims >= low[:, None])
+    size = np.linalg.norm(lead[:, :-1], axis=1)
+    reach = {first: lead[:, :-1] @ centre + size * away + lead[:, -1] * rest for first, centre, away, rest in slabs}
+    for first in sorted(reach, key=lambda x: -np.nan_to_num(reach[x], nan=-9).mean()):
+        end = min(first + ROW_SLAB, len(rows))
+        low = best_s[:, -1] if best_s.shape[1] == k else np.full(n, -np.inf)
+        bounded = ~np.isneginf(low)  # without k finite scores nothing bounds a query
+        on = np.flatnonzero(~bounded | (reach[first] >= low - MARGIN))
+        if not len(on):
+            continue
+        open_ = np.ones((len(on), end - first), bool)
+        known = bounded[on]
+        open_[known] = lead[on[known]] @ rows.lead[first:end].T >= (low[on[known], None] - MARGIN).astype(np.float32)
+        many = np.count_nonzero(open_, axis=1) * 16 > end - first
+        r, c = np.nonzero(open_ & ~many[:, None])
+        near = _cosines(asked, rows, at + on[r], first + c, np.float32) >= low[on[r]] - MARGIN
+        r, c = on[r[near]], c[near]
+        if many.any():  # one product is cheaper than so many single ones
+            product = whole[on[many]] @ rows.single(slice(first, end)).T
+            product[np.isnan(product)] = -np.inf
+            floor = low[on[many]]
+            if end - first > k:
+                floor = np.maximum(floor, np.partition(product, end - first - k, axis=1)[:, end - first - k] - MARGIN)
+            x, y = np.nonzero(product >= (floor[:, None] - MARGIN).astype(np.float32))
+            r, c = np.concatenate([r, on[many][x]]), np.concatenate([c, y])
+        score = np.round(_cosines(asked, rows, at + r, first + c, np.float64), 9)
+        score[np.isnan(score)] = -np.inf  # the last of all
+        keep = score >= low[r]
+        r, c, score = r[keep], c[keep], score[keep]
+        if not len(r):
+            continue
         row = np.concatenate([np.repeat(np.arange(n), best_s.shape[1]), r])
-        who, score = np.concatenate([best_i.ravel(), ids[at + c]]), np.concatenate([best_s.ravel(), sims[r, c]])
+        who, score = np.concatenate([best_i.ravel(), rows.ids[first + c]]), np.concatenate([best_s.ravel(), score])
         order = np.lexsort((who, -score, row))
         row = row[order]
-        first = np.searchsorted(row, np.arange(n))
-        order = order[np.arange(len(row)) - first[row] < k]
+        start = np.searchsorted(row, np.arange(n))
+        order = order[np.arange(len(row)) - start[row] < k]
         best_i, best_s = who[order].reshape(n, -1), score[order].reshape(n, -1)
     best_s[np.isneginf(best_s)] = np.nan
     return best_i, best_s
@@ -83,11 +161,22 @@ def nearest(k: int):
     """A comparison of rows with queries (id, vector), as Arrow tables: the k rows of largest cosine for each query."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        matrices = [_unit(_matrix(t["vector"])) if len(t) else np.zeros((0, 1)) for t in (left, right)]
-        ids, qids = np.asarray(left["id"]), np.asarray(right["id"])
-        found = [_nearest(matrices[0], ids, matrices[1][at : at + QUERY_SLAB], k) for at in range(0, len(qids), QUERY_SLAB)]
-        best_i, best_s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros((0, 0), np.int64), np.zeros((0, 0)))
-        return pa.table({"query_id": np.repeat(qids, best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
+        nothing = pa.table({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if not len(left) or not len(right) or k < 1:
+            return nothing
+        with np.errstate(invalid="ignore"):
+            raw = [_raw(t["vector"]) for t in (left, right)]
+            fitted = _fitted(*raw)
+            rows, asked = (_Sorted(m, np.asarray(t["id"]), *fitted) for m, t in zip(raw, (left, right), strict=True))
+            del raw
+            slabs = []
+            for first in range(0, len(rows), ROW_SLAB):
+                part = rows.lead[first : first + ROW_SLAB]
+                centre = part[:, :-1].mean(0)
+                slabs.append((first, centre, float(np.linalg.norm(part[:, :-1] - centre, axis=1).max()), float(part[:, -1].max())))
+            found = [_nearest(rows, asked, at, k, slabs) for at in range(0, len(asked), QUERY_SLAB)]
+        best_i, best_s = (np.concatenate(x)[asked.back] for x in zip(*found, strict=True))
+        return pa.table({"query_id": np.repeat(asked.ids[asked.back], best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
 
     return compare
 
@@ -96,9 +185,12 @@ def vector_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): for each query the k rows with the largest cosine, ties by id.
 
     Queries and rows are dealt into blocks by a hash, and each task compares one block with one other and keeps k
-    rows for each of its queries. Nothing is broadcast, and a task's memory doesn't depend on the tables' sizes.
+    rows for each of its queries; bounds from leading components leave out most of the pairs, and those left are compared
+    in double precision. Nothing is broadcast, and a task's memory doesn't depend on the tables' sizes. Both tables are read twice.
     """
-    row_blocks, query_blocks = (max(1, -(-t.count() // n)) for t, n in ((rows, ROW_BLOCK), (queries, QUERY_BLOCK)))
+    n_rows, n_queries = rows.count(), queries.count()
+    row_blocks = max(1, -(-n_rows // min(ROW_BLOCK, max(LEAST, -(-n_rows // PARTS)))))
+    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
 
     def dealt(table: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
         table = table.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(own))
@@ -148,8 +240,10 @@ def hybrid_search(index, vectors: DataFrame, query: str, vector: list[float] | N
     return rows.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
-    return np.asarray(vectors.combine_chunks().flatten()).astype(np.float64).reshape(len(vectors), -1)
+def _raw(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as they came, one row each."""
+    flat = np.concatenate([np.asarray(c.flatten()) for c in vectors.chunks])
+    return flat.reshape(len(vectors), -1)
 
 
 def nearest_mean(rows: DataFrame, means: DataFrame, key: str, most: int = 10_000) -> DataFrame:
@@ -221,10 +315,12 @@ def all_words_top(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K
 
     Postings of the questions' words alone go on. Candidates of a question come from its rarest word, and its
     other words are looked up for them, so common words are never joined with questions as a whole. Questions
-    that aren't well formed, or have no words, find nothing.
+    that aren't well formed, or have no words, find nothing; if all are such, no chunk is read.
     """
     plain = questions.filter(F.col("text").rlike(_PLAIN) & ~F.col("text").rlike(_OPERATORS))
-    asked = plain.select("query_id", F.array_distinct(words(F.col("text"))).alias("w"))
+    asked = plain.select("query_id", F.array_distinct(words(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    if asked.isEmpty():
+        return chunks.sparkSession.createDataFrame([], f"query_id {dict(questions.dtypes)['query_id']}, id {dict(chunks.dtypes)['id']}, score double, rank int")
     terms = asked.select("query_id", F.size("w").alias("n_terms"), F.explode("w").alias("term"))
     lens = chunks.select("id", F.explode(F.array(words(F.col("content")))).alias("w"))
     stats = lens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len"))

@@ -86,3 +86,29 @@ def test_a_task_of_a_vector_search_holds_little_beside_its_blocks():
     odd[1] = np.inf
     few = search.nearest(7)(as_table(odd), as_table(asked[:2]))
     assert few.num_rows == 10 and np.isnan(few["score"].to_numpy()).sum() == 2
+
+
+def test_bounds_leave_out_pairs_and_no_hit(monkeypatch):
+    """Few pairs are compared in double precision, hits are those of all pairs, and rows are copied to few blocks of queries."""
+    r = np.random.default_rng(9)
+    base = np.abs(r.normal(size=(4, 200)))
+    rows, asked = (base[r.integers(0, 4, n)] + r.normal(size=(n, 200)) * r.choice([0.1, 0.3, 0.9], (n, 1)) for n in (9000, 600))
+    rows[5], rows[6], asked[7] = 0, rows[8], 0
+    tables = [pa.table({"id": np.arange(len(m)) * 3, "vector": pa.array(list(m.astype(np.float32)))}) for m in (rows, asked)]
+    compared, cosines = [], search._cosines
+    monkeypatch.setattr(search, "_cosines", lambda a, b, i, j, kind: compared.append(len(i) * (kind is np.float64)) or cosines(a, b, i, j, kind))
+    got = search.nearest(9)(*tables)
+    unit = [search._unit(m.astype(np.float32).astype(np.float64)) for m in (rows, asked)]
+    sims, ids = np.round(unit[1] @ unit[0].T, 9), np.arange(9000) * 3
+    order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :9]
+    by = {q: (i, s) for q, i, s in zip(got["query_id"].to_numpy().reshape(-1, 9)[:, 0] // 3, got["id"].to_numpy().reshape(-1, 9), got["score"].to_numpy().reshape(-1, 9), strict=True)}
+    for q in range(600):
+        assert (by[q][0] == ids[order[q]]).all() and np.allclose(by[q][1], sims[q, order[q]], atol=2e-9)
+    assert sum(compared) < sims.size / 50
+    assert search.QUERY_BLOCK >= 32_768
+
+
+def test_questions_that_are_not_plain_read_no_chunk(spark):
+    chunks = spark.createDataFrame([(1, "x")], "id long, content string").withColumn("content", F.raise_error(F.lit("read")).cast("string"))
+    questions = spark.createDataFrame([(1, "is this plain?"), (2, "a AND b")], "query_id long, text string")
+    assert search.all_words_top(chunks, questions, 3).collect() == []
