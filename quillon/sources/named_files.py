@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
@@ -50,7 +51,7 @@ class NamedFilesWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         store, root = self._at(self.staged)
-        name, out, files = None, None, 0
+        name, out, files, made = None, None, 0, None
         mine = uuid.uuid4().hex
         for row in iterator:
             if row.path != name:
@@ -58,7 +59,9 @@ class NamedFilesWriter(DataSourceWriter):
                 name, files = row.path, files + 1
                 if name.startswith("/") or ".." in name.split("/"):
                     raise ValueError(f"{name} doesn't lie below the folder")
-                store.create_dir(f"{root}/{name}".rpartition("/")[0], recursive=True)
+                if (inside := f"{root}/{name}".rpartition("/")[0]) != made:
+                    store.create_dir(inside, recursive=True)
+                    made = inside
                 out = store.open_output_stream(f"{root}/{name}.{mine}")
             out.write((row.content or "").encode())
         self._end(store, out, root, name, mine)
@@ -85,3 +88,32 @@ class NamedFilesWriter(DataSourceWriter):
         store, root = self._at(self.staged)
         if store.get_file_info(root).type != fs.FileType.NotFound:
             store.delete_dir(root)
+
+
+def file_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files below a folder, relative to it. Executors list its folders, one task each; the driver sees none of the names."""
+    root = folder.rstrip("/")
+
+    def inside(path: str, recursive: bool) -> list[fs.FileInfo]:
+        store, at = NamedFilesWriter._at(f"{root}{path}")
+        return store.get_file_info(fs.FileSelector(at, recursive=recursive))
+
+    def relative(found: list[fs.FileInfo]) -> list[str]:
+        _, at = NamedFilesWriter._at(root)
+        return [x.path.removeprefix(at.rstrip("/")).removeprefix("/") for x in found]
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                found = inside("", False)
+                yield pa.record_batch([pa.array(relative(found), pa.string()), pa.array([x.type == fs.FileType.Directory for x in found], pa.bool_())], ["path", "more"])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, more in zip(batch.column("path").to_pylist(), batch.column("more").to_pylist(), strict=True):
+                names = relative([x for x in inside(f"/{path}", True) if x.type == fs.FileType.File]) if more else [path]
+                for at in range(0, len(names), 10_000):
+                    yield pa.record_batch([pa.array(names[at : at + 10_000], pa.string())], ["path"])
+
+    heads = spark.range(1).mapInArrow(top, "path string, more boolean")
+    return heads.repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(below, "path string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.exports import export_files
 from quillon.operators.models import extract_resumed
-from quillon.sources.named_files import NamedFiles
+from quillon.sources.named_files import NamedFiles, file_paths
 from quillon.sources.plugins import register
 
 
@@ -110,3 +110,13 @@ def test_extraction_goes_on(spark, tmp_path):
     first = {n for n in before if asked[n] == 1}
     assert len(before) >= 6 and len(first) >= 3  # the batches before the failure weren't asked again
     assert extract_resumed(stream(), f"file://{tmp_path}/out", "job1", extractor(True), 3).count() == 9
+
+
+def test_paths_below_a_folder_are_listed_by_executors(spark, tmp_path):
+    names = ["EXPORT.json", "a/INDEX.md", "a/x y.md", "b/ü#1%.md", "b/c/deep.md"]
+    for n in names:
+        (tmp_path / "out" / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "out" / n).write_text(n)
+    (tmp_path / "out/empty").mkdir()
+    found = file_paths(spark, f"file://{tmp_path}/out/")
+    assert sorted(r.path for r in found.collect()) == sorted(names) and found.inputFiles() == []
