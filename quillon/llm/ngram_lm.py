@@ -60,6 +60,35 @@ def decoded(codes: np.ndarray) -> np.ndarray:
     return codes.astype(np.float64) * (-LOWEST / 255)
 
 
+def ordered(keys: np.ndarray) -> np.ndarray:
+    """Places of unsigned 64-bit keys in ascending order, equal ones as they came: one sort of their leading bits with their places in the others."""
+    bits = np.uint64(max(1, len(keys).bit_length()))
+    packed = keys >> bits << bits
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= (np.uint64(1) << bits) - np.uint64(1)
+    rank = packed.astype(np.int64)
+    found = keys[rank]
+    if (found[1:] < found[:-1]).any():  # keys that differ in their last bits alone, which is rare for hashes
+        return np.argsort(keys, kind="stable")
+    return rank
+
+
+#: One, and the first bit, in each byte; and where the k-th set bit of a byte is, at 8 * byte + k.
+_EACH, _FIRST = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_SET = np.array([([i for i in range(8) if byte >> i & 1] + [0] * 8)[:8] for byte in range(256)], np.uint64).ravel()
+
+
+def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th (from 0) set bit of each 64-bit word, which has so many: its byte by sums of bytes, then in the byte."""
+    u = np.uint64
+    sums = words - (words >> u(1) & u(0x5555555555555555))
+    sums = (sums & u(0x3333333333333333)) + (sums >> u(2) & u(0x3333333333333333))
+    sums = (sums + (sums >> u(4)) & u(0x0F0F0F0F0F0F0F0F)) * _EACH  # byte i: set bits of bytes 0 to i
+    at = ((k * _EACH | _FIRST) - sums >> u(7) & _EACH) * _EACH >> u(56) << u(3)
+    return at + _SET[((words >> at & u(255)) << u(3)) + (k - (sums << u(8) >> at & u(255)))]
+
+
 class EliasFano:
     """A monotone sequence of n integers below 2^62 in about 2 + log2(universe / n) bits each."""
 
@@ -77,21 +106,19 @@ class EliasFano:
         at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros((int(at[-1]) + 66 if n else 64) // 64 * 64 + 64, np.uint8)
         bits[at] = 1
-        packed = np.zeros((n * low_bits + 63) // 8 + 16, np.uint8)
+        packed = np.zeros(((n * low_bits + 63) // 64 + 2) * 8, np.uint8)
         if low_bits:
             tight = np.concatenate([np.packbits((low[a : a + (1 << 16), None] >> np.arange(low_bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") for a in range(0, n, 1 << 16)] or [packed[:0]])
             packed[: len(tight)] = tight
-        return EliasFano(n, low_bits, packed, np.packbits(bits, bitorder="little").view(np.uint64))
+        return EliasFano(n, low_bits, packed.view(np.uint64), np.packbits(bits, bitorder="little").view(np.uint64))
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
         bit = i * self.low_bits
-        byte = bit >> 3
-        word = np.zeros(len(i), np.uint64)
-        for k in range(8):
-            word |= self.low[byte + k].astype(np.uint64) << np.uint64(8 * k)
-        return word >> (bit & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)
+        word, at = bit >> 6, (bit & 63).astype(np.uint64)
+        both = self.low[word] >> at | self.low[word + 1] << np.uint64(1) << (np.uint64(63) - at)
+        return both & np.uint64((1 << self.low_bits) - 1)
 
     def _place(self, wanted: np.ndarray, bit: int) -> np.ndarray:
         """The place of the wanted-th (from 0) bit of that kind: its word by the directory, then in the word."""
@@ -100,8 +127,9 @@ class EliasFano:
         out = np.empty(len(wanted), np.int64)
         for a in range(0, len(wanted), 1 << 16):
             part = slice(a, a + (1 << 16))
-            bits = np.unpackbits(self.high[word[part], None].view(np.uint8), axis=1, bitorder="little") == bit
-            out[part] = word[part] * 64 + (np.cumsum(bits, axis=1, dtype=np.uint8) > (wanted[part] - before[word[part]])[:, None]).argmax(axis=1)
+            own = word[part]
+            bits = self.high[own] if bit else ~self.high[own]
+            out[part] = own * 64 + select(bits, (wanted[part] - before[own]).astype(np.uint64)).astype(np.int64)
         return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -161,7 +189,9 @@ class NGramTrie:
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Places of pairs on the level of successors, or -1: first the context, then the word relative to it."""
-        place = self.contexts.find(context)
+        head = np.ones(len(context), bool)  # equal contexts that follow each other are one search
+        head[1:] = context[1:] != context[:-1]
+        place = self.contexts.find(context[head])[np.cumsum(head) - 1]
         out = np.full(len(context), -1, np.int64)
         known = np.flatnonzero(place >= 0)
         if len(known):
@@ -239,35 +269,48 @@ class Block:
                 out.write_batch(part)
         return sink.getvalue().to_pybytes()
 
-    def ask(self, order: int, shards: int) -> None:
-        """Go on to the next order: its contexts and distinct n-grams. What the order before was answered goes with them."""
+    def ask(self, order: int, shards: int, resumed: bool = False) -> None:
+        """Go on to the next order: its contexts and distinct n-grams. What the order before was answered goes with them.
+
+        ``resumed`` finds only the order of the n-grams again, for one whose answers are there.
+        """
         if order > 1:
             past = np.roll(self.word, order - 1)
             for back in range(order - 1):
                 past[np.roll(self.opens, back)] = np.uint64(START)
             self.history = mix(self.history * np.uint64(_Q) + past)
-            context_count = np.roll(self.count[self.of], 1)
-            context_count[self.opens] = self.texts
-            lower = self.log_p[self.of]
+            known = self.of
         gram = mix(self.history * np.uint64(_Q) + self.word)
-        own = mix(self.history) if order > 1 else gram
-        dealt = np.where(context_count >= HOT, gram, own) if order > 1 else gram
+        # Distinct n-grams first, then those by shard and context; equal contexts stand together, in the order of their n-grams.
+        rank = ordered(gram)
+        found = gram[rank]
+        new = np.ones(len(rank), bool)
+        new[1:] = found[1:] != found[:-1]
+        at, found = rank[new], found[new]
+        if order > 1:
+            context_count = np.where(self.opens[at], self.texts, self.count[known[at - 1]])
+            own = mix(self.history[at])
+            dealt = np.where(context_count >= HOT, found, own)
+        else:
+            own = dealt = found
         shard = (dealt >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
         key = shard << np.uint64(CONTEXT_BITS) | own & np.uint64((1 << CONTEXT_BITS) - 1)
-        # Distinct n-grams, by shard, then context: equal ones stand together.
-        rank = np.lexsort((gram, key))
-        new = np.ones(len(rank), bool)
-        new[1:] = (gram[rank][1:] != gram[rank][:-1]) | (key[rank][1:] != key[rank][:-1])
-        at = rank[np.flatnonzero(new)]
+        wide = np.uint64(max(0, 64 - CONTEXT_BITS - shards.bit_length()))
+        by = ordered(key << wide)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
         self.of = np.empty(len(rank), np.int64)
-        self.of[rank] = np.cumsum(new) - 1
-        self.shard, word = (key[at] >> np.uint64(CONTEXT_BITS)).astype(np.int64), self.word[at]
+        self.of[rank] = place[np.cumsum(new) - 1]
+        if resumed:
+            return
+        at, key = at[by], key[by]
+        self.shard, word = (key >> np.uint64(CONTEXT_BITS)).astype(np.int64), self.word[at]
         if order == 1:  # both parts of a word's hash together are all of it
             self.gram_context, self.gram_word = word >> np.uint64(WORD_BITS), word & np.uint64((1 << WORD_BITS) - 1)
         else:
-            self.gram_context, self.gram_word = key[at] & np.uint64((1 << CONTEXT_BITS) - 1), word >> np.uint64(64 - WORD_BITS)
-        self.n = np.bincount(self.of, self.train[self.doc], len(at)).astype(np.uint32)
-        self.context_count, self.lower = (context_count[at], lower[at]) if order > 1 else (np.zeros(len(at), np.int64), np.zeros(len(at)))
+            self.gram_context, self.gram_word = key & np.uint64((1 << CONTEXT_BITS) - 1), word >> np.uint64(64 - WORD_BITS)
+        self.n = np.bincount(self.of[self.train[self.doc]], minlength=len(at)).astype(np.uint32)
+        self.context_count, self.lower = (context_count[by], self.log_p[known[at]]) if order > 1 else (np.zeros(len(at), np.int64), np.zeros(len(at)))
 
     def parts(self) -> list[tuple[int, int, int]]:
         """(shard, from, to): the n-grams of a shard are one run."""
@@ -313,11 +356,15 @@ def shard_answers(table: pa.Table, order: int) -> pa.Table:
     parts = [opened(x, order) for x in blobs]
     size = [len(p[0]) for p in parts]
     context, word, n, lower, total = (np.concatenate(x) for x in zip(*parts, strict=True))
-    rank = np.lexsort((word, context))
-    new = np.ones(len(rank), bool)
-    new[1:] = (context[rank][1:] != context[rank][:-1]) | (word[rank][1:] != word[rank][:-1])
-    at = rank[np.flatnonzero(new)]
-    count = np.add.reduceat(n[rank].astype(np.int64), np.flatnonzero(new))
+    # A context's place in the order of contexts and a word are one key, as on the trie's level of successors.
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    own, run = np.unique(context[first], return_inverse=True)
+    key = np.repeat(run, np.diff(np.append(first, len(context)))).astype(np.uint64) << np.uint64(WORD_BITS) | word
+    rank = np.argsort(key)
+    found = key[rank]
+    new = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    at = rank[new]
+    count = np.add.reduceat(n[rank].astype(np.int64), new)
     if order > 1:
         log_p = np.log10(np.minimum((count + PRIOR * 10.0 ** decoded(lower[at])) / (total[at].astype(np.float64) + PRIOR), 1.0))
     else:
@@ -351,7 +398,7 @@ def _resumed(packed: bytes, answers: pa.Table | None, order: int, shards: int, u
     """A block as it stands after the answers of the orders below ``order``."""
     block = Block(packed)
     for k in range(1, order):
-        block.ask(k, shards)
+        block.ask(k, shards, resumed=True)
         block.answered(*_answers_of(answers, k), k, unigrams, n_texts)
     return block
 
@@ -450,7 +497,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = _resumed(block["_data"][0].as_py(), known, 2, shards, unigrams, n_texts)
         n, base, seen = (np.bincount(own.doc, x, len(own.train)) for x in (np.ones(len(own.doc)), np.log10(own.count[own.of] + 1) - whole, own.count[own.of] > 0))
         for k in range(2, order + 1):
-            own.ask(k, shards)
+            own.ask(k, shards, resumed=True)
             own.answered(*_answers_of(known, k), k, unigrams, n_texts)
         score = np.bincount(own.doc, own.log_p[own.of], len(own.train))
         more = [own.train == False, n.astype(np.int64), seen.astype(np.int64), np.full(len(own.train), n_train, np.int64), base, score]  # noqa: E712
