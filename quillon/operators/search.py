@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import source_label, words, words_no_stop
 from quillon.functions.vector import cosine
+from quillon.operators import nearest as near_rows
+from quillon.operators.blocks import Blocks, directions, in_blocks, nearness, sampled
 from quillon.operators.index import parse_query
+from quillon.operators.nearest import Best
+from quillon.operators.tiles import Tiles
 from quillon.sources.store import written
 
 K1, B = 1.2, 0.75
@@ -49,9 +54,9 @@ def bm25(chunks: DataFrame, terms: list[str], every: bool = True, k1: float = K1
     return (out.filter(F.col("terms") == len(set(terms))) if every else out).drop("terms")
 
 
-#: Rows, and queries, that one task of a vector search compares. Rows are copied to each block of queries, so these are large;
-#: few rows make PARTS blocks all the same, of LEAST rows each.
-ROW_BLOCK, QUERY_BLOCK, PARTS, LEAST = 65_536, 32_768, 8, 4_096
+#: Rows, and queries, of a block of a vector search; few of them make twice PARTS and PARTS blocks all the same, if these have LEAST_ROWS each; how many
+#: tasks compare them, and blocks of rows that a task reads at least, as what it found in some leaves out most of the others.
+ROW_BLOCK, QUERY_BLOCK, PARTS, LEAST_ROWS, TASKS, FEWEST = 65_536, 65_536, 8, 512, 48, 4
 
 
 #: Queries, and rows, that one product in a task compares: what a task holds beside its blocks.
@@ -184,20 +189,42 @@ def nearest(k: int):
 def vector_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): for each query the k rows with the largest cosine, ties by id.
 
-    Queries and rows are dealt into blocks by a hash, and each task compares one block with one other and keeps k
-    rows for each of its queries; bounds from leading components leave out most of the pairs, and those left are compared
-    in double precision. Nothing is broadcast, and a task's memory doesn't depend on the tables' sizes. Both tables are read twice.
+    Both tables (id, vector) go to files of blocks of alike vectors once. A task reads a block of queries and, nearest first, a part of the
+    blocks of rows from there; what it found so far and bounds from leading components leave out most pairs, and those left are
+    compared in double precision. Equal vectors of a block are compared once. No row is copied to blocks of queries, and a
+    task's memory doesn't depend on the tables' sizes.
     """
     n_rows, n_queries = rows.count(), queries.count()
-    row_blocks = max(1, -(-n_rows // min(ROW_BLOCK, max(LEAST, -(-n_rows // PARTS)))))
-    query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
+    spark, schema = rows.sparkSession, "query_id bigint, id bigint, score double"
+    if not n_rows or not n_queries or k < 1:
+        return spark.createDataFrame([], f"{schema}, rank int")
+    units = sampled(rows, n_rows), sampled(queries, n_queries)
+    basis = directions(np.concatenate(units))
+    shared = spark.sparkContext.broadcast(basis)  # the square of the vectors' length
+    there = in_blocks(rows, n_rows, units[0], basis, shared, min(2 * PARTS, -(-n_rows // LEAST_ROWS)), ROW_BLOCK)
+    asked = in_blocks(queries, n_queries, units[1], basis, shared, min(PARTS, -(-n_queries // LEAST_ROWS)), QUERY_BLOCK)
+    near, parts = nearness(asked.stats, there.stats), min(-(-len(there.stats) // FEWEST), -(-TASKS // len(asked.stats)))
+    tasks = [(q.block, [there.stats[r].block for r in np.argsort(near[i], kind="stable")[p::parts]]) for i, q in enumerate(asked.stats) for p in range(parts)]
+    dealt, left, right = spark.sparkContext.broadcast(tasks), Blocks(there.where, []), Blocks(asked.where, [])
 
-    def dealt(table: DataFrame, own: str, count: int, other: str, others: int) -> DataFrame:
-        table = table.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int").alias(own))
-        return table.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
-
-    left, right = dealt(rows, "r", row_blocks, "q", query_blocks), dealt(queries, "q", query_blocks, "r", row_blocks)
-    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(nearest(k), "query_id bigint, id bigint, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["query_id", "id", "score"]
+        for q, blocks in (dealt.value[t] for batch in batches for t in batch.column("id").to_pylist()):
+            ids, raw = right.read(q)
+            ids, questions = ids.to_numpy(), Tiles(raw, shared.value)
+            best, odd = Best(questions, k), np.flatnonzero(questions.place < 0)
+            for r in blocks:
+                others, raw_rows = left.read(r)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    near_rows.search(questions, best, Tiles(raw_rows, shared.value), others.to_numpy())
+                    if len(odd):
+                        tables = (pa.table({"id": i, "vector": pa.array(list(v))}) for i, v in ((others, raw_rows), (ids[odd], raw[odd])))
+                        yield from nearest(k)(*tables).select(names).to_batches()
+                del raw_rows
+            row, who, score = best.hits()
+            yield pa.record_batch([pa.array(ids[row], pa.int64()), pa.array(who, pa.int64()), pa.array(score)], names)
+
+    found = spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, schema)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
 
@@ -335,21 +362,73 @@ def all_words_top(chunks: DataFrame, questions: DataFrame, k: int, k1: float = K
     return _best(scored.filter("met = n_terms").select("query_id", "id", "score"), k)
 
 
+#: Candidates, and chunks, whose words one task compares at a time.
+RERANK, RERANK_CHUNKS = 8192, 1024
+
+
 def rerank_many(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``rerank_tokens`` of many questions at once: candidates (query_id, id, score) with new scores, each question's among themselves."""
-    rows = chunks.join(candidates.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.array(words_no_stop(F.col("content")))).alias("w"))
-    rows = written(rows, "candidates")  # split once
-    lens, tf = rows.select("id", F.size("w").alias("len")), rows.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sized = written(candidates.join(lens, "id"), "sized")
-    asked = questions.select("query_id", F.explode(words_no_stop(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    met = sized.join(asked, "query_id").join(tf, ["id", "term"])
-    df = met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = sized.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    rated = met.join(df, ["query_id", "term"]).join(stats, "query_id")
-    idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    sums = rated.groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
-    return sized.join(sums, ["query_id", "id"], "left").select("query_id", "id", (0.7 * F.coalesce("bm25", F.lit(0.0)) + 0.3 * 100 * F.col("score")).alias("score"))
+    """``rerank_tokens`` of many questions at once: candidates (query_id, id, score) with new scores, each question's among themselves.
+
+    A chunk's words move once, to the candidates that name it with their questions' words; from there only how often a chunk holds each
+    of these words goes on, to the question's other candidates.
+    """
+    kinds, n = dict(candidates.dtypes), candidates.count()
+    groups = max(1, -(-n // RERANK), -(-chunks.count() // RERANK_CHUNKS))
+    line = F.array_join("w", " ")  # no word holds a space
+    held = chunks.select("id", F.explode(F.array(words_no_stop(F.coalesce(F.col("content"), F.lit(""))))).alias("w"))  # split once
+    held = held.select("id", F.size("w").cast("bigint").alias("len"), line.alias("words"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
+    asked = questions.select("query_id", F.array_join(words_no_stop(F.col("text")), " ").alias("words"))
+    named = candidates.join(asked, "query_id", "left").select("query_id", "id", "score", F.coalesce("words", F.lit("")).alias("words"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
+    met = held.groupBy("g").cogroup(named.groupBy("g")).applyInArrow(_frequencies, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, len bigint, tf array<int>")
+    met = met.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // RERANK) or 1)))
+    return met.groupBy("g").applyInArrow(_reranked(k1, b), f"query_id {kinds['query_id']}, id {kinds['id']}, score double")
+
+
+def _split(lines: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of lines, and how many each has; an empty line has one that is empty."""
+    lists = pc.split_pattern(lines.combine_chunks(), " ")
+    return lists.flatten(), lists.value_lengths().to_numpy()
+
+
+def _frequencies(held: pa.Table, named: pa.Table) -> pa.Table:
+    """How often the chunk of each candidate holds each word of its question; candidates without a chunk are left out."""
+    chunk = pc.index_in(named["id"], held["id"])
+    named = named.filter(pc.is_valid(chunk))
+    chunk = pc.drop_null(chunk).to_numpy().astype(np.int64)
+    used, at = np.unique(chunk, return_inverse=True)
+    held = held.take(pa.array(used))
+    (there, size), (asked, n) = _split(held["words"]), _split(named["words"])
+    coded = pa.concat_arrays([there, asked]).dictionary_encode()
+    code, known = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+    pair, times = np.unique(np.repeat(np.arange(len(used)), size) * known + code[: len(there)], return_counts=True)
+    want = np.repeat(at, n) * known + code[len(there) :]
+    place = np.searchsorted(pair, want)
+    tf = np.where(np.append(pair, -1)[place] == want, np.append(times, 0)[place], 0)
+    tf[pc.equal(asked, "").to_numpy(zero_copy_only=False)] = 0
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(tf, pa.int32()))
+    return pa.table({"query_id": named["query_id"], "id": named["id"], "score": named["score"], "len": held["len"].take(pa.array(at)), "tf": lists})
+
+
+def _reranked(k1: float, b: float):
+    def run(met: pa.Table) -> pa.Table:
+        """Scores of the candidates of some questions, by how often they hold a question's words, and how many of the question's candidates do."""
+        _, query = np.unique(met["query_id"].to_numpy(), return_inverse=True)
+        tf, words = met["tf"].combine_chunks().flatten().to_numpy(), met["tf"].combine_chunks().value_lengths().to_numpy().astype(np.int64)
+        size, count = met["len"].to_numpy().astype(np.float64), np.bincount(query)
+        average = np.bincount(query, size) / count
+        each = np.zeros(len(count), np.int64)
+        each[query] = words  # the same for all of a question's candidates
+        row = np.repeat(np.arange(len(words)), words)
+        word = (np.cumsum(each) - each)[query][row] + np.arange(len(row)) - (np.cumsum(words) - words)[row]
+        df = np.bincount(word, tf > 0, int(each.sum()))[word]
+        idf = np.log((count[query][row] - df + 0.5) / (df + 0.5) + 1)
+        some = tf > 0
+        row, tf, idf = row[some], tf[some], idf[some]
+        part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[row] / average[query[row]]))
+        score = 0.7 * np.bincount(row, part, len(words)) + 0.3 * 100 * met["score"].to_numpy()
+        return pa.table({"query_id": met["query_id"], "id": met["id"], "score": score})
+
+    return run
 
 
 def search_many(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, question_vectors: DataFrame, limit: int = 4) -> DataFrame:
@@ -359,10 +438,10 @@ def search_many(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, que
     8 * ``limit`` hits a question, which are fused by reciprocal ranks and reranked. A question without words has no hits.
     """
     size, questions = limit * 8, questions.withColumn("text", F.coalesce("text", F.lit(""))).filter(F.size(words(F.col("text"))) > 0)
-    by_vector = vector_top_k(vectors, question_vectors.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi"), size)
+    by_vector = written(vector_top_k(vectors, question_vectors.join(questions.select(F.col("query_id").alias("id")), "id", "left_semi"), size), "by-vector")
     arms = by_vector.select("query_id", "id", "rank").unionByName(all_words_top(chunks, questions, size).select("query_id", "id", "rank"))
     fused = _best(arms.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score")), size).drop("rank")
-    return _best(rerank_many(written(fused, "fused"), chunks, questions), limit)
+    return written(_best(rerank_many(written(fused, "fused"), chunks, questions), limit), "hits")
 
 
 def phrase_hits(chunks: DataFrame, phrase: list[str]) -> DataFrame:
